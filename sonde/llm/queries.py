@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sonde.llm import exact_dedup, packing, sharding
+from sonde.llm import exact_dedup, packing, sharding, simhash
 from sonde.sources.tables import load
 
 
@@ -23,8 +23,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_exact_dedup, op8_sharding, op9_packing)}
+    return {f.__name__: f for f in (op7_exact_dedup, op8_sharding, op9_packing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
