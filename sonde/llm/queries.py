@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sonde.llm import exact_dedup, packing, sharding, simhash
+from sonde.llm import exact_dedup, packing, quality, sharding, simhash
 from sonde.sources.tables import load
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(load(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
@@ -28,11 +32,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_exact_dedup, op8_sharding, op9_packing, op10_simhash)}
+    return {f.__name__: f for f in (op4_quality, op7_exact_dedup, op8_sharding, op9_packing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op4_quality": OP4_SQL, "op7_exact_dedup": OP7_SQL}
 
 
 OP7_SQL = r"""
@@ -41,3 +45,42 @@ WITH n AS (
 ), g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY 1)
 SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, n.text_sha256 FROM n JOIN g USING (text_sha256)
 """
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, source,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), grams AS (
+  SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)
+), twice AS (
+  SELECT DISTINCT doc_id, i + k AS p
+  FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams), range(0, 5) t(k) WHERE n > 1
+), repeats AS (SELECT doc_id, count(*) AS n FROM twice GROUP BY 1
+), base AS (
+  SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN repeats r USING (doc_id)
+), judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base
+), every_line AS (
+  SELECT doc_id, text, coalesce(source, chr(1)) AS host,
+         unnest(string_split(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'),
+                                            '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10))) AS raw FROM d
+), lines AS (
+  SELECT DISTINCT doc_id, text, host, trim(raw) AS line FROM every_line WHERE trim(raw) <> ''
+), hosts AS (SELECT coalesce(source, chr(1)) AS host, count(*) AS docs FROM documents GROUP BY 1
+), boiler AS (
+  SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS n FROM lines GROUP BY 1, 2) JOIN hosts USING (host)
+  WHERE n > greatest(100, ceil(docs * 0.02))
+), taken AS (
+  SELECT e.doc_id, count(*) AS words FROM
+    (SELECT doc_id, host, trim(raw) AS line, unnest(string_split(trim(raw), ' ')) AS word FROM every_line) e
+    JOIN boiler b ON b.host = e.host AND b.line = e.line GROUP BY 1
+)
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (coalesce(t.words, 0) > 0 AND (n_words - coalesce(t.words, 0) < 10 OR n_words - coalesce(t.words, 0) < n_words * 0.1)) AS kept,
+       coalesce(t.words, 0) AS n_line_words_removed
+FROM judged j LEFT JOIN taken t USING (doc_id)
+"""
