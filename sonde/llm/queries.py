@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sonde.llm import exact_dedup, packing, quality, sharding, simhash
+from sonde.llm import exact_dedup, ngram_lm, packing, quality, sharding, simhash
 from sonde.sources.tables import load
 
 
+def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(load(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(load(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality, op7_exact_dedup, op8_sharding, op9_packing, op10_simhash)}
+    return {f.__name__: f for f in (op1_ngram_lm, op4_quality, op7_exact_dedup, op8_sharding, op9_packing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
