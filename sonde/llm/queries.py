@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sonde.llm import exact_dedup, language_id, nbest, ngram_lm, packing, quality, sharding, simhash
+from sonde.llm import exact_dedup, language_id, nbest, ngram_lm, packing, quality, sharding, simhash, toxicity
 from sonde.sources.tables import load
 
 PIECES = "piece_bpe_32k.model"
@@ -29,6 +29,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(load(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_lm, op3_nbest, op4_quality, op5_language_id, op7_exact_dedup, op8_sharding, op9_packing, op10_simhash)}
+    return {f.__name__: f for f in (op1_ngram_lm, op3_nbest, op4_quality, op5_language_id, op6_toxicity, op7_exact_dedup, op8_sharding, op9_packing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
