@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 #: ASCII white space of the contracts; words are the runs between.
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-WS_BYTES = b" \t\n\x0b\x0c\r"
 #: Folds A-Z only, as the contracts ask; bytes.lower() does the same.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -27,6 +26,6 @@ def id_hash(c: Column) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")))
 
 
-def words_of(raw: bytes) -> list[bytes]:
-    """bytes.split() without arguments splits at exactly the six ASCII white-space bytes."""
-    return raw.split()
+def small(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """df marked for broadcast if it has few rows; more rows are joined by shuffling."""
+    return F.broadcast(df) if rows <= most else df

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonde.llm.common import WS, WORD, lower_az, texts
+from sonde.llm.common import WORD, WS, lower_az, small, texts
 from sonde.plans.lineage import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -70,8 +70,8 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("did", "th", "host", hashed.alias("lines"))
 
 
-def quality(docs: DataFrame, limit: int = 100, share: float = 0.02, min_words: int = 10, min_left: float = 0.1) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_line_words_removed."""
+def _judged(docs: DataFrame, limit: int = 100, share: float = 0.02, min_words: int = 10, min_left: float = 0.1) -> DataFrame:
+    """The result of quality with th, the hash of the text."""
     keyed = texts(docs, "source").select(
         "doc_id",
         "text",
@@ -106,5 +106,19 @@ def quality(docs: DataFrame, limit: int = 100, share: float = 0.02, min_words: i
         rules.join(taken, ["did", "th"], "left")
         .withColumn("n_line_words_removed", F.coalesce("removed", F.lit(0)).cast("long"))
         .withColumn("kept", ~F.col("base_failed") & ~depleted)
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_line_words_removed")
+        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_line_words_removed", "th")
     )
+
+
+def quality(docs: DataFrame, **parameters) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_line_words_removed."""
+    return _judged(docs, **parameters).drop("th")
+
+
+def accepted(docs: DataFrame, broadcast_rows: int = 200_000, **parameters) -> DataFrame:
+    """docs without the rejected ones, matched by doc_id and text."""
+    verdict = _judged(docs, **parameters)
+    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("th").alias("__th")).distinct()
+    gone = materialize(gone, "rejected")
+    on = docs["doc_id"].eqNullSafe(F.col("__gone")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__th"))
+    return docs.join(small(gone, gone.count(), broadcast_rows), on, "left_anti")

@@ -7,16 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sonde.llm import exact_dedup, language_id, nbest, ngram_lm, packing, quality, sharding, simhash, toxicity
+from sonde.llm import exact_dedup, language_id, nbest, ngram_lm, packing, quality, sharding, simhash, suffix_dedup, toxicity
 from sonde.sources.tables import load
 
 PIECES = "piece_bpe_32k.model"
+#: The tokenizer of packing, the same vocabulary as ranks, and its pattern.
+BPE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(load(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(load(spark, sf_dir, "documents"))
+
+
 def op3_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest.encode(load(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -42,7 +48,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
+    return packing.pack(load(spark, sf_dir, "documents"), *BPE)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +56,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_lm, op3_nbest, op4_quality, op5_language_id, op6_toxicity, op7_exact_dedup, op8_sharding, op9_packing, op10_simhash)}
+    return {f.__name__: f for f in (op1_ngram_lm, op2_suffix_dedup, op3_nbest, op4_quality, op5_language_id, op6_toxicity, op7_exact_dedup, op8_sharding, op9_packing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
