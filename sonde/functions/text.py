@@ -19,22 +19,17 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), WORD), lambda w: w != "")
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """Runs of n neighbours, joined by a space; none where there are fewer."""
-    at = F.sequence(F.lit(1), F.size(words) - (n - 1))
-    return F.when(F.size(words) >= n, F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def ngrams(words: Column, n: int, between: str = " ") -> Column:
+    """Runs of n neighbours, joined; none where there are fewer. The array is shifted, not indexed, so the work is linear."""
+    out = words
+    for k in range(1, n):
+        shifted = F.slice(words, k + 1, F.greatest(F.size(words) - k, F.lit(0)))
+        out = F.zip_with(out, shifted, lambda a, b: F.concat(a, F.lit(between), b))
+    return F.filter(out, lambda g: g.isNotNull())
 
 
 def char_ngrams(c: Column, n: int) -> Column:
-    at = F.sequence(F.lit(1), F.length(c) - (n - 1))
-    return F.when(F.length(c) >= n, F.transform(at, lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-
-def moving_ttr(words: Column, window: int = 50, least: int = 100) -> Column:
-    """Mean type-token ratio of all windows; null below `least` tokens."""
-    at = F.sequence(F.lit(1), F.size(words) - (window - 1))
-    types = F.aggregate(at, F.lit(0).cast("long"), lambda a, i: a + F.size(F.array_distinct(F.slice(words, i, window))))
-    return F.when(F.size(words) >= least, F.round(types / F.lit(float(window)) / (F.size(words) - (window - 1)), 6))
+    return ngrams(F.split(c, ""), n, "")
 
 
 def template(c: Column) -> Column:

@@ -13,6 +13,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OFFSET, PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 
@@ -39,7 +40,7 @@ def simhash64(weights: dict[str, float]) -> str:
     return f"{int.from_bytes(np.packbits(votes > 0, bitorder='little').tobytes(), 'little'):016x}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def char3_signature(texts: pd.Series) -> pd.Series:
     def one(t: str | None) -> str | None:
         if t is None:
@@ -50,7 +51,7 @@ def char3_signature(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -62,7 +63,7 @@ def ncd(a: bytes, b: bytes, most: int = 50_000) -> float:
     return min(1.0, max(0.0, (both - min(x, y)) / max(x, y)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def compression_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else round(ncd(x.encode(), y.encode()), 4) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -127,13 +128,13 @@ def bech32_ok(text: str) -> bool:
     return state in (1, 0x2BC830A3)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def address_ok(texts: pd.Series) -> pd.Series:
     """base58check or bech32."""
     return texts.map(lambda t: None if t is None else base58_ok(t) or bech32_ok(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def jwt_claims(texts: pd.Series) -> pd.Series:
     """The payload of a token as JSON text; null if it has none. Signatures are neither read nor returned."""
 

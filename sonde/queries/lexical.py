@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from sonde.functions import text as tx
 from sonde.functions import vectorised as vx
+from sonde.operators import lexicon
 from sonde.queries import query
 from sonde.sources.tables import load
 
@@ -16,12 +17,11 @@ TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^a-zà-öø-ÿ]+'), l
 @query(
     f"""
 WITH t AS (SELECT doc_id, {TOKENS} AS w FROM documents), p AS (SELECT doc_id, w, len(w) AS n, unnest(range(1, len(w) - 48)) AS i FROM t WHERE len(w) >= 100)
-SELECT doc_id, round(avg(len(list_distinct(w[i:i+49])) / 50.0), 6) AS mattr FROM p GROUP BY 1
+SELECT doc_id, round(sum(len(list_distinct(w[i:i+49])))::DOUBLE / (50 * count(*)), 4) AS mattr FROM p GROUP BY 1
 """
 )
 def mattr(spark, sf_dir):
-    rows = load(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("w"))
-    return rows.select("doc_id", tx.moving_ttr(F.col("w")).alias("mattr")).where("mattr is not null")
+    return lexicon.moving_ttr(load(spark, sf_dir, "documents"), "doc_id", "text", places=4)
 
 
 @query(
