@@ -32,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonde.llm.common import small, texts
-from sonde.llm.suffix_sort import Hashes, suffix_sort
+from sonde.llm.suffix_sort import Collision, Hashes, same_bytes, suffix_sort
 from sonde.plans.lineage import materialize
 
 GRAM = 48
+#: Bytes of text that are hashed at a time; the arrays of a chunk take about a hundred times as much.
+CHUNK = 1 << 19
 NO_ID = -(2**63)
 ROW = ["did", "th"]
 
@@ -92,7 +94,7 @@ def _find(length: int, gram: int):
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             raw = [t.encode() for t in pdf["text"]]
-            bounds = np.searchsorted(np.cumsum([len(r) for r in raw]), np.arange(0, sum(map(len, raw)) + (1 << 22), 1 << 22))
+            bounds = np.searchsorted(np.cumsum([len(r) for r in raw]), np.arange(0, sum(map(len, raw)) + CHUNK, CHUNK))
             for i, j in zip(bounds, np.append(bounds[1:], len(raw)), strict=True):
                 part = raw[i:j]
                 text, pos, key = anchors(part, length, gram)
@@ -116,74 +118,65 @@ def _find(length: int, gram: int):
 
 def resolve(windows: list[bytes], lefts: list[int], sets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window, in its set, the extent (from, to), relative to its anchor, of the strings it shares; from > to if none."""
-    n = len(windows)
     size = np.array([len(w) for w in windows], dtype=np.int64)
     left = np.array(lefts, dtype=np.int64)
-    begin = np.cumsum(size) - size
-    anchor, right = begin + left, size - left
+    anchor = np.cumsum(size) - size + left
     h = Hashes(np.frombuffer(b"".join(windows), dtype=np.uint8))
+    sets = np.unique(sets, return_inverse=True)[1].astype(np.int64)
+    try:
+        return _resolve(h, anchor, left, size - left, sets, length, gram, plain=False)
+    except Collision:
+        return _resolve(h, anchor, left, size - left, sets, length, gram, plain=True)
+
+
+def _resolve(h: Hashes, anchor: np.ndarray, left: np.ndarray, right: np.ndarray, sets: np.ndarray, length: int, gram: int, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of starts (first..last, relative to the anchors) are halved level by level, all sets and ranges of a level at once."""
+    n = len(anchor)
     lo, hi = np.full(n, length), np.full(n, -length)
-    work = [(np.arange(n), np.unique(sets, return_inverse=True)[1].astype(np.int64), -(length - gram), 0)]
-    while work:
-        item, node, first, last = work.pop()
+    item, node = np.arange(n), sets
+    first, last = np.full(n, -(length - gram)), np.zeros(n, dtype=np.int64)
+    while len(item):
+        # a window takes part if a string that starts within the range can hold the range's core
         fits = (left[item] >= -last) & (right[item] >= first + length)
-        item, node = item[fits], node[fits]
-        order = np.argsort(node, kind="stable")
-        item, node = item[order], node[order]
+        order = np.flatnonzero(fits)[np.argsort(node[fits], kind="stable")]
+        item, node, first, last = item[order], node[order], first[order], last[order]
         if len(item) < 2:
-            continue
-        core = np.full(len(item), first + length - last)
-        order, equal = suffix_sort(h, node, anchor[item] + last, core)
-        item, node = item[order], np.cumsum(~equal)
-        count = np.bincount(node)
-        many = count[node] > 1
-        item, node = item[many], node[many]
+            break
+        order, equal = suffix_sort(h, node, anchor[item] + last, first + length - last, plain)
+        item, first, last, node = item[order], first[order], last[order], np.cumsum(~equal)
+        many = np.bincount(node)[node] > 1
+        item, node, first, last = item[many], node[many], first[many], last[many]
         if not len(item):
-            continue
-        node = np.unique(node, return_inverse=True)[1]
-        # how far the whole run agrees beyond the core, on either side
-        start = np.flatnonzero(np.diff(node, prepend=-1))
-        prev = np.maximum(np.arange(len(item)) - 1, 0)
-        prev[start] = start
-        a, b = item, item[prev]
-        ahead = h.common(anchor[a] + first + length, anchor[b] + first + length, np.minimum(np.minimum(right[a], right[b]) - first - length, last - first))
-        back = h.common_back(anchor[a] + last, anchor[b] + last, np.minimum(np.minimum(left[a], left[b]) + last, last - first))
-        back_all, ahead_all = np.minimum.reduceat(back, start), np.minimum.reduceat(ahead, start)
-        low_left, low_right = np.minimum.reduceat(left[item], start), np.minimum.reduceat(right[item], start)
-        top_left, top_right = np.maximum.reduceat(left[item], start), np.maximum.reduceat(right[item], start)
-        room_back = np.minimum(low_left + last, last - first)
-        room_ahead = np.minimum(low_right - first - length, last - first)
-        even = (np.minimum(top_left + last, last - first) == room_back) & (np.minimum(top_right - first - length, last - first) == room_ahead)
-        done = even & (back_all == room_back) & (ahead_all == room_ahead) & (back_all + ahead_all >= last - first)
-        if first < last:  # what hashes found equal beyond the byte-compared core is compared too
-            good = _same_bytes(h, anchor[a], anchor[b], last - back_all[node], first + length + ahead_all[node])
-            done &= np.logical_and.reduceat(good | ~done[node], start)
-        settled = done[node]
-        reach_back, reach_ahead = back_all[node][settled], ahead_all[node][settled]
+            break
+        node = np.cumsum(np.diff(node, prepend=node[:1]) != 0)
+        # windows equal over all that the range's strings can cover are settled, and one of them goes on for all
+        begin, end = np.maximum(first, -left[item]), np.minimum(last + length, right[item])
+        whole = h.of(anchor[item] + begin, end - begin)
+        order = np.lexsort((whole, end, begin, node))
+        item, node, first, last, begin, end, whole = (x[order] for x in (item, node, first, last, begin, end, whole))
+        again = np.zeros(len(item), dtype=bool)
+        again[1:] = (node[1:] == node[:-1]) & (begin[1:] == begin[:-1]) & (end[1:] == end[:-1]) & (whole[1:] == whole[:-1])
+        twin = np.flatnonzero(again)
+        if not plain and not same_bytes(h, anchor[item[twin]] + begin[twin], anchor[item[twin - 1]] + begin[twin], end[twin] - begin[twin]).all():
+            raise Collision
+        settled = again.copy()
+        settled[:-1] |= again[1:]
+        if plain:  # without trust in hashes only single strings are settled
+            settled &= first == last
+            again &= settled
         own = item[settled]
-        lo[own] = np.minimum(lo[own], last - reach_back)
-        hi[own] = np.maximum(hi[own], first + length + reach_ahead)
-        item, node = item[~settled], node[~settled]
-        if len(item):
-            mid = (first + last) // 2
-            work += [(item, node, first, mid), (item, node, mid + 1, last)]
+        np.minimum.at(lo, own, begin[settled])
+        np.maximum.at(hi, own, end[settled])
+        item, node, first, last = item[~again], node[~again], first[~again], last[~again]
+        more = (np.bincount(node)[node] > 1) & (first < last)
+        item, node, first, last = item[more], node[more], first[more], last[more]
+        mid = (first + last) // 2
+        item, node = np.concatenate([item, item]), np.concatenate([2 * node, 2 * node + 1])
+        first, last = np.concatenate([first, mid + 1]), np.concatenate([mid, last])
     return lo, hi
 
 
-def _same_bytes(h: Hashes, a: np.ndarray, b: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Whether the bytes from begin to end around positions a and b are the same, pair by pair."""
-    out = np.ones(len(a), dtype=bool)
-    for i in range(0, len(a), 4096):
-        part = slice(i, i + 4096)
-        span = np.arange(int((end[part] - begin[part]).max()))
-        inside = span < (end[part] - begin[part])[:, None]
-        x = h.buffer[np.where(inside, (a[part] + begin[part])[:, None] + span, 0)]
-        y = h.buffer[np.where(inside, (b[part] + begin[part])[:, None] + span, 0)]
-        out[part] = (x == y).all(axis=1)
-    return out
-
-
-def _meet(length: int, gram: int, block: int = 4000):
+def _meet(length: int, gram: int, block: int = 2000):
     """Candidates sorted by key -> spans. Whole sets are held, at most `hot` windows each, some sets at a time."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,8 +210,8 @@ def _fetch(reach: int, length: int):
             for did, th, text, places in zip(pdf["did"], pdf["th"], pdf["text"], pdf["places"], strict=True):
                 raw = text.encode()
                 out += [(p["key"], p["n"], did, th, p["pos"], min(p["pos"], reach), raw[max(0, p["pos"] - reach) : p["pos"] + length]) for p in places]
-            for at in range(0, len(out), 2000):
-                yield pd.DataFrame(out[at : at + 2000], columns=["key", "n", "did", "th", "pos", "left", "window"])
+            for at in range(0, len(out), 1000):
+                yield pd.DataFrame(out[at : at + 1000], columns=["key", "n", "did", "th", "pos", "left", "window"])
 
     return fold
 
@@ -237,8 +230,8 @@ def _spell(length: int, gram: int):
     return fold
 
 
-def spans(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = 20_000, broadcast_rows: int = 200_000) -> DataFrame:
-    """(did, th, spans): for each row that loses bytes, the (a, b) pieces to remove, not merged."""
+def spans(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = 3000, broadcast_rows: int = 200_000) -> DataFrame:
+    """(did, th, spans): for each row that loses bytes, the maximal (a, b) runs to remove."""
     rows = _rows(docs)
     found = materialize(
         rows.mapInPandas(_find(length, gram), "did long, th int, pos int, left int, right int, key long, around long"), "anchors"
@@ -253,7 +246,7 @@ def spans(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = 20_00
     candidates = materialize(classes.join(shared, "key").select("key", "n", "classes", "one.*"), "candidates")
     wanted = candidates.groupBy("did", "th").agg(F.collect_list(F.struct("key", "n", "pos")).alias("places"))
     wanted = materialize(wanted, "wanted")
-    at_hand = small(wanted, wanted.count(), broadcast_rows)
+    at_hand = small(wanted, candidates.count(), broadcast_rows)
     fetched = rows.join(at_hand, ROW).mapInPandas(_fetch(length - gram, length), "key long, n long, did long, th int, pos int, left int, window binary")
     hot_keys = candidates.where(F.col("classes") > hot).select("key").distinct()
     is_hot = hot_keys.limit(1).count() > 0
@@ -265,7 +258,13 @@ def spans(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = 20_00
         twice = strings.groupBy("string").agg(F.count("*").alias("times")).where("times > 1").select("string")
         more = strings.join(twice, "string", "left_semi").select("did", "th", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
         all_spans = all_spans.unionByName(more)
-    return materialize(all_spans.groupBy("did", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    by_row = all_spans.groupBy("did", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    return materialize(by_row.mapInPandas(_merge, "did long, th int, spans array<struct<a:int,b:int>>"), "spans")
+
+
+def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(spans=[[{"a": a, "b": b} for a, b in merged(pieces)] for pieces in pdf["spans"]])
 
 
 def merged(pieces: list) -> list[tuple[int, int]]:

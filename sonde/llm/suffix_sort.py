@@ -2,8 +2,8 @@
 
 Prefix polynomial hashes of a byte buffer give the hash of any substring; binary search over lengths finds the common
 extension of two suffixes, so a comparison takes a logarithmic number of steps. The sets are sorted by a bottom-up
-mergesort on arrays, all sets together. Afterwards neighbours are compared byte by byte; where a hash collision misled
-the sort, it is repeated on the bytes themselves.
+mergesort on arrays, all sets together. A comparison looks at the first byte after the common extension, and callers compare the bytes of what they
+find equal; where hashes misled, the work is repeated on the bytes themselves.
 """
 
 from __future__ import annotations
@@ -45,10 +45,16 @@ class Hashes:
         return low
 
 
+class Collision(Exception):
+    """Two different substrings have one hash."""
+
+
 def _sign(h: Hashes, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
     common = h.common(a, b, length)
     end = common == length
     x, y = h.buffer[np.where(end, 0, a + common)].astype(np.int16), h.buffer[np.where(end, 0, b + common)].astype(np.int16)
+    if ((x == y) & ~end).any():
+        raise Collision
     return np.where(end, 0, np.sign(x - y))
 
 
@@ -86,37 +92,36 @@ def _order(h: Hashes, sets: np.ndarray, start: np.ndarray, length: np.ndarray) -
     return order
 
 
-def suffix_sort(h: Hashes, sets: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, equal): the suffixes of each set in order, each cut to `length` bytes, and whether each equals the one before it in its set."""
-    order = _order(h, sets, start, length)
-    equal, right = _neighbours(h, sets, start, length, order)
-    if not right:
+def suffix_sort(h: Hashes, sets: np.ndarray, start: np.ndarray, length: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(order, equal): the suffixes of each set in order, each cut to `length` bytes, and whether each equals the one before it in its set.
+
+    Sets must ascend, and one set's suffixes have one length. Equality is that of the hashes, for the caller to verify; with
+    `plain` the bytes themselves are compared throughout.
+    """
+    equal = np.zeros(len(sets), dtype=bool)
+    if plain:
         raw = h.buffer.tobytes()
-        order = np.array(sorted(range(len(sets)), key=lambda i: (sets[i], raw[start[i] : start[i] + length[i]])), dtype=np.int64)
-        equal, _ = _neighbours(h, sets, start, length, order)
+        cut = [raw[s : s + n] for s, n in zip(start.tolist(), length.tolist(), strict=True)]
+        order = np.array(sorted(range(len(sets)), key=lambda i: (sets[i], cut[i])), dtype=np.int64)
+        equal[1:] = [sets[a] == sets[b] and cut[a] == cut[b] for a, b in zip(order[:-1], order[1:], strict=True)]
+        return order, equal
+    order = _order(h, sets, start, length)
+    if len(order) > 1:
+        a, b = order[:-1], order[1:]
+        same = np.flatnonzero(sets[a] == sets[b])
+        a, b = a[same], b[same]
+        equal[same + 1] = h.of(start[a], length[a]) == h.of(start[b], length[a])
     return order, equal
 
 
-def _neighbours(h: Hashes, sets: np.ndarray, start: np.ndarray, length: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Byte comparison of neighbours: which are equal, and whether all are in order."""
-    equal, right = np.zeros(len(order), dtype=bool), True
-    if len(order) < 2:
-        return equal, right
-    a, b = order[:-1], order[1:]
-    same_set = sets[a] == sets[b]
-    width = int(length.max()) if len(length) else 0
-    step = max(1, (1 << 22) // max(width, 1))
-    span = np.arange(width)
-    last = len(h.buffer) - 1
+def same_bytes(h: Hashes, a: np.ndarray, b: np.ndarray, length: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Whether the `length` bytes at positions a and b are the same, pair by pair."""
+    out = np.ones(len(a), dtype=bool)
     for i in range(0, len(a), step):
-        x, y, keep = a[i : i + step], b[i : i + step], same_set[i : i + step]
-        inside = span < length[x][:, None]
-        left = np.where(inside, h.buffer[np.minimum(start[x][:, None] + span, last)], 0).astype(np.int16)
-        other = np.where(inside, h.buffer[np.minimum(start[y][:, None] + span, last)], 0).astype(np.int16)
-        differs = left != other
-        any_ = differs.any(axis=1)
-        at = differs.argmax(axis=1)
-        rows = np.arange(len(x))
-        right &= bool((~keep | ~any_ | (left[rows, at] < other[rows, at])).all())
-        equal[i + 1 : i + 1 + len(x)] = keep & ~any_
-    return equal, right
+        part = slice(i, i + step)
+        span = np.arange(int(length[part].max()))
+        inside = span < length[part][:, None]
+        x = h.buffer[np.where(inside, a[part][:, None] + span, 0)]
+        y = h.buffer[np.where(inside, b[part][:, None] + span, 0)]
+        out[part] = (x == y).all(axis=1)
+    return out
