@@ -33,10 +33,12 @@ def base_rules(docs: DataFrame) -> DataFrame:
     blanks = " \t\n\x0b\x0c\r"
     step = docs.withColumn("__w", words).withColumn("__l", lines)
     step = step.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
-    grams = F.when(
-        F.size("__w") >= WINDOW,
-        F.transform(F.sequence(F.lit(0), F.size("__h") - WINDOW), lambda i: F.xxhash64(*[F.get("__h", i + k) for k in range(WINDOW)])),
-    ).otherwise(F.array().cast("array<bigint>"))
+    # windows of five from pairs, pairs of pairs, and one more
+    after = lambda c, k: F.slice(c, k + 1, F.greatest(F.size("__h") - k, F.lit(0)))
+    both = lambda x, y: F.xxhash64(x, y)
+    step = step.withColumn("__2", F.zip_with("__h", after("__h", 1), both))
+    step = step.withColumn("__4", F.zip_with("__2", after("__2", 2), both))
+    grams = F.slice(F.zip_with("__4", after("__h", WINDOW - 1), both), 1, F.greatest(F.size("__h") - (WINDOW - 1), F.lit(0)))
     step = step.withColumn("__g", grams)
     # only texts in which some window repeats pay for finding where
     ranked = F.array_sort(F.transform("__g", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
@@ -57,7 +59,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
         .withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
         .withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
         .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-        .drop("__w", "__l", "__h", "__g", "__s", "__p")
+        .drop("__w", "__l", "__h", "__2", "__4", "__g", "__s", "__p")
     )
 
 
