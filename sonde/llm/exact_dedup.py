@@ -107,8 +107,7 @@ def _runs(bits: int):
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, shas = Index(), []
         for pdf in batches:
-            ids = pdf["doc_id"].fillna(NO_ID).astype("int64").tolist()
-            for doc_id, text in zip(ids, pdf["text"], strict=True):
+            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
                 raw = text.encode()
                 sha = hashlib.sha256(raw).digest()
                 if index.put(_digest(sha, bits), raw, doc_id) == len(shas):
@@ -155,7 +154,7 @@ def _compact(bits: int):
 
 def groups(normal: DataFrame, digest_bits: int = 64) -> DataFrame:
     """(doc_id, text) -> one row per distinct text: sha, least (smallest doc_id), n (its rows)."""
-    runs = normal.select("doc_id", "text").mapInPandas(
+    runs = normal.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").mapInPandas(
         _runs(digest_bits), "digest long, sha binary, least long, n long, text binary"
     )
     parts = runs.repartition("digest").sortWithinPartitions("digest")
