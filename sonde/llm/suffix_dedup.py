@@ -217,15 +217,15 @@ def _fetch(reach: int, length: int):
 
 
 def _spell(length: int, gram: int):
-    """Windows of hot keys -> (hash, did, th, start) of each of their strings."""
+    """Windows of hot keys -> (hash, copies, did, th, start) of each of their strings."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for did, th, pos, left, window in zip(pdf["did"], pdf["th"], pdf["pos"], pdf["left"], pdf["window"], strict=True):
+            for n, did, th, pos, left, window in zip(pdf["n"], pdf["did"], pdf["th"], pdf["pos"], pdf["left"], pdf["window"], strict=True):
                 starts = range(0, max(0, min(left, length - gram) + 1) if len(window) >= length else 0)
-                rows = [(hashlib.blake2b(window[s : s + length], digest_size=16).digest(), did, th, pos - left + s) for s in starts if s + length <= len(window)]
+                rows = [(hashlib.blake2b(window[s : s + length], digest_size=16).digest(), n, did, th, pos - left + s) for s in starts if s + length <= len(window)]
                 if rows:
-                    yield pd.DataFrame(rows, columns=["string", "did", "th", "start"])
+                    yield pd.DataFrame(rows, columns=["string", "n", "did", "th", "start"])
 
     return fold
 
@@ -254,8 +254,10 @@ def spans(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = 3000,
     met = calm.repartition("key").sortWithinPartitions("key").mapInPandas(_meet(length, gram), "did long, th int, a int, b int")
     all_spans = settled.unionByName(met)
     if is_hot:
-        strings = materialize(fetched.join(hot_keys, "key", "left_semi").mapInPandas(_spell(length, gram), "string binary, did long, th int, start int"), "strings")
-        twice = strings.groupBy("string").agg(F.count("*").alias("times")).where("times > 1").select("string")
+        strings = materialize(fetched.join(hot_keys, "key", "left_semi").mapInPandas(_spell(length, gram), "string binary, n long, did long, th int, start int"), "strings")
+        # a string may be spelled from two anchors of one place, which is no repeat
+        at = F.struct("did", "th", "start")
+        twice = strings.groupBy("string").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.max("n").alias("n")).where((F.col("lo") != F.col("hi")) | (F.col("n") > 1)).select("string")
         more = strings.join(twice, "string", "left_semi").select("did", "th", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
         all_spans = all_spans.unionByName(more)
     by_row = all_spans.groupBy("did", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
