@@ -229,12 +229,17 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(language_id.forward(pieces, words, prob[:, None])[:, 0], [total(w) for w in words])
 
 
-def test_languages_and_toxicity_on_held_out_rows(spark):
+def test_languages_on_held_out_rows(spark):
     ship(spark)
     sf = "/root/testdata/sf0.01"
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
     found = [r for r in queries.op5_language_id(spark, sf).collect() if r["held_out"]]
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in found) > 0.97 * len(found)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    ship(spark)
+    sf = "/root/testdata/sf0.1"  # the smaller tables label some thirty toxic documents, too few to learn from
     toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     found = [r for r in queries.op6_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in toxic]
     assert sum(r["predicted"] == toxic[r["doc_id"]] for r in found) >= 0.9 * len(found)
