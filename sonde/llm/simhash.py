@@ -242,93 +242,131 @@ def near_dedup(docs: DataFrame, width: int = 4, most: int = 4, hot: int = 20_000
     )
 
 
-def wide_fingerprint(raw: bytes, width: int, words: int) -> bytes:
-    """Majority bits of `words` independent 64-bit hashes of each shingle."""
-    first = shingle_hashes(raw, width)
-    out = []
-    for k in range(words):
-        x = first + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1))
-        if k:
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-        out.append(majority(x).to_bytes(8, "little"))
-    return b"".join(out)
-
-
-def _samples(bits: int, tables: int, key_bits: int) -> np.ndarray:
-    """The bits each table's key is made of."""
-    rng = np.random.default_rng(64)
-    return np.stack([rng.choice(bits, key_bits, replace=False) for _ in range(tables)])
-
-
-def _keys(words: int, tables: int, key_bits: int):
-    """fp -> (bucket, fp) for each table."""
-    chosen, value = _samples(BITS * words, tables, key_bits), 1 << np.arange(key_bits)
+def _sets(width: int):
+    """Rows -> th, key (of the set), fp (its SimHash), n and shingles: the distinct shingle hashes in ascending order."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 2000):
-                fps = pdf["fp"].iloc[at : at + 2000].tolist()
-                bits = np.unpackbits(np.frombuffer(b"".join(fps), dtype=np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
-                for t, sample in enumerate(chosen):
-                    yield pd.DataFrame({"bucket": (t << key_bits) + bits[:, sample].astype(np.int64) @ value, "fp": fps})
+            for at in range(0, len(pdf), 200):
+                part = pdf.iloc[at : at + 200]
+                hashes = [shingle_hashes(t.encode(), width) for t in part["text"]]
+                sets = [np.unique(h) for h in hashes]
+                yield pd.DataFrame(
+                    {
+                        "doc_id": part["doc_id"].astype("Int64").to_numpy(),
+                        "th": part["th"].to_numpy(),
+                        "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+                        "fp": np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64),
+                        "n": [len(s) for s in sets],
+                        "shingles": [s.view(np.int64) for s in sets],
+                    }
+                )
 
     return fold
 
 
-def _to_pivot(most: int):
-    """(bucket, fp, pivot) -> the same with whether the two link."""
+def _prefixes(common: np.ndarray, rank: np.ndarray, share: tuple[int, int]):
+    """node, shingles -> (token, node, n, pos): the first shingles of each set, the common ones (sorted, ranked) standing last.
+
+    Sets alike by num/den or more share one of their first n - ceil(n * num / den) + 1 shingles, whatever the order.
+    """
+    num, den = share
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            a, b = (np.frombuffer(b"".join(pdf[c].tolist()), dtype="<u8").reshape(len(pdf), -1) for c in ("fp", "pivot"))
-            yield pdf.assign(linked=_bits(a ^ b) <= most)
+            for at in range(0, len(pdf), 200):
+                tokens, nodes, sizes, places = [], [], [], []
+                for node, held in zip(pdf["node"].iloc[at : at + 200], pdf["shingles"].iloc[at : at + 200], strict=True):
+                    held = np.asarray(held, dtype=np.int64)
+                    n, first = len(held), len(held) - -(-len(held) * num // den) + 1
+                    if not n:
+                        continue
+                    where = np.minimum(np.searchsorted(common, held), max(len(common) - 1, 0))
+                    late = np.where(common[where] == held, rank[where], 0) if len(common) else np.zeros(n, np.int64)
+                    tokens.append(held[np.lexsort((held, late))[:first]])
+                    nodes.append(np.full(first, node))
+                    sizes.append(np.full(first, n))
+                    places.append(np.arange(first))
+                if tokens:
+                    yield pd.DataFrame({c: np.concatenate(v) for c, v in (("token", tokens), ("node", nodes), ("n", sizes), ("pos", places))})
 
     return fold
 
 
-def similar_pairs(classes: DataFrame, words: int, most: int, tables: int, key_bits: int, hot: int) -> DataFrame:
-    """(a, b): links between distinct wide fingerprints that share the key of some table and differ in `most` bits or fewer.
+def _alike(pairs: DataFrame, sets: DataFrame, share: tuple[int, int], broadcast_rows: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have a Jaccard similarity of num/den or more, computed in full."""
+    num, den = share
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
+    few = small(pairs, pairs.count(), broadcast_rows)
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")).join(few, "a")
+    both = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
+    overlap = F.size(F.array_intersect("s", "t"))
+    return materialize(both.where((num + den) * overlap >= num * (F.size("s") + F.size("t"))).select("a", "b"), "alike")
+
+
+def _may_link(x: str, y: str, share: tuple[int, int]) -> Column:
+    """Whether sets that first meet in this token, at their places, can still overlap enough."""
+    num, den = share
+    left = F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos"))
+    return (num + den) * left >= num * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
+def similar_pairs(sets: DataFrame, share: tuple[int, int], sample: int = 8, common_rows: int = 200_000, broadcast_rows: int = 200_000) -> DataFrame:
+    """(a, b): links between the nodes of sets (node, fp, n, shingles) that keep every component of similar sets whole.
 
-    Buckets of more than `hot` fingerprints, as a large group of near copies makes them, are not gathered: their members are
-    compared with a pivot by a join, and those it does not link are dealt out by eight more bits.
+    Candidates are named by the SimHash index and by an inverted index of set prefixes, which misses no similar pair;
+    each is verified by its whole sets.
     """
-    keyed = classes.select("fp").mapInPandas(_keys(words, tables, key_bits), "bucket long, fp binary")
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).where("n > 1")
-    keyed = materialize(keyed.join(sizes, "bucket"), "keyed")
-    calm, large = keyed.where(F.col("n") <= hot), keyed.where(F.col("n") > hot)
-    shape = "a binary, b binary"
-    near = calm.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_join_buckets(most, words), shape)
-    if large.limit(1).count() == 0:
-        return near
-    tested = materialize(large.select("bucket", "fp", "pivot").mapInPandas(_to_pivot(most), "bucket long, fp binary, pivot binary, linked boolean"), "tested")
-    star = tested.where("linked and fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b"))
-    rest = tested.where("not linked").select(F.xxhash64("bucket", F.substring("fp", 1, 1)).alias("bucket"), "fp")
-    again = rest.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_join_buckets(most, words), shape)
-    return near.unionAll(star).unionAll(again)
-
-
-def near_groups(docs: DataFrame, width: int = 5, words: int = 4, most: int = 45, tables: int = 48, key_bits: int = 18, hot: int = 20_000) -> DataFrame:
+    spark = sets.sparkSession
+    # any order of shingles is right; one that has common shingles last, as a sample shows them, names few pairs
+    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(sample)) == 0).select(F.explode("shingles").alias("token"))
+    often = some.groupBy("token").agg(F.count("*").alias("often")).where("often > 2").orderBy(F.desc("often"), "token").limit(common_rows).toPandas()
+    token, rank = often["token"].to_numpy(dtype=np.int64), np.arange(len(often), 0, -1)
+    order = np.argsort(token)
+    prefixes = sets.select("node", "shingles").mapInPandas(_prefixes(token[order], rank[order], share), "token long, node long, n long, pos long")
+    prefixes = materialize(prefixes, "prefixes")
+    shared = prefixes.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    members = materialize(prefixes.join(shared.select("token"), "token"), "members")
+
+    # the SimHash index
+    least = sets.groupBy("fp").agg(F.min("node").alias("a"))
+    equal = sets.select("fp", F.col("node").alias("b")).join(least, "fp").select("a", "b")
+    near = near_pairs(least.select("fp"), 4)
+    ends = [least.select(F.col("fp").alias(f"f{c}"), F.col("a").alias(c)) for c in ("x", "y")]
+    near = near.join(ends[0], near["a"] == ends[0]["fx"]).join(ends[1], near["b"] == ends[1]["fy"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = _alike(equal.unionAll(near), sets, share, broadcast_rows)
+
+    live = _unsettled(members, found)
+    x, y = live.alias("x"), live.alias("y")
+    pairs = x.join(y, "token").where(F.col("x.component") < F.col("y.component")).where(_may_link("x", "y", share))
+    return found.unionAll(_alike(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), sets, share, broadcast_rows))
+
+
+def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """members with their component over the links found, for tokens that more than one component has."""
+    named = members.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = materialize(named.select("token", "node", "n", "pos", "component"), "named")
+    mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    return materialize(named.join(mixed, "token"), "unsettled")
+
+
+def near_groups(docs: DataFrame, width: int = 5, share: tuple[int, int] = (4, 5), broadcast_rows: int = 200_000, **parameters) -> DataFrame:
     """doc_id, th (a hash of the text) and the smallest doc_id of the row's group of near copies.
 
-    For texts alike by a Jaccard similarity of 0.8 or more of their word shingles. Such texts differ in 15 % of SimHash
-    bits, so 64 bits are too few to tell; here 64 * `words` bits are compared, and links take `most` or fewer differing ones
-    (45 of 256: similarity about 0.75 to 0.8). A pair is found if it agrees on all `key_bits` bits of one of `tables` samples:
-    at a similarity of 0.8 with a chance of 0.92, at 0.85 of 0.98, at 0.9 of 0.999, and again through any common neighbour.
+    Texts are linked where the Jaccard similarity of their sets of word shingles is num/den (share) or more; groups are the
+    components of these links. Shingles are told apart by XXH64, sets by 128 bits.
     """
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "th": pdf["th"], "fp": [wide_fingerprint(t.encode(), width, words) for t in pdf["text"]]})
-
     source = texts(docs).select("doc_id", F.xxhash64("text").alias("th"), lower_az(F.col("text")).alias("text"))
-    rows = materialize(source.mapInPandas(fold, "doc_id long, th long, fp binary"), "wide")
-    classes = materialize(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least")), "classes")
-    linked = components(similar_pairs(classes, words, most, tables, key_bits, hot))
-    named = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("least"))
-    return rows.join(named.select("fp", "component"), "fp").join(least, "component").select("doc_id", "th", "least")
+    made = source.mapInPandas(_sets(width), "doc_id long, th long, key binary, fp long, n long, shingles array<long>")
+    rows = materialize(made.withColumn("node", F.monotonically_increasing_id()), "sets")
+    classes = rows.groupBy("key").agg(F.min("node").alias("first"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least"))
+    named = materialize(rows.select("doc_id", "th", "key", "node").join(classes, "key").select("doc_id", "th", "node", "first", "least"), "classes")
+    repeats = named.where("node <> first").select("node")
+    sets = rows.join(small(repeats, repeats.count(), broadcast_rows), "node", "left_anti").select("node", "fp", "n", "shingles")
+    linked = components(similar_pairs(sets, share, broadcast_rows=broadcast_rows, **parameters)).withColumnRenamed("node", "first")
+    grouped = named.join(linked, "first", "left").withColumn("component", F.coalesce("component", "first"))
+    least = grouped.groupBy("component").agg(F.min("least").alias("group_least"))
+    return grouped.join(least, "component").select("doc_id", "th", F.col("group_least").alias("least"))
 
 
 def deduplicated(docs: DataFrame, broadcast_rows: int = 200_000, **parameters) -> DataFrame:

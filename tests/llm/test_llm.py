@@ -170,6 +170,40 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(6))
 
 
+def near_labels(data):
+    """The smallest id of each row's component of texts alike by a Jaccard similarity of 0.8 of their five-word shingles."""
+    def shingles(t):
+        w = t.lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    sets = [shingles(t) for _, t in data]
+    near = [[j for j, b in enumerate(sets) if not a and not b or 5 * len(a & b) >= 4 * len(a | b) > 0] for a in sets]
+    label = [i for i, _ in data]
+    for _ in data:
+        label = [min(label[j] for j in near[i]) for i in range(len(data))]
+    return sorted((i, x) for (i, _), x in zip(data, label, strict=True))
+
+
+def edited(rng, base, edits):
+    t = list(base)
+    for k in rng.sample(range(len(t)), edits):
+        t[k] = f"x{rng.randrange(10**6)}"
+    return t
+
+
+def test_near_groups_are_those_of_exact_jaccard(spark):
+    rng, texts_ = random.Random(7), []
+    for n in (8, 30, 120, 400):  # pairs on either side of 0.8
+        for _ in range(25):
+            base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+            texts_ += [base, base[: n - rng.randint(0, n // 4)] if rng.random() < 0.5 else edited(rng, base, rng.randint(1, max(1, n // 30)))]
+    line = [f"l{k}" for k in range(30)]  # in many texts
+    texts_ += [line + [f"w{rng.randrange(5000)}" for _ in range(rng.choice((3, 4, 8)))] for _ in range(30)] + [[], []]
+    data = list(enumerate(" ".join(t) for t in texts_))
+    found = simhash.near_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["least"]) for r in found) == near_labels(data)
+
+
 @pytest.mark.parametrize("hot", [3000, 1])
 def test_suffix_dedup(docs, plain, hot):
     length = 40
