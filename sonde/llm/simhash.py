@@ -311,11 +311,12 @@ def _may_link(x: str, y: str, share: tuple[int, int]) -> Column:
     return (num + den) * left >= num * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
-def similar_pairs(sets: DataFrame, share: tuple[int, int], sample: int = 8, common_rows: int = 200_000, broadcast_rows: int = 200_000) -> DataFrame:
+def similar_pairs(sets: DataFrame, share: tuple[int, int], sample: int = 8, common_rows: int = 200_000, broadcast_rows: int = 200_000, hot: int = 20, turns: int = 6) -> DataFrame:
     """(a, b): links between the nodes of sets (node, fp, n, shingles) that keep every component of similar sets whole.
 
     Candidates are named by the SimHash index and by an inverted index of set prefixes, which misses no similar pair;
-    each is verified by its whole sets.
+    each is verified by its whole sets. Where the sets that share a token are more than `hot` on average, by rows, they are
+    first compared with pivots, for `turns` turns at most; then whatever still lies in different components is compared in full.
     """
     spark = sets.sparkSession
     # any order of shingles is right; one that has common shingles last, as a sample shows them, names few pairs
@@ -337,6 +338,17 @@ def similar_pairs(sets: DataFrame, share: tuple[int, int], sample: int = 8, comm
     found = _alike(equal.unionAll(near), sets, share, broadcast_rows)
 
     live = _unsettled(members, found)
+    for turn in range(turns):
+        # a large group of near copies would give a pair for any two of them; compared with a few pivots, it becomes one component
+        rows, pairs = live.groupBy("token").agg(F.count("*").alias("m")).agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.expr("m * m")), F.lit(0))).first()
+        if pairs <= hot * rows:
+            break
+        pivot = F.min_by(F.struct("node", "n", "pos", "component"), F.xxhash64("component", "node", F.lit(turn))).alias("p")
+        y = live.groupBy("token").agg(pivot).select("token", "p.*").alias("y")
+        star = live.alias("x").join(y, "token").where(F.col("x.component") != F.col("y.component")).where(_may_link("x", "y", share))
+        more = _alike(star.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), sets, share, broadcast_rows)
+        found = materialize(found.unionAll(more), "found")
+        live = _unsettled(members, found)
     x, y = live.alias("x"), live.alias("y")
     pairs = x.join(y, "token").where(F.col("x.component") < F.col("y.component")).where(_may_link("x", "y", share))
     return found.unionAll(_alike(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), sets, share, broadcast_rows))

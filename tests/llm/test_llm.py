@@ -204,6 +204,17 @@ def test_near_groups_are_those_of_exact_jaccard(spark):
     assert sorted((r["doc_id"], r["least"]) for r in found) == near_labels(data)
 
 
+@pytest.mark.parametrize("turns", [6, 1])
+def test_hot_near_groups_stay_whole(spark, turns):
+    rng = random.Random(8)
+    line = [f"l{k}" for k in range(60)]
+    texts_ = [edited(rng, line, rng.randint(1, 2)) for _ in range(60)]  # one large group, many of its pairs below 0.8
+    texts_ += [line + [f"w{rng.randrange(5000)}" for _ in range(rng.randint(8, 20))] for _ in range(30)]
+    data = list(enumerate(" ".join(t) for t in texts_))
+    found = simhash.near_groups(spark.createDataFrame(data, "doc_id long, text string"), hot=1, turns=turns).collect()
+    assert sorted((r["doc_id"], r["least"]) for r in found) == near_labels(data)
+
+
 @pytest.mark.parametrize("hot", [3000, 1])
 def test_suffix_dedup(docs, plain, hot):
     length = 40
