@@ -2,7 +2,7 @@
 
 Fingerprints within `most` differing bits agree on at least one of most+1 blocks of bits, so each distinct
 fingerprint goes to most+1 buckets, one for each block value, and every link is found in some bucket; a bucket with
-too many fingerprints is dealt out again by a second block, by the same argument. In a bucket the fingerprints are
+too many fingerprints is dealt out again by blocks of the bits left, by the same argument. In a bucket the fingerprints are
 sorted by Gray rank, which puts those that share bit patterns side by side. Each level of the index joins runs of
 neighbours into one node that holds the bits they share, as a mask and a pattern. A self-join goes down from the top
 with pairs of nodes: shared bits that differ are a lower bound for all pairs below, so whole groups are dropped; shared
@@ -16,6 +16,7 @@ possible id and is returned as null; an empty table gives an empty result; other
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,28 +170,44 @@ def links(fps: np.ndarray, most: int, fan: int = 8, block: int = 1 << 17, pivots
     return [(int(order[x]), int(order[y])) for x, y in forest.links]
 
 
-def _blocks(most: int) -> list[tuple[int, int]]:
-    """(shift, width) of most+1 blocks that cover all bits."""
-    edges = [BITS * i // (most + 1) for i in range(most + 2)]
-    return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]
+def _masks(settled: int, most: int) -> list[int]:
+    """The bits of `settled` with each of most+1 parts of the other bits, as signed longs."""
+    free = [b for b in range(BITS) if not settled >> b & 1]
+    edges = [len(free) * i // (most + 1) for i in range(most + 2)]
+    masks = [settled % 2**BITS | sum(1 << b for b in free[lo:hi]) for lo, hi in zip(edges, edges[1:], strict=False)]
+    return [m - 2**BITS if m >> (BITS - 1) else m for m in masks]
 
 
-def _block_value(fp: Column, shift: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
+def _buckets(classes: DataFrame, most: int, hot: int, splits: int = 2, broadcast_rows: int = 200_000) -> DataFrame:
+    """(fp, bucket): each fingerprint once for each block of bits, a bucket being the fingerprints with the same block value.
 
-
-def _buckets(classes: DataFrame, most: int, hot: int) -> DataFrame:
-    """(fp, bucket): each fingerprint once for each block; buckets of more than `hot` are dealt out by a second block."""
-    blocks = _blocks(most)
-    value = F.array(*[_block_value(F.col("fp"), s, w) for s, w in blocks])
-    dealt = classes.select("fp", value.alias("v")).select("fp", "v", F.posexplode("v").alias("i", "value"))
-    keyed = dealt.select("fp", "v", F.concat_ws(":", "i", "value").alias("bucket"))
-    large = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > hot).select("bucket", F.lit(True).alias("large"))
-    marked = keyed.join(large, "bucket", "left")
-    plain = marked.where("large is null").select("fp", "bucket")
-    again = marked.where("large").select("fp", "bucket", F.posexplode("v").alias("j", "other"))
-    again = again.where(F.col("j") != F.split("bucket", ":")[0].cast("int")).select("fp", F.concat_ws(":", "bucket", "j", "other").alias("bucket"))
-    return plain.unionAll(again)
+    Fingerprints of one bucket within `most` differing bits agree on one of most+1 parts of the bits left, so a bucket of
+    more than `hot` is dealt out by these, and again by what is left then. A bucket still too large after `splits` such
+    steps is cut by hash into parts of about hot / 2, and each two parts are a bucket, which covers all pairs.
+    """
+    masks, out = _masks(0, most), []
+    rows = classes.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("mask"))
+    for step in range(splits + 1):
+        rows = rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+        large = materialize(rows.groupBy("mask", "value").agg(F.count("*").alias("size")).where(F.col("size") > hot), "large")
+        count = large.count()
+        bucket = F.concat_ws(":", "mask", "value")
+        if not count:
+            out.append(rows.select("fp", bucket.alias("bucket")))
+            break
+        marked = rows.join(small(large, count, broadcast_rows), ["mask", "value"], "left")
+        out.append(marked.where("size is null").select("fp", bucket.alias("bucket")))
+        again = marked.where("size is not null")
+        if step < splits:
+            children = {m: _masks(m, most) for m in masks}
+            masks = [c for m in children.values() for c in m]
+            parts = classes.sparkSession.createDataFrame([(m, c) for m, v in children.items() for c in v], "mask long, child long")
+            rows = materialize(again.join(F.broadcast(parts), "mask").select("fp", F.col("child").alias("mask")), "again")
+        else:
+            parts = F.ceil(2 * F.col("size") / max(hot, 2)).cast("int")
+            cut = again.withColumn("own", F.pmod(F.xxhash64("fp"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+            out.append(cut.select("fp", F.concat_ws(":", bucket, F.least("own", "other"), F.greatest("own", "other")).alias("bucket")))
+    return functools.reduce(DataFrame.unionAll, out)
 
 
 def _join_buckets(most: int, words: int):

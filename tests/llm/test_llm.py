@@ -147,6 +147,29 @@ def test_simhash(docs, plain):
     assert Counter(map(tuple, simhash.near_dedup(docs, hot=1).collect())) == wanted  # all buckets dealt out again
 
 
+def test_hot_buckets_lose_no_link(spark):
+    ship(spark)
+    base = 0x0123456789ABCDEF
+    far = base ^ (1 << 12 | 1 << 25 | 1 << 38 | 1 << 51)  # agrees with base in the first block only
+    other = [base ^ (int(x) << 12) for x in np.random.default_rng(9).integers(0, 2**51, 40)]  # fill that block's bucket
+    fps = [base, far, *other]
+    assert min(bin(a ^ b).count("1") for a in other for b in fps if a != b) > 4
+    found = simhash.near_pairs(spark.createDataFrame([(f,) for f in fps], "fp long"), 4, hot=10).collect()
+    assert [{r["a"], r["b"]} for r in found] and all({r["a"], r["b"]} == {base, far} for r in found)
+
+
+@pytest.mark.parametrize("splits", [0, 2])
+def test_buckets_are_bounded_and_cover(spark, splits):
+    rng = np.random.default_rng(10)
+    fps = sorted({int(x) for x in rng.integers(0, 2**24, 300)})  # the upper blocks are all zero
+    dealt = defaultdict(set)
+    for r in simhash._buckets(spark.createDataFrame([(f,) for f in fps], "fp long"), 4, 40, splits).collect():
+        dealt[r["bucket"]].add(r["fp"])
+    near = {(a, b) for a, b in itertools.combinations(fps, 2) if bin(a ^ b).count("1") <= 4}
+    together = {p for v in dealt.values() for p in itertools.combinations(sorted(v), 2)}
+    assert near and near <= together and max(map(len, dealt.values())) <= 80
+
+
 def test_gray_index_finds_every_component():
     rng = np.random.default_rng(4)
     for _ in range(5):
