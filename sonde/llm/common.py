@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sonde.plans.lineage import materialize
+
 #: ASCII white space of the contracts; words are the runs between.
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,3 +31,16 @@ def id_hash(c: Column) -> Column:
 def small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """df marked for broadcast if it has few rows; more rows are joined by shuffling."""
     return F.broadcast(df) if rows <= most else df
+
+
+def one_of_each(docs: DataFrame, marks: DataFrame, on: Column, broadcast_rows: int) -> DataFrame:
+    """docs without the rows that marks (joined by `on`; __id, __h, __kept, few) does not keep; of repeated ones it keeps, the least row."""
+    marks = materialize(marks, "marks")
+    repeats = marks.where("__kept").count()
+    few = small(marks, marks.count(), broadcast_rows)
+    if not repeats:
+        return docs.join(few, on, "left_anti")
+    row = F.struct(*[docs[c] for c in docs.columns])
+    named = docs.join(few, on, "left").select(row.alias("row"), "__id", "__h", "__kept")
+    single = named.where(F.col("__kept").isNull()).select("row")
+    return single.unionAll(named.where("__kept").groupBy("__id", "__h").agg(F.min("row").alias("row")).select("row")).select("row.*")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonde.llm.common import WS, small, texts
+from sonde.llm.common import WS, one_of_each, texts
 from sonde.plans.lineage import materialize
 
 NO_ID = 2**63 - 1
@@ -183,9 +183,8 @@ def exact_dedup(docs: DataFrame, digest_bits: int = 64) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
-    """docs without the copies: of equal texts the row with the smallest doc_id stays (of repeated rows, all that have it)."""
-    gone = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha")).distinct()
-    gone = materialize(gone, "copies")
+    """docs without the copies: of equal texts one row with the smallest doc_id stays, the least where several have it."""
+    found = exact_dedup(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__h")).agg(F.first("kept").alias("__kept"), F.count("*").alias("n"))
+    marks = found.where(~F.col("__kept") | (F.col("n") > 1)).drop("n")
     sha = F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), WS, " "), 256)
-    on = docs["doc_id"].eqNullSafe(F.col("__gone")) & (sha == F.col("__sha"))
-    return docs.join(small(gone, gone.count(), broadcast_rows), on, "left_anti")
+    return one_of_each(docs, marks, docs["doc_id"].eqNullSafe(F.col("__id")) & (sha == F.col("__h")), broadcast_rows)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonde.llm.common import lower_az, small, texts
+from sonde.llm.common import lower_az, one_of_each, small, texts
 from sonde.plans.components import components
 from sonde.plans.lineage import materialize
 
@@ -380,7 +380,7 @@ def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, width: int = 5, share: tuple[int, int] = (4, 5), broadcast_rows: int = 200_000, **parameters) -> DataFrame:
-    """doc_id, th (a hash of the text) and the smallest doc_id of the row's group of near copies.
+    """doc_id, th (a hash of the text), component (the row's group of near copies) and the smallest doc_id of the group.
 
     Texts are linked where the Jaccard similarity of their sets of word shingles is num/den (share) or more; groups are the
     components of these links. Shingles are told apart by XXH64, sets by 128 bits.
@@ -395,12 +395,18 @@ def near_groups(docs: DataFrame, width: int = 5, share: tuple[int, int] = (4, 5)
     linked = components(similar_pairs(sets, share, broadcast_rows=broadcast_rows, **parameters)).withColumnRenamed("node", "first")
     grouped = named.join(linked, "first", "left").withColumn("component", F.coalesce("component", "first"))
     least = grouped.groupBy("component").agg(F.min("least").alias("group_least"))
-    return grouped.join(least, "component").select("doc_id", "th", F.col("group_least").alias("least"))
+    return grouped.join(least, "component").select("doc_id", "th", "component", F.col("group_least").alias("least"))
 
 
 def deduplicated(docs: DataFrame, broadcast_rows: int = 200_000, **parameters) -> DataFrame:
-    """docs with one row of each group of near copies: the one with the smallest doc_id. Wordless texts are one group."""
-    found = near_groups(docs, **parameters)
-    gone = materialize(found.where(F.coalesce("doc_id", F.lit(NO_ID)) != F.col("least")).select(F.col("doc_id").alias("__gone"), F.col("th").alias("__th")), "gone")
-    on = docs["doc_id"].eqNullSafe(F.col("__gone")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__th"))
-    return docs.join(small(gone, gone.count(), broadcast_rows), on, "left_anti")
+    """docs with one row of each group of near copies: the one with the smallest doc_id. Wordless texts are one group.
+
+    Of several texts with that id the one with the smallest hash stays, of repeated rows the least.
+    """
+    found = near_groups(docs, **parameters).groupBy("component", F.col("doc_id").alias("__id"), F.col("th").alias("__h")).agg(F.count("*").alias("n"))
+    found = materialize(found, "members")
+    mine = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__h").alias("h"))
+    first = found.groupBy("component").agg(F.min(mine).alias("first"), F.sum("n").alias("rows")).where("rows > 1")
+    marks = found.join(first, "component").withColumn("__kept", mine.eqNullSafe(F.col("first"))).where(~F.col("__kept") | (F.col("n") > 1))
+    on = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__h"))
+    return one_of_each(docs, marks.select("__id", "__h", "__kept"), on, broadcast_rows)

@@ -238,6 +238,23 @@ def test_hot_near_groups_stay_whole(spark, turns):
     assert sorted((r["doc_id"], r["least"]) for r in found) == near_labels(data)
 
 
+def test_repeated_rows_stay_once(spark):
+    ship(spark)
+    rng = random.Random(11)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(90))
+    once, twice, nameless = text(), text(), text()
+    near = twice.replace(" ", "  x ", 1)
+    data = [(1, once), (2, twice), (2, twice), (None, nameless), (None, nameless), (2, near)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    for stage in (exact_dedup.deduplicated, simhash.deduplicated):
+        found = Counter((r["doc_id"], r["text"]) for r in stage(docs).collect())
+        assert found[(1, once)] == found[(None, nameless)] == 1
+        assert found[(2, twice)] == 1 or stage is simhash.deduplicated
+        assert sum(n for (i, _), n in found.items() if i == 2) == (2 if stage is exact_dedup.deduplicated else 1)
+    left = suffix_dedup.without_repeats(exact_dedup.deduplicated(docs.where(docs["text"] != near)))
+    assert Counter(tuple(r) for r in left.collect()) == Counter([(1, once), (2, twice), (None, nameless)])
+
+
 @pytest.mark.parametrize("hot", [3000, 1])
 def test_suffix_dedup(docs, plain, hot):
     length = 40
