@@ -16,7 +16,7 @@ not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonde.llm.common import WORD, WS, lower_az, small, texts
@@ -63,17 +63,20 @@ def base_rules(docs: DataFrame) -> DataFrame:
     )
 
 
+def _squeezed(text: Column) -> Column:
+    return F.regexp_replace(F.translate(lower_az(text), "123456789", "000000000"), r"[\x20\x09\x0B-\x0D]+", " ")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """docs with lines: the hash and the number of words of each normalised line that is not blank."""
-    squeezed = F.regexp_replace(F.translate(lower_az(F.col("text")), "123456789", "000000000"), r"[\x20\x09\x0B-\x0D]+", " ")
-    held = F.filter(F.transform(F.split(squeezed, "\n"), lambda line: F.btrim(line)), lambda line: line != "")
+    held = F.filter(F.transform(F.split(_squeezed(F.col("text")), "\n"), lambda line: F.btrim(line)), lambda line: line != "")
     words = lambda line: F.length(line) - F.length(F.translate(line, " ", "")) + 1
     hashed = F.transform(held, lambda line: F.struct(F.xxhash64(line).alias("lh"), words(line).alias("words")))
     return docs.select("did", "th", "host", hashed.alias("lines"))
 
 
-def _judged(docs: DataFrame, limit: int = 100, share: float = 0.02, min_words: int = 10, min_left: float = 0.1) -> DataFrame:
-    """The result of quality with th, the hash of the text."""
+def _judged(docs: DataFrame, limit: int = 100, share: float = 0.02, min_words: int = 10, min_left: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """The result of quality with th, the hash of the text; and the boilerplate lines of documents (did, th, host, at, lh, words)."""
     keyed = texts(docs, "source").select(
         "doc_id",
         "text",
@@ -92,35 +95,49 @@ def _judged(docs: DataFrame, limit: int = 100, share: float = 0.02, min_words: i
     texts_of = once.join(above, ["host", "lh"], "left_semi").select("host", "lh", "th").distinct()
     per_line = texts_of.groupBy("host", "lh").agg(F.count("*").alias("n"))
     boiler = materialize(per_line.join(held, "host").where(F.col("n") > most).select("host", "lh"), "boilerplate")
-    taken = (
+    hits = (
         lines.select("did", "th", "host", F.posexplode("lines").alias("at", "line"))
         .select("did", "th", "host", "at", "line.lh", "line.words")
         .join(boiler, ["host", "lh"], "left_semi")
-        .groupBy("did", "th", "at")
-        .agg(F.max("words").alias("words"))
-        .groupBy("did", "th")
-        .agg(F.sum("words").alias("removed"))
     )
+    per_place = hits.groupBy("did", "th", "at").agg(F.max("words").alias("words"))
+    taken = per_place.groupBy("did", "th").agg(F.sum("words").alias("removed"))
     rules = base_rules(keyed).drop("text", "host")
     left = F.col("n_words") - F.col("n_line_words_removed")
     depleted = (F.col("n_line_words_removed") > 0) & ((left < min_words) | (left < F.col("n_words") * min_left))
-    return (
+    verdict = (
         rules.join(taken, ["did", "th"], "left")
         .withColumn("n_line_words_removed", F.coalesce("removed", F.lit(0)).cast("long"))
         .withColumn("kept", ~F.col("base_failed") & ~depleted)
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_line_words_removed", "th")
     )
+    return verdict, hits
 
 
 def quality(docs: DataFrame, **parameters) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_line_words_removed."""
-    return _judged(docs, **parameters).drop("th")
+    return _judged(docs, **parameters)[0].drop("th")
 
 
 def accepted(docs: DataFrame, broadcast_rows: int = 200_000, **parameters) -> DataFrame:
-    """docs without the rejected ones, matched by doc_id and text."""
-    verdict = _judged(docs, **parameters)
+    """docs without the rejected ones, matched by doc_id and text; the others without their boilerplate lines, n_chars counted anew."""
+    verdict, hits = _judged(docs, **parameters)
     gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("th").alias("__th")).distinct()
     gone = materialize(gone, "rejected")
-    on = docs["doc_id"].eqNullSafe(F.col("__gone")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__th"))
-    return docs.join(small(gone, gone.count(), broadcast_rows), on, "left_anti")
+    text = F.coalesce(docs["text"], F.lit(""))
+    on = docs["doc_id"].eqNullSafe(F.col("__gone")) & (F.xxhash64(text) == F.col("__th"))
+    left = docs.join(small(gone, gone.count(), broadcast_rows), on, "left_anti")
+    # a document's own lines only, so the set is no larger than its text
+    bad = hits.groupBy(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("host").alias("__host")).agg(F.collect_set("lh").alias("__bad"))
+    bad = materialize(bad, "boilerplate-lines")
+    rows = bad.count()
+    if not rows:
+        return left
+    named = left.withColumns({"__did": F.coalesce("doc_id", F.lit(-(2**63))), "__th": F.xxhash64(F.coalesce("text", F.lit(""))), "__host": F.xxhash64("source")})
+    named = named.join(small(bad, rows, broadcast_rows), ["__did", "__th", "__host"], "left")
+    kept_lines = F.filter(F.split("text", "\n"), lambda line: ~F.array_contains("__bad", F.xxhash64(F.btrim(_squeezed(line)))))
+    touched = F.col("__bad").isNotNull()
+    less = named.withColumn("text", F.when(touched, F.array_join(kept_lines, "\n")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        less = less.withColumn("n_chars", F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return less.select(*docs.columns)

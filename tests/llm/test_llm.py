@@ -90,6 +90,14 @@ def test_quality_rejects_depleted(spark):
     assert found[100]["kept"] and found[100]["n_line_words_removed"] == 0 and not found[101]["kept"] and found[101]["base_failed"]
 
 
+def test_accepted_texts_lose_boilerplate_lines(spark):
+    line, own = "Subscribe to our  letter 12 now", [" ".join("abcdef"[i] + "ghijklmnopqrstuvwxyz"[k] for k in range(20)) for i in range(6)]  # digits are masked
+    data = [(i, f"{own[i]}\n{line.replace('12', str(10 + i))}\n\nend {own[i][::-1]}", "h", 7) for i in range(5)] + [(5, own[5], "h", 7), (6, f"{own[0]}\n{line}", "other", 7)]
+    found = quality.accepted(spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long"), limit=2, share=0.0).collect()
+    wanted = [f"{own[i]}\n\nend {own[i][::-1]}" for i in range(5)]
+    assert sorted(map(tuple, found)) == [(i, t, "h", len(t)) for i, t in enumerate(wanted)] + data[5:]
+
+
 def test_sharding(docs, plain, nothing):
     found = sharding.shard(docs, shards=5, coarse=4).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"], r["size"], r["text_crc32"]) for r in found if r["doc_id"] is not None) == sorted((False, i, len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in plain if i is not None)
