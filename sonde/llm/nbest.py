@@ -172,20 +172,36 @@ class Encoder:
             out[u] = (found[0][0], found[1][0] if len(found) > 1 else -np.inf, to_ids(self.pieces, u, np.array(found[0][1])))
         return out
 
-    def nbest(self, texts_: list[str]) -> Iterator[tuple[np.ndarray, list[float]]]:
+    def segmentations(self, texts_: list[str]) -> Iterator[list[tuple[float, np.ndarray]]]:
+        """For each text its n best (score, ids), best first."""
         split = [UNIT.findall(marked(t)) for t in texts_]
         best = self.best(list({u for units in split for u in units}))
         for units in split:
             known = [best[u] for u in units]
             total = sum(k[0] for k in known)
-            ids = np.array([i for k in known for i in k[2]], dtype=np.int64)
             gaps = heapq.nsmallest(self.n - 1, range(len(units)), key=lambda i: known[i][0] - known[i][1])
-            parts = [[(s - known[i][0], p) for s, p in self._alternatives(units[i])] for i in gaps]
-            yield ids, [total + gap for gap, _ in merge(parts, self.n)]
+            alternatives = [self._by_ids(units[i], known[i]) for i in gaps]
+            parts = [[(s - known[i][0], ids) for s, ids in found] for i, found in zip(gaps, alternatives, strict=True)]
+            out = []
+            for gap, chosen in merge(parts, self.n):
+                ids = [k[2] for k in known]
+                for i, found, c in zip(gaps, alternatives, chosen, strict=True):
+                    ids[i] = found[c][1]
+                out.append((total + gap, np.array([i for unit in ids for i in unit], dtype=np.int64)))
+            yield out
+
+    def _by_ids(self, unit: str, known: tuple[float, float, list[int]]) -> list[tuple[float, list[int]]]:
+        """A unit's alternatives as ids, that of Viterbi first: the search may have an equal one before it."""
+        found = [(s, to_ids(self.pieces, unit, np.array(p, dtype=np.int64))) for s, p in self._alternatives(unit)]
+        return [(known[0], known[2]), *(x for x in found if x[1] != known[2])][: self.n]
+
+    def nbest(self, texts_: list[str]) -> Iterator[tuple[np.ndarray, list[float]]]:
+        for found in self.segmentations(texts_):
+            yield found[0][1], [score for score, _ in found]
 
 
 def encode(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of the best ids, little-endian uint32), scores (best first), decoded (exact round trip)."""
+    """doc_id, n_pieces, ids_crc32 (of the best ids, little-endian uint32), scores (best first), decoded (exact round trip), ids (of each of the n best)."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(model_path, n)
@@ -193,15 +209,29 @@ def encode(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
         for pdf in batches:
             for at in range(0, len(pdf), 500):
                 part = pdf.iloc[at : at + 500]
-                found = list(encoder.nbest(part["text"].tolist()))
+                found = list(encoder.segmentations(part["text"].tolist()))
+                best = [segmentations[0][1] for segmentations in found]
                 yield pd.DataFrame(
                     {
-                        "doc_id": part["doc_id"].astype("Int64"),
-                        "n_pieces": [len(ids) for ids, _ in found],
-                        "ids_crc32": [zlib.crc32(ids.astype("<u4").tobytes()) for ids, _ in found],
-                        "scores": [scores for _, scores in found],
-                        "decoded": [decoder(ids) == text.replace(MARK, " ") for (ids, _), text in zip(found, part["text"], strict=True)],
+                        "doc_id": part["doc_id"].astype("Int64").to_numpy(),
+                        "n_pieces": [len(ids) for ids in best],
+                        "ids_crc32": [zlib.crc32(ids.astype("<u4").tobytes()) for ids in best],
+                        "scores": [[score for score, _ in segmentations] for segmentations in found],
+                        "decoded": [decoder(ids) == text.replace(MARK, " ") for ids, text in zip(best, part["text"], strict=True)],
+                        "ids": [[ids.astype(np.int32) for _, ids in segmentations] for segmentations in found],
                     }
                 )
 
-    return texts(docs).mapInPandas(fold, "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, decoded boolean")
+    return texts(docs).mapInPandas(fold, "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, decoded boolean, ids array<array<int>>")
+
+
+def decode(encoded: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, texts: what each segmentation in ids decodes to."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decoder = Decoder(Pieces(model_path))
+        for pdf in batches:
+            texts_ = [[decoder(np.asarray(ids, dtype=np.int64)) for ids in found] for found in pdf["ids"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "texts": texts_})
+
+    return encoded.select("doc_id", "ids").mapInPandas(fold, "doc_id long, texts array<string>")

@@ -144,7 +144,7 @@ def tokens(path: str, ranks_path: str | None, pattern: str | None) -> Tokens:
 
 
 def _pack(files: tuple, window: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     end = np.zeros(1, dtype="<u4").tobytes()
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,7 +154,7 @@ def _pack(files: tuple, window: int) -> Callable[[Iterator[pd.DataFrame]], Itera
         def rows(number: int, pieces: list[tuple]) -> Iterator[tuple]:
             offset = 0
             for doc, start, length, ids, total in pieces:
-                yield doc, start, length, zlib.crc32(ids), total, base + number, offset
+                yield doc, start, length, zlib.crc32(ids), total, base + number, offset, np.frombuffer(ids, dtype="<u4").astype(np.int32)
                 offset += length
 
         for pdf in batches:
@@ -182,16 +182,16 @@ def _pack(files: tuple, window: int) -> Callable[[Iterator[pd.DataFrame]], Itera
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     pdf = pd.DataFrame(rows, columns=names)
-    return pdf.astype({"doc_id": "Int64"} | {n: "int64" for n in names[1:]})
+    return pdf.astype({"doc_id": "Int64"} | {n: "int64" for n in names[1:-1]})
 
 
 def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, window: int = WINDOW) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (the piece's tokens).
 
     A document's tokens are its text's ids and the end id 0; each lies in exactly one piece. Sequences are padded to
     `window`, save those whose fill is a power of two. ranks_path and pattern: the same vocabulary as ranks, if there is one.
     """
     return texts(docs).mapInPandas(
         _pack((tokenizer_path, ranks_path, pattern), window),
-        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
+        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>",
     )

@@ -24,7 +24,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nbest.encode(load(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+    return nbest.encode(load(spark, sf_dir, "documents"), public_tokenizers.path(PIECES)).drop("ids")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(load(spark, sf_dir, "documents"), *BPE)
+    return packing.pack(load(spark, sf_dir, "documents"), *BPE).drop("ids")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -311,6 +311,26 @@ def test_nbest_is_the_best():
         assert nbest.Decoder(encoder.pieces)(ids) == text
 
 
+def test_every_segmentation_decodes(spark, docs, plain):
+    ship(spark)
+    pieces = Pieces(PIECES)
+    score = dict(zip(pieces.ids.tolist(), pieces.scores.tolist(), strict=True))
+    encoded = nbest.encode(docs, PIECES)
+    rows_ = encoded.collect()
+    for r in rows_:
+        assert len(r["ids"]) == len(r["scores"]) == len(set(map(tuple, r["ids"])))
+        assert zlib.crc32(np.array(r["ids"][0], dtype="<u4").tobytes()) == r["ids_crc32"]
+        assert all(np.isclose(sum(score[i] for i in ids), s) for ids, s in zip(r["ids"], r["scores"], strict=True) if all(i in score for i in ids))
+    assert any(len(r["ids"]) == 4 for r in rows_)
+    decoded = nbest.decode(encoded, PIECES).collect()
+    assert Counter((r["doc_id"], t) for r in decoded for t in set(r["texts"])) == Counter(plain)
+
+
+def test_packed_pieces_hold_their_tokens(docs):
+    found = packing.pack(docs, *queries.BPE, window=64).collect()
+    assert all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) == r["ids_crc32"] for r in found)
+
+
 def test_forward_sums_all_segmentations():
     pieces = Pieces(PIECES)
     prob = np.append(np.exp(pieces.scores), language_id.UNKNOWN)
