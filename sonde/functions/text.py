@@ -11,7 +11,7 @@ URL = r"(?i)(?:https?://|t\.me/)\S+"
 WALLET = r"\bT[1-9A-HJ-NP-Za-km-z]{33}\b|\b0x[a-fA-F0-9]{40}\b"
 HANDLE = r"@[A-Za-z0-9_]+"
 #: Look-alike letters and what they are folded to.
-LOOK_ALIKE, FOLDED = "авекмнорстухіјѕΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abekmhopctyxijsABEZHIKMNOPTYX"
+LOOK_ALIKE, FOLDED = "аеорсхуіјѕАВЕКМНОРСТХοαρνΟΑΡ", "aeopcxyijsABEKMHOPCTXoapvOAP"
 
 
 def tokens(c: Column) -> Column:

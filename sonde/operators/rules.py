@@ -15,30 +15,133 @@ SIGNALS = (
     ("deface_banner", 3, r"(?i)(?:\b(?:hacked|h4cked|0wned|owned|pwned|pwn3d|defaced|rooted|breached)\s+by\b|\bgreet[sz]\b|\bmass[\s-]?deface\b|\bdeface(?:d|ment)?\s+by\b|\bhacked\s+list\b)"),
     ("onion_url", 3, r"(?i)\b[a-z2-7]{16,56}\.onion\b"),
     ("cred_combo", 3, r"(?i)[\w.+-]{1,64}@[\w-]{1,63}\.[a-z]{2,24}:\S{3,64}"),
+    ("compromise_confirmed", 3, r"(?i)(?:\bshell\s+uploaded\b|\buploaded\s+(?:a\s+)?shell\b|\bbackdoor\s+(?:installed|deployed|planted|up)\b|\bgot\s+(?:root|shell)\b|\baccess\s+(?:gained|confirmed|granted)\b|\bsuccessfully\s+(?:hacked|breached|compromised|defaced|pwned|breaked)\b)"),
     ("check_host", 3, r"(?i)\bcheck-host\.net/check-report/\w+"),
+    ("ddos_command", 3, r"(?im)(?:^|\s)/(?:attack|flood|ddos|dstat|stress|hit|scan)\s+(?:https?://|\d{1,3}(?:\.\d{1,3}){3}|[a-z0-9-]+\.[a-z]{2,})\S*"),
     ("crew_tag_cluster", 2, r"(?i)#[a-z0-9_]{2,30}\b[\s,·|]{0,8}#[a-z0-9_]{2,30}\b"),
     ("leak_label", 2, r"(?i)\b(?:database|base\s+de\s+datos|db\s?dump|dbs|full\s?dump|leaked|data\s?breach|breach|registros|combo\s?list)\b"),
     ("cloud_pass", 2, r"(?i)\bpass\w*\s*[-:=]\s*(?:@|t\.me/)[a-z0-9_]{3,32}\b"),
+    ("cred_label", 2, r"(?i)\b(?:user(?:name)?|usuario|login|логин)\b\s*[:=].{0,60}?\b(?:pw|pass(?:word)?|пароль|clave)\b\s*[:=]"),
     ("target_dump_file", 2, r"(?i)\b[a-z0-9-]+(?:\.[a-z0-9-]+)+\.(?:zip|rar|7z|sql|tar\.gz)\b"),
+    ("leak_host", 2, r"(?i)\b(?:pastebin\.com|ghostbin\.\w+|anonfiles\.\w+|mega\.nz|gofile\.io|privatebin\.\w+|dpaste\.\w+|transfer\.sh|file\.io|breachforums\.\w+|breached\.su|darkforums\.\w+|leakbase\.\w+|nulled\.\w+|cracked\.\w+|exposed\.vc|biteblob\.\w+)\b"),
     ("hash_list", 2, r"(?i)\b[a-f0-9]{32,64}\b(?:[\s,;|]+[a-f0-9]{32,64}\b){2,}"),
+    ("sale_marker", 2, r"(?i)(?:\b(?:wts|wtb|for\s?sale|selling|sold|vendo|продам)\b|-\s?sold\s?-|\bprice\s*[:=])"),
+    ("access_material", 2, r"(?i)\b(?:webshell|web\s?shell|rce|reverse\s?shell|shell\s?access|rdp|smtp|cpanel|(?:root|admin|full)\s?access|c99|r57|wso)\b"),
+    (
+        "tool_sale",
+        2,
+        r"(?i)(?:booter|stress?er|wormgpt|scam\s?page|scampage"
+        r"|\bkeylogger\b|\bbotnet\b|\botp\s?bot\b|\bstealer\s?(?:builder|source)\b|\bloader\s?builder\b"
+        r"|\bcrypter\b[^\n]{0,40}?\b(?:sell\w*|for\s?sale|fud|cracked|price|rent|sub\w*|stock|promo|interested|offer\w*)\b"
+        r"|\b(?:sell\w*|for\s?sale|fud|cracked|price|stock|promo|interested|offer\w*)\b[^\n]{0,40}?\bcrypter\b"
+        r"|\b(?:dd[o0]s|dstat|l7|l4|layer\s?[47])\b[^\n]{0,45}?\b(?:script|setup|service|panel|method|rps|plan|subscription|for\s?sale|selling|sell|buy|purchase|rent|cloudflare)\b"
+        r"|\b(?:for\s?sale|selling|sell|buy|purchase|updated)\b[^\n]{0,45}?\b(?:dd[o0]s|l7|l4)\b"
+        r"|\b(?:selling|for\s?sale|jual|rent|buy)\b[^\n]{0,45}?\b(?:script|software|tool|method|checker|scanner|builder|source|course|config)\b"
+        r"|\bservice\s?drop\b|\bcnc\s?panel\b|\bwallet\s?scanner\b|\baccount\s?recovery\b"
+        r"|\bbuild\s?your\s?own\b[^\n]{0,30}?\b(?:cnc|api|panel|setup|booter|stress?er)\b)",
+    ),
+    (
+        "telecom_abuse",
+        2,
+        r"(?i)(?:\b(?:cid|caller[\s-]?id)\s?spoof\w*|\bspoof(?:ed|ing)?\b[^\n]{0,20}?\b(?:call|caller|cid|number)\b"
+        r"|\bunlimited\s+spoofing\b|\bspoofing\s+power\b"
+        r"|\b(?:voip|sip)\b[^\n]{0,20}?\b(?:trunk|setup|route|provider|gateway|panel|dialer|dial|access)\w*"
+        r"|\bbulk\s?sms\b|\bsms\s?(?:sender|blast|route|gateway|marketing|deliver\w*|spam)\b"
+        r"|\bmass\s?(?:sms|text)\b|\bsender\s?id\b|\bsendgrid\b|\bweb\s?mailer\b|\bmass\s?mail\w*"
+        r"|\bsmtp\s?(?:sender|blast|cracked|combo|inbox|spam)\b)",
+    ),
+    ("multi_target", 2, r"(?is)(?:(?:https?://\S+\s+){2}https?://\S+)|(?:(?:(?:\d{1,3}\.){3}\d{1,3})\D*){3}"),
+    (
+        "stealer_logs",
+        2,
+        r"(?i)(?:\b(?:stealer|redline|lumma|raccoon|vidar|risepro|stealc|meta\s?stealer)\b"
+        r"|\bl0g[s$]|\bfresh\s?(?:logs?|material|clouds?)\b|\bcloud\s?logs?\b|\buhq\b|\bu\.?l\.?p\b|\b\d[\d.,]*\s?lines\b"
+        r"|(?is:\blogs?\b.{0,30}?\b\d[\d,]*\s*(?:pcs|pieces|pzs)\b)|\burl[:\s|]+(?:log|user|mail)[:\s|]+pass\b)",
+    ),
+    ("pii_schema", 2, r"(?i)(?:\b(?:firstname|lastname|middlename|passport|passexpiry|nationality|dob|emailaddress|primary_phone|second_phone|zip_code|marital|jobtitle|national_id|ssn|cardnumber|cvv)\b[\s,|]+){3,}"),
     ("session_id", 2, r"(?i)\b05[a-f0-9]{64}\b"),
+    ("institutional_target", 2, r"(?i)\b[a-z0-9.-]+\.(?:gov|mil|int|edu|(?:gov|gob|gouv|go|mil|ac|edu)\.[a-z]{2})\b"),
     ("cve", 1, r"(?i)\bCVE-\d{4}-\d{4,7}\b"),
     ("btc_addr", 1, r"\b(?:bc1[a-z0-9]{25,59}|[13][a-km-zA-HJ-NP-Z1-9]{25,34})\b"),
     ("eth_addr", 1, r"(?i)\b0x[a-f0-9]{40}\b"),
     ("ipv4", 1, r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"),
     ("tg_target", 1, r"(?i)(?:\bt\.me/|@)[a-z0-9_]{4,32}\b"),
+    ("record_count", 1, r"(?i)\b\d[\d.,]*\s?(?:kk|k|m|mil|mill?ion|millones|млн|records|rows|lines|entries)\b"),
     ("dm_contact", 1, r"(?i)\bdm\s+@?[a-z0-9_]{3,32}\b"),
 )
+#: What a signal says about a message.
+SIGNAL_LABELS = {
+    "deface_banner": "defacement",
+    "ddos_command": "ddos_attack",
+    "check_host": "ddos_attack",
+    "compromise_confirmed": "intrusion",
+    "multi_target": "ddos_attack",
+    "leak_host": "breach_dump",
+    "leak_label": "breach_dump",
+    "target_dump_file": "breach_dump",
+    "pii_schema": "breach_dump",
+    "hash_list": "credentials",
+    "cred_combo": "credentials",
+    "cred_label": "credentials",
+    "onion_url": "breach_dump",
+    "stealer_logs": "stealer_logs",
+    "cloud_pass": "stealer_logs",
+    "access_material": "iab_corporate",
+    "tool_sale": "crimeware_tooling",
+    "telecom_abuse": "telecom_abuse",
+}
+#: One of these, in lower case, stands in every text on which the pattern fires; a look for them is far cheaper than the
+#: pattern. Signals that are not named have no such parts.
+NEEDS = {
+    "deface_banner": ("ed", "pwn3d", "greet", "deface"),
+    "onion_url": (".onion",),
+    "cred_combo": ("@",),
+    "compromise_confirmed": ("shell", "backdoor", "got", "access", "success"),
+    "check_host": ("check-host.net",),
+    "ddos_command": ("/attack", "/flood", "/ddos", "/dstat", "/stress", "/hit", "/scan"),
+    "crew_tag_cluster": ("#",),
+    "leak_label": ("base", "dump", "dbs", "leak", "breach", "registros", "combo"),
+    "cloud_pass": ("pass",),
+    "cred_label": ("pw", "pass", "пароль", "clave"),
+    "target_dump_file": (".zip", ".rar", ".7z", ".sql", ".tar.gz"),
+    "leak_host": (".",),
+    "sale_marker": ("wts", "wtb", "sale", "selling", "sold", "vendo", "продам", "price"),
+    "access_material": ("shell", "rce", "rdp", "smtp", "cpanel", "access", "c99", "r57", "wso"),
+    "telecom_abuse": ("spoof", "voip", "sip", "sms", "mass", "sender", "sendgrid", "mail", "smtp"),
+    "pii_schema": ("name", "pass", "national", "dob", "email", "phone", "zip_code", "marital", "jobtitle", "ssn", "cardnumber", "cvv"),
+    "session_id": ("05",),
+    "institutional_target": (".gov", ".mil", ".int", ".edu", ".gob", ".gouv", ".go", ".ac"),
+    "cve": ("cve-",),
+    "eth_addr": ("0x",),
+    "ipv4": (".",),
+    "tg_target": ("t.me/", "@"),
+    "dm_contact": ("dm",),
+}
 ADJUDICATE = 3
 
 
+def fires(text: Column, name: str, pattern: str) -> Column:
+    """Whether a signal's pattern occurs; where it needs certain parts, these are looked for first."""
+    hit = F.regexp_like(text, F.lit(pattern))
+    if name not in NEEDS:
+        return hit
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(part)) for part in NEEDS[name]]) & hit
+
+
 def weighted(text: Column, signals=SIGNALS) -> tuple[Column, Column]:
-    """(sum of the weights of the signals that fire, their names in order)."""
-    hits = [(n, w, F.regexp_like(text, F.lit(p))) for n, w, p in signals]
+    """(sum of the weights of the signals that fire, their names in order); text with look-alike letters folded."""
+    hits = [(n, w, fires(text, n, p)) for n, w, p in signals]
     score = reduce(lambda a, b: a + b, [F.when(hit, w).otherwise(0) for _, w, hit in hits])
     return score, F.array_compact(F.array(*[F.when(hit, n) for n, _, hit in hits]))
 
 
+def signal_labels(names: Column) -> Column:
+    """The distinct labels of fired signals, in order of the alphabet."""
+    table = F.create_map(*[F.lit(x) for pair in SIGNAL_LABELS.items() for x in pair])
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(names, lambda n: F.try_element_at(table, n)))))
+
+
 def platt(logit: Column, a: float, b: float) -> Column:
     return 1 / (1 + F.exp(-(logit * a + b)))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from sonde.functions import text as tx
 from sonde.functions import vectorised as vx
 from sonde.operators import lexicon
+from sonde.plans.lineage import materialize
 from sonde.queries import query
 from sonde.sources.tables import load
 
@@ -35,13 +36,15 @@ SELECT source, term, rank, tfidf FROM (SELECT *, row_number() OVER (PARTITION BY
 )
 def tfidf_terms(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("source", "doc_id", tx.tokens(F.col("text")).alias("w"))
+    # texts are split once: a term's rows by source carry its uses and its documents, and all else is sums over them
     per_doc = docs.select("source", "doc_id", F.explode("w").alias("term")).groupBy("source", "doc_id", "term").agg(F.count("*").alias("n"))
-    tf = per_doc.groupBy("source", "term").agg(F.sum("n").alias("n"))
+    tf = per_doc.groupBy("source", "term").agg(F.sum("n").alias("n"), F.count("*").alias("docs_with"))
+    tf = materialize(tf, "term-counts")
     total = tf.groupBy("source").agg(F.sum("n").alias("total"))
-    df = per_doc.groupBy("term").agg(F.count("*").alias("df"))
-    n_docs = docs.agg(F.count("*").alias("docs"))
-    idf = F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1
-    scored = tf.join(total, "source").join(df, "term").join(F.broadcast(n_docs)).withColumn("tfidf", F.round(F.col("n") / F.col("total") * idf, 9))
+    df = tf.groupBy("term").agg(F.sum("docs_with").alias("df"))
+    n_docs = load(spark, sf_dir, "documents").count()
+    idf = F.log((F.lit(n_docs) + 1) / (F.col("df") + 1)) + 1
+    scored = tf.join(total, "source").join(df, "term").withColumn("tfidf", F.round(F.col("n") / F.col("total") * idf, 9))
     best = W.partitionBy("source").orderBy(F.desc("tfidf"), "term")
     return scored.withColumn("rank", F.row_number().over(best).cast("long")).where("rank <= 50").select("source", "term", "rank", "tfidf")
 
@@ -131,8 +134,9 @@ WHERE a.n >= 3 AND b.n >= 1.2 * a.n
 )
 def typo_pairs(spark, sf_dir):
     """Words one edit apart, blocked by deletion neighbourhoods, so that no word meets words that are not near."""
-    word = F.concat(F.explode(F.split("p_name", " ")), (F.col("p_size") % 7).cast("string"))
-    counts = load(spark, sf_dir, "part").select("p_size", word.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = load(spark, sf_dir, "part").select("p_size", F.explode(F.split("p_name", " ")).alias("name"))
+    word = F.concat("name", (F.col("p_size") % 7).cast("string"))
+    counts = words.select(word.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     cut = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.length("word"))))
     keyed = counts.select("word", "n", F.explode(F.array_distinct(F.array_append(cut, F.col("word")))).alias("key"))
     a, b = keyed.select("key", F.col("word").alias("variant"), F.col("n").alias("variant_n")), keyed.select("key", F.col("word").alias("dominant"), F.col("n").alias("dominant_n"))

@@ -268,9 +268,17 @@ def union_distinct(spark, sf_dir):
     return large.union(load(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")).distinct()
 
 
-@query()
+SECRET = r'(?:token|password|api_key)\s*=\s*"?([A-Za-z0-9]+)'
+
+
+@query(
+    rf"""
+WITH s AS (SELECT source, sha256(regexp_extract(text, '{SECRET}', 1)) AS h FROM documents WHERE regexp_extract(text, '{SECRET}', 1) <> '')
+SELECT source, count(DISTINCT h) AS secrets, count(*) AS n, min(h) AS least FROM s GROUP BY 1
+"""
+)
 def secrets_hashed(spark, sf_dir):
     """Distinct counts over hashed secrets; the values themselves leave nowhere."""
-    found = F.regexp_extract("text", r"password=(\S+)", 1)
-    rows = load(spark, sf_dir, "documents").select("source", found.alias("secret")).where("secret <> ''")
-    return ops.secret_hashed(rows, "secret").groupBy("source").agg(F.countDistinct("secret").alias("secrets"), F.count("*").alias("n"))
+    rows = load(spark, sf_dir, "documents").select("source", F.regexp_extract("text", SECRET, 1).alias("secret")).where("secret <> ''")
+    hashed = ops.secret_hashed(rows, "secret")
+    return hashed.groupBy("source").agg(F.countDistinct("secret").alias("secrets"), F.count("*").alias("n"), F.min("secret").alias("least"))

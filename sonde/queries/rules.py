@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sonde.functions import text as tx
 from sonde.operators import rules as ops
 from sonde.queries import query
 from sonde.sources.tables import load
 
 
-def _fires(signals, text="text") -> str:
+#: Look-alike letters are folded before signals are looked for.
+FOLD = f"translate(text, '{tx.LOOK_ALIKE}', '{tx.FOLDED}')"
+
+
+def _fires(signals, text=FOLD) -> str:
     quoted = lambda p: p.replace("'", "''")
     return " + ".join(f"CASE WHEN regexp_matches({text}, '{quoted(p)}') THEN {w} ELSE 0 END" for _, w, p in signals)
 
@@ -17,16 +22,18 @@ def _fires(signals, text="text") -> str:
 @query(f"SELECT doc_id, ({_fires(ops.SIGNALS)})::INTEGER AS score, ({_fires(ops.SIGNALS)}) >= {ops.ADJUDICATE} AS adjudicate FROM documents")
 def prefilter_scores(spark, sf_dir):
     score, _ = ops.weighted(F.col("text"))
-    return load(spark, sf_dir, "documents").select("doc_id", score.alias("score")).withColumn("adjudicate", F.col("score") >= ops.ADJUDICATE)
+    docs = load(spark, sf_dir, "documents").withColumn("text", tx.fold_look_alikes(F.col("text")))
+    return docs.select("doc_id", score.alias("score")).withColumn("adjudicate", F.col("score") >= ops.ADJUDICATE)
 
 
-NAMES = "array_to_string(list_filter([" + ", ".join("CASE WHEN regexp_matches(text, '" + p.replace("'", "''") + f"') THEN '{n}' END" for n, _, p in ops.SIGNALS) + "], lambda x: x IS NOT NULL), ',')"
+NAMES = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches({FOLD}, '" + p.replace("'", "''") + f"') THEN '{n}' END" for n, _, p in ops.SIGNALS) + "], lambda x: x IS NOT NULL), ',')"
 
 
 @query(f"SELECT s.signals, count(*) AS n FROM (SELECT {NAMES} AS signals FROM documents) s GROUP BY 1")
 def prefilter_signals(spark, sf_dir):
     _, names = ops.weighted(F.col("text"))
-    return load(spark, sf_dir, "documents").select(F.array_join(names, ",").alias("signals")).groupBy("signals").agg(F.count("*").alias("n"))
+    docs = load(spark, sf_dir, "documents").withColumn("text", tx.fold_look_alikes(F.col("text")))
+    return docs.select(F.array_join(names, ",").alias("signals")).groupBy("signals").agg(F.count("*").alias("n"))
 
 
 #: Operator rules of this engine's own tests: label and pattern.
