@@ -9,10 +9,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Texts have no bound, so batches to Python workers are cut by bytes, well below Spark's own limit.
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once per application, for clusters whose workers do not have it on their path."""
+    """Send the package to the executors once per application, for clusters whose workers do not have it on their path.
+
+    Arrow batches hold at most BATCH_BYTES from here on, or what the session allows if that is less.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(limit).rstrip("b"))
+    spark.conf.set(limit, str(min(now, BATCH_BYTES) if now > 0 else BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
