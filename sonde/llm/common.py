@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +50,19 @@ def one_of_each(docs: DataFrame, marks: DataFrame, on: Column, broadcast_rows: i
     named = docs.join(few, on, "left").select(row.alias("row"), "__id", "__h", "__kept")
     single = named.where(F.col("__kept").isNull()).select("row")
     return single.unionAll(named.where("__kept").groupBy("__id", "__h").agg(F.min("row").alias("row")).select("row")).select("row.*")
+
+
+def tidy(fold: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """fold, after which the Python worker, which waits for other tasks, hands its free memory back."""
+
+    @functools.wraps(fold)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from fold(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return run

@@ -1,23 +1,27 @@
 """Bigram language model held in a log-frequency Bloom filter.
 
-Training tokens and bigrams are counted by Spark. Every kept n-gram's count is quantised on a logarithmic scale and
-the n-gram enters the filter once for each level up to its own; a look-up probes level after level and stops at the
-first absent one, so the count comes from repeated membership probes. The filter is cut into shards by hash, built in
-parallel, and broadcast. Its size is bounded by `filter_mb`: all unigrams and bigrams seen `min_count` times or more
-enter; where they would need more, the count cut-off rises to the smallest one that fits, and what lies below backs off
-to the next lower order, as it does for n-grams never seen.
+Every n-gram's training count is quantised on a logarithmic scale, and the n-gram enters the filter once for each level
+up to its own; a look-up probes level after level and stops at the first absent one, so the count comes from repeated
+membership probes. All unigrams and bigrams of the training rows enter, also those seen once, so the filter grows with
+the corpus. What grows is not broadcast: the filter is cut into shards by the n-gram's hash, each about as large as any
+other, and look-ups travel to the shard that can answer them.
 
-    P(w | v) = m(v) * c(v w) / c(v) + (1 - m(v)) * P(w),   P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1))
+1. A scan cuts the texts into chunks of at most `chunk` tokens and writes them as token numbers with the chunk's own
+   dictionary of hashes.
+2. Every chunk sends each shard its distinct n-grams that hash there, packed, with their training counts, so a frequent
+   n-gram brings one entry from each chunk. The shard adds the counts up, fills its part of the filter, and answers each
+   chunk by probing: a level for each n-gram, and for unigrams, which the base score needs, the exact count too.
+3. The answers meet their chunk, and every text gets its sums.
 
-m depends on the quantised count of v: the share of training bigrams after such a v that would still be in the filter
-if one occurrence were left out, computed over all bigrams.
+    P(w | v) = (q(v w) + mu * P(w)) / (q(v) + mu),   P(w) = (q(w) + 0.1) / (N + 0.1 * (V + 1))
 
-The base score needs exact counts. The most frequent tokens, at most `table_rows`, are broadcast; the occurrences of all
-others are joined with the counts by hash, so nothing broadcast grows with the corpus.
+q is what a level stands for: the mean training count of the n-grams of that level, so the sum over all of them is right.
+mu is the weight at which the share given to bigrams never seen is that of the bigrams seen once (Good and Turing).
 
 Defined results: null text is the empty text, one end token; words longer than any limit are words like others; a null
-doc_id hashes as the empty text (remainder 0, held out); repeated rows are scored each; an empty table gives an empty
-result; other columns are not read. Tokens are told apart by XXH64.
+doc_id hashes as the empty text (remainder 0, held out); repeated rows are scored each; without training rows all
+tokens are unknown; an empty table gives an empty result; other columns are not read. Tokens are told apart by XXH64,
+bigrams within a shard by 32 more bits, which mistakes fewer of them than the filter does.
 """
 
 from __future__ import annotations
@@ -27,17 +31,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonde.llm.common import id_hash, lower_az, texts
+from sonde.llm.common import id_hash, texts, tidy
 from sonde.plans.lineage import materialize
 
 START, END = np.uint64(0x5EED), np.uint64(0xE2D)
 MULT = np.uint64(0x9E3779B97F4A7C15)
-SHARD_BITS = 1 << 22
 ALPHA = 0.1
+CHUNK = "chunk long, row array<long>, doc_id array<long>, held_out array<boolean>, size array<int>, prev binary, words binary, at binary"
+ROUTED = "shard int, chunk long, uni binary, uni_n binary, bi binary, bi_n binary"
+ANSWER = "shard int, chunk long, uni_level binary, uni_n binary, bi_level binary, bits binary, stats array<struct<kind:int,level:int,keys:long,n:long>>"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,23 +56,33 @@ def bigram_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * MULT + (right ^ (right >> np.uint64(32))) + np.uint64(0xB16))
 
 
-class Words:
-    """UTF-8 words -> 64-bit hashes, remembering a bounded number of words."""
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers by planes: all low bytes first, then the next ones; planes of zeros compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
-    def __init__(self, most: int = 250_000) -> None:
-        self.most, self.known = most, {}
 
-    def __call__(self, raw: bytes) -> np.ndarray:
-        """Hashes of the words of a lower-cased text, then the end token."""
-        words, known, digest = raw.split(), self.known, xxhash.xxh64_intdigest
-        if len(known) > self.most:
-            known.clear()
+def unpacked(raw: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, len(raw) // width).T).view(kind).ravel()
+
+
+class Words(dict):
+    """UTF-8 words -> 64-bit hashes, remembering about `most` words."""
+
+    def __init__(self, most: int = 200_000) -> None:
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+    def tokens(self, raw: bytes) -> np.ndarray:
+        """Hashes of the words of a text, A-Z folded, then the end token."""
+        words = raw.lower().split()
+        if len(self) > self.most:
+            self.clear()
         out = np.empty(len(words) + 1, dtype=np.uint64)
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = digest(w)
-            out[i] = h
+        out[:-1] = np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
         out[-1] = END
         return out
 
@@ -76,247 +92,241 @@ def levels(counts: np.ndarray, base: float) -> np.ndarray:
     return (1 + np.floor(np.log(counts) / np.log(base) + 1e-9)).astype(np.int64)
 
 
-def level_counts(base: float, most: int = 200) -> np.ndarray:
-    """What a level stands for: the middle of the whole counts that map to it; level 0 is 0."""
-    at = np.arange(most)
-    low, high = np.ceil(base ** (at - 1) - 1e-9), np.ceil(base**at - 1e-9) - 1
-    return np.where(at == 0, 0.0, (low + np.maximum(low, high)) / 2)
-
-
 class Filter:
-    """Shards of equal size; one look-up takes `probes` bits of the key's shard."""
+    """A shard of the log-frequency Bloom filter: `per_entry` bits and `probes` of them set for each level of each key."""
 
-    def __init__(self, shards: np.ndarray, probes: int) -> None:
-        self.shards, self.probes = shards, probes
+    def __init__(self, bits: np.ndarray, probes: int) -> None:
+        self.bits, self.probes = bits, probes
 
     @staticmethod
-    def positions(keys: np.ndarray, level: int | np.ndarray, probes: int) -> Iterator[np.ndarray]:
-        first = mix(keys + np.asarray(level, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        step = mix(first ^ MULT) | np.uint64(1)
-        for k in range(probes):
-            yield (first + np.uint64(k) * step) >> np.uint64(64 - 22)
+    def _start(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        first = mix(keys + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93))
+        return first, mix(first ^ MULT) | np.uint64(1)
+
+    @staticmethod
+    def _position(first: np.ndarray, step: np.ndarray, k: int, size: int) -> np.ndarray:
+        return ((((first + np.uint64(k) * step) >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)).astype(np.int64)
+
+    @classmethod
+    def of(cls, keys: np.ndarray, top: np.ndarray, per_entry: int, probes: int) -> Filter:
+        flags = np.zeros(max(64, -(-per_entry * int(top.sum()) // 8) * 8), dtype=bool)
+        at = 1
+        while len(keys):
+            first, step = cls._start(keys, at)
+            for k in range(probes):
+                flags[cls._position(first, step, k, len(flags))] = True
+            keys, top = keys[top > at], top[top > at]
+            at += 1
+        return cls(np.packbits(flags, bitorder="little"), probes)
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         """The quantised count of each key, 0 if absent."""
-        found = np.zeros(len(keys), dtype=np.int64)
-        live = np.arange(len(keys))
-        at = 1
-        while len(live):
-            part = keys[live]
-            shard = (part % np.uint64(len(self.shards))).astype(np.int64)
-            hit = np.ones(len(live), dtype=bool)
-            for pos in self.positions(part, at, self.probes):
-                hit &= (self.shards[shard, (pos >> np.uint64(3)).astype(np.int64)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            live = live[hit]
+        found, live, at = np.zeros(len(keys), dtype=np.uint8), np.arange(len(keys)), 1
+        while len(live) and at < 256:
+            first, step = self._start(keys[live], at)
+            for k in range(self.probes):
+                pos = self._position(first, step, k, 8 * len(self.bits))
+                hit = (self.bits[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 == 1
+                live, first, step = live[hit], first[hit], step[hit]
             found[live] = at
             at += 1
         return found
 
 
-def _keyed(docs: DataFrame, folds: int) -> DataFrame:
-    rows = texts(docs).withColumn("held_out", F.pmod(id_hash(F.col("doc_id")), F.lit(folds)) == 0)
-    return rows.withColumn("text", lower_az(F.col("text")))
+class Chunk:
+    """Texts, or parts of long ones, as numbers into the chunk's dictionary of token hashes, which ascends."""
 
+    def __init__(self, words: np.ndarray, at: np.ndarray, prev: np.ndarray, size: np.ndarray) -> None:
+        self.words, self.at, self.size = words, at, size
+        self.first = np.cumsum(size) - size
+        self.left = np.empty_like(at)
+        self.left[1:] = at[:-1]
+        self.left[self.first] = prev
 
-def _counts(rows: DataFrame, chunk: int = 1_000_000) -> DataFrame:
-    """Training rows -> (key, prev, n): n-gram hash, 0 for unigrams or the first word's hash, count.
+    @staticmethod
+    def read(row) -> Chunk:
+        return Chunk(np.frombuffer(row.words, dtype="<u8"), unpacked(row.at, "<u4"), unpacked(row.prev, "<u4"), np.asarray(row.size, dtype=np.int64))
 
-    A task adds up about `chunk` tokens at a time before it hands counts on, which bounds its memory.
-    """
+    def bigrams(self) -> np.ndarray:
+        return bigram_keys(self.words[self.left], self.words[self.at])
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, uni, bi, size = Words(), [], [], 0
-
-        def flush() -> Iterator[pd.DataFrame]:
-            nonlocal size
-            if not uni:
-                return
-            key, n = np.unique(np.concatenate(uni), return_counts=True)
-            yield pd.DataFrame({"key": key.view(np.int64), "prev": np.zeros(len(key), np.int64), "n": n})
-            left = np.concatenate([a for a, _ in bi])
-            right = np.concatenate([b for _, b in bi])
-            key, at, n = np.unique(bigram_keys(left, right), return_index=True, return_counts=True)
-            for i in range(0, len(key), 100_000):
-                part = slice(i, i + 100_000)
-                yield pd.DataFrame({"key": key[part].view(np.int64), "prev": left[at[part]].view(np.int64), "n": n[part]})
-            uni.clear()
-            bi.clear()
-            size = 0
 
+def _chunks(most: int):
+    def write(held: list[tuple]) -> pd.DataFrame:
+        row, doc_id, out, prev, hashes = zip(*held, strict=True)
+        words, at = np.unique(np.concatenate([np.array(prev, dtype=np.uint64), *hashes]), return_inverse=True)
+        at = at.astype("<u4")
+        cut = len(held)
+        one = {"row": [list(row)], "doc_id": [[None if pd.isna(i) else int(i) for i in doc_id]], "held_out": [list(out)], "size": [[len(h) for h in hashes]]}
+        return pd.DataFrame({"chunk": [0], **one, "prev": [packed(at[:cut])], "words": [words.astype("<u8").tobytes()], "at": [packed(at[cut:])]})
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, held, size = Words(), [], 0
         for pdf in batches:
-            for text in pdf["text"]:
-                hashes = words(text.encode())
-                uni.append(hashes)
-                bi.append((np.concatenate(([START], hashes[:-1])), hashes))
-                size += len(hashes)
-                if size > chunk:
-                    yield from flush()
-        yield from flush()
+            for row, doc_id, out, text in zip(pdf["row"].tolist(), pdf["doc_id"].astype("Int64"), pdf["held_out"].tolist(), pdf["text"], strict=True):
+                hashes, prev = words.tokens(text.encode()), START
+                for i in range(0, len(hashes), most):
+                    part = hashes[i : i + most]
+                    if held and size + len(part) > most:
+                        yield write(held)
+                        held, size = [], 0
+                    held.append((row, doc_id, out, prev, part))
+                    size, prev = size + len(part), part[-1]
+        if held:
+            yield write(held)
+
+    return tidy(fold)
 
-    found = rows.select("text").mapInPandas(fold, "key long, prev long, n long")
-    return found.groupBy("key", "prev").agg(F.sum("n").alias("n"))
 
+def _route(bits: int):
+    """Chunks -> for each shard, the top `bits` of a hash, the chunk's distinct n-grams and their training counts."""
+    cuts = (np.arange(1, 1 << bits, dtype=np.uint64)) << np.uint64(64 - bits)
 
-def _build(entries: DataFrame, shards: int, base: float, probes: int) -> np.ndarray:
-    """Filter bits, one row for each shard; each is built by one task from the keys that hash to it."""
+    def slices(keys: np.ndarray) -> list[slice]:
+        at = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
+        return [slice(a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
         for pdf in batches:
-            keys = pdf["key"].to_numpy(dtype=np.int64).view(np.uint64)
-            top = levels(pdf["n"].to_numpy(dtype=np.int64), base)
-            at = 1
-            while len(keys):
-                shard = (keys % np.uint64(shards)).astype(np.int64)
-                for s in np.unique(shard).tolist():
-                    bits = held.setdefault(s, np.zeros(SHARD_BITS // 8, dtype=np.uint8))
-                    for pos in Filter.positions(keys[shard == s], at, probes):
-                        np.bitwise_or.at(bits, (pos >> np.uint64(3)).astype(np.int64), np.uint8(1) << (pos & np.uint64(7)).astype(np.uint8))
-                keys, top = keys[top > at], top[top > at]
-                at += 1
-        for s, bits in held.items():
-            yield pd.DataFrame({"shard": [s], "bits": [bits.tobytes()]})
-
-    # unsigned remainder, as in Filter.level
-    shard = F.pmod(F.pmod(F.col("key"), F.lit(shards)) + F.when(F.col("key") < 0, F.lit((1 << 64) % shards)).otherwise(0), F.lit(shards))
-    dealt = entries.select("key", "n", shard.alias("shard")).repartition(max(1, min(shards, 200)), "shard")
-    built = dealt.select("key", "n").mapInPandas(fold, "shard long, bits binary")
-    bits = np.zeros((shards, SHARD_BITS // 8), dtype=np.uint8)
-    for row in built.toLocalIterator():
-        bits[row["shard"]] |= np.frombuffer(row["bits"], dtype=np.uint8)
-    return bits
+            for row in pdf.itertuples(index=False):
+                chunk = Chunk.read(row)
+                learn = np.repeat(~np.asarray(row.held_out, dtype=bool), chunk.size)
+                uni_n = np.bincount(chunk.at[learn], minlength=len(chunk.words)).astype("<u4")
+                # what stands before first tokens is a context, counted as one
+                starts = learn[chunk.first] & (chunk.words[chunk.left[chunk.first]] == START)
+                uni_n[chunk.words == START] += np.uint32(starts.sum())
+                keys, at = np.unique(chunk.bigrams(), return_inverse=True)
+                bi_n = np.bincount(at[learn], minlength=len(keys)).astype("<u4")
+                del at, learn
+                low = ((keys << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
+                out = [
+                    (s, row.chunk, chunk.words[u].tobytes(), packed(uni_n[u]), low[b].tobytes(), packed(bi_n[b]))
+                    for s, (u, b) in enumerate(zip(slices(chunk.words), slices(keys), strict=True))
+                ]
+                yield pd.DataFrame(out, columns=["shard", "chunk", "uni", "uni_n", "bi", "bi_n"])
+
+    return tidy(fold)
+
+
+def _summed(rows: list, name: str, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, summed counts, place of each row's keys among them)."""
+    keys, at = np.unique(np.concatenate([np.frombuffer(getattr(r, name), dtype=kind) for r in rows]), return_inverse=True)
+    n = np.bincount(at, weights=np.concatenate([unpacked(getattr(r, f"{name}_n"), "<u4") for r in rows]), minlength=len(keys))
+    return keys, n.astype("<u8"), at
+
+
+def _stats(kind: int, n: np.ndarray, top: np.ndarray) -> list[dict]:
+    keys, total = np.bincount(top), np.bincount(top, weights=n)
+    return [{"kind": kind, "level": int(x), "keys": int(keys[x]), "n": int(total[x])} for x in np.flatnonzero(keys)]
+
+
+def _shard(rows: list, base: float, per_entry: int, probes: int) -> pd.DataFrame:
+    """One shard: its part of the filter with statistics, in a row without chunk, and the answers to all chunks."""
+    uni, uni_n, uni_at = _summed(rows, "uni", "<u8")
+    bi, bi_n, bi_at = _summed(rows, "bi", "<u4")
+    own, two = mix(uni), mix(bi.astype(np.uint64) + np.uint64(0xB1C0DE << 32))
+    top = [levels(n[n > 0], base) if (n > 0).any() else np.zeros(0, np.int64) for n in (uni_n, bi_n)]
+    filt = Filter.of(np.concatenate([own[uni_n > 0], two[bi_n > 0]]), np.concatenate(top), per_entry, probes)
+    plain = uni[uni_n > 0] != START
+    stats = _stats(0, uni_n[uni_n > 0][plain], top[0][plain]) + _stats(1, bi_n[bi_n > 0], top[1])
+    uni_level, bi_level = filt.level(own), filt.level(two)
+    u = np.cumsum([0] + [len(r.uni) // 8 for r in rows])
+    b = np.cumsum([0] + [len(r.bi) // 4 for r in rows])
+    out = [(rows[0].shard, -1, None, None, None, filt.bits.tobytes(), stats)]
+    for i, r in enumerate(rows):
+        a, c = uni_at[u[i] : u[i + 1]], bi_at[b[i] : b[i + 1]]
+        out.append((r.shard, r.chunk, uni_level[a].tobytes(), packed(uni_n[a]), bi_level[c].tobytes(), None, None))
+    return pd.DataFrame(out, columns=["shard", "chunk", "uni_level", "uni_n", "bi_level", "bits", "stats"])
+
+
+def _shards(base: float, per_entry: int, probes: int):
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                if held and held[0].shard != row.shard:
+                    yield _shard(held, base, per_entry, probes)
+                    held = []
+                held.append(row)
+        if held:
+            yield _shard(held, base, per_entry, probes)
+
+    return tidy(fold)
 
 
 class Model:
-    """The broadcast parts of the model; all have fixed bounds."""
-
-    def __init__(self, filt: Filter, base: float, trust: np.ndarray, total: int, distinct: int) -> None:
-        self.filter, self.base, self.trust, self.total, self.distinct = filt, base, trust, total, distinct
-        self.means = level_counts(base)
-
-    def score(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 P of each token of concatenated texts; first marks the texts' first tokens."""
-        prev = np.concatenate(([START], hashes[:-1]))
-        prev[first] = START
-        own, back = np.unique(hashes, return_inverse=True)
-        uni = self.means[self.filter.level(own)]
-        p = (uni[back] + ALPHA) / (self.total + ALPHA * (self.distinct + 1))
-        pairs, at = np.unique(bigram_keys(prev, hashes), return_inverse=True)
-        both = self.means[self.filter.level(pairs)][at]
-        contexts, where = np.unique(prev, return_inverse=True)
-        context = self.filter.level(contexts)
-        most = np.maximum(self.means[context], 1.0)[where]
-        trust = self.trust[context][where]
-        return np.log10(trust * np.minimum(both / most, 1.0) + (1 - trust) * p)
-
-
-def train(rows: DataFrame, base: float = 2**0.5, min_count: int = 2, filter_mb: int = 64, per_entry: int = 12, probes: int = 6, table_rows: int = 1_000_000):
-    """(counts of unigrams, Model, table of the most frequent tokens' hashes and counts) of the rows not held out."""
-    counts = _counts(rows.where(~F.col("held_out"))).where((F.col("prev") == 0) | (F.col("n") >= min_count))
-    counts = materialize(counts, "ngrams")
-    uni, bi = counts.where("prev = 0"), counts.where("prev <> 0")
-    total, distinct = uni.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    level = F.floor(F.log(F.col("n")) / F.log(F.lit(base)) + 1e-9).cast("int") + 1
-    spread = {
-        (r["is_uni"], r["low"]): (r["keys"], r["least"])
-        for r in counts.groupBy((F.col("prev") == 0).alias("is_uni"), level.alias("low")).agg(F.count("*").alias("keys"), F.min("n").alias("least")).collect()
-    }
-
-    def fits(cut: int) -> int:
-        """Insertions if only n-grams at or above a level enter."""
-        return sum(keys * low for (is_uni, low), (keys, _) in spread.items() if low >= (cut if not is_uni else min(cut, cut_uni)))
-
-    most = filter_mb * (1 << 20) * 8 // per_entry
-    cut_uni = 1
-    cut = int(levels(np.array([min_count]), base)[0])
-    while fits(cut) > most:
-        cut, cut_uni = cut + 1, cut_uni + (fits(cut + 1) > most)
-    entries = counts.where((F.col("prev") == 0) & (level >= cut_uni) | (F.col("prev") != 0) & (level >= cut))
-    shards = max(1, -(-fits(cut) * per_entry // SHARD_BITS))
-    filt = Filter(_build(entries, shards, base, probes), probes)
-    # leave-one-out trust by the quantised count of the context
-    again = F.when((level >= cut) & (F.col("n") > F.lit(_least(cut, base))), F.col("n")).otherwise(0)
-    per_context = bi.groupBy("prev").agg(F.sum(again).alias("again"))
-    # a word stands before another token as often as it occurs
-    contexts = uni.where(F.col("key") != int(END)).select(F.col("key").alias("prev"), "n").join(per_context, "prev", "left")
-    trust = np.zeros(200)
-    for r in contexts.groupBy(level.alias("level")).agg(F.sum("n").alias("n"), F.coalesce(F.sum("again"), F.lit(0)).alias("again")).collect():
-        trust[r["level"]] = min(0.98, r["again"] / r["n"])
-    table_cut = _table_cut(uni, table_rows)
-    table = uni.where(F.col("n") >= table_cut).select("key", "n").toPandas()
-    keys = table["key"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return uni, Model(filt, base, trust, int(total), int(distinct)), (keys[order], table["n"].to_numpy(dtype=np.int64)[order])
-
-
-def _least(level: int, base: float) -> int:
-    return int(np.ceil(base ** (level - 1) - 1e-9))
-
-
-def _table_cut(uni: DataFrame, rows: int) -> int:
-    """The least count such that at most `rows` tokens reach it, from the numbers of tokens by octave of the count."""
-    octaves = uni.groupBy(F.floor(F.log2("n")).alias("o")).agg(F.count("*").alias("keys")).orderBy(F.desc("o")).collect()
-    held, cut = 0, 1 << 62
-    for r in octaves:
-        held += r["keys"]
-        if held > rows:
-            break
-        cut = 1 << int(r["o"])
-    return cut
-
-
-def _score(model: Broadcast, table: Broadcast):
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, lm, (keys, counts) = Words(), model.value, table.value
-        scale = lm.total + ALPHA * (lm.distinct + 1)
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                held = [words(t.encode()) for t in part["text"]]
-                sizes = np.array([len(h) for h in held])
-                first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-                hashes = np.concatenate(held)
-                own, back = np.unique(hashes, return_inverse=True)
-                where = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-                listed = (keys[where] == own) if len(keys) else np.zeros(len(own), dtype=bool)
-                n = np.where(listed, counts[where] if len(keys) else 0, 0)
-                base = np.where(listed, np.log10((n + ALPHA) / scale), 0.0)[back]
-                listed = listed[back]
-                rare = np.split(hashes[~listed].view(np.int64), np.cumsum(np.add.reduceat(~listed, first))[:-1])
-                yield pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"].astype("Int64"),
-                        "held_out": part["held_out"],
-                        "n_tokens": sizes,
-                        "n_listed": np.add.reduceat(listed, first, dtype=np.int64),
-                        "listed_score": np.add.reduceat(base, first),
-                        "score": np.add.reduceat(lm.score(hashes, first), first),
-                        "rare": list(rare),
-                    }
-                )
+    """What all shards have in common: a few numbers for each level."""
+
+    def __init__(self, stats: list[tuple[int, int, int, int]]) -> None:
+        self.means = np.zeros((2, 256))
+        for kind, level, keys, n in stats:
+            self.means[kind, level] = n / keys
+        uni = [(keys, n) for kind, _, keys, n in stats if kind == 0]
+        self.distinct, self.total = sum(k for k, _ in uni), sum(n for _, n in uni)
+        once = sum(n for kind, level, _, n in stats if kind == 1 and level == 1)
+        self.mu = self._weight(uni, min(once, 0.999 * self.total))
+
+    @staticmethod
+    def _weight(uni: list[tuple[int, int]], once: float) -> float:
+        """mu such that the back-off's share over all tokens' contexts is `once`."""
+        low, high = 1e-3, 1e12
+        for _ in range(100):
+            mu = (low * high) ** 0.5
+            share = sum(n * mu / (n / keys + mu) for keys, n in uni)
+            low, high = (mu, high) if share < once else (low, mu)
+        return (low * high) ** 0.5
+
+    def score(self, both: np.ndarray, context: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """log10 P of tokens, given the levels of the bigram, its first word and the token."""
+        p = (self.means[0][own] + ALPHA) / (self.total + ALPHA * (self.distinct + 1))
+        q = self.means[0][context]
+        return np.log10((np.minimum(self.means[1][both], q) + self.mu * p) / (q + self.mu))
+
+
+def _score(lm: Model):
+    def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        right = right.sort_values("shard")
+        for row in left.itertuples(index=False):
+            chunk = Chunk.read(row)
+            n = np.concatenate([unpacked(x, "<u8") for x in right["uni_n"]])
+            own = np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in right["uni_level"]])
+            both = np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in right["bi_level"]])
+            keys, at = np.unique(chunk.bigrams(), return_inverse=True)
+            if len(keys) != len(both) or len(n) != len(chunk.words):
+                raise ValueError("a chunk and its answers do not agree")
+            score = lm.score(both[at], own[chunk.left], own[chunk.at])
+            base = np.log10((n + ALPHA) / (lm.total + ALPHA * (lm.distinct + 1)))[chunk.at]
+            known = (n > 0)[chunk.at]
+            made = {"row": row.row, "doc_id": pd.array(row.doc_id, dtype="Int64"), "held_out": row.held_out, "n_tokens": chunk.size}
+            made["n_known"] = np.add.reduceat(known, chunk.first, dtype=np.int64)
+            out.append(pd.DataFrame(made | {"base_score": np.add.reduceat(base, chunk.first), "score": np.add.reduceat(score, chunk.first)}))
+        return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in SCORED.split(", ")])
 
     return fold
 
 
-def score(docs: DataFrame, folds: int = 10, **parameters) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities)."""
-    spark = docs.sparkSession
-    rows = _keyed(docs, folds)
-    uni, model, table = train(rows, **parameters)
-    scale = model.total + ALPHA * (model.distinct + 1)
-    shape = "doc_id long, held_out boolean, n_tokens long, n_listed long, listed_score double, score double, rare array<long>"
-    first = rows.mapInPandas(_score(spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(table)), shape)
-    scored = materialize(first.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
-    n = F.coalesce("n", F.lit(0))
-    term = F.col("times") * F.log10((n + ALPHA) / F.lit(scale))
-    summed = rare.join(uni.select("key", "n"), "key", "left").groupBy("row").agg(F.sum(term).alias("rest"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known"))
-    return scored.drop("rare").join(summed, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_listed") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("listed_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        "score",
+def score(docs: DataFrame, folds: int = 10, base: float = 2**0.5, per_entry: int = 12, probes: int = 6, chunk: int = 1 << 20, shard_tokens: int = 1 << 20) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities).
+
+    Rows whose id hashes to a remainder of 0 modulo `folds` are held out. per_entry and probes: bits of the filter and bits
+    set for each level of an n-gram. chunk and shard_tokens bound what a task holds.
+    """
+    rows = texts(docs).select(
+        "doc_id", "text", (F.pmod(id_hash(F.col("doc_id")), F.lit(folds)) == 0).alias("held_out"), F.monotonically_increasing_id().alias("row")
+    )
+    chunks = rows.mapInPandas(_chunks(chunk), CHUNK).withColumn("chunk", F.monotonically_increasing_id())
+    chunks = materialize(chunks, "chunks")
+    tokens = chunks.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    bits = max(1, (int(tokens) // shard_tokens).bit_length())
+    routed = chunks.mapInPandas(_route(bits), ROUTED).repartition(1 << bits, "shard").sortWithinPartitions("shard")
+    answers = materialize(routed.mapInPandas(_shards(base, per_entry, probes), ANSWER), "shards")
+    each = answers.where("chunk < 0").select(F.explode("stats").alias("s")).groupBy("s.kind", "s.level").agg(F.sum("s.keys"), F.sum("s.n"))
+    lm = Model([tuple(r) for r in each.collect()])
+    asked = answers.where("chunk >= 0").select("shard", "chunk", "uni_level", "uni_n", "bi_level")
+    scored = chunks.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInPandas(_score(lm), SCORED)
+    return (
+        scored.groupBy("row", "doc_id", "held_out")
+        .agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(lm.total).cast("long").alias("train_tokens"), "base_score", "score")
     )
