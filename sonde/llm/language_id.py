@@ -16,7 +16,6 @@ repeated rows are predicted each; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,54 +25,92 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonde.llm.common import id_hash, texts
+from sonde.llm.common import id_hash, texts, tidy
 from sonde.llm.pieces import MARK, Pieces, edges
 from sonde.plans.lineage import materialize
 
-LETTER = re.compile(r"[^\W\d_]")
 EDGE = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "«»“”„‚‘’…–—¿¡·"
-#: Longest stretch of a word that is summed over at once; longer words are cut, which keeps the sums in range.
-STRETCH = 24
+#: Sums are brought back into range after so many characters; one takes at most nine decimal orders off.
+STEP = 16
 UNKNOWN = 1e-9
+#: Cells of a block of words times characters times languages, which bounds memory.
+CELLS = 1 << 20
 
 
 def units(text: str) -> Iterator[str]:
-    """Lower-cased words without edge punctuation, marked at the front, cut to stretches."""
+    """Lower-cased words without edge punctuation, marked at the front."""
     for word in text.lower().split():
         word = word.strip(EDGE)
         if word:
-            word = MARK + word
-            for at in range(0, len(word), STRETCH):
-                yield word[at : at + STRETCH]
+            yield MARK + word
+
+
+def blocks(words: list[str], columns: int) -> Iterator[list[str]]:
+    """Words in order of length, in blocks of at most CELLS cells; a single word may be longer."""
+    words, at = sorted(words, key=len), 0
+    for i, word in enumerate(words):
+        if i > at and (i + 1 - at) * (len(word) + 1) * columns > CELLS:
+            yield words[at:i]
+            at = i
+    if words:
+        yield words[at:]
+
+
+def _rescale(part: np.ndarray) -> np.ndarray:
+    """Bring the columns that later ones are made of into range; returns the logarithm of the factor taken out of each row."""
+    top = part.max(axis=1)
+    top = np.where(top > 0, top, 1.0)
+    part /= top[:, None]
+    return np.log(top)
 
 
 def forward(pieces: Pieces, words: list[str], prob: np.ndarray) -> np.ndarray:
-    """Sum over all segmentations: one row per word, one column per column of prob (pieces x languages)."""
-    width = max(map(len, words), default=0)
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    alpha = np.zeros((len(words), width + 1, prob.shape[1]))
+    """Log of the sum over all segmentations: one row per word, one column per column of prob (pieces x languages)."""
+    width, k = max(map(len, words), default=0), prob.shape[1]
+    own, lengths = np.arange(len(words)), np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    alpha, out = np.zeros((len(words), width + 1, k)), np.zeros((len(words), k))
+    log = np.zeros((len(words), k))
     alpha[:, 0] = 1.0
+
+    def close(end: int) -> None:
+        """Read off the words that end at `end`, before later columns are scaled."""
+        mine = own[lengths == end]
+        out[mine] = np.log(alpha[mine, end]) + log[mine]
+
     for end, length, rows, found in edges(pieces, words):
+        if length == 1 and end > 1:
+            close(end - 1)
+            if (end - 1) % STEP == 0:
+                log += _rescale(alpha[:, max(0, end - 1 - pieces.longest) : end])
         alpha[rows, end] += alpha[rows, end - length] * prob[found]
-    return alpha[np.arange(len(words)), lengths]
+    close(width)
+    return out
 
 
 def expected(pieces: Pieces, words: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
     """Expected piece counts under one language's probabilities (the last entry stands for unknown characters)."""
-    width = max(map(len, words), default=0)
+    width, own = max(map(len, words), default=0), np.arange(len(words))
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    # sums times a factor for each place, whose logarithm stands in before and after
     alpha, beta = np.zeros((len(words), width + 1)), np.zeros((len(words), width + 1))
+    before, after = np.zeros_like(alpha), np.zeros_like(beta)
     alpha[:, 0] = 1.0
-    beta[np.arange(len(words)), lengths] = 1.0
+    beta[own, lengths] = 1.0
     seen = list(edges(pieces, words))
     for end, length, rows, found in seen:
+        if length == 1 and end > 1 and (end - 1) % STEP == 0:
+            low = max(0, end - 1 - pieces.longest)
+            before[:, low:] += _rescale(alpha[:, low:end])[:, None]
         alpha[rows, end] += alpha[rows, end - length] * prob[found]
-    total = alpha[np.arange(len(words)), lengths]
+    total = np.log(alpha[own, lengths]) + before[own, lengths]
     out = np.zeros(len(prob))
     for end, length, rows, found in reversed(seen):
+        if length == min(end, pieces.longest) and end < width and end % STEP == 0:
+            after[:, : end + 1] += _rescale(beta[:, max(0, end - pieces.longest) : end + 1])[:, None]
         through = prob[found] * beta[rows, end]
         beta[rows, end - length] += through
-        out += np.bincount(found % len(prob), weights=alpha[rows, end - length] * through / total[rows] * counts[rows], minlength=len(prob))
+        share = alpha[rows, end - length] * through * np.exp(before[rows, end - length] + after[rows, end - length] - total[rows])
+        out += np.bincount(found % len(prob), weights=share * counts[rows], minlength=len(prob))
     return out
 
 
@@ -86,7 +123,7 @@ def _word_counts(sample: DataFrame) -> DataFrame:
         for lang, counter in held.items():
             yield pd.DataFrame({"lang": lang, "word": list(counter), "n": list(counter.values())})
 
-    return sample.select("lang", "text").mapInPandas(fold, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return sample.select("lang", "text").mapInPandas(tidy(fold), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def _expect(model_path: str, state: Broadcast):
@@ -95,15 +132,13 @@ def _expect(model_path: str, state: Broadcast):
         sums = np.zeros((prob.shape[0], len(langs)))
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
-                part = part.iloc[np.argsort(part["word"].str.len().to_numpy(), kind="stable")]
-                for at in range(0, len(part), 20_000):
-                    some = part.iloc[at : at + 20_000]
-                    k = langs.index(lang)
-                    sums[:, k] += expected(pieces, some["word"].tolist(), some["n"].to_numpy(dtype=float), prob[:, k])
+                n, k = dict(zip(part["word"], part["n"], strict=True)), langs.index(lang)
+                for some in blocks(list(n), 8):
+                    sums[:, k] += expected(pieces, some, np.array([n[w] for w in some], dtype=float), prob[:, k])
         row, k = np.nonzero(sums)
         yield pd.DataFrame({"piece": row, "k": k, "n": sums[row, k]})
 
-    return fold
+    return tidy(fold)
 
 
 def train(rows: DataFrame, model_path: str, rows_per_lang: int = 600, rounds: int = 4, prior: float = 2000.0):
@@ -139,7 +174,7 @@ def _predict(model_path: str, state: Broadcast):
             for at in range(0, len(pdf), 1000):
                 yield predict(pieces, langs, prob, pdf.iloc[at : at + 1000])
 
-    return fold
+    return tidy(fold)
 
 
 def predict(pieces: Pieces, langs: list[str], prob: np.ndarray, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -149,19 +184,17 @@ def predict(pieces: Pieces, langs: list[str], prob: np.ndarray, pdf: pd.DataFram
         for unit in units(text):
             rows.append(i)
             words.append(number.setdefault(unit, len(number)))
-    order = sorted(number, key=len)
     logs = np.zeros((len(number), max(len(langs), 1)))
     if langs:
-        for at in range(0, len(order), 20_000):
-            some = order[at : at + 20_000]
-            logs[[number[w] for w in some]] = np.log(forward(pieces, some, prob))
+        for some in blocks(list(number), len(langs)):
+            logs[[number[w] for w in some]] = forward(pieces, some, prob)
     total = np.zeros((len(pdf), logs.shape[1]))
     if rows:
         cuts = np.flatnonzero(np.diff(rows, prepend=-1))
         total[np.array(rows)[cuts]] = np.add.reduceat(logs[words], cuts)
     best = total.argmax(axis=1)
     sure = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-    named = np.array([bool(langs) and bool(LETTER.search(t)) for t in pdf["text"]], dtype=bool)
+    named = np.array([bool(langs) and any(map(str.isalpha, t)) for t in pdf["text"]], dtype=bool)
     return pd.DataFrame(
         {
             "doc_id": pdf["doc_id"].astype("Int64"),
