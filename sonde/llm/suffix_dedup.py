@@ -4,20 +4,23 @@ A byte goes if a `length`-byte string covers it that also starts anywhere else.
 among the hashes of all short grams in a `length`-byte string, the smallest one, leftmost among equals, is the string's
 anchor, so equal strings have equal anchors at equal places, and about two of every 350 positions are anchors.
 
-1. A scan finds the anchors, each with its gram's hash and a hash of its surroundings, which are all bytes that a
-   string with this anchor can cover. Anchors that agree in both are one class. A class with two anchors or more is
-   settled: all its surroundings go. Copies, however many, are settled here, by an aggregation Spark combines early.
+1. A scan finds the anchors, each with its gram's hash and a 128-bit BLAKE2b digest of its surroundings, which are all
+   bytes that a string with this anchor can cover; equal digests stand for equal bytes. Anchors that agree in both are one
+   class. A class with two anchors or more is settled: all its surroundings go. Copies, however many, are settled here,
+   by an aggregation Spark combines early.
 2. What is left are anchors with a gram seen elsewhere but surroundings of their own, at the ends of repeats. They fetch
    their surroundings and meet the classes that share their gram. Each set is suffix-sorted: suffixes that start at
    the anchors' left reach, compared up to the bytes every string of a range of starts must hold, fall into runs of
-   equals; a run equal over all that the range can cover is settled, others go on with either half of the range.
-3. Grams with more than `hot` classes never meet in one task: their strings are spelled out, one hash for each start, and
-   counted by an aggregation.
+   equals; a run equal over all that the range can cover is settled, its bytes compared, others go on with either half of
+   the range.
+3. Sets of more than `hot` classes never meet in one task: Spark divides their ranges in the same way, by digests, each
+   third being a set of its own for every core it holds, until the sets are small enough to be sorted or the range is one
+   start.
 4. Every row's spans are merged and cut out.
 
 Strings never cross rows. Defined results: null text is the empty text; rows with equal doc_id and text each count as
-a place where their strings start; a null doc_id is a row like others; texts shorter than `length` stay whole; an
-empty table gives an empty result; other columns are not read.
+a place where their strings start; a null doc_id is a row like others, told from others by its text; texts shorter than
+`length` stay whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,11 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonde.llm.common import small, texts
+from sonde.llm.common import small, texts, tidy
 from sonde.llm.suffix_sort import Collision, Hashes, same_bytes, suffix_sort
 from sonde.plans.lineage import materialize
 
@@ -39,7 +41,19 @@ GRAM = 48
 #: Bytes of text that are hashed at a time; the arrays of a chunk take about a hundred times as much.
 CHUNK = 1 << 19
 NO_ID = -(2**63)
-ROW = ["did", "th"]
+#: What tells a row from others: its id and two 64-bit hashes of its text.
+ROW = ["did", "th", "tk"]
+PLACE = "did long, th long, tk long"
+
+
+def text_keys(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit("second"), text)
+
+
+def digest(raw: bytes) -> tuple[int, int]:
+    """128 bits as two signed longs."""
+    found = hashlib.blake2b(raw, digest_size=16).digest()
+    return int.from_bytes(found[:8], "little", signed=True), int.from_bytes(found[8:], "little", signed=True)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -87,54 +101,61 @@ def anchors(texts_: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.hash("text").alias("th"), "text")
+    rows = texts(docs)
+    th, tk = text_keys(rows["text"])
+    return rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), th.alias("th"), tk.alias("tk"), "text")
 
 
 def _find(length: int, gram: int):
+    reach = length - gram
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            raw = [t.encode() for t in pdf["text"]]
-            bounds = np.searchsorted(np.cumsum([len(r) for r in raw]), np.arange(0, sum(map(len, raw)) + CHUNK, CHUNK))
-            for i, j in zip(bounds, np.append(bounds[1:], len(raw)), strict=True):
-                part = raw[i:j]
+            size = pdf["text"].str.len().to_numpy()
+            bounds = np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + CHUNK, CHUNK))
+            for i, j in zip(bounds, np.append(bounds[1:], len(pdf)), strict=True):
+                part = [t.encode() for t in pdf["text"].iloc[i:j]]
                 text, pos, key = anchors(part, length, gram)
-                reach = length - gram
-                around = [xxhash.xxh3_64_intdigest(part[t][max(0, p - reach) : p + length], min(p, reach)) for t, p in zip(text.tolist(), pos.tolist(), strict=True)]
-                size = np.array([len(r) for r in part], dtype=np.int64)
+                # the distance to the left end belongs to the surroundings
+                around = [digest(b"%d " % min(p, reach) + part[t][max(0, p - reach) : p + length]) for t, p in zip(text.tolist(), pos.tolist(), strict=True)]
+                size_ = np.array([len(r) for r in part], dtype=np.int64)
                 yield pd.DataFrame(
-                    {
-                        "did": pdf["did"].to_numpy()[i:j][text],
-                        "th": pdf["th"].to_numpy()[i:j][text],
+                    {c: pdf[c].to_numpy()[i:j][text] for c in ROW}
+                    | {
                         "pos": pos,
-                        "left": np.minimum(pos, reach),
-                        "right": np.minimum(size[text] - pos, length) if len(text) else pos,
+                        "right": np.minimum(size_[text] - pos, length) if len(text) else pos,
                         "key": key.view(np.int64),
-                        "around": np.array(around, dtype=np.uint64).view(np.int64),
+                        "around": np.array([a for a, _ in around], dtype=np.int64),
+                        "around2": np.array([b for _, b in around], dtype=np.int64),
                     }
                 )
 
-    return fold
+    return tidy(fold)
+
 
+def resolve(windows: list[bytes], lefts: list[int], sets: np.ndarray, length: int, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window, in its set, the extent (from, to), relative to its anchor, of the strings it shares; from > to if none.
 
-def resolve(windows: list[bytes], lefts: list[int], sets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window, in its set, the extent (from, to), relative to its anchor, of the strings it shares; from > to if none."""
+    first, last: the range of the strings' starts, relative to the anchor, one for each set.
+    """
     size = np.array([len(w) for w in windows], dtype=np.int64)
     left = np.array(lefts, dtype=np.int64)
     anchor = np.cumsum(size) - size + left
     h = Hashes(np.frombuffer(b"".join(windows), dtype=np.uint8))
     sets = np.unique(sets, return_inverse=True)[1].astype(np.int64)
     try:
-        return _resolve(h, anchor, left, size - left, sets, length, gram, plain=False)
+        return _resolve(h, anchor, left, size - left, sets, length, first, last, plain=False)
     except Collision:
-        return _resolve(h, anchor, left, size - left, sets, length, gram, plain=True)
+        return _resolve(h, anchor, left, size - left, sets, length, first, last, plain=True)
 
 
-def _resolve(h: Hashes, anchor: np.ndarray, left: np.ndarray, right: np.ndarray, sets: np.ndarray, length: int, gram: int, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+def _resolve(
+    h: Hashes, anchor: np.ndarray, left: np.ndarray, right: np.ndarray, sets: np.ndarray, length: int, first: np.ndarray, last: np.ndarray, plain: bool
+) -> tuple[np.ndarray, np.ndarray]:
     """Ranges of starts (first..last, relative to the anchors) are halved level by level, all sets and ranges of a level at once."""
     n = len(anchor)
     lo, hi = np.full(n, length), np.full(n, -length)
     item, node = np.arange(n), sets
-    first, last = np.full(n, -(length - gram)), np.zeros(n, dtype=np.int64)
     while len(item):
         # a window takes part if a string that starts within the range can hold the range's core
         fits = (left[item] >= -last) & (right[item] >= first + length)
@@ -176,29 +197,33 @@ def _resolve(h: Hashes, anchor: np.ndarray, left: np.ndarray, right: np.ndarray,
     return lo, hi
 
 
-def _meet(length: int, gram: int, block: int = 2000):
-    """Candidates sorted by key -> spans. Whole sets are held, at most `hot` windows each, some sets at a time."""
+def _meet(length: int, block: int = 2000):
+    """Windows sorted by set -> spans. Whole sets are held, at most `hot` windows each, some sets at a time."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def spans(pdf: pd.DataFrame) -> pd.DataFrame:
-            lo, hi = resolve(pdf["window"].tolist(), pdf["left"].tolist(), pdf["key"].to_numpy(dtype=np.int64), length, gram)
-            pos = pdf["pos"].to_numpy(dtype=np.int64)
+            sets, first, last = (pdf[c].to_numpy(dtype=np.int64) for c in ("set", "first", "last"))
+            lo, hi = resolve(pdf["window"].tolist(), pdf["left"].tolist(), sets, length, first, last)
             hit = (lo < hi) & (pdf["n"].to_numpy() == 1)
-            return pd.DataFrame({"did": pdf["did"].to_numpy()[hit], "th": pdf["th"].to_numpy()[hit], "a": (pos + lo)[hit], "b": (pos + hi)[hit]})
+            pos = pdf["pos"].to_numpy(dtype=np.int64)
+            return pd.DataFrame({c: pdf[c].to_numpy()[hit] for c in ROW} | {"a": (pos + lo)[hit], "b": (pos + hi)[hit]})
 
         held: list[pd.DataFrame] = []
         for pdf in batches:
             for at in range(0, len(pdf), block):
                 held.append(pdf.iloc[at : at + block])
                 whole = pd.concat(held)
-                open_ = whole["key"] == whole["key"].iloc[-1]
+                open_ = whole["set"] == whole["set"].iloc[-1]
                 if not open_.all():
                     yield spans(whole[~open_])
                 held = [whole[open_]]
         if held:
             yield spans(pd.concat(held))
 
-    return fold
+    return tidy(fold)
+
+
+WINDOW = f"key long, n long, {PLACE}, pos int, left int, window binary"
 
 
 def _fetch(reach: int, length: int):
@@ -207,66 +232,108 @@ def _fetch(reach: int, length: int):
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for did, th, text, places in zip(pdf["did"], pdf["th"], pdf["text"], pdf["places"], strict=True):
+            for did, th, tk, text, places in zip(*(pdf[c] for c in ROW), pdf["text"], pdf["places"], strict=True):
                 raw = text.encode()
-                out += [(p["key"], p["n"], did, th, p["pos"], min(p["pos"], reach), raw[max(0, p["pos"] - reach) : p["pos"] + length]) for p in places]
-            for at in range(0, len(out), 1000):
-                yield pd.DataFrame(out[at : at + 1000], columns=["key", "n", "did", "th", "pos", "left", "window"])
+                for p in places:
+                    pos = p["pos"]
+                    out.append((p["key"], p["n"], did, th, tk, pos, min(pos, reach), raw[max(0, pos - reach) : pos + length]))
+                    if len(out) >= 1000:
+                        yield pd.DataFrame(out, columns=[c.split()[0] for c in WINDOW.split(", ")])
+                        out = []
+            if out:
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in WINDOW.split(", ")])
 
-    return fold
+    return tidy(fold)
 
 
-def _spell(length: int, gram: int):
-    """Windows of hot keys -> (hash, copies, did, th, start) of each of their strings."""
+PART = "wid long, n long, first int, last int, core long, core2 long, whole long, whole2 long, begin int, end int"
+
+
+def _divide(length: int, parts: int = 3):
+    """Windows with a range of starts -> for each part of it whose strings fit: its core and all that its strings can cover."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for n, did, th, pos, left, window in zip(pdf["n"], pdf["did"], pdf["th"], pdf["pos"], pdf["left"], pdf["window"], strict=True):
-                starts = range(0, max(0, min(left, length - gram) + 1) if len(window) >= length else 0)
-                rows = [(hashlib.blake2b(window[s : s + length], digest_size=16).digest(), n, did, th, pos - left + s) for s in starts if s + length <= len(window)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["string", "n", "did", "th", "start"])
+            out = []
+            for wid, n, one, two, set_, left, window in zip(*(pdf[c] for c in ("wid", "n", "first", "last", "set", "left", "window")), strict=True):
+                right, edges = len(window) - left, [one + (two + 1 - one) * k // parts for k in range(parts + 1)]
+                for first, last in ((a, b - 1) for a, b in zip(edges, edges[1:], strict=False) if a < b):
+                    if left >= -last and right >= first + length:
+                        begin, end = max(first, -left), min(last + length, right)
+                        core = digest(b"%d %d " % (set_, first) + window[left + last : left + first + length])
+                        out.append((wid, n, first, last, *core, *digest(b"%d " % begin + window[left + begin : left + end]), begin, end))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PART.split(", ")])
 
-    return fold
+    return tidy(fold)
+
+
+def _hot_spans(windows: DataFrame, length: int, gram: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """For windows (wid, key, n, left, window) of large sets: their span (wid, begin, end), and the sets that are small by now.
+
+    The latter are (wid, set, n, first, last); n counts the windows that one stands for. All strings of a window hold its
+    anchor, so what they cover is one span.
+    """
+    spark = windows.sparkSession
+    live = windows.select("wid", "n", F.lit(gram - length).alias("first"), F.lit(0).alias("last"), F.col("key").alias("set"))
+    spans = spark.createDataFrame([], "wid long, begin int, end int")
+    calm = spark.createDataFrame([], "wid long, set long, n long, first int, last int")
+    core, whole = ["first", "last", "core", "core2"], ["whole", "whole2", "begin", "end"]
+    while True:  # ends, as ranges shrink to single starts
+        made = materialize(live.join(windows.select("wid", "left", "window"), "wid").mapInPandas(_divide(length), PART), "parts")
+        kinds = made.groupBy(*core, *whole).agg(F.sum("n").alias("copies"), F.min("wid").alias("wid"))
+        kinds = materialize(kinds, "kinds")
+        settled = made.where("n = 1").join(kinds.where("copies > 1").drop("wid"), [*core, *whole]).select("wid", "begin", "end")
+        spans = spans.unionByName(settled)
+        sets = kinds.groupBy(*core).agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1 and first < last")
+        sets = materialize(sets, "sets")
+        open_ = kinds.join(sets, core).select("wid", F.col("core").alias("set"), F.col("copies").alias("n"), "first", "last", "kinds")
+        calm = calm.unionByName(open_.where(F.col("kinds") <= hot).drop("kinds"))
+        if not sets.where(F.col("kinds") > hot).limit(1).count():
+            break
+        live = open_.where(F.col("kinds") > hot).drop("kinds")
+    return spans.groupBy("wid").agg(F.min("begin").alias("begin"), F.max("end").alias("end")), calm
 
 
 def spans(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = 3000, broadcast_rows: int = 200_000) -> DataFrame:
-    """(did, th, spans): for each row that loses bytes, the maximal (a, b) runs to remove."""
-    rows = _rows(docs)
-    found = materialize(
-        rows.mapInPandas(_find(length, gram), "did long, th int, pos int, left int, right int, key long, around long"), "anchors"
-    )
-    place = F.struct("did", "th", "pos")
-    classes = found.groupBy("key", "around").agg(F.count("*").alias("n"), F.min(place).alias("one"))
-    classes = materialize(classes, "classes")
-    copies = classes.where("n > 1").select("key", "around")
-    settled = found.join(copies, ["key", "around"]).select("did", "th", (F.col("pos") - F.col("left")).alias("a"), (F.col("pos") + F.col("right")).alias("b"))
+    """(did, th, tk, spans): for each row that loses bytes, the maximal (a, b) runs to remove."""
+    rows, reach = _rows(docs), length - gram
+    found = materialize(rows.mapInPandas(_find(length, gram), f"{PLACE}, pos int, right int, key long, around long, around2 long"), "anchors")
+    same, place = ["key", "around", "around2"], [*ROW, "pos"]
+    # any member may stand for its class: all have the same surroundings
+    classes = materialize(found.groupBy(*same).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in place]), "classes")
+    copies = classes.where("n > 1").select(*same)
+    all_spans = found.join(copies, same).select(*ROW, F.greatest(F.lit(0), F.col("pos") - reach).alias("a"), (F.col("pos") + F.col("right")).alias("b"))
     # grams with several classes, at least one of them a single anchor
     shared = classes.groupBy("key").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where("classes > 1 and least = 1")
-    candidates = materialize(classes.join(shared, "key").select("key", "n", "classes", "one.*"), "candidates")
-    wanted = candidates.groupBy("did", "th").agg(F.collect_list(F.struct("key", "n", "pos")).alias("places"))
+    places = classes.join(shared, "key").select("key", "n", *place, (F.col("classes") > hot).alias("hot"))
+    wanted = places.groupBy("hot", *ROW).agg(F.collect_list(F.struct("key", "n", "pos")).alias("places"))
     wanted = materialize(wanted, "wanted")
-    at_hand = small(wanted, candidates.count(), broadcast_rows)
-    fetched = rows.join(at_hand, ROW).mapInPandas(_fetch(length - gram, length), "key long, n long, did long, th int, pos int, left int, window binary")
-    hot_keys = candidates.where(F.col("classes") > hot).select("key").distinct()
-    is_hot = hot_keys.limit(1).count() > 0
-    calm = fetched.join(hot_keys, "key", "left_anti") if is_hot else fetched
-    met = calm.repartition("key").sortWithinPartitions("key").mapInPandas(_meet(length, gram), "did long, th int, a int, b int")
-    all_spans = settled.unionByName(met)
-    if is_hot:
-        strings = materialize(fetched.join(hot_keys, "key", "left_semi").mapInPandas(_spell(length, gram), "string binary, n long, did long, th int, start int"), "strings")
-        # a string may be spelled from two anchors of one place, which is no repeat
-        at = F.struct("did", "th", "start")
-        twice = strings.groupBy("string").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.max("n").alias("n")).where((F.col("lo") != F.col("hi")) | (F.col("n") > 1)).select("string")
-        more = strings.join(twice, "string", "left_semi").select("did", "th", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
-        all_spans = all_spans.unionByName(more)
-    by_row = all_spans.groupBy("did", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    return materialize(by_row.mapInPandas(_merge, "did long, th int, spans array<struct<a:int,b:int>>"), "spans")
-
-
+    weight = {r["hot"]: r["n"] for r in wanted.groupBy("hot").agg(F.sum(F.size("places") + 1).alias("n")).collect()}
+
+    def fetched(is_hot: bool) -> DataFrame:
+        mine = small(wanted.where(F.col("hot") == is_hot).drop("hot"), weight.get(is_hot, 0), broadcast_rows)
+        return rows.join(mine, ROW).mapInPandas(_fetch(reach, length), WINDOW)
+
+    meeting = fetched(False).select(F.col("key").alias("set"), F.lit(-reach).alias("first"), F.lit(0).alias("last"), "n", *ROW, "pos", "left", "window")
+    if True in weight:
+        windows = materialize(fetched(True).withColumn("wid", F.monotonically_increasing_id()), "windows")
+        runs, calm = _hot_spans(windows, length, gram, hot)
+        runs = runs.join(windows.select("wid", *ROW, "pos"), "wid").select(*ROW, (F.col("pos") + F.col("begin")).alias("a"), (F.col("pos") + F.col("end")).alias("b"))
+        all_spans = all_spans.unionByName(runs)
+        later = calm.join(windows.drop("n", "key"), "wid").select(*meeting.columns)
+        meeting = meeting.unionByName(later)
+    met = meeting.repartition("set").sortWithinPartitions("set", "first").mapInPandas(_meet(length), f"{PLACE}, a int, b int")
+    all_spans = all_spans.unionByName(met)
+    # a span as one number
+    by_row = all_spans.groupBy(*ROW).agg(F.collect_set(F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("spans"))
+    return materialize(by_row.mapInPandas(_merge, f"{PLACE}, spans array<struct<a:int,b:int>>"), "spans")
+
+
+@tidy
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pdf.assign(spans=[[{"a": a, "b": b} for a, b in merged(pieces)] for pieces in pdf["spans"]])
+        runs = [[{"a": int(x) >> 32, "b": int(x) & 0xFFFFFFFF} for x in pieces] for pieces in pdf["spans"]]
+        yield pdf.assign(spans=[[{"a": a, "b": b} for a, b in merged(pieces)] for pieces in runs])
 
 
 def merged(pieces: list) -> list[tuple[int, int]]:
@@ -288,11 +355,13 @@ def _cut(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(parts) + raw[at:]
 
 
-def _removed(docs: DataFrame, more: list[str], broadcast_rows: int, **parameters) -> DataFrame:
+def _removed(docs: DataFrame, broadcast_rows: int, **parameters) -> tuple[DataFrame, Column]:
+    """docs joined with the runs to remove of each row, null for none, and the column that has them."""
     found = spans(docs, broadcast_rows=broadcast_rows, **parameters)
-    keyed = docs.withColumns({"__did": F.coalesce("doc_id", F.lit(NO_ID)), "__th": F.hash(F.coalesce("text", F.lit("")))})
-    named = small(found.select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("spans").alias("__spans")), found.count(), broadcast_rows)
-    return keyed.join(named, ["__did", "__th"], "left").select(*more, "__spans")
+    weight = found.agg(F.coalesce(F.sum(F.size("spans") + 1), F.lit(0))).first()[0]
+    th, tk = text_keys(F.coalesce(docs["text"], F.lit("")))
+    on = (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == found["did"]) & (th == found["th"]) & (tk == found["tk"])
+    return docs.join(small(found, weight, broadcast_rows), on, "left"), found["spans"]
 
 
 def suffix_dedup(docs: DataFrame, broadcast_rows: int = 200_000, **parameters) -> DataFrame:
@@ -301,15 +370,16 @@ def suffix_dedup(docs: DataFrame, broadcast_rows: int = 200_000, **parameters) -
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for text, pieces in zip(pdf["text"], pdf["__spans"], strict=True):
+            for text, pieces in zip(pdf["text"], pdf["spans"], strict=True):
                 raw, runs = text.encode(), merged(pieces) if pieces is not None else []
                 out.append((len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_cut(raw, runs)).hexdigest()))
             made = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
             made.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
             yield made
 
-    rows = _removed(texts(docs), ["doc_id", "text"], broadcast_rows, **parameters)
-    return rows.mapInPandas(fold, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    docs = texts(docs)
+    rows, runs = _removed(docs, broadcast_rows, **parameters)
+    return rows.select(docs["doc_id"], docs["text"], runs.alias("spans")).mapInPandas(tidy(fold), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, broadcast_rows: int = 200_000, **parameters) -> DataFrame:
@@ -318,13 +388,14 @@ def without_repeats(docs: DataFrame, broadcast_rows: int = 200_000, **parameters
     Characters of which only some bytes went go whole; rows whose whole text went are left out, untouched rows stay
     as they are.
     """
-    names = docs.columns
-    rows = _removed(docs, names, broadcast_rows, **parameters)
-
+    rows, runs = _removed(docs, broadcast_rows, **parameters)
     cut = F.pandas_udf(lambda text, spans: pd.Series([_cut(t.encode(), merged(p)).decode("utf-8", "ignore") for t, p in zip(text, spans, strict=True)]), "string")
-    touched = F.col("__spans").isNotNull()
-    less = rows.withColumn("text", F.when(touched, cut(F.coalesce("text", F.lit("")), F.coalesce("__spans", F.array()))).otherwise(F.col("text")))
-    less = less.where(~touched | (F.length("text") > 0))
-    if "n_chars" in names:
-        less = less.withColumn("n_chars", F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return less.select(*names)
+    touched = runs.isNotNull()
+    less = cut(F.coalesce(docs["text"], F.lit("")), F.coalesce(runs, F.array()))
+    out = {c: docs[c] for c in docs.columns} | {"text": F.when(touched, less).otherwise(docs["text"])}
+    made = rows.select(*[c.alias(f"c{i}") for i, c in enumerate(out.values())], touched.alias("touched"))
+    at = {name: F.col(f"c{i}") for i, name in enumerate(out)}
+    made = made.where(~F.col("touched") | (F.length(at["text"]) > 0))
+    if "n_chars" in at:
+        at["n_chars"] = F.when(F.col("touched"), F.length(at["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(at["n_chars"])
+    return made.select(*[c.alias(name) for name, c in at.items()])
