@@ -39,17 +39,22 @@ def small(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def one_of_each(docs: DataFrame, marks: DataFrame, on: Column, broadcast_rows: int) -> DataFrame:
-    """docs without the rows that marks (joined by `on`; __id, __h, __kept, few) does not keep; of repeated ones it keeps, the least row."""
-    marks = materialize(marks, "marks")
-    repeats = marks.where("__kept").count()
-    few = small(marks, marks.count(), broadcast_rows)
+def one_of_each(docs: DataFrame, marks: DataFrame, text_key: Column, broadcast_rows: int) -> DataFrame:
+    """docs without the rows that marks (id, h, kept) does not keep; of repeated rows that it keeps, the least one.
+
+    A row is marked by its doc_id and by h, which text_key, an expression over docs, must equal. docs may have columns of
+    any names: all others are taken from the frame they belong to.
+    """
+    marks = materialize(marks.select("id", "h", "kept"), "marks")
+    repeats, count = marks.agg(F.count_if("kept"), F.count("*")).first()
+    on = docs["doc_id"].eqNullSafe(marks["id"]) & (text_key == marks["h"])
+    few = small(marks, count, broadcast_rows)
     if not repeats:
         return docs.join(few, on, "left_anti")
-    row = F.struct(*[docs[c] for c in docs.columns])
-    named = docs.join(few, on, "left").select(row.alias("row"), "__id", "__h", "__kept")
-    single = named.where(F.col("__kept").isNull()).select("row")
-    return single.unionAll(named.where("__kept").groupBy("__id", "__h").agg(F.min("row").alias("row")).select("row")).select("row.*")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    named = docs.join(few, on, "left").select(row, *[marks[c].alias(c) for c in ("id", "h", "kept")])
+    single = named.where(F.col("kept").isNull()).select("row")
+    return single.unionAll(named.where("kept").groupBy("id", "h").agg(F.min("row").alias("row")).select("row")).select("row.*")
 
 
 def tidy(fold: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonde.llm.common import WS, one_of_each, texts
+from sonde.llm.common import WS, one_of_each, texts, tidy
 from sonde.plans.lineage import materialize
 
 NO_ID = 2**63 - 1
@@ -124,7 +124,7 @@ def _runs(bits: int):
                 }
             )
 
-    return fold
+    return tidy(fold)
 
 
 def _compact(bits: int):
@@ -149,7 +149,7 @@ def _compact(bits: int):
         close()
         yield pd.DataFrame(done, columns=["sha", "least", "n"])
 
-    return fold
+    return tidy(fold)
 
 
 def groups(normal: DataFrame, digest_bits: int = 64) -> DataFrame:
@@ -184,7 +184,7 @@ def exact_dedup(docs: DataFrame, digest_bits: int = 64) -> DataFrame:
 
 def deduplicated(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     """docs without the copies: of equal texts one row with the smallest doc_id stays, the least where several have it."""
-    found = exact_dedup(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__h")).agg(F.first("kept").alias("__kept"), F.count("*").alias("n"))
-    marks = found.where(~F.col("__kept") | (F.col("n") > 1)).drop("n")
-    sha = F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), WS, " "), 256)
-    return one_of_each(docs, marks, docs["doc_id"].eqNullSafe(F.col("__id")) & (sha == F.col("__h")), broadcast_rows)
+    found = exact_dedup(docs).groupBy(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("h")).agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+    marks = found.where(~F.col("kept") | (F.col("n") > 1))
+    sha = F.unhex(F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), WS, " "), 256))
+    return one_of_each(docs, marks, sha, broadcast_rows)

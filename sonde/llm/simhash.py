@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonde.llm.common import lower_az, one_of_each, small, texts
+from sonde.llm.common import lower_az, one_of_each, small, texts, tidy
 from sonde.plans.components import components
 from sonde.plans.lineage import materialize
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
             fps = np.array([fingerprint(t.encode(), width) for t in pdf["text"]], dtype=np.uint64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
 
-    return texts(docs).withColumn("text", lower_az(F.col("text"))).mapInPandas(fold, "doc_id long, fp long")
+    return texts(docs).withColumn("text", lower_az(F.col("text"))).mapInPandas(tidy(fold), "doc_id long, fp long")
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -234,7 +234,7 @@ def _join_buckets(most: int, words: int):
             yield pd.DataFrame(out, columns=["a", "b"])
         yield pd.DataFrame(found(), columns=["a", "b"])
 
-    return fold
+    return tidy(fold)
 
 
 def near_pairs(classes: DataFrame, most: int, hot: int = 20_000) -> DataFrame:
@@ -279,7 +279,7 @@ def _sets(width: int):
                     }
                 )
 
-    return fold
+    return tidy(fold)
 
 
 def _prefixes(common: np.ndarray, rank: np.ndarray, share: tuple[int, int]):
@@ -307,7 +307,7 @@ def _prefixes(common: np.ndarray, rank: np.ndarray, share: tuple[int, int]):
                 if tokens:
                     yield pd.DataFrame({c: np.concatenate(v) for c, v in (("token", tokens), ("node", nodes), ("n", sizes), ("pos", places))})
 
-    return fold
+    return tidy(fold)
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, share: tuple[int, int], broadcast_rows: int) -> DataFrame:
@@ -403,10 +403,9 @@ def deduplicated(docs: DataFrame, broadcast_rows: int = 200_000, **parameters) -
 
     Of several texts with that id the one with the smallest hash stays, of repeated rows the least.
     """
-    found = near_groups(docs, **parameters).groupBy("component", F.col("doc_id").alias("__id"), F.col("th").alias("__h")).agg(F.count("*").alias("n"))
+    found = near_groups(docs, **parameters).groupBy("component", F.col("doc_id").alias("id"), F.col("th").alias("h")).agg(F.count("*").alias("n"))
     found = materialize(found, "members")
-    mine = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__h").alias("h"))
+    mine = F.struct(F.col("id").isNull().alias("none"), "id", "h")
     first = found.groupBy("component").agg(F.min(mine).alias("first"), F.sum("n").alias("rows")).where("rows > 1")
-    marks = found.join(first, "component").withColumn("__kept", mine.eqNullSafe(F.col("first"))).where(~F.col("__kept") | (F.col("n") > 1))
-    on = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__h"))
-    return one_of_each(docs, marks.select("__id", "__h", "__kept"), on, broadcast_rows)
+    marks = found.join(first, "component").withColumn("kept", mine.eqNullSafe(F.col("first"))).where(~F.col("kept") | (F.col("n") > 1))
+    return one_of_each(docs, marks, F.xxhash64(F.coalesce(docs["text"], F.lit(""))), broadcast_rows)
