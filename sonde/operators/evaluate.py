@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sonde.plans.lineage import materialize
+
 
 def auc(rows: DataFrame, score: str, positive: Column) -> DataFrame:
-    """(auc, n_pos, n_neg): P(positive > negative) + half of ties, from counts at each distinct score: no pairs are formed."""
-    from pyspark.sql import Window as W
+    """(auc, n_pos, n_neg): P(positive > negative) + half of ties, from counts at each distinct score: no pairs are formed.
 
+    Scores are partitioned by range; a running sum starts in each range from the sums of the ranges before it.
+    """
     by = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    won = by.withColumn("won", F.col("p") * (below + F.col("n") / 2))
+    ranged = materialize(by.repartitionByRange("s").withColumn("range", F.spark_partition_id()), "ranges")
+    # one row for each range
+    sums = ranged.groupBy("range").agg(F.sum("n").alias("n"))
+    before = sums.select("range", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("range").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    won = ranged.withColumn("inside", inside).join(F.broadcast(before), "range")
+    won = won.withColumn("won", F.col("p") * (F.col("base") + F.col("inside") + F.col("n") / 2))
     out = won.agg(F.sum("won").alias("won"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
     return out.select(F.round(F.try_divide(F.col("won"), F.col("n_pos") * F.col("n_neg")), 6).alias("auc"), "n_pos", "n_neg")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,33 +30,72 @@ def shared_pairs(held: DataFrame, actor: str, item: str, least_df: int = 2, most
 
 
 def hamming_pairs(rows: DataFrame, key: str, signature: str, most: int) -> DataFrame:
-    """(a, b, distance): pairs of 64-bit signatures at most `most` bits apart, exact, by agreement on one of most+1 bands."""
+    """(a, b, distance): pairs of classes of equal signatures at most `most` bits apart, each class named by its smallest key.
+
+    Exact, by agreement on one of most+1 bands. Members of a class come as pairs of its smallest key and theirs, at distance
+    0, so a class gives as many rows as it has members, not as many as it has pairs.
+    """
     edges = [64 * i // (most + 1) for i in range(most + 2)]
-    bands = F.array(*[F.shiftrightunsigned(signature, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)])
-    # one class per signature, so that copies do not multiply candidates
-    classes = rows.groupBy(signature).agg(F.collect_list(key).alias("keys"))
-    banded = classes.select(F.col(signature).alias("s"), F.posexplode(bands).alias("band", "value"))
-    other = banded.select(F.col("s").alias("t"), "band", "value")
-    near = banded.join(other, ["band", "value"]).where("s < t").where(F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= most).select("s", "t").distinct()
-    named = rows.select(F.col(key).alias("a"), F.col(signature).alias("s"))
-    across = near.join(named, "s").join(rows.select(F.col(key).alias("b"), F.col(signature).alias("t")), "t").select("a", "b", "s", "t")
-    same = named.join(rows.select(F.col(key).alias("b"), F.col(signature).alias("s")), "s").where("a < b").select("a", "b", "s", F.col("s").alias("t"))
-    both = across.unionByName(same)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.bit_count(F.col("s").bitwiseXOR(F.col("t"))).alias("distance"))
+    bands = F.array(*[F.shiftrightunsigned("s", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)])
+    classes = rows.groupBy(F.col(signature).alias("s")).agg(F.min(key).alias("least"))
+    banded = classes.select("s", "least", F.posexplode(bands).alias("band", "value"))
+    other = banded.select(F.col("s").alias("t"), F.col("least").alias("also"), "band", "value")
+    near = banded.join(other, ["band", "value"]).where("s < t").where(F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= most)
+    across = near.select(F.least("least", "also").alias("a"), F.greatest("least", "also").alias("b"), F.bit_count(F.col("s").bitwiseXOR(F.col("t"))).alias("distance")).distinct()
+    named = rows.select(F.col(key).alias("b"), F.col(signature).alias("s")).join(classes, "s").where("b <> least")
+    return across.unionByName(named.select(F.col("least").alias("a"), "b", F.lit(0).alias("distance")))
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest_vectors(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(query, key, cosine, rank): the k rows nearest to each query, a stated, small set of rows."""
-    normed = lambda df: df.withColumn("norm", F.sqrt(dot(F.col(vector), F.col(vector))))
-    q = normed(queries).select(F.col(key).alias("query"), F.col(vector).alias("qv"), F.col("norm").alias("qn"))
-    pairs = normed(rows).join(F.broadcast(q), F.col(key) != F.col("query"))
-    scored = pairs.select("query", key, F.round(dot(F.col("qv"), F.col(vector)) / (F.col("qn") * F.col("norm")), 6).alias("cosine"))
-    best = W.partitionBy("query").orderBy(F.desc("cosine"), key)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+def _nearest(names: np.ndarray, vectors: np.ndarray, k: int, step: int = 1024):
+    """Rows (key, vector) -> the k best rows of a task for each query of a block, by products of matrices."""
+
+    def best(held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values(["query", "cosine", "key"], ascending=[True, False, True])
+        return held.groupby("query", sort=False).head(k)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame({"query": pd.Series(dtype="int64"), "key": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
+        for pdf in batches:
+            for at in range(0, len(pdf), step):
+                part = pdf.iloc[at : at + step]
+                own, m = part["key"].to_numpy(dtype=np.int64), np.stack(part["vector"].to_numpy()).astype(np.float64)
+                cosine = np.round(vectors @ (m / np.linalg.norm(m, axis=1)[:, None]).T, 6)
+                cosine[names[:, None] == own[None, :]] = -np.inf
+                # all that tie with the k-th stay until keys decide
+                at_k = min(k, len(own)) - 1
+                floor = -np.partition(-cosine, at_k, axis=1)[:, at_k : at_k + 1]
+                q, i = np.nonzero((cosine >= floor) & (cosine > -np.inf))
+                held = best(pd.concat([held, pd.DataFrame({"query": names[q], "key": own[i], "cosine": cosine[q, i]})]))
+        yield held
+
+    return fold
+
+
+def nearest_vectors(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block_bytes: int = 8 << 20) -> DataFrame:
+    """(query, key, cosine, rank): the k rows nearest to each query, a stated set of rows.
+
+    Queries go out in blocks of at most block_bytes. A task keeps the k best of its rows for each query of a block, so
+    what is shuffled grows with the queries, not with the pairs.
+    """
+    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("v")).where("query is not null and v is not null")
+    count, width = q.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    blocks = max(1, -(-count * width * 8 // block_bytes))
+    found = None
+    for n in range(blocks):
+        some = q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n).toPandas()
+        if not len(some) and found is not None:
+            continue
+        m = np.stack(some["v"].to_numpy()).astype(np.float64) if len(some) else np.zeros((0, width))
+        names = some["query"].to_numpy(dtype=np.int64)
+        own = rows.select(F.col(key).alias("key"), F.col(vector).alias("vector")).where("key is not null and vector is not null")
+        part = own.mapInPandas(_nearest(names, m / np.linalg.norm(m, axis=1)[:, None], k), "query long, key long, cosine double")
+        found = part if found is None else found.unionAll(part)
+    best = W.partitionBy("query").orderBy(F.desc("cosine"), "key")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", F.col("key").alias(key), "cosine", "rank")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> DataFrame:

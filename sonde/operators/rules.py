@@ -221,8 +221,8 @@ def family_scores(evidence: DataFrame, key: str, signals: DataFrame, floor: floa
     against a family. Order: confidence, evidence, family name.
     """
     most = signals.where("weight > 0").groupBy("family").agg(F.sum("weight").alias("most"))
-    fired = evidence.distinct().join(F.broadcast(signals), "feature").groupBy(key, "family").agg(F.sum("weight").alias("sum"), F.count("*").alias("evidence"))
-    scored = fired.join(F.broadcast(most), "family").withColumn("confidence", F.round(F.greatest(F.lit(0.0), F.col("sum") / (F.col("most") + 2)), 4))
+    fired = evidence.distinct().join(signals, "feature").groupBy(key, "family").agg(F.sum("weight").alias("sum"), F.count("*").alias("evidence"))
+    scored = fired.join(most, "family").withColumn("confidence", F.round(F.greatest(F.lit(0.0), F.col("sum") / (F.col("most") + 2)), 4))
     best = W.partitionBy(key).orderBy(F.desc("confidence"), F.desc("evidence"), "family")
     return scored.withColumn("rn", F.row_number().over(best)).where((F.col("rn") == 1) & (F.col("confidence") >= floor)).select(key, "family", "confidence", "evidence")
 

@@ -109,12 +109,12 @@ def replied_in(spark, sf_dir):
     """Who acted in threads that others opened."""
     events = load(spark, sf_dir, "events")
     opened = events.groupBy("event_type").agg(F.min_by("user_id", "event_id").alias("op_actor"))
-    rows = events.where("value > 95").join(F.broadcast(opened), "event_type").where("op_actor <> user_id")
+    rows = events.where("value > 95").join(opened, "event_type").where("op_actor <> user_id")
     return rows.select("user_id", "op_actor", "event_type").distinct()
 
 
 PAIRS = """
-WITH own AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS item FROM lineitem), n AS (SELECT count(DISTINCT a) AS actors FROM own),
+WITH own AS (SELECT DISTINCT l_orderkey AS a, l_partkey * 5 + l_quantity::BIGINT % 5 AS item FROM lineitem), n AS (SELECT count(DISTINCT a) AS actors FROM own),
 df AS (SELECT item, count(*) AS df FROM own GROUP BY 1 HAVING count(*) BETWEEN 2 AND 15), p AS (SELECT a, item, ln((actors + 1) / (df + 1)) + 1 AS w FROM own JOIN df USING (item), n),
 t AS (SELECT a, sum(w) AS total FROM p GROUP BY 1), b AS (SELECT x.a, y.a AS b, sum(x.w) AS both_w, list_sort(list(x.item)) AS shared FROM p x JOIN p y ON x.item = y.item AND x.a < y.a GROUP BY 1, 2),
 s AS (SELECT b.a, b.b, both_w / (ta.total + tb.total - both_w) AS raw, shared FROM b JOIN t ta ON ta.a = b.a JOIN t tb ON tb.a = b.b)
@@ -122,7 +122,8 @@ s AS (SELECT b.a, b.b, both_w / (ta.total + tb.total - both_w) AS raw, shared FR
 
 
 def _shared(spark, sf_dir):
-    return ops.shared_pairs(load(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+    rows = load(spark, sf_dir, "lineitem").withColumn("item", F.col("l_partkey") * 5 + F.col("l_quantity").cast("long") % 5)
+    return ops.shared_pairs(rows, "l_orderkey", "item")
 
 
 @query(PAIRS + "SELECT a, b, round(raw, 4) AS score, len(shared) AS n_shared, shared[1] AS first_shared FROM s WHERE raw >= 0.15")
@@ -154,7 +155,7 @@ def crews(spark, sf_dir):
     CREWS
     + """, f AS (SELECT c.crew, e.* FROM e JOIN c ON c.node = e.a), k AS (SELECT crew, item, count(*) AS n FROM (SELECT crew, unnest(shared) AS item FROM f) GROUP BY 1, 2),
 top AS (SELECT crew, item FROM (SELECT *, row_number() OVER (PARTITION BY crew ORDER BY n DESC, item) AS rn FROM k) WHERE rn = 1),
-m AS (SELECT crew, substr(sha256(string_agg(node::VARCHAR, ',' ORDER BY node)), 1, 16) AS members_key, count(*) AS members FROM c GROUP BY 1)
+m AS (SELECT crew, (sum(('0x' || substr(md5(node::VARCHAR), 1, 8))::BIGINT)::BIGINT || '-' || sum(('0x' || substr(md5(node::VARCHAR), 9, 8))::BIGINT)::BIGINT) AS members_key, count(*) AS members FROM c GROUP BY 1)
 SELECT m.crew, m.members, (SELECT count(*) FROM f WHERE f.crew = m.crew) AS edges, (SELECT max(score) FROM f WHERE f.crew = m.crew) AS best, top.item AS top_item, members_key,
        m.members >= 8 AND (SELECT max(score) FROM f WHERE f.crew = m.crew) >= 0.8 AS opens_case FROM m JOIN top USING (crew)
 """
@@ -167,15 +168,18 @@ def crew_profiles(spark, sf_dir):
     sums = inside.groupBy("crew").agg(F.count("*").alias("edges"), F.max("score").alias("best"))
     items = inside.select("crew", F.explode("shared").alias("item")).groupBy("crew", "item").agg(F.count("*").alias("n"))
     top = items.groupBy("crew").agg(F.min_by("item", F.struct((-F.col("n")).alias("n"), "item")).alias("top_item"))
-    key = F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("a")), ","), 256), 1, 16)
+    # a key of the members in any order, from sums, so that no component is gathered
+    part = lambda i: F.sum(F.conv(F.substring(F.md5(F.col("a").cast("string")), i, 8), 16, 10).cast("long"))
+    key = F.concat_ws("-", part(1), part(9))
     members = by_node.groupBy("crew").agg(F.count("*").alias("members"), key.alias("members_key"))
     rows = members.join(sums, "crew").join(top, "crew")
     return rows.withColumn("opens_case", (F.col("members") >= 8) & (F.col("best") >= 0.8)).select("crew", "members", "edges", "best", "top_item", "members_key", "opens_case")
 
 
 SIGNATURE_SQL = """
-WITH s AS (SELECT c_custkey AS k, (c_custkey * 40503 % 65536) * 65536 + c_nationkey * 2049 AS sig FROM customer)
-SELECT a.k AS a, b.k AS b, bit_count(xor(a.sig, b.sig))::INTEGER AS distance FROM s a JOIN s b ON a.k < b.k WHERE bit_count(xor(a.sig, b.sig)) <= 3
+WITH s AS (SELECT c_custkey AS k, (c_custkey * 40503 % 65536) * 65536 + c_nationkey * 2049 AS sig FROM customer), c AS (SELECT sig, min(k) AS k FROM s GROUP BY 1)
+SELECT a.k AS a, b.k AS b, bit_count(xor(a.sig, b.sig))::INTEGER AS distance FROM c a JOIN c b ON a.k < b.k WHERE bit_count(xor(a.sig, b.sig)) <= 3
+UNION ALL SELECT c.k, s.k, 0 FROM s JOIN c USING (sig) WHERE s.k <> c.k
 """
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sonde.functions import text as tx
 from sonde.functions import vectorised as vx
-from sonde.operators import evaluate, features, linking, rules
+from sonde.operators import evaluate, extract, features, linking, rules
 from sonde.plans.components import components
 
 
@@ -75,12 +76,63 @@ def test_quiet_span(spark, hours, wanted):
     assert (row["quiet_start"], row["quiet_hours"]) == wanted
 
 
-def test_hamming_pairs_are_all_pairs(spark):
+def test_hamming_pairs_are_all_pairs_of_classes(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(63) for _ in range(6)]
     items = [(i, base[i % 6] ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63))) for i in range(40)]
-    found = {(r["a"], r["b"], r["distance"]) for r in linking.hamming_pairs(spark.createDataFrame(items, "k long, sig long"), "k", "sig", 3).collect()}
-    assert found == {(a, b, bin(x ^ y).count("1")) for a, x in items for b, y in items if a < b and bin(x ^ y).count("1") <= 3}
+    items += [(100 + i, items[i][1]) for i in range(10)] + [(200, items[0][1])]
+    least = {}
+    for k, x in items:
+        least[x] = min(k, least.get(x, k))
+    found = [(r["a"], r["b"], r["distance"]) for r in linking.hamming_pairs(spark.createDataFrame(items, "k long, sig long"), "k", "sig", 3).collect()]
+    wanted = {(min(a, b), max(a, b), bin(x ^ y).count("1")) for x, a in least.items() for y, b in least.items() if a != b and bin(x ^ y).count("1") <= 3}
+    assert sorted(found) == sorted(wanted | {(least[x], k, 0) for k, x in items if k != least[x]})
+
+
+def test_nearest_vectors_in_several_blocks(spark):
+    rng = np.random.default_rng(6)
+    vectors = np.round(rng.normal(size=(300, 8)), 1)
+    vectors[40] = vectors[41] = vectors[50]  # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "k long, v array<double>").repartition(3)
+    found = linking.nearest_vectors(df.where("k % 50 = 0"), df, "k", "v", 5, block_bytes=100).collect()
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    cosine = np.round(unit @ unit.T, 6)
+    wanted = [(q, k, r + 1) for q in range(0, 300, 50) for r, k in enumerate(sorted((k for k in range(300) if k != q), key=lambda k: (-cosine[q, k], k))[:5])]
+    assert sorted((r["query"], r["k"], r["rank"]) for r in found) == sorted(wanted)
+
+
+def test_auc_of_continuous_scores(spark):
+    rng = random.Random(8)
+    data = [(rng.choice((rng.random(), 0.5)), rng.random() < 0.4) for _ in range(400)]
+    row = evaluate.auc(spark.createDataFrame(data, "s double, y boolean").repartition(3), "s", F.col("y")).first()
+    up, down = [s for s, y in data if y], [s for s, y in data if not y]
+    assert row["auc"] == round(sum((a > b) + (a == b) / 2 for a in up for b in down) / len(up) / len(down), 6)
+
+
+def test_signals_with_look_alikes_and_gates(spark):
+    """Every gate lets through what its pattern finds."""
+    texts = {
+        "deface_banner": "OwNed BY us", "onion_url": "a" * 16 + ".ONION", "cred_combo": "a@b.cc:pass1", "compromise_confirmed": "Got ROOT", "check_host": "check-host.net/check-report/x1",
+        "ddos_command": "\n/Attack 1.2.3.4", "crew_tag_cluster": "#ab #cd", "leak_label": "Base de datos", "cloud_pass": "Pass: @chan1", "cred_label": "Usuario: x Clave:",
+        "target_dump_file": "x.example.TAR.GZ", "leak_host": "MEGA.nz", "sale_marker": "For Sale", "access_material": "RDP", "telecom_abuse": "Sender ID", "session_id": "05" + "a" * 64,
+        "pii_schema": "DOB, SSN, CVV, x", "institutional_target": "x.GOB.mx", "cve": "CVE-2020-12345", "eth_addr": "0X" + "a" * 40, "ipv4": "10.0.0.1", "tg_target": "T.ME/abcd", "dm_contact": "DM abc",
+    }
+    assert set(texts) == set(rules.NEEDS)
+    df = spark.createDataFrame(list(texts.items()), "name string, body string")
+    found = {r["name"]: r["names"] for r in df.select("name", rules.weighted(F.col("body"))[1].alias("names")).collect()}
+    assert all(name in names for name, names in found.items())
+    disguised = spark.createDataFrame([("раss: @chan1",)], "body string")  # Cyrillic er and a
+    assert disguised.select(F.array_join(rules.weighted(tx.fold_look_alikes(F.col("body")))[1], ",")).first()[0] == "cloud_pass,tg_target"
+
+
+def test_indicator_places(spark):
+    body = "see @Abcd_1, y@abcd.org and @ABCD_1 @admin " + "A" * 76
+    found = extract.indicators(spark.createDataFrame([(1, body), (2, None), (3, "")], "k int, body string"), "k", "body").collect()
+    assert {(r["kind"], r["value"], r["raw"], r["at"]) for r in found} == {
+        ("handle_other_platform", "abcd_1", "Abcd_1", 5),
+        ("email", "y@abcd.org", "y@abcd.org", 13),
+        ("tox", "a" * 76, "A" * 76, 43),
+    }
 
 
 def test_folder_predicates(spark):
