@@ -76,24 +76,26 @@ def cosine(a: dict[str, float], b: dict[str, float]) -> float:
     return dot / norm if norm else 0.0
 
 
-def impostors(a: str, b: str, others: list[str], rounds: int = 100, seed: int = 17) -> tuple[float, float]:
-    """(score, confidence): how often b is nearer to a than every impostor, on random halves of random kinds of features.
+def impostors(a: list[str], b: list[str], others: list[list[str]], rounds: int = 100, seed: int = 20260523, least: int = 2) -> tuple[float, float]:
+    """(score, confidence): how often the messages b are nearer to a than those of every impostor.
 
-    Without impostors: the mean cosine over the kinds, and confidence 0.3.
+    Each round takes words or character trigrams, and of every author half as many messages, drawn with replacement.
+    Fewer than `least` messages on a side: (0, 0). Without impostors: the mean cosine over both kinds, and confidence 0.3.
     """
     kinds = (lambda t: Counter(t.lower().split()), lambda t: Counter(t.lower()[i : i + 3] for i in range(len(t) - 2)))
-    bags = [[kind(t) for t in (a, b, *others)] for kind in kinds]
-    if not others:
-        return sum(cosine(x[0], x[1]) for x in bags) / len(bags), 0.3
+    if len(a) < least or len(b) < least:
+        return 0.0, 0.0
+    authors = [a, b, *(o for o in others if o)]
+    # a message is counted once for each kind; a draw adds counts up
+    counted = [[[kind(t) for t in messages] for messages in authors] for kind in kinds]
+    if len(authors) == 2:
+        return sum(cosine(*(sum(bags, Counter()) for bags in kind)) for kind in counted) / len(kinds), 0.3
     rng, wins = random.Random(seed), 0
     for _ in range(rounds):
-        bag = bags[rng.randrange(len(bags))]
-        names = sorted(set().union(*bag[:2]))
-        keep = set(rng.sample(names, len(names) // 2)) if names else set()
-        part = [{k: v for k, v in x.items() if k in keep} for x in bag]
-        own = cosine(part[0], part[1])
-        wins += all(own > cosine(part[0], x) for x in part[2:])
-    return wins / rounds, min(1.0, len(others) / 10)
+        kind = counted[rng.randrange(len(kinds))]
+        drawn = [sum(rng.choices(bags, k=max(1, len(bags) // 2)), Counter()) for bags in kind]
+        wins += cosine(drawn[0], drawn[1]) > max(cosine(drawn[0], x) for x in drawn[2:])
+    return wins / rounds, 1.0
 
 
 #: The alphabets and constants of the address formats.
