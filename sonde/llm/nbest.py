@@ -12,42 +12,61 @@ pieces of its UTF-8 form. Decoding restores the text exactly, save that a mark w
 
 Defined results: null text is the empty text, which has one segmentation of no pieces; fewer than n segmentations give
 as many scores as there are; repeated rows are encoded each; an empty table gives an empty result; other columns are
-not read. Equal scores keep the order of the search.
+not read. Equal scores come in the order of the search, which goes on with what is nearest to the front.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from sonde.llm.common import texts
+from sonde.llm.common import texts, tidy
 from sonde.llm.pieces import MARK, Pieces, edges
 
 UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Units longer than this take the scalar way, so that one of them does not widen a whole array.
 LONG = 40
-Segmentation = tuple[float, tuple[int, ...]]
+Segmentation = tuple[float, tuple[int, ...] | np.ndarray]
 
 
 def marked(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
+class Numbers(dict):
+    """Units -> numbers in the order they are met; a key without a mark stands for one mark and the key."""
+
+    def __missing__(self, unit: str) -> int:
+        found = self[unit] = len(self)
+        return found
+
+    def of(self, text: str) -> list[int]:
+        parts = text.split(" ")
+        if "" in parts or MARK in text:  # more than one mark before a unit
+            parts = UNIT.findall(marked(text))
+        return list(map(self.__getitem__, parts))
+
+
 def lattice(pieces: Pieces, unit: str) -> list[list[tuple[int, int, float]]]:
     """For each end position: (start, piece number or -1, score) of the edges that end there."""
     out: list[list[tuple[int, int, float]]] = [[]]
+    number, weight, longest = pieces.number.get, pieces.weight, pieces.longest
     for end in range(1, len(unit) + 1):
         row = []
-        for start in range(max(0, end - pieces.longest), end):
-            piece = pieces.number.get(unit[start:end], -1)
-            if piece >= 0 or start == end - 1:
-                row.append((start, piece, pieces.scores[piece] if piece >= 0 else pieces.unknown))
+        for start in range(max(0, end - longest), end):
+            piece = number(unit[start:end])
+            if piece is not None:
+                row.append((start, piece, weight[piece]))
+            elif start == end - 1:
+                row.append((start, -1, pieces.unknown))
         out.append(row)
     return out
 
@@ -55,14 +74,15 @@ def lattice(pieces: Pieces, unit: str) -> list[list[tuple[int, int, float]]]:
 def search(pieces: Pieces, unit: str, n: int) -> list[Segmentation]:
     """The n best (score, piece numbers), -1 standing for an unknown character."""
     ends = lattice(pieces, unit)
-    ahead = [0.0] + [-np.inf] * len(unit)
+    ahead = [0.0] + [-math.inf] * len(unit)
     for end in range(1, len(unit) + 1):
         ahead[end] = max(ahead[start] + score for start, _, score in ends[end])
     found: list[Segmentation] = []
-    heap = [(-ahead[-1], 0, len(unit), 0.0, None)]
+    # of equal scores, told apart up to rounding, the path that has come furthest goes first
+    heap = [(-round(ahead[-1], 9), len(unit), 0, 0.0, None)]
     pushed = 0
     while heap and len(found) < n:
-        _, _, at, tail, path = heapq.heappop(heap)
+        _, at, _, tail, path = heapq.heappop(heap)
         if at == 0:
             steps = []
             while path:
@@ -72,12 +92,12 @@ def search(pieces: Pieces, unit: str, n: int) -> list[Segmentation]:
             continue
         for start, piece, score in ends[at]:
             pushed += 1
-            heapq.heappush(heap, (-(ahead[start] + score + tail), pushed, start, score + tail, (piece, path)))
+            heapq.heappush(heap, (-round(ahead[start] + score + tail, 9), start, pushed, score + tail, (piece, path)))
     return found
 
 
-def viterbi(pieces: Pieces, units: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Best and second-best scores of each unit, and the piece numbers of the best segmentation."""
+def viterbi(pieces: Pieces, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Best and second-best score of each unit, the number of pieces of its best segmentation, and those of all, in a row."""
     n, width = len(units), max(map(len, units), default=0)
     lengths = np.fromiter(map(len, units), dtype=np.int64, count=n)
     best, second = np.full((n, width + 1), -np.inf), np.full((n, width + 1), -np.inf)
@@ -92,18 +112,15 @@ def viterbi(pieces: Pieces, units: list[str]) -> tuple[np.ndarray, np.ndarray, l
         second[rows, end] = np.maximum(np.maximum(low, two), np.minimum(one, old))
         best[rows[win], end], back[rows[win], end], piece[rows[win], end] = one[win], length, found[win]
     own = np.arange(n)
-    steps: list[list[np.ndarray]] = []
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
     at = lengths.copy()
     while (at > 0).any():
-        live = at > 0
-        steps.append([own[live], piece[own[live], at[live]]])
-        at[live] -= back[own[live], at[live]]
-    if not steps:
-        return best[own, lengths], second[own, lengths], [np.zeros(0, np.int32)] * n
-    order = np.concatenate([r for r, _ in reversed(steps)])
-    flat = np.concatenate([p for _, p in reversed(steps)])[np.argsort(order, kind="stable")]
-    sizes = np.bincount(order, minlength=n)
-    return best[own, lengths], second[own, lengths], np.split(flat, np.cumsum(sizes)[:-1])
+        live = np.flatnonzero(at > 0)
+        steps.append((live, piece[live, at[live]]))
+        at[live] -= back[live, at[live]]
+    order = np.concatenate([own[:0], *[r for r, _ in reversed(steps)]])
+    flat = np.concatenate([np.zeros(0, np.int32), *[p for _, p in reversed(steps)]])[np.argsort(order, kind="stable")]
+    return best[own, lengths], second[own, lengths], np.bincount(order, minlength=n), flat
 
 
 def merge(parts: list[list[Segmentation]], n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -115,14 +132,12 @@ def merge(parts: list[list[Segmentation]], n: int) -> list[tuple[float, tuple[in
     return found
 
 
-def to_ids(pieces: Pieces, unit: str, numbers: np.ndarray) -> list[int]:
+def to_ids(pieces: Pieces, unit: str, numbers: Iterable[int]) -> list[int]:
     """Vocabulary ids; unknown characters become byte pieces."""
-    if len(numbers) and numbers.min() >= 0:
-        return pieces.ids[numbers].tolist()
     out, at = [], 0
-    for k in numbers.tolist():
+    for k in numbers:
         if k >= 0:
-            out.append(int(pieces.ids[k]))
+            out.append(pieces.id[k])
             at += len(pieces.text[k])
         else:
             out += [pieces.bytes[b] for b in unit[at].encode()]
@@ -133,68 +148,102 @@ def to_ids(pieces: Pieces, unit: str, numbers: np.ndarray) -> list[int]:
 class Decoder:
     def __init__(self, pieces: Pieces) -> None:
         size = int(max(pieces.ids.max(), max(pieces.bytes.values()))) + 1
-        self.raw = np.full(size, b"", dtype=object)
-        self.raw[pieces.ids] = [t.replace(MARK, " ").encode() for t in pieces.text]
+        self.raw = [b""] * size
+        for i, t in zip(pieces.ids.tolist(), pieces.text, strict=True):
+            self.raw[i] = t.replace(MARK, " ").encode()
         for b, i in pieces.bytes.items():
             self.raw[i] = bytes([b])
 
     def __call__(self, ids: np.ndarray) -> str:
         """The text whose ids these are (texts hold no mark of their own)."""
-        return b"".join(self.raw[ids].tolist()).decode()[1:]
+        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode()[1:]
 
 
 class Encoder:
-    """Texts -> (ids of the best segmentation, scores of the n best)."""
+    """Texts -> their n best segmentations. What is known of units is kept, for about `most` of them."""
 
-    def __init__(self, model_path: str, n: int, most: int = 200_000) -> None:
+    def __init__(self, model_path: str, n: int, most: int = 300_000) -> None:
         self.pieces, self.n, self.most = Pieces(model_path), n, most
-        self.known: dict[str, list[Segmentation]] = {}
-
-    def _alternatives(self, unit: str) -> list[Segmentation]:
-        found = self.known.get(unit)
-        if found is None:
-            if len(self.known) > self.most:
-                self.known.clear()
-            found = self.known[unit] = search(self.pieces, unit, self.n)
-        return found
-
-    def best(self, units: list[str]) -> dict[str, tuple[float, float, list[int]]]:
-        """unit -> (best score, second-best score, ids of the best)."""
-        out = {}
-        short = sorted((u for u in units if len(u) <= LONG), key=len)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number, self.units = Numbers(), []
+        self.others: dict[int, list[Segmentation]] = {}
+        # of each unit: best score, second-best score, place and number of the best ids in flat
+        self.one, self.two = np.zeros(0), np.zeros(0)
+        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _learn(self, units: list[str]) -> None:
+        """Segment units, the numbers of which follow those of the units known."""
+        own = np.array([len(u) for u in units], dtype=np.int64)
+        order = np.argsort(own, kind="stable").tolist()
+        first_long = int((own <= LONG).sum())
+        short, parts = [units[i] for i in order[:first_long]], []
         for at in range(0, len(short), 20_000):
             some = short[at : at + 20_000]
-            one, two, numbers = viterbi(self.pieces, some)
-            for u, a, b, k in zip(some, one.tolist(), two.tolist(), numbers, strict=True):
-                out[u] = (a, b, to_ids(self.pieces, u, k))
-        for u in (u for u in units if len(u) > LONG):
+            one, two, size, numbers = viterbi(self.pieces, some)
+            ids = np.append(self.pieces.ids, -1)[numbers].astype(np.int32)
+            if len(numbers) and numbers.min() < 0:  # units with unknown characters, which become bytes
+                ends = np.cumsum(size)
+                spelled = {int(i): to_ids(self.pieces, some[i], numbers[ends[i] - size[i] : ends[i]].tolist()) for i in np.unique(np.searchsorted(ends, np.flatnonzero(numbers < 0), side="right"))}
+                cut = [np.array(spelled[i], dtype=np.int32) if i in spelled else ids[e - s : e] for i, (e, s) in enumerate(zip(ends.tolist(), size.tolist(), strict=True))]
+                size, ids = np.array([len(c) for c in cut]), np.concatenate(cut)
+            parts.append((one, two, size, ids))
+        for u in (units[i] for i in order[first_long:]):
             found = search(self.pieces, u, 2)
-            out[u] = (found[0][0], found[1][0] if len(found) > 1 else -np.inf, to_ids(self.pieces, u, np.array(found[0][1])))
-        return out
+            ids = np.array(to_ids(self.pieces, u, found[0][1]), dtype=np.int32)
+            parts.append(([found[0][0]], [found[1][0] if len(found) > 1 else -np.inf], [len(ids)], ids))
+        if parts:
+            one, two, size, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+            place = np.empty(len(units), dtype=np.int64)
+            place[order] = np.arange(len(units))
+            start = np.cumsum(size) - size + len(self.flat)
+            self.one, self.two = np.concatenate([self.one, one[place]]), np.concatenate([self.two, two[place]])
+            self.start, self.size = np.concatenate([self.start, start[place]]), np.concatenate([self.size, size[place]])
+            self.flat = np.concatenate([self.flat, ids])
+
+    def _alternatives(self, number: int) -> list[Segmentation]:
+        """A unit's n best as (score, ids), that of Viterbi first: the search may have an equal one before it."""
+        found = self.others.get(number)
+        if found is None:
+            unit = self.units[number]
+            best = self.flat[self.start[number] : self.start[number] + self.size[number]]
+            ids = [(score, np.array(to_ids(self.pieces, unit, p), dtype=np.int32)) for score, p in search(self.pieces, unit, self.n)]
+            found = [(float(self.one[number]), best), *(x for x in ids if not np.array_equal(x[1], best))][: self.n]
+            self.others[number] = found
+        return found
 
     def segmentations(self, texts_: list[str]) -> Iterator[list[tuple[float, np.ndarray]]]:
         """For each text its n best (score, ids), best first."""
-        split = [UNIT.findall(marked(t)) for t in texts_]
-        best = self.best(list({u for units in split for u in units}))
+        if len(self.number) > self.most:
+            self._forget()
+        split, known = [self.number.of(t) if t else [] for t in texts_], len(self.one)
+        self.units += [u if u.startswith(MARK) else MARK + u for u in islice(self.number, known, None)]
+        self._learn(self.units[known:])
+        every = np.fromiter(chain.from_iterable(split), dtype=np.int64)
+        size = self.size[every]
+        ends = np.cumsum(size)
+        flat = self.flat[np.repeat(self.start[every] - (ends - size), size) + np.arange(int(size.sum()))]
+        gap, one, at = self.one[every] - self.two[every], self.one[every], 0
         for units in split:
-            known = [best[u] for u in units]
-            total = sum(k[0] for k in known)
-            gaps = heapq.nsmallest(self.n - 1, range(len(units)), key=lambda i: known[i][0] - known[i][1])
-            alternatives = [self._by_ids(units[i], known[i]) for i in gaps]
-            parts = [[(s - known[i][0], ids) for s, ids in found] for i, found in zip(gaps, alternatives, strict=True)]
+            here = slice(at, at + len(units))
+            first = int(ends[at] - size[at]) if units else 0
+            ids = flat[first : int(ends[here.stop - 1])] if units else flat[:0]
+            total = float(one[here].sum())
+            chosen = (np.argsort(gap[here], kind="stable")[: self.n - 1]).tolist()
+            found = [self._alternatives(units[i]) for i in chosen]
+            parts = [[(score - alternatives[0][0], other) for score, other in alternatives] for alternatives in found]
             out = []
-            for gap, chosen in merge(parts, self.n):
-                ids = [k[2] for k in known]
-                for i, found, c in zip(gaps, alternatives, chosen, strict=True):
-                    ids[i] = found[c][1]
-                out.append((total + gap, np.array([i for unit in ids for i in unit], dtype=np.int64)))
+            for more, picks in merge(parts, self.n):
+                cuts = sorted((int(ends[at + i] - size[at + i]) - first, int(ends[at + i]) - first, found[k][pick][1]) for k, (i, pick) in enumerate(zip(chosen, picks, strict=True)) if pick)
+                spans, done = [], 0
+                for a, b, other in cuts:
+                    spans += [ids[done:a], other]
+                    done = b
+                out.append((total + more, np.concatenate([*spans, ids[done:]]) if spans else ids))
+            at = here.stop
             yield out
 
-    def _by_ids(self, unit: str, known: tuple[float, float, list[int]]) -> list[tuple[float, list[int]]]:
-        """A unit's alternatives as ids, that of Viterbi first: the search may have an equal one before it."""
-        found = [(s, to_ids(self.pieces, unit, np.array(p, dtype=np.int64))) for s, p in self._alternatives(unit)]
-        return [(known[0], known[2]), *(x for x in found if x[1] != known[2])][: self.n]
-
     def nbest(self, texts_: list[str]) -> Iterator[tuple[np.ndarray, list[float]]]:
         for found in self.segmentations(texts_):
             yield found[0][1], [score for score, _ in found]
@@ -218,11 +267,11 @@ def encode(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
                         "ids_crc32": [zlib.crc32(ids.astype("<u4").tobytes()) for ids in best],
                         "scores": [[score for score, _ in segmentations] for segmentations in found],
                         "decoded": [decoder(ids) == text.replace(MARK, " ") for ids, text in zip(best, part["text"], strict=True)],
-                        "ids": [[ids.astype(np.int32) for _, ids in segmentations] for segmentations in found],
+                        "ids": [[ids for _, ids in segmentations] for segmentations in found],
                     }
                 )
 
-    return texts(docs).mapInPandas(fold, "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, decoded boolean, ids array<array<int>>")
+    return texts(docs).mapInPandas(tidy(fold), "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, decoded boolean, ids array<array<int>>")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -234,4 +283,4 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
             texts_ = [[decoder(np.asarray(ids, dtype=np.int64)) for ids in found] for found in pdf["ids"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "texts": texts_})
 
-    return encoded.select("doc_id", "ids").mapInPandas(fold, "doc_id long, texts array<string>")
+    return encoded.select("doc_id", "ids").mapInPandas(tidy(fold), "doc_id long, texts array<string>")

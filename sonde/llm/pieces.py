@@ -27,6 +27,8 @@ class Pieces:
         weight = 1.0 / (order + 2.0)
         self.scores = np.log(weight / weight.sum())
         self.unknown = float(self.scores.min()) - 10.0
+        # the same as plain lists, for work on single units
+        self.weight, self.id = self.scores.tolist(), plain
         self.longest = max(map(len, self.text))
         self.number = {t: i for i, t in enumerate(self.text)}
         self.bytes = {b: i for i in range(model.get_piece_size()) if model.is_byte(i) for b in [int(model.id_to_piece(i)[3:5], 16)]}
