@@ -25,11 +25,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonde.llm.common import lower_az, one_of_each, small, texts, tidy
+from sonde.llm.common import one_of_each, small, texts, tidy
 from sonde.plans.components import components
 from sonde.plans.lineage import materialize
 
 BITS = 64
+CELLS = 512
 NO_ID = 2**63 - 1
 
 
@@ -62,10 +63,10 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fps = np.array([fingerprint(t.encode(), width) for t in pdf["text"]], dtype=np.uint64)
+            fps = np.array([fingerprint(t.encode().lower(), width) for t in pdf["text"]], dtype=np.uint64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
 
-    return texts(docs).withColumn("text", lower_az(F.col("text"))).mapInPandas(tidy(fold), "doc_id long, fp long")
+    return texts(docs).mapInPandas(tidy(fold), "doc_id long, fp long")
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -259,14 +260,56 @@ def near_dedup(docs: DataFrame, width: int = 4, most: int = 4, hot: int = 20_000
     )
 
 
-def _sets(width: int):
-    """Rows -> th, key (of the set), fp (its SimHash), n and shingles: the distinct shingle hashes in ascending order."""
+def _hashes(part: pd.DataFrame, width: int) -> list[np.ndarray]:
+    return [shingle_hashes(t.encode().lower(), width) for t in part["text"]]
+
+
+def _often(width: int, chunk: int = 1 << 20):
+    """Texts -> (token, often): shingles met more than once among about `chunk` distinct ones of some texts."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+
+        def flush() -> pd.DataFrame:
+            token, n = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame({"token": token[n > 1].view(np.int64), "often": n[n > 1]})
+
+        for pdf in batches:
+            for at in range(0, len(pdf), 200):
+                held += [np.unique(h) for h in _hashes(pdf.iloc[at : at + 200], width)]
+                size = sum(map(len, held))
+                if size > chunk:
+                    yield flush()
+                    held = []
+        if held:
+            yield flush()
+
+    return tidy(fold)
+
+
+def _prefixes(width: int, common: np.ndarray, rank: np.ndarray, share: tuple[int, int]):
+    """Texts -> key (of the set of shingles), fp (its SimHash), n (distinct shingles), prefix, the first of them, and cells.
+
+    cells: how many shingles have each value of some bits; what two sets share in a cell is at most the lesser number.
+
+    Sets alike by num/den or more share one of their first n - ceil(n * num / den) + 1 shingles, whatever the order; here
+    the common ones (sorted, ranked) stand last.
+    """
+    num, den = share
+
+    def prefix(held: np.ndarray) -> np.ndarray:
+        n, first = len(held), len(held) - -(-len(held) * num // den) + 1
+        if not n:
+            return held
+        where = np.minimum(np.searchsorted(common, held), max(len(common) - 1, 0))
+        late = np.where(common[where] == held, rank[where], 0) if len(common) else np.zeros(n, np.int64)
+        return held[np.lexsort((held, late))[:first]]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 200):
                 part = pdf.iloc[at : at + 200]
-                hashes = [shingle_hashes(t.encode(), width) for t in part["text"]]
+                hashes = _hashes(part, width)
                 sets = [np.unique(h) for h in hashes]
                 yield pd.DataFrame(
                     {
@@ -275,50 +318,57 @@ def _sets(width: int):
                         "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
                         "fp": np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64),
                         "n": [len(s) for s in sets],
-                        "shingles": [s.view(np.int64) for s in sets],
+                        "prefix": [prefix(s.view(np.int64)) for s in sets],
+                        "cells": [np.minimum(np.bincount((s >> np.uint64(20) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 32767).astype(np.int16) for s in sets],
                     }
                 )
 
     return tidy(fold)
 
 
-def _prefixes(common: np.ndarray, rank: np.ndarray, share: tuple[int, int]):
-    """node, shingles -> (token, node, n, pos): the first shingles of each set, the common ones (sorted, ranked) standing last.
-
-    Sets alike by num/den or more share one of their first n - ceil(n * num / den) + 1 shingles, whatever the order.
-    """
-    num, den = share
+def _shingles(width: int):
+    """Texts with their node -> node, shingles: the distinct hashes in ascending order."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 200):
-                tokens, nodes, sizes, places = [], [], [], []
-                for node, held in zip(pdf["node"].iloc[at : at + 200], pdf["shingles"].iloc[at : at + 200], strict=True):
-                    held = np.asarray(held, dtype=np.int64)
-                    n, first = len(held), len(held) - -(-len(held) * num // den) + 1
-                    if not n:
-                        continue
-                    where = np.minimum(np.searchsorted(common, held), max(len(common) - 1, 0))
-                    late = np.where(common[where] == held, rank[where], 0) if len(common) else np.zeros(n, np.int64)
-                    tokens.append(held[np.lexsort((held, late))[:first]])
-                    nodes.append(np.full(first, node))
-                    sizes.append(np.full(first, n))
-                    places.append(np.arange(first))
-                if tokens:
-                    yield pd.DataFrame({c: np.concatenate(v) for c, v in (("token", tokens), ("node", nodes), ("n", sizes), ("pos", places))})
+                part = pdf.iloc[at : at + 200]
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "shingles": [np.unique(h).view(np.int64) for h in _hashes(part, width)]})
 
     return tidy(fold)
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, share: tuple[int, int], broadcast_rows: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have a Jaccard similarity of num/den or more, computed in full."""
+def _alike(pairs: DataFrame, source: DataFrame, firsts: DataFrame, width: int, share: tuple[int, int], broadcast_rows: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have a Jaccard similarity of num/den or more.
+
+    A bound by the cells' numbers rules most out; the texts of the others give their whole sets again, which are compared in full.
+    """
     num, den = share
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
-    few = small(pairs, pairs.count(), broadcast_rows)
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")).join(few, "a")
-    both = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
+    count = pairs.count()
+
+    def sided(sets: DataFrame, value: str, pairs: DataFrame, count: int) -> DataFrame:
+        """pairs with the value of either side, as s and t."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = sets.join(small(nodes, 2 * count, broadcast_rows), "node", "left_semi")
+        one = sets.select(F.col("node").alias("a"), F.col(value).alias("s")).join(small(pairs, count, broadcast_rows), "a")
+        return one.join(sets.select(F.col("node").alias("b"), F.col(value).alias("t")), "b")
+
+    many = F.lit(10_000_000)  # a cell's number is cut at 32,767
+    bound = F.aggregate(F.zip_with("s.cells", "t.cells", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda a, x: a + x)
+    may = ((num + den) * bound >= num * (F.col("s.n") + F.col("t.n"))) | (F.greatest("s.n", "t.n") > many)
+    likely = materialize(sided(firsts.select("node", F.struct("n", "cells").alias("v")), "v", pairs, count).where(may).select("a", "b"), "likely")
+    count = likely.count()
+    nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = materialize(firsts.select("node", F.col("doc_id").alias("id"), F.col("th").alias("h")).join(nodes, "node", "left_semi"), "wanted")
+    rows = wanted.count()
+    texts_ = source.join(small(wanted, rows, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("node", "text")
+    sets = materialize(texts_.mapInPandas(_shingles(width), "node long, shingles array<long>"), "sets")
+    if sets.count() > rows:  # rows with equal id and text all give the set of their one node
+        sets = materialize(sets.dropDuplicates(["node"]), "sets")
     overlap = F.size(F.array_intersect("s", "t"))
-    return materialize(both.where((num + den) * overlap >= num * (F.size("s") + F.size("t"))).select("a", "b"), "alike")
+    full = sided(sets, "shingles", likely, count)
+    return materialize(full.where((num + den) * overlap >= num * (F.size("s") + F.size("t"))).select("a", "b"), "alike")
 
 
 def _may_link(x: str, y: str, share: tuple[int, int]) -> Column:
@@ -328,31 +378,29 @@ def _may_link(x: str, y: str, share: tuple[int, int]) -> Column:
     return (num + den) * left >= num * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
-def similar_pairs(sets: DataFrame, share: tuple[int, int], sample: int = 8, common_rows: int = 200_000, broadcast_rows: int = 200_000, hot: int = 20, turns: int = 6) -> DataFrame:
-    """(a, b): links between the nodes of sets (node, fp, n, shingles) that keep every component of similar sets whole.
+def similar_pairs(
+    source: DataFrame, firsts: DataFrame, width: int, share: tuple[int, int], broadcast_rows: int = 200_000, hot: int = 20, turns: int = 6
+) -> DataFrame:
+    """(a, b): links between the nodes of firsts (node, doc_id, th, fp, n, prefix, cells) that keep every component of similar sets whole.
 
     Candidates are named by the SimHash index and by an inverted index of set prefixes, which misses no similar pair;
-    each is verified by its whole sets. Where the sets that share a token are more than `hot` on average, by rows, they are
+    each is verified by its whole sets, which the texts of source (doc_id, th, text) give again. Where the sets that share a token are more than `hot` on average, by rows, they are
     first compared with pivots, for `turns` turns at most; then whatever still lies in different components is compared in full.
     """
-    spark = sets.sparkSession
-    # any order of shingles is right; one that has common shingles last, as a sample shows them, names few pairs
-    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(sample)) == 0).select(F.explode("shingles").alias("token"))
-    often = some.groupBy("token").agg(F.count("*").alias("often")).where("often > 2").orderBy(F.desc("often"), "token").limit(common_rows).toPandas()
-    token, rank = often["token"].to_numpy(dtype=np.int64), np.arange(len(often), 0, -1)
-    order = np.argsort(token)
-    prefixes = sets.select("node", "shingles").mapInPandas(_prefixes(token[order], rank[order], share), "token long, node long, n long, pos long")
-    prefixes = materialize(prefixes, "prefixes")
+    prefixes = firsts.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = prefixes.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     members = materialize(prefixes.join(shared.select("token"), "token"), "members")
 
-    # the SimHash index
-    least = sets.groupBy("fp").agg(F.min("node").alias("a"))
-    equal = sets.select("fp", F.col("node").alias("b")).join(least, "fp").select("a", "b")
+    wanted = materialize(firsts.select("node", "fp").join(members.select("node").distinct(), "node", "left_semi"), "named")
+    alike = functools.partial(_alike, source=source, firsts=firsts, width=width, share=share, broadcast_rows=broadcast_rows)
+
+    # the SimHash index; sets without a common token cannot be alike
+    least = wanted.groupBy("fp").agg(F.min("node").alias("a"))
+    equal = wanted.select("fp", F.col("node").alias("b")).join(least, "fp").select("a", "b")
     near = near_pairs(least.select("fp"), 4)
     ends = [least.select(F.col("fp").alias(f"f{c}"), F.col("a").alias(c)) for c in ("x", "y")]
     near = near.join(ends[0], near["a"] == ends[0]["fx"]).join(ends[1], near["b"] == ends[1]["fy"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    found = _alike(equal.unionAll(near), sets, share, broadcast_rows)
+    found = alike(equal.unionAll(near))
 
     live = _unsettled(members, found)
     for turn in range(turns):
@@ -363,12 +411,12 @@ def similar_pairs(sets: DataFrame, share: tuple[int, int], sample: int = 8, comm
         pivot = F.min_by(F.struct("node", "n", "pos", "component"), F.xxhash64("component", "node", F.lit(turn))).alias("p")
         y = live.groupBy("token").agg(pivot).select("token", "p.*").alias("y")
         star = live.alias("x").join(y, "token").where(F.col("x.component") != F.col("y.component")).where(_may_link("x", "y", share))
-        more = _alike(star.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), sets, share, broadcast_rows)
+        more = alike(star.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
         found = materialize(found.unionAll(more), "found")
         live = _unsettled(members, found)
     x, y = live.alias("x"), live.alias("y")
     pairs = x.join(y, "token").where(F.col("x.component") < F.col("y.component")).where(_may_link("x", "y", share))
-    return found.unionAll(_alike(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), sets, share, broadcast_rows))
+    return found.unionAll(alike(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))))
 
 
 def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -379,20 +427,26 @@ def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
     return materialize(named.join(mixed, "token"), "unsettled")
 
 
-def near_groups(docs: DataFrame, width: int = 5, share: tuple[int, int] = (4, 5), broadcast_rows: int = 200_000, **parameters) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 5, share: tuple[int, int] = (4, 5), sample: int = 8, common_rows: int = 200_000, broadcast_rows: int = 200_000, **parameters) -> DataFrame:
     """doc_id, th (a hash of the text), component (the row's group of near copies) and the smallest doc_id of the group.
 
     Texts are linked where the Jaccard similarity of their sets of word shingles is num/den (share) or more; groups are the
     components of these links. Shingles are told apart by XXH64, sets by 128 bits.
     """
-    source = texts(docs).select("doc_id", F.xxhash64("text").alias("th"), lower_az(F.col("text")).alias("text"))
-    made = source.mapInPandas(_sets(width), "doc_id long, th long, key binary, fp long, n long, shingles array<long>")
-    rows = materialize(made.withColumn("node", F.monotonically_increasing_id()), "sets")
+    source = texts(docs).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    # any order of shingles is right; one that has common shingles last, as a sample shows them, names few pairs
+    some = source.where(F.pmod(F.xxhash64("th"), F.lit(sample)) == 0).select("text").mapInPandas(_often(width), "token long, often long")
+    often = some.groupBy("token").agg(F.sum("often").alias("often")).where("often > 2").orderBy(F.desc("often"), "token").limit(common_rows).toPandas()
+    token, rank = often["token"].to_numpy(dtype=np.int64), np.arange(len(often), 0, -1)
+    order = np.argsort(token)
+    made = source.mapInPandas(_prefixes(width, token[order], rank[order], share), "doc_id long, th long, key binary, fp long, n long, prefix array<long>, cells array<short>")
+    rows = materialize(made.withColumn("node", F.monotonically_increasing_id()), "prefixes")
     classes = rows.groupBy("key").agg(F.min("node").alias("first"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least"))
     named = materialize(rows.select("doc_id", "th", "key", "node").join(classes, "key").select("doc_id", "th", "node", "first", "least"), "classes")
     repeats = named.where("node <> first").select("node")
-    sets = rows.join(small(repeats, repeats.count(), broadcast_rows), "node", "left_anti").select("node", "fp", "n", "shingles")
-    linked = components(similar_pairs(sets, share, broadcast_rows=broadcast_rows, **parameters)).withColumnRenamed("node", "first")
+    firsts = rows.drop("key").join(small(repeats, repeats.count(), broadcast_rows), "node", "left_anti")
+    pairs = similar_pairs(source, firsts, width, share, broadcast_rows=broadcast_rows, **parameters)
+    linked = components(pairs).withColumnRenamed("node", "first")
     grouped = named.join(linked, "first", "left").withColumn("component", F.coalesce("component", "first"))
     least = grouped.groupBy("component").agg(F.min("least").alias("group_least"))
     return grouped.join(least, "component").select("doc_id", "th", "component", F.col("group_least").alias("least"))
