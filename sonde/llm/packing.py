@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from sonde.llm.common import texts
+from sonde.llm.common import texts, tidy
 
 WINDOW = 1024
 
@@ -92,7 +92,7 @@ class Tokens:
     The single words may be encoded from the same vocabulary as ranks, which gives the same ids in less time.
     """
 
-    def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None, most: int = 600_000) -> None:
+    def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None, most: int = 100_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -177,7 +177,7 @@ def _pack(files: tuple, window: int) -> Callable[[Iterator[pd.DataFrame]], Itera
             yield _frame(out, names)
         yield _frame([r for number, pieces in close(packer, held) for r in rows(number, pieces)], names)
 
-    return fold
+    return tidy(fold)
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:

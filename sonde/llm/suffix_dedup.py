@@ -389,7 +389,7 @@ def without_repeats(docs: DataFrame, broadcast_rows: int = 200_000, **parameters
     as they are.
     """
     rows, runs = _removed(docs, broadcast_rows, **parameters)
-    cut = F.pandas_udf(lambda text, spans: pd.Series([_cut(t.encode(), merged(p)).decode("utf-8", "ignore") for t, p in zip(text, spans, strict=True)]), "string")
+    cut = F.pandas_udf(lambda text, spans: pd.Series([_cut(t.encode(), merged(p)).decode("utf-8", "ignore") for t, p in zip(text, spans, strict=True)]), "string").asNondeterministic()  # else the filter below would run it again
     touched = runs.isNotNull()
     less = cut(F.coalesce(docs["text"], F.lit("")), F.coalesce(runs, F.array()))
     out = {c: docs[c] for c in docs.columns} | {"text": F.when(touched, less).otherwise(docs["text"])}
