@@ -2,12 +2,13 @@
 
 A document's lines are normalised (A-Z folded, white space squeezed, digits masked) and hashed. Per host, here the
 source, the distinct documents that hold a line are counted; texts that are copies of one another count once, so
-copying a clean document does not make its lines boilerplate. A line in more documents of a host than `limit`, or
-than `share` of the host's documents where that is more, is boilerplate. A document is rejected as depleted when the
+copying a clean document does not make its lines boilerplate. A line in more than `share` of a host's documents, and in
+more than `limit` of them, which keeps small hosts from losing lines to chance, is boilerplate. A document is rejected as depleted when the
 boilerplate is taken out and either fewer than `min_words` words or less than `min_left` of its words remain.
 
-The shuffles carry 16 to 32 bytes a line, never text. Counting first adds rows, which Spark combines before the
-shuffle also for a host with a third of all rows; only lines above the limit are then counted again by distinct text.
+Texts are read once: a table keeps each document's counts and its lines' hashes. The shuffles carry 16 to 32 bytes a
+line, never text. Counting first adds rows, which Spark combines before the shuffle also for a host with a third of all
+rows; only lines above the limit are then counted again by distinct text.
 
 Defined results: null or wordless text has no words and fails the base rule; a null source is a host of its own;
 repeated rows with equal doc_id and text get equal verdicts; an empty table gives an empty result; other columns are
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from sonde.llm.common import WORD, WS, lower_az, small, texts
 from sonde.plans.lineage import materialize
 
+NO_ID = -(2**63)
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
@@ -67,26 +69,25 @@ def _squeezed(text: Column) -> Column:
     return F.regexp_replace(F.translate(lower_az(text), "123456789", "000000000"), r"[\x20\x09\x0B-\x0D]+", " ")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """docs with lines: the hash and the number of words of each normalised line that is not blank."""
-    held = F.filter(F.transform(F.split(_squeezed(F.col("text")), "\n"), lambda line: F.btrim(line)), lambda line: line != "")
+def _lines(text: Column) -> Column:
+    """The hash and the number of words of each normalised line that is not blank."""
+    held = F.filter(F.transform(F.split(_squeezed(text), "\n"), lambda line: F.btrim(line)), lambda line: line != "")
     words = lambda line: F.length(line) - F.length(F.translate(line, " ", "")) + 1
-    hashed = F.transform(held, lambda line: F.struct(F.xxhash64(line).alias("lh"), words(line).alias("words")))
-    return docs.select("did", "th", "host", hashed.alias("lines"))
+    return F.transform(held, lambda line: F.struct(F.xxhash64(line).alias("lh"), words(line).alias("words")))
 
 
-def _judged(docs: DataFrame, limit: int = 100, share: float = 0.02, min_words: int = 10, min_left: float = 0.1) -> tuple[DataFrame, DataFrame]:
+def _judged(docs: DataFrame, limit: int = 20, share: float = 0.02, min_words: int = 10, min_left: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """The result of quality with th, the hash of the text; and the boilerplate lines of documents (did, th, host, at, lh, words)."""
     keyed = texts(docs, "source").select(
         "doc_id",
         "text",
-        F.coalesce("doc_id", F.lit(-(2**63))).alias("did"),
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("did"),
         F.xxhash64("text").alias("th"),
         F.xxhash64("source").alias("host"),
     )
-    lines = _lines(keyed)
-    once = lines.select("host", "th", F.explode(F.array_distinct(F.col("lines.lh"))).alias("lh"))
-    held = materialize(keyed.groupBy("host").agg(F.count("*").alias("docs")), "hosts")
+    read = materialize(base_rules(keyed).withColumn("lines", _lines(F.col("text"))).drop("text"), "documents-read")
+    once = read.select("host", "th", F.explode(F.array_distinct("lines.lh")).alias("lh"))
+    held = materialize(read.groupBy("host").agg(F.count("*").alias("docs")), "hosts")
     most = F.greatest(F.lit(limit), F.ceil(F.col("docs") * share))
     counted = once.groupBy("host", "lh").agg(F.count("*").alias("n"), F.min("th").alias("lo"), F.max("th").alias("hi"))
     above = counted.where((F.col("n") > limit) & (F.col("lo") != F.col("hi"))).select("host", "lh")
@@ -96,17 +97,17 @@ def _judged(docs: DataFrame, limit: int = 100, share: float = 0.02, min_words: i
     per_line = texts_of.groupBy("host", "lh").agg(F.count("*").alias("n"))
     boiler = materialize(per_line.join(held, "host").where(F.col("n") > most).select("host", "lh"), "boilerplate")
     hits = (
-        lines.select("did", "th", "host", F.posexplode("lines").alias("at", "line"))
+        read.select("did", "th", "host", F.posexplode("lines").alias("at", "line"))
         .select("did", "th", "host", "at", "line.lh", "line.words")
         .join(boiler, ["host", "lh"], "left_semi")
     )
     per_place = hits.groupBy("did", "th", "at").agg(F.max("words").alias("words"))
     taken = per_place.groupBy("did", "th").agg(F.sum("words").alias("removed"))
-    rules = base_rules(keyed).drop("text", "host")
     left = F.col("n_words") - F.col("n_line_words_removed")
     depleted = (F.col("n_line_words_removed") > 0) & ((left < min_words) | (left < F.col("n_words") * min_left))
     verdict = (
-        rules.join(taken, ["did", "th"], "left")
+        read.drop("lines", "host")
+        .join(taken, ["did", "th"], "left")
         .withColumn("n_line_words_removed", F.coalesce("removed", F.lit(0)).cast("long"))
         .withColumn("kept", ~F.col("base_failed") & ~depleted)
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_line_words_removed", "th")
@@ -120,24 +121,24 @@ def quality(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def accepted(docs: DataFrame, broadcast_rows: int = 200_000, **parameters) -> DataFrame:
-    """docs without the rejected ones, matched by doc_id and text; the others without their boilerplate lines, n_chars counted anew."""
+    """docs without the rejected ones, matched by doc_id and text; the others without their boilerplate lines, n_chars counted anew.
+
+    Repeated rows get one verdict; columns besides doc_id, text, source and n_chars pass as they are, whatever their names.
+    """
     verdict, hits = _judged(docs, **parameters)
-    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("th").alias("__th")).distinct()
+    gone = verdict.where(~F.col("kept")).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), "th").distinct()
     gone = materialize(gone, "rejected")
-    text = F.coalesce(docs["text"], F.lit(""))
-    on = docs["doc_id"].eqNullSafe(F.col("__gone")) & (F.xxhash64(text) == F.col("__th"))
-    left = docs.join(small(gone, gone.count(), broadcast_rows), on, "left_anti")
     # a document's own lines only, so the set is no larger than its text
-    bad = hits.groupBy(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("host").alias("__host")).agg(F.collect_set("lh").alias("__bad"))
-    bad = materialize(bad, "boilerplate-lines")
-    rows = bad.count()
-    if not rows:
+    bad = materialize(hits.groupBy("did", "th", "host").agg(F.collect_set("lh").alias("bad")), "boilerplate-lines")
+    weight = bad.agg(F.coalesce(F.sum(F.size("bad") + 1), F.lit(0))).first()[0]
+    own = lambda side: (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == side["did"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == side["th"])
+    left = docs.join(small(gone, gone.count(), broadcast_rows), own(gone), "left_anti")
+    if not weight:
         return left
-    named = left.withColumns({"__did": F.coalesce("doc_id", F.lit(-(2**63))), "__th": F.xxhash64(F.coalesce("text", F.lit(""))), "__host": F.xxhash64("source")})
-    named = named.join(small(bad, rows, broadcast_rows), ["__did", "__th", "__host"], "left")
-    kept_lines = F.filter(F.split("text", "\n"), lambda line: ~F.array_contains("__bad", F.xxhash64(F.btrim(_squeezed(line)))))
-    touched = F.col("__bad").isNotNull()
-    less = named.withColumn("text", F.when(touched, F.array_join(kept_lines, "\n")).otherwise(F.col("text")))
+    named = left.join(small(bad, weight, broadcast_rows), own(bad) & (F.xxhash64(docs["source"]) == bad["host"]), "left")
+    kept_lines = F.filter(F.split(docs["text"], "\n"), lambda line: ~F.array_contains(bad["bad"], F.xxhash64(F.btrim(_squeezed(line)))))
+    text = F.when(bad["bad"].isNotNull(), F.array_join(kept_lines, "\n")).otherwise(docs["text"])
+    out = {c: docs[c] for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
-        less = less.withColumn("n_chars", F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return less.select(*docs.columns)
+        out["n_chars"] = F.when(bad["bad"].isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
+    return named.select(*[c.alias(name) for name, c in out.items()])
