@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -263,9 +264,7 @@ def test_repeated_rows_stay_once(spark):
     assert Counter(tuple(r) for r in left.collect()) == Counter([(1, once), (2, twice), (None, nameless)])
 
 
-@pytest.mark.parametrize("hot", [3000, 1])
-def test_suffix_dedup(docs, plain, hot):
-    length = 40
+def without_shared(plain, length):
     count = Counter(t.encode()[i : i + length] for _, t in plain for i in range(len(t.encode()) - length + 1))
     wanted = Counter()
     for i, t in plain:
@@ -277,18 +276,75 @@ def test_suffix_dedup(docs, plain, hot):
         left = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
         runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         wanted[(i, len(raw), sum(gone), runs, hashlib.sha256(left).hexdigest())] += 1
-    assert Counter(map(tuple, suffix_dedup.suffix_dedup(docs, length=length, gram=6, hot=hot).collect())) == wanted
+    return wanted
+
+
+@pytest.mark.parametrize("hot", [3000, 3, 1])
+def test_suffix_dedup(docs, plain, hot):
+    found = suffix_dedup.suffix_dedup(docs, length=40, gram=6, hot=hot).collect()
+    assert Counter(map(tuple, found)) == without_shared(plain, 40)
 
 
-def test_language_model(docs, plain):
+@pytest.mark.parametrize("hot", [3000, 4])
+def test_passages_in_many_documents(spark, hot):
+    """With the length of the query: one passage, whole or cut short, in many documents, and a text that repeats itself."""
+    ship(spark)
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    passage, other = text(150), text(70)
+    data = [text(rng.randint(0, 60)) + passage[rng.choice((0, 0, 7, 200)) :] + text(rng.randint(0, 60)) for _ in range(14)]
+    data += [text(30) + other + text(30), other * 3, passage[:450], passage[:390], "a" * 1500, text(500)]
+    plain_ = list(enumerate(data)) + [(None, data[0]), (None, text(100))]
+    found = suffix_dedup.suffix_dedup(spark.createDataFrame(plain_, "doc_id long, text string"), hot=hot).collect()
+    assert Counter(map(tuple, found)) == without_shared(plain_, 400)
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 25])
+def test_language_model(docs, plain, chunk):
+    """Against counts in plain dictionaries; the long text is cut into several chunks of 25 tokens."""
     tokens = lambda t: [*t.encode().lower().split(), None]
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
-    c = Counter(w for i, t in plain if not held(i) for w in tokens(t))
+    learn = [tokens(t) for i, t in plain if not held(i)]
+    c = Counter(w for t in learn for w in t)
+    pairs = Counter(p for t in learn for p in itertools.pairwise(["start", *t]))
     n, v = sum(c.values()), len(c)
-    wanted = sorted((held(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t)), 6)) for i, t in plain)
-    found = ngram_lm.score(docs, table_rows=10).collect()
-    assert sorted((r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in found) == wanted
-    assert all(r["score"] <= 0 for r in found)
+    c["start"] = len(learn)
+    level = lambda x: math.floor(2 * math.log2(x) + 1e-9)
+    q = []
+    for counts in (c, pairs):
+        by = defaultdict(list)
+        for k, x in counts.items():
+            if k != "start":
+                by[level(x)].append(x)
+        q.append(lambda k, counts=counts, by=by: sum(by[level(counts[k])]) / len(by[level(counts[k])]) if counts[k] else 0.0)
+    histogram = [q[0](w) for w, x in c.items() for _ in range(x) if w != "start"]
+    share = lambda mu: sum(mu / (x + mu) for x in histogram)
+    low, high = 1e-3, 1e12
+    for _ in range(100):
+        mu = (low * high) ** 0.5
+        low, high = (mu, high) if share(mu) < sum(x == 1 for x in pairs.values()) else (low, mu)
+    p = lambda w: (q[0](w) + 0.1) / (n + 0.1 * (v + 1))
+    model = lambda a, w: math.log10((min(q[1]((a, w)), q[0](a)) + mu * p(w)) / (q[0](a) + mu))
+    wanted = sorted(
+        (
+            held(i),
+            len(tokens(t)),
+            sum(c[w] > 0 for w in tokens(t)),
+            n,
+            round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t)), 6),
+            round(sum(model(a, w) for a, w in itertools.pairwise(["start", *tokens(t)])), 6),
+        )
+        for i, t in plain
+    )
+    found = ngram_lm.score(docs, chunk=chunk, per_entry=60, shard_tokens=200).collect()
+    assert sorted((r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in found) == wanted
+
+
+def test_language_model_beats_single_tokens(spark):
+    """On rows not learned from, and its probabilities of the next token sum to about one."""
+    ship(spark)
+    held = [r for r in queries.op1_ngram_lm(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
 def test_nbest_is_the_best():
@@ -311,6 +367,33 @@ def test_nbest_is_the_best():
         assert nbest.Decoder(encoder.pieces)(ids) == text
 
 
+def test_nbest_scores_are_those_of_a_plain_search(spark, docs, plain):
+    """encode against the n best sums of each prefix, kept for every position of the whole text."""
+    ship(spark)
+    pieces = Pieces(PIECES)
+
+    def best(text, n=4):
+        unit = nbest.marked(text)
+        held = [[0.0]] + [[] for _ in unit]
+        for end in range(1, len(unit) + 1):
+            some = []
+            for start in range(max(0, end - pieces.longest), end):
+                k = pieces.number.get(unit[start:end], -1)
+                if k >= 0 or start == end - 1:
+                    some += [x + (pieces.scores[k] if k >= 0 else pieces.unknown) for x in held[start]]
+            held[end] = sorted(some, reverse=True)[:n]
+        return tuple(round(x, 6) for x in held[-1])
+
+    found = Counter((r["doc_id"], tuple(round(x, 6) for x in r["scores"])) for r in nbest.encode(docs, PIECES).collect())
+    assert found == Counter((i, best(t)) for i, t in plain)
+
+
+def test_ties_are_not_searched_in_breadth():
+    began = time.process_time()
+    found = nbest.search(Pieces(PIECES), "a" * 1601, 4)
+    assert len({p for _, p in found}) == 4 and time.process_time() - began < 3
+
+
 def test_every_segmentation_decodes(spark, docs, plain):
     ship(spark)
     pieces = Pieces(PIECES)
@@ -334,12 +417,43 @@ def test_packed_pieces_hold_their_tokens(docs):
 def test_forward_sums_all_segmentations():
     pieces = Pieces(PIECES)
     prob = np.append(np.exp(pieces.scores), language_id.UNKNOWN)
-
-    def total(unit):
-        return 1.0 if not unit else sum((prob[pieces.number[unit[:k]]] if unit[:k] in pieces.number else language_id.UNKNOWN) * total(unit[k:]) for k in range(1, len(unit) + 1) if k == 1 or unit[:k] in pieces.number)
-
-    words = ["▁the", "▁catch", "▁é中x"]
-    assert np.allclose(language_id.forward(pieces, words, prob[:, None])[:, 0], [total(w) for w in words])
+    words = ["▁the", "▁catch", "▁é中x", "▁" + "antidisestablishmentarianism" * 3, "▁" + "中" * 400, "▁x" + "ab" * 30]
+
+    def edges(word):
+        for end in range(1, len(word) + 1):
+            for start in range(max(0, end - pieces.longest), end):
+                piece = word[start:end]
+                if piece in pieces.number or start == end - 1:
+                    yield start, end, pieces.number.get(piece, len(prob) - 1)
+
+    def sums(word):  # in exact fractions, whatever their size
+        from fractions import Fraction
+
+        alpha, beta = [Fraction(1)] + [Fraction(0)] * len(word), [Fraction(0)] * len(word) + [Fraction(1)]
+        for start, end, k in edges(word):
+            alpha[end] += alpha[start] * Fraction(prob[k])
+        for start, end, k in sorted(edges(word), reverse=True):
+            beta[start] += beta[end] * Fraction(prob[k])
+        counts = Counter()
+        for start, end, k in edges(word):
+            counts[k] += float(alpha[start] * Fraction(prob[k]) * beta[end] / alpha[-1])
+        return math.log(alpha[-1].numerator) - math.log(alpha[-1].denominator), counts
+
+    exact = [sums(w) for w in words]
+    assert np.allclose(language_id.forward(pieces, words, prob[:, None])[:, 0], [x for x, _ in exact])
+    wanted = sum((Counter({k: 2.0 * n for k, n in c.items()}) for _, c in exact), Counter())
+    found = language_id.expected(pieces, words, np.full(len(words), 2.0), prob)
+    assert np.allclose(found, [wanted.get(k, 0.0) for k in range(len(prob))])
+
+
+def test_texts_without_letters_are_und(spark):
+    ship(spark)
+    data = [(i, "le chat dort sur la table", "fr") for i in range(40)] + [(i, "the cat sleeps on the table", "en") for i in range(40, 80)]
+    data += [(90, "²½ 12", "en"), (91, None, "fr"), (92, "", None), (93, "x" * 5000, None), (None, "the cat", None), (None, "the cat", None)]
+    found = language_id.identify(spark.createDataFrame([(*d, "q") for d in data], "doc_id long, text string, lang string, score string"), PIECES).collect()
+    by = {r["doc_id"]: r for r in found}
+    assert len(found) == len(data) and all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 for i in (90, 91, 92))
+    assert by[93]["lang_pred"] in ("en", "fr") and by[0]["lang_pred"] == "fr" and by[None]["lang_pred"] == "en"
 
 
 def test_languages_on_held_out_rows(spark):
@@ -364,3 +478,23 @@ def test_empty_tables(spark, nothing):
     assert suffix_dedup.suffix_dedup(nothing).count() == packing.pack(nothing, *queries.BPE).count() == nbest.encode(nothing, PIECES).count() == 0
     assert ngram_lm.score(nothing).count() == language_id.identify(nothing, PIECES).count() == 0
     assert toxicity.toxicity(nothing, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, id string, h string, kept string, row string, did string, th string, bad string, host string, __spans string, window string, digest string"
+
+
+@pytest.mark.parametrize("stage", [quality.accepted, exact_dedup.deduplicated, simhash.deduplicated, suffix_dedup.without_repeats])
+def test_stages_keep_columns_of_any_name(spark, stage):
+    """Names that the stages use themselves, nulls in every column, repeated rows, an empty table."""
+    ship(spark)
+    rng = random.Random(14)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    clean = [text(120) for _ in range(4)]
+    data = [(i, t, "en", "s", len(t), *[f"{c}{i}" for c in range(11)]) for i, t in enumerate(clean)] + [tuple([None] * 16)]
+    docs = spark.createDataFrame(data, ODD)
+    found = stage(docs)
+    assert found.columns == docs.columns and [f.dataType for f in found.schema] == [f.dataType for f in docs.schema]
+    assert {tuple(r) for r in found.collect()} - {tuple([None] * 16)} == set(data[:-1])
+    assert stage(spark.createDataFrame([], ODD)).collect() == []
+    twice = stage(docs.unionAll(docs)).collect()
+    assert {r["doc_id"] for r in twice} - {None} == ({0, 1, 2, 3} if stage is not suffix_dedup.without_repeats else set())
