@@ -46,7 +46,7 @@ def test_addresses():
 def test_impostors_prefer_the_same_author():
     a, b = ["the cat sat on the mat", "a cat on a mat", "the mat of the cat"], ["the cat is on the mat", "that cat sat", "mats and cats"]
     other = [["quantum flux drive engine", "warp core"], ["señor gato come pescado", "que tal"], []]
-    assert vx.impostors(a, b, other)[0] > 0.9 and vx.impostors(a, b, other)[1] == 1.0
+    assert vx.impostors(a, b, other)[0] > 0.8 and vx.impostors(a, b, other)[1] == 1.0
     assert vx.impostors(a, b, other) == vx.impostors(a, b, other)
     assert vx.impostors(a, other[0], [b, other[1]])[0] < 0.1
     assert vx.impostors(a, b, [])[1] == vx.impostors(a, b, [[]])[1] == 0.3
