@@ -40,6 +40,8 @@ from sonde.plans.lineage import materialize
 GRAM = 48
 #: Bytes of text that are hashed at a time; the arrays of a chunk take about a hundred times as much.
 CHUNK = 1 << 19
+#: Places or spans that may be broadcast; more are joined by shuffling, as they are for any large corpus.
+BROADCAST_ROWS = 20_000
 NO_ID = -(2**63)
 #: What tells a row from others: its id and two 64-bit hashes of its text.
 ROW = ["did", "th", "tk"]
@@ -294,7 +296,7 @@ def _hot_spans(windows: DataFrame, length: int, gram: int, hot: int) -> tuple[Da
     return spans.groupBy("wid").agg(F.min("begin").alias("begin"), F.max("end").alias("end")), calm
 
 
-def spans(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = 3000, broadcast_rows: int = 200_000) -> DataFrame:
+def spans(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = 3000, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(did, th, tk, spans): for each row that loses bytes, the maximal (a, b) runs to remove."""
     rows, reach = _rows(docs), length - gram
     found = materialize(rows.mapInPandas(_find(length, gram), f"{PLACE}, pos int, right int, key long, around long, around2 long"), "anchors")
@@ -364,7 +366,7 @@ def _removed(docs: DataFrame, broadcast_rows: int, **parameters) -> tuple[DataFr
     return docs.join(small(found, weight, broadcast_rows), on, "left"), found["spans"]
 
 
-def suffix_dedup(docs: DataFrame, broadcast_rows: int = 200_000, **parameters) -> DataFrame:
+def suffix_dedup(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **parameters) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes left)."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -382,7 +384,7 @@ def suffix_dedup(docs: DataFrame, broadcast_rows: int = 200_000, **parameters) -
     return rows.select(docs["doc_id"], docs["text"], runs.alias("spans")).mapInPandas(tidy(fold), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, broadcast_rows: int = 200_000, **parameters) -> DataFrame:
+def without_repeats(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **parameters) -> DataFrame:
     """docs with the repeated bytes cut out of text, and n_chars, where there is such a column, counted anew.
 
     Characters of which only some bytes went go whole; rows whose whole text went are left out, untouched rows stay
