@@ -7,12 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sonde.llm import exact_dedup, language_id, nbest, ngram_lm, packing, quality, sharding, simhash, suffix_dedup, toxicity
+from sonde.llm import bpe, exact_dedup, language_id, nbest, ngram_lm, packing, quality, sharding, simhash, spelling, suffix_dedup, toxicity, whitening
 from sonde.sources.tables import load
 
 PIECES = "piece_bpe_32k.model"
 #: The tokenizer of packing, the same vocabulary as ranks, and its pattern.
 BPE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+#: The multilingual ranks and their pattern.
+MULTI = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +57,30 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(load(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(load(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(load(spark, sf_dir, "documents"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(load(spark, sf_dir, "documents"), *MULTI)
+
+
+FOUND = (
+    op1_ngram_lm, op2_suffix_dedup, op3_nbest, op4_quality, op5_language_id, op6_toxicity, op7_exact_dedup, op8_sharding, op9_packing, op10_simhash,
+    op11_whitening, op12_spelling, op13_byte_bpe,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_lm, op2_suffix_dedup, op3_nbest, op4_quality, op5_language_id, op6_toxicity, op7_exact_dedup, op8_sharding, op9_packing, op10_simhash)}
+    return {f.__name__: f for f in FOUND}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": OP4_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op4_quality": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op12_spelling": OP12_SQL}
 
 
 OP7_SQL = r"""
@@ -108,3 +128,39 @@ SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
        coalesce(t.words, 0) AS n_line_words_removed
 FROM judged j LEFT JOIN taken t USING (doc_id)
 """
+
+OP12_SQL = r"""
+WITH RECURSIVE bit AS (
+  SELECT i, i AS c, 0 AS step FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM bit WHERE step < 8
+), crc AS (SELECT list(c ORDER BY i) AS t FROM bit WHERE step = 8
+), run AS (
+  SELECT doc_id, r, count(*) AS times FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents
+  ) GROUP BY ALL
+), hashed AS (
+  SELECT r, times, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, [('0x' || hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r))[2 * k + 1 : 2 * k + 2])::BIGINT
+                                      FOR k IN range(octet_length(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)))]),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM run, crc
+), word AS (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, (h % length(r))::INT) || substr(r, (h % length(r))::INT + 2) ELSE r END AS word, times FROM hashed
+  ) WHERE length(word) >= 5 GROUP BY 1 HAVING sum(times) >= 3
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word)
+), pair AS (
+  SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN word b ON a.d = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN word b ON a.d = b.word
+), best AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS near_n FROM pair GROUP BY 1
+), formed AS (
+  SELECT w.word, CASE WHEN b.near_n >= 2 * w.n THEN b.near END AS form, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 2 * w.n THEN b.near_n END AS form_n
+  FROM word w LEFT JOIN best b USING (word)
+), walk AS (
+  SELECT word, word AS last, 0 AS step FROM formed
+  UNION ALL SELECT w.word, f.form, step + 1 FROM walk w JOIN formed f ON f.word = w.last WHERE f.form IS NOT NULL
+), root AS (SELECT word, arg_max(last, step) AS root FROM walk GROUP BY 1)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN root r USING (word)
+"""
