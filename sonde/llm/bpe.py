@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -34,6 +35,8 @@ from sonde.llm.common import texts
 ODD = re.compile(r"\s | \s")
 #: Cuts up to this length are remembered.
 SHORT = 64
+#: Three bytes that come again, overlaps included.
+TWICE = re.compile(rb"(?s)(?=(...)).+?\1")
 
 
 def byte_characters() -> list[str]:
@@ -48,10 +51,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def repeats(raw: bytes) -> bool:
+    """Whether three bytes stand at two places."""
+    if len(raw) <= SHORT:
+        return TWICE.search(raw) is not None
+    return len({raw[i : i + 3] for i in range(len(raw) - 2)}) < len(raw) - 2
+
+
 class Codec:
     """Texts to ids and back, with a memory of at most `most` cuts."""
 
-    def __init__(self, path: str, pattern: str, most: int = 100_000) -> None:
+    def __init__(self, path: str, pattern: str, most: int = 200_000) -> None:
         import tiktoken
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
@@ -76,36 +86,33 @@ class Codec:
         self.lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
         self.most, self.known = most, {}
 
-    def _new(self, cuts: list[str]) -> list[np.ndarray]:
+    def _new(self, cuts: list[str]) -> list[bytes]:
         """Ids of cuts that are not in memory, by the model, checked where the model's order of merges could tell."""
         out = []
         for cut, found in zip(cuts, self.tokenizer.encode_batch_fast(cuts, add_special_tokens=False) if cuts else [], strict=True):
-            raw, ids = cut.encode(), found.ids
-            if len(raw) > 3 and len({raw[i : i + 3] for i in range(len(raw) - 2)}) < len(raw) - 2:
-                ids = self.by_rank.encode_ordinary(cut)
-            out.append(np.array(ids, dtype=np.int32))
+            out.append(array("i", self.by_rank.encode_ordinary(cut) if repeats(cut.encode()) else found.ids).tobytes())
         return out
 
     def _cuts(self, text: str) -> list[str]:
-        if not text:
-            return []
         if ODD.search(text):
             return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         first, *rest = text.split(" ")
-        return [first, *(" " + r for r in rest)] if first else [" " + r for r in rest]
+        return [first, *map(" ".__add__, rest)] if first else [*map(" ".__add__, rest)]
 
     def encode(self, items: list[str]) -> list[np.ndarray]:
         cut = [self._cuts(t) for t in items]
-        fresh = list({c for cuts in cut for c in cuts if c not in self.known})
+        found = [list(map(self.known.get, cuts)) for cuts in cut]
+        fresh = list({c for cuts, ids in zip(cut, found, strict=True) if None in ids for c, x in zip(cuts, ids, strict=True) if x is None})
         learned = dict(zip(fresh, self._new(fresh), strict=True))
-        get, new, none = self.known.get, learned.__getitem__, np.empty(0, dtype=np.int32)
-        out = [np.concatenate([x if (x := get(c)) is not None else new(c) for c in cuts]) if cuts else none for cuts in cut]
+        for cuts, ids in zip(cut, found, strict=True):
+            if None in ids:
+                ids[:] = [learned[c] if x is None else x for c, x in zip(cuts, ids, strict=True)]
         for c, ids in learned.items():  # what is met first stays: frequent cuts are among it
             if len(self.known) >= self.most:
                 break
             if len(c) <= SHORT:
                 self.known[c] = ids
-        return out
+        return [np.frombuffer(b"".join(ids), dtype=np.int32) for ids in found]
 
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First character and end of each token; one that begins or ends inside a character covers it whole."""
