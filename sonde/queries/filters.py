@@ -58,15 +58,6 @@ def pool_join(spark, sf_dir):
     return members.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
 
 
-@query("SELECT l_returnflag, count(DISTINCT (l_partkey, l_suppkey)) AS n FROM lineitem GROUP BY 1")
-def merged_distinct(spark, sf_dir):
-    """Exact distinct counts from two loads that overlap: states are sets of identities, a merge is their union."""
-    rows = load(spark, sf_dir, "lineitem").select("l_returnflag", "l_partkey", "l_suppkey", "l_linenumber")
-    state = lambda part: part.select("l_returnflag", "l_partkey", "l_suppkey").distinct()
-    merged = state(rows.where("l_linenumber <= 4")).unionByName(state(rows.where("l_linenumber >= 3")))
-    return merged.distinct().groupBy("l_returnflag").agg(F.count("*").alias("n"))
-
-
 @query("SELECT p_brand AS family, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS rank FROM part GROUP BY 1")
 def family_counts(spark, sf_dir):
     """Verdicts by family, the commonest first, ties by name."""
@@ -192,10 +183,6 @@ def composite_scores(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", F.round(F.when(total > 0, score).otherwise(0.0), 3).alias("score"), agreeing.alias("agreeing"))
 
 
-#: Slots of a profile and the primitives that fill them.
-SLOTS = {"volume": ("n", "sum"), "best": ("value", "max"), "first": ("ts", "min"), "kinds": ("event_type", "set")}
-
-
 @query(
     """
 SELECT user_id, count(*) AS volume, round(max(value), 6) AS best, min(ts) AS first, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds FROM events GROUP BY 1
@@ -223,16 +210,6 @@ def token_claims(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", vx.jwt_claims(token).alias("claims"))
 
 
-@query("SELECT * FROM (SELECT o_orderpriority, count(*) AS n, count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1997-01-01') AS late FROM orders GROUP BY 1)")
-def refreshed_view(spark, sf_dir):
-    """A refreshable view: rebuilt from its sources into a table of its own; readers see a whole version or the one before."""
-    from sonde.plans.lineage import materialize
-
-    rows = load(spark, sf_dir, "orders")
-    build = rows.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.expr("o_orderdate >= timestamp_ntz '1997-01-01'")).alias("late"))
-    return materialize(build, "view")
-
-
 def _nfc():
     import unicodedata
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +54,11 @@ def folded(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(step, shape, "n long, first_us long, last_us long", "update", GroupStateTimeout.NoTimeout)
 
 
+def run_out(stream: DataFrame, mode: str, checkpoint: str, keep: Callable[[DataFrame, int], None]) -> None:
+    """Work off what there is, from a checkpoint, batch by batch."""
+    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+
+
 def drained(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Run a stream over what there is and return its final rows from a table in the shared folder.
 
@@ -66,8 +71,7 @@ def drained(stream: DataFrame, mode: str, keys: list[str] | None = None) -> Data
         # a batch that is run again after a failure overwrites its own folder
         batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
-    query.awaitTermination()
+    run_out(stream, mode, f"{base}/state", keep)
     shape = T.StructType([*stream.schema.fields, T.StructField("__batch", T.IntegerType())])
     rows = spark.read.schema(shape).parquet(f"{base}/out/*")
     if keys:
