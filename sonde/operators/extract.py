@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sonde.functions.addresses import wallet_ok
 from sonde.functions.text import url_host
 
 HANDLE = r"(?<![A-Za-z0-9_])@([A-Za-z][A-Za-z0-9_]{2,31})"
@@ -31,8 +33,19 @@ INDICATORS = (
 )
 #: Handles that name no one.
 NO_HANDLES = ("admin", "everyone", "channel", "all", "here")
-#: First words of lines that are statements of a database dump, where @names are variables.
-STATEMENT = r"(?i)^\s*(?:/\*![0-9]*\s*)?(?:set|insert|create|alter|drop|delete|update|use|lock|unlock)\b"
+#: How groups are named in messages, from the platforms' rules of names: invites, public links, handles, room aliases.
+CHANNELS = {
+    "invite": r"(?i)(?:https?://)?t\.me/(?:joinchat/|\+)([A-Za-z0-9_-]{8,})",
+    "public": r"(?i)(?:https?://)?t\.me/([A-Za-z][A-Za-z0-9_]{3,31})\b",
+    "handle": r"(?<![\w/])@([A-Za-z][A-Za-z0-9_]{4,31})\b",
+    "room": r"(?:https?://matrix\.to/#/)?(#[A-Za-z0-9._=\-/]+:[A-Za-z0-9.\-]+\.[A-Za-z]{2,})",
+}
+#: Lines with the shape of a statement of a database dump, where @names are variables; a first word alone does not tell.
+STATEMENT = (
+    r"(?i)^\s*(?:/\*![0-9]*\s*)?(?:set\s+(?:@|(?:global|session|names|character)\s|\w+\s*=)|insert\s+(?:ignore\s+)?into\s|delete\s+from\s|update\s+[`\w.]+\s+set\s"
+    r"|(?:create|alter|drop)\s+(?:or\s+replace\s+|temporary\s+|unique\s+)*(?:table|database|schema|view|index|trigger|procedure|function|user|event)\b"
+    r"|use\s+[`\w]+\s*;?\s*(?:\*/\s*;?\s*)?$|(?:un)?lock\s+tables?\b)"
+)
 
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -80,46 +93,65 @@ def artifacts(text: Column, tlds: tuple[str, ...] = TLDS) -> Column:
 
 def channels(text: Column) -> Column:
     """Distinct (kind, group): invite links, public links, handles outside of dump lines, and room aliases."""
-    calm = F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.regexp_like(line, F.lit(STATEMENT))), "\n")
-    named = F.concat(
-        _all(text, r"(?i)\bt\.me/([a-z][a-z0-9_]{3,31})\b(?!/)", 1),
-        _all(calm, r"(?<![\w/])@([A-Za-z][A-Za-z0-9_]{4,31})\b", 1),
-    )
-    named = F.filter(named, lambda n: F.lower(n) != "joinchat")
-    rooms = _all(text, r"(#[A-Za-z0-9._=\-/]+:[A-Za-z0-9.\-]+\.[A-Za-z]{2,})", 1)
+    calm = F.array_join(F.filter(F.split(text, r"\R"), lambda line: ~F.regexp_like(line, F.lit(STATEMENT))), "\n")
+    pattern = {name: ascii_boundaries(p) for name, p in CHANNELS.items()}
+    named = F.concat(_all(text, pattern["public"], 1), _all(calm, pattern["handle"], 1))
     found = F.concat(
-        _named("invite_link", F.transform(_all(text, r"(?i)\bt\.me/(?:joinchat/|\+)([a-z0-9_-]{8,})", 1), lambda h: F.concat(F.lit("joinchat:"), h))),
+        _named("invite_link", F.transform(_all(text, pattern["invite"], 1), lambda h: F.concat(F.lit("joinchat:"), h))),
         _named("username_mention", F.transform(named, lambda n: F.concat(F.lit("@"), F.lower(n)))),
-        _named("username_mention", F.transform(rooms, F.lower)),
+        _named("username_mention", F.transform(_all(text, pattern["room"], 1), F.lower)),
     )
     return F.array_distinct(found)
 
 
-def _occurrence(rank: int, kind: str, fold: bool):
-    def one(v: Column, i: Column) -> Column:
-        value = F.lower(v) if fold else v
-        return F.struct(F.lit(kind).alias("kind"), value.alias("value"), v.alias("raw"), (i + rank * 1_000_000).alias("nth"))
+def ascii_boundaries(pattern: str) -> str:
+    """The pattern with \\b between ASCII word characters and others only, as its \\w; Java's own \\b also knows accented letters."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
+def _occurrences(text: Column, rank: int, kind: str, pattern: str, fold: bool) -> Column:
+    """Every match with its place: what stands between the matches and they themselves add up to the places."""
+    java = ascii_boundaries(pattern)
+    group = 1 if re.compile(pattern).groups else 0
+    pieces = F.zip_with(F.split(text, java, -1), _all(text, java), lambda before, match: F.struct(F.length(before).alias("gap"), match.alias("match")))
+    pieces = F.filter(pieces, lambda p: p["match"].isNotNull())
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    step = lambda acc, p: F.struct((acc["at"] + p["gap"] + F.length(p["match"])).alias("at"), F.concat(acc["all"], F.array(acc["at"] + p["gap"])).alias("all"))
+    starts = F.aggregate(pieces, start, step, lambda acc: acc["all"])
+    values = F.zip_with(F.transform(pieces, lambda p: p["match"]), _all(text, java, group), lambda match, raw: F.struct(match.alias("match"), raw.alias("raw")))
+
+    def one(v: Column, at: Column) -> Column:
+        raw = v["raw"]
+        value = F.lower(raw) if fold else raw
+        # a group stands where its text first does within the match
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"), raw.alias("raw"), (at + F.call_function("instr", v["match"], raw) - 1).alias("at"), F.lit(rank).alias("rank"))
 
-    return one
+    found = F.zip_with(values, starts, one)
+    return F.filter(found, lambda o: o["raw"] != "")
 
 
-def indicators(docs: DataFrame, key: str, text: str, rules=INDICATORS, most: int = 200_000) -> DataFrame:
-    """(key, kind, value, raw, at): the distinct indicators of each text's first `most` characters, as the measure defines them.
+def indicators(docs: DataFrame, key: str, text: str, rules=INDICATORS, most: int | None = None) -> DataFrame:
+    """(key, kind, value, raw, at): the distinct indicators of each text; of equal ones the first of the first rule that finds it.
 
-    value folds case where the rule does; raw and at are the surface form and the place, from 0, of the first occurrence.
-    Wallet kinds are shapes here; `address_ok` of sonde.functions.vectorised tells which of them are addresses.
+    value folds case where the rule does; raw is the surface form and at its place, from 0, that of the group where the rule has one.
+    Wallets must bear their checksum. most: only so many characters of a text, as a bound on cost; all of them unless it is given.
     """
-    head = F.substring(F.col(text), 1, most)
-    found = []
-    for rank, (kind, pattern, fold) in enumerate(rules):
-        grouped = "(" in pattern.replace("(?", "")
-        raw = _all(head, pattern, 1 if grouped else 0)
-        found.append(F.transform(raw, _occurrence(rank, kind, fold)))
-    rows = docs.select(key, head.alias("__head"), F.inline(F.concat(*found))).where(~((F.col("kind") == INDICATORS[0][0]) & F.col("value").isin(*NO_HANDLES)))
-    first = rows.groupBy(key, "kind", "value").agg(F.min_by(F.struct("raw", "__head"), "nth").alias("first"))
-    # the first place where the surface form stands by itself
-    alone = F.concat(F.lit(r"(?<![\w])\Q"), F.col("first.raw"), F.lit(r"\E(?![\w])"))
-    return first.select(key, "kind", "value", F.col("first.raw").alias("raw"), (F.regexp_instr(F.col("first.__head"), alone) - 1).alias("at"))
+    head = F.substring(F.col(text), 1, most) if most else F.col(text)
+
+    def found(part: list) -> DataFrame:
+        return docs.select(key, F.inline(F.concat(*[_occurrences(head, rank, *rule) for rank, rule in part])))
+
+    ranked = list(enumerate(rules))
+    wallets = [r for r in ranked if r[1][0].startswith("wallet_")]
+    others = [r for r in ranked if r not in wallets]
+    parts = []
+    if others:
+        parts.append(found(others).where(~((F.col("kind") == INDICATORS[0][0]) & F.col("value").isin(*NO_HANDLES))))
+    if wallets:  # only what has a wallet's shape goes to Python
+        parts.append(found(wallets).where(wallet_ok("kind", "raw")))
+    rows = reduce(DataFrame.unionByName, parts)
+    first = rows.groupBy(key, "kind", "value").agg(F.min_by(F.struct("raw", "at"), F.struct("rank", "at")).alias("first"))
+    return first.select(key, "kind", "value", "first.raw", "first.at")
 
 
 def parsed_pairs(text: Column, between: str = r"[=:]") -> Column:

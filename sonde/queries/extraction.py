@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sonde.functions import text as tx
-from sonde.functions import vectorised as vx
 from sonde.operators import extract as ex
 from sonde.operators import rules
 from sonde.queries import query
@@ -69,15 +68,59 @@ def channel_references(spark, sf_dir):
 
 
 PLAIN = [r for r in ex.INDICATORS if not r[0].startswith("wallet")]
-INDICATOR_ROWS = " UNION ".join(
-    f"SELECT c_custkey, '{k}' AS kind, {'lower' if fold else ''}(unnest(regexp_extract_all(body, '{p}', {int('(' in p.replace('(?', ''))}))) AS value FROM m" for k, p, fold in PLAIN
-)
 
 
-@query(f"WITH {MESSAGES}, i AS ({INDICATOR_ROWS}) SELECT c_custkey, kind, value FROM i WHERE NOT (kind = 'handle_other_platform' AND value IN {ex.NO_HANDLES})")
+def indicator_sql(rows: str, key: str, rules: list = PLAIN) -> str:
+    """Indicators of (key, body) rows, first occurrence and place, by splitting at the matches."""
+    one = "SELECT {key}, {rank} AS rank, '{kind}' AS kind, generate_subscripts(matches, 1) AS i, unnest(matches) AS match, unnest(raws) AS raw, matches, pieces FROM (SELECT {key}, regexp_extract_all(body, '{p}', 0) AS matches, regexp_extract_all(body, '{p}', {group}) AS raws, regexp_split_to_array(body, '{p}') AS pieces FROM {rows})"
+    found = " UNION ALL ".join(one.format(key=key, rank=rank, kind=kind, p=p, group=int("(" in p.replace("(?", "")), rows=rows) for rank, (kind, p, _) in enumerate(rules))
+    folded = ", ".join(f"'{kind}'" for kind, _, fold in rules if fold)
+    return f"""
+SELECT {key}, kind, value, arg_min(raw, (rank, place)) AS raw, min(place)::INTEGER AS "at" FROM (
+  SELECT {key}, rank, kind, raw, CASE WHEN kind IN ({folded}) THEN lower(raw) ELSE raw END AS value,
+         (coalesce(list_sum(list_transform(pieces[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(matches[1:i - 1], lambda x: length(x))), 0) + instr(match, raw) - 1)::BIGINT AS place
+  FROM ({found})
+) WHERE NOT (kind = 'handle_other_platform' AND value IN {ex.NO_HANDLES}) GROUP BY {key}, kind, value
+"""
+
+
+@query(f"WITH {MESSAGES} {indicator_sql('m', 'c_custkey')}")
 def message_indicators(spark, sf_dir):
-    """Indicators without wallets, whose checksums SQL cannot test; see wallet_indicators."""
-    return ex.indicators(messages(spark, sf_dir), "c_custkey", "body", PLAIN).select("c_custkey", "kind", "value")
+    """Indicators with their surface form and place; without wallets, whose checksums SQL cannot test (see wallet_indicators)."""
+    return ex.indicators(messages(spark, sf_dir), "c_custkey", "body", PLAIN)
+
+
+CORPUS = """c AS (SELECT 'document:' || doc_id AS ref, text AS body FROM documents UNION ALL SELECT 'page:' || page_id, html FROM pages UNION ALL SELECT 'turn:' || conv_id || ':' || turn, text FROM conversations)"""
+
+
+def corpus(spark, sf_dir):
+    """ref and body of every document, page and turn."""
+    ref = lambda kind, *ids: F.concat_ws(":", F.lit(kind), *ids).alias("ref")
+    docs = load(spark, sf_dir, "documents").select(ref("document", "doc_id"), F.col("text").alias("body"))
+    pages = load(spark, sf_dir, "pages").select(ref("page", "page_id"), F.col("html").alias("body"))
+    return docs.unionAll(pages).unionAll(load(spark, sf_dir, "conversations").select(ref("turn", "conv_id", "turn"), F.col("text").alias("body")))
+
+
+@query(f"WITH {CORPUS} {indicator_sql('c', 'ref')}")
+def corpus_indicators(spark, sf_dir):
+    """What whole documents, pages and turns mention, with surface forms and places."""
+    return ex.indicators(corpus(spark, sf_dir), "ref", "body", PLAIN)
+
+
+#: Ethereum addresses of each customer: one of a single case, which has no checksum, and one of both, whose case a hash would have to give.
+ETH = "concat('pay 0x', {sha}, ', not 0x', upper(left({sha}, 20)), right({sha}, 20), '.')"
+
+
+@query(
+    f"""
+WITH e AS (SELECT c_custkey, {ETH.format(sha="left(sha256(c_name), 40)")} AS body FROM customer), r AS (SELECT c_custkey, unnest(regexp_extract_all(body, '0x[a-fA-F0-9]{{40}}')) AS raw FROM e)
+SELECT c_custkey, 'wallet_eth' AS kind, lower(raw) AS value, raw, 4 AS "at" FROM r WHERE raw = lower(raw)
+"""
+)
+def eth_indicators(spark, sf_dir):
+    """Of the shapes of an Ethereum address only those that can be one: the checksum of mixed case is Keccak's, which SQL does not have."""
+    rows = load(spark, sf_dir, "customer").selectExpr("c_custkey", f"{ETH.format(sha='left(sha2(c_name, 256), 40)')} AS body")
+    return ex.indicators(rows, "c_custkey", "body", [r for r in ex.INDICATORS if r[0] == "wallet_eth"])
 
 
 @query()
@@ -86,8 +129,7 @@ def wallet_indicators(spark, sf_dir):
     rows = load(spark, sf_dir, "customer").selectExpr(
         "c_custkey", "concat('send to ', if(c_custkey % 3 = 0, '1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN2', concat('1BvBMSEYstWetqTFn5Au4m4GFg7xJaNV', c_custkey % 9 + 1, 'x')), '.') AS body"
     )
-    found = ex.indicators(rows, "c_custkey", "body", [r for r in ex.INDICATORS if r[0] == "wallet_btc"])
-    return found.where(vx.address_ok("raw"))
+    return ex.indicators(rows, "c_custkey", "body", [r for r in ex.INDICATORS if r[0] == "wallet_btc"])
 
 
 LABELS = ", ".join(f"('{k}', '{v}')" for k, v in rules.SIGNAL_LABELS.items())
@@ -147,8 +189,8 @@ PII = (("email", "contact", 2), ("handle_other_platform", "handle", 1), ("sessio
 
 @query(
     f"""
-WITH {MESSAGES}, i AS ({INDICATOR_ROWS}), p AS (SELECT * FROM (VALUES {", ".join(map(str, PII))}) v(kind, category, rank))
-SELECT c_custkey, category, count(*) AS n, max(rank)::INTEGER AS rank FROM i JOIN p USING (kind) WHERE NOT (kind = 'handle_other_platform' AND value IN {ex.NO_HANDLES}) GROUP BY 1, 2
+WITH {MESSAGES}, i AS ({indicator_sql("m", "c_custkey")}), p AS (SELECT * FROM (VALUES {", ".join(map(str, PII))}) v(kind, category, rank))
+SELECT c_custkey, category, count(*) AS n, max(rank)::INTEGER AS rank FROM i JOIN p USING (kind) GROUP BY 1, 2
 """
 )
 def personal_data(spark, sf_dir):

@@ -1,6 +1,7 @@
 """Operators on small inputs with results worked out by hand or by a plain mirror."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sonde.functions import addresses
 from sonde.functions import text as tx
 from sonde.functions import vectorised as vx
 from sonde.operators import evaluate, extract, features, linking, rules
@@ -139,6 +141,58 @@ def test_indicator_places(spark):
     }
 
 
+def test_indicators_stand_where_they_match(spark):
+    """The place is that of the match, not of an earlier look-alike; a mirror in Python agrees on accents and repeats."""
+    bodies = ["abcd wrote: ask @abcd today", "é@accent.es @àbcd @abcde", "a@b.co " * 40 + "@last_one", "x" * 300_000 + " @far_away", "05" + "a" * 64 + "é"]
+    found = extract.indicators(spark.createDataFrame(list(enumerate(bodies)), "k int, body string"), "k", "body").collect()
+    wanted = set()
+    for k, body in enumerate(bodies):
+        seen = {}
+        for kind, pattern, fold in extract.INDICATORS:
+            if kind.startswith("wallet"):
+                continue
+            for m in re.finditer(pattern, body, re.ASCII):
+                raw = m.group(re.compile(pattern).groups and 1)
+                value = raw.lower() if fold else raw
+                if not (kind == "handle_other_platform" and value in extract.NO_HANDLES):
+                    seen.setdefault((kind, value), (raw, m.start(re.compile(pattern).groups and 1)))
+        wanted |= {(k, *key, *place) for key, place in seen.items()}
+    assert {tuple(r) for r in found} == wanted
+    assert (0, "handle_other_platform", "abcd", "abcd", 17) in wanted
+    short = extract.indicators(spark.createDataFrame([(1, "@handle1 @handle2")], "k int, body string"), "k", "body", most=9).collect()
+    assert [r["value"] for r in short] == ["handle1"]
+
+
+def test_statements_and_sentences(spark):
+    """Dump lines hold variables; sentences that begin like one hold names."""
+    chats = ["Update: join @newchannel now", "use @channel1", "Drop by @channel2", "set up @channel3", "Insert coin at @channel4", "t.me/channel5/12", "t.me/joinchat/abcdefgh12"]
+    dumps = ["SET @old_value=@@unique_checks;", "/*!40101 SET @saved_cs = @@character_set_client */;", "INSERT INTO t VALUES ('@nobody1');", "update t set a='@nobody2'", "USE `db`; ", "LOCK TABLES `@nobody3` WRITE;", "CREATE TABLE x (a int) -- @nobody4"]
+    df = spark.createDataFrame([("\n".join(chats + dumps),), ("ask @insider\r\nSET @x1234 = 1",), (None,), ("",)], "body string")
+    found = [sorted(tuple(x) for x in r[0]) if r[0] is not None else None for r in df.select(extract.channels(F.col("body"))).collect()]
+    names = [f"@channel{k}" for k in (1, 2, 3, 4, 5)] + ["@joinchat", "@newchannel"]
+    assert found[0] == sorted([("invite_link", "joinchat:abcdefgh12")] + [("username_mention", n) for n in names])
+    assert found[1] == [("username_mention", "@insider")] and not found[2] and found[3] == []
+
+
+def test_keccak_and_addresses():
+    """Published vectors, and each of them with one letter changed."""
+    assert addresses.keccak256([b""])[0].tobytes().hex() == "c5d2460186f7233c927e7db2dcc703c0e500b653ca82273b7bfad8045d85a470"
+    assert addresses.keccak256([b"", b"abc"])[1].tobytes().hex() == "4e03657aea45a94fc7d47ba826c8d667c0d1e6e33a64a036ec44f58fa12d6c45"
+    good = [
+        ("wallet_eth", "0x5aAeb6053F3E94C9b9A09f33669435E7Ef1BeAed"), ("wallet_eth", "0xfB6916095ca1df60bB79Ce92cE3Ea74c37c5d359"), ("wallet_eth", "0xdbF03B407c01E7cD3CBea99509d93f8DDDC8C6FB"),
+        ("wallet_eth", "0x" + "ab" * 20), ("wallet_eth", "0x" + "AB" * 20), ("wallet_tron", "TR7NHqjeKQxGTCi8q8ZY4pL8otSzgjLj6t"), ("wallet_btc", "1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN2"),
+        ("wallet_btc", "3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy"), ("wallet_btc", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4"), ("wallet_btc", "bc1p0xlxvlhemja6c4dqv22uapctqupfhlxm9h8z3k2e72q4k9hcz7vqzk5jj0"),
+        ("wallet_xmr", "44AFFq5kSiGBoZ4NMDwYtN18obc8AemS33DBLWs3H7otXft3XjrpDtQGv7SqSsaBYBb98uNbr2VBBEt7f2wfn3RVGQBEP3A"), ("email", "anything"),
+    ]
+    assert addresses.wallets_ok(*map(list, zip(*good, strict=True))) == [True] * len(good)
+    other = {"wallet_eth": lambda t: t.swapcase().replace("0X", "0x"), "email": None}
+    bad = [(k, other.get(k, lambda t: t[:20] + ("2" if t[20] != "2" else "3") + t[21:])(t)) for k, t in good if k != "email" and t.lower() != t or k == "wallet_btc"]
+    bad = [(k, t) for k, t in bad if not (k == "wallet_eth" and t[2:] in (t[2:].lower(), t[2:].upper()))]
+    bad += [("wallet_tron", "1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN2"), ("wallet_btc", "11BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN2"), ("wallet_btc", None), ("wallet_xmr", "4" * 95), ("wallet_btc", "")]
+    assert addresses.wallets_ok(*map(list, zip(*bad, strict=True))) == [False] * len(bad)
+    assert addresses.wallets_ok([], []) == []
+
+
 def test_folder_predicates(spark):
     df = spark.createDataFrame([(["a/x.txt", "b/y"],), ([],)], "p array<string>")
     hit = rules.folder(F.col("p"), ("or", ("glob", "a/*.txt"), ("not", ("at_most", 0, ("path", "b/y")))))
