@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonde.plans.lineage import materialize
+from sonde.plans.lineage import materialize, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     live = materialize(live.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     for _ in range(rounds):
-        live = materialize(_small_star(_large_star(live)).distinct(), "star")
+        before, live = live, materialize(_small_star(_large_star(live)).distinct(), "star")
+        release(before)
         mark = live.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
@@ -39,4 +40,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = live.select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return live.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots).distinct()
+    found = live.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots).distinct()
+    found._written_to = live._written_to  # release() of the result deletes the table it rests on
+    return found
