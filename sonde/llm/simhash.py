@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sonde.llm.common import one_of_each, small, texts, tidy
 from sonde.plans.components import components
-from sonde.plans.lineage import materialize
+from sonde.plans.lineage import materialize, release
 
 BITS = 64
 CELLS = 512
@@ -365,10 +365,13 @@ def _alike(pairs: DataFrame, source: DataFrame, firsts: DataFrame, width: int, s
     texts_ = source.join(small(wanted, rows, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("node", "text")
     sets = materialize(texts_.mapInPandas(_shingles(width), "node long, shingles array<long>"), "sets")
     if sets.count() > rows:  # rows with equal id and text all give the set of their one node
-        sets = materialize(sets.dropDuplicates(["node"]), "sets")
+        whole, sets = sets, materialize(sets.dropDuplicates(["node"]), "sets")
+        release(whole)
     overlap = F.size(F.array_intersect("s", "t"))
     full = sided(sets, "shingles", likely, count)
-    return materialize(full.where((num + den) * overlap >= num * (F.size("s") + F.size("t"))).select("a", "b"), "alike")
+    found = materialize(full.where((num + den) * overlap >= num * (F.size("s") + F.size("t"))).select("a", "b"), "alike")
+    release(pairs, likely, wanted, sets)
+    return found
 
 
 def _may_link(x: str, y: str, share: tuple[int, int]) -> Column:
@@ -412,19 +415,25 @@ def similar_pairs(
         y = live.groupBy("token").agg(pivot).select("token", "p.*").alias("y")
         star = live.alias("x").join(y, "token").where(F.col("x.component") != F.col("y.component")).where(_may_link("x", "y", share))
         more = alike(star.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-        found = materialize(found.unionAll(more), "found")
+        less, found = found, materialize(found.unionAll(more), "found")
+        release(less, more, live)
         live = _unsettled(members, found)
     x, y = live.alias("x"), live.alias("y")
     pairs = x.join(y, "token").where(F.col("x.component") < F.col("y.component")).where(_may_link("x", "y", share))
-    return found.unionAll(alike(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))))
+    last = alike(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    release(members, wanted, live)
+    return found.unionAll(last)
 
 
 def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
     """members with their component over the links found, for tokens that more than one component has."""
-    named = members.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    linked = components(found)
+    named = members.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named.select("token", "node", "n", "pos", "component"), "named")
     mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    return materialize(named.join(mixed, "token"), "unsettled")
+    live = materialize(named.join(mixed, "token"), "unsettled")
+    release(linked, named)
+    return live
 
 
 def near_groups(docs: DataFrame, width: int = 5, share: tuple[int, int] = (4, 5), sample: int = 8, common_rows: int = 200_000, broadcast_rows: int = 200_000, **parameters) -> DataFrame:
@@ -447,6 +456,7 @@ def near_groups(docs: DataFrame, width: int = 5, share: tuple[int, int] = (4, 5)
     firsts = rows.drop("key").join(small(repeats, repeats.count(), broadcast_rows), "node", "left_anti")
     pairs = similar_pairs(source, firsts, width, share, broadcast_rows=broadcast_rows, **parameters)
     linked = components(pairs).withColumnRenamed("node", "first")
+    release(rows)
     grouped = named.join(linked, "first", "left").withColumn("component", F.coalesce("component", "first"))
     least = grouped.groupBy("component").agg(F.min("least").alias("group_least"))
     return grouped.join(least, "component").select("doc_id", "th", "component", F.col("group_least").alias("least"))

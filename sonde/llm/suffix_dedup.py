@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from sonde.llm.common import small, texts, tidy
 from sonde.llm.suffix_sort import Collision, Hashes, same_bytes, suffix_sort
-from sonde.plans.lineage import materialize
+from sonde.plans.lineage import materialize, release
 
 GRAM = 48
 #: Bytes of text that are hashed at a time; the arrays of a chunk take about a hundred times as much.
@@ -284,11 +284,13 @@ def _hot_spans(windows: DataFrame, length: int, gram: int, hot: int) -> tuple[Da
         made = materialize(live.join(windows.select("wid", "left", "window"), "wid").mapInPandas(_divide(length), PART), "parts")
         kinds = made.groupBy(*core, *whole).agg(F.sum("n").alias("copies"), F.min("wid").alias("wid"))
         kinds = materialize(kinds, "kinds")
-        settled = made.where("n = 1").join(kinds.where("copies > 1").drop("wid"), [*core, *whole]).select("wid", "begin", "end")
+        settled = materialize(made.where("n = 1").join(kinds.where("copies > 1").drop("wid"), [*core, *whole]).select("wid", "begin", "end"), "settled")
+        release(made)
         spans = spans.unionByName(settled)
         sets = kinds.groupBy(*core).agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1 and first < last")
         sets = materialize(sets, "sets")
-        open_ = kinds.join(sets, core).select("wid", F.col("core").alias("set"), F.col("copies").alias("n"), "first", "last", "kinds")
+        open_ = materialize(kinds.join(sets, core).select("wid", F.col("core").alias("set"), F.col("copies").alias("n"), "first", "last", "kinds"), "open")
+        release(kinds)
         calm = calm.unionByName(open_.where(F.col("kinds") <= hot).drop("kinds"))
         if not sets.where(F.col("kinds") > hot).limit(1).count():
             break
@@ -328,7 +330,9 @@ def spans(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = 3000,
     all_spans = all_spans.unionByName(met)
     # a span as one number
     by_row = all_spans.groupBy(*ROW).agg(F.collect_set(F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("spans"))
-    return materialize(by_row.mapInPandas(_merge, f"{PLACE}, spans array<struct<a:int,b:int>>"), "spans")
+    made = materialize(by_row.mapInPandas(_merge, f"{PLACE}, spans array<struct<a:int,b:int>>"), "spans")
+    release(found, classes, wanted, *([windows] if True in weight else []))
+    return made
 
 
 @tidy
