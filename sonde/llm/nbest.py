@@ -78,8 +78,8 @@ def search(pieces: Pieces, unit: str, n: int) -> list[Segmentation]:
     for end in range(1, len(unit) + 1):
         ahead[end] = max(ahead[start] + score for start, _, score in ends[end])
     found: list[Segmentation] = []
-    # of equal scores, told apart up to rounding, the path that has come furthest goes first
-    heap = [(-round(ahead[-1], 9), len(unit), 0, 0.0, None)]
+    # scores add up without rounding; of equal ones the path that has come furthest goes first
+    heap = [(-ahead[-1], len(unit), 0, 0.0, None)]
     pushed = 0
     while heap and len(found) < n:
         _, at, _, tail, path = heapq.heappop(heap)
@@ -92,7 +92,7 @@ def search(pieces: Pieces, unit: str, n: int) -> list[Segmentation]:
             continue
         for start, piece, score in ends[at]:
             pushed += 1
-            heapq.heappush(heap, (-round(ahead[start] + score + tail, 9), start, pushed, score + tail, (piece, path)))
+            heapq.heappush(heap, (-(ahead[start] + score + tail), start, pushed, score + tail, (piece, path)))
     return found
 
 

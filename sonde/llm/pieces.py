@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Scores are whole multiples of this, so that sums of them are exact and equal ones are equal in whatever order they are added.
+GRAIN = 2.0**-24
 #: Sentencepiece's mark for a space.
 MARK = "▁"
 BASE = np.uint64(0x100000001B3)
@@ -13,7 +15,7 @@ class Pieces:
     """Piece strings and log-probabilities, with a hash table over (polynomial hash of code points, length).
 
     scores: one log-probability for each piece, from its rank in the vocabulary, by Zipf's law: p is proportional to
-    1 / (rank + 2). Single characters outside the vocabulary have the score `unknown`.
+    1 / (rank + 2), to the nearest multiple of GRAIN. Single characters outside the vocabulary have the score `unknown`.
     """
 
     def __init__(self, model_path: str) -> None:
@@ -25,7 +27,7 @@ class Pieces:
         self.text = [model.id_to_piece(i) for i in plain]
         order = np.argsort(np.argsort([-model.get_score(i) for i in plain], kind="stable"), kind="stable")
         weight = 1.0 / (order + 2.0)
-        self.scores = np.log(weight / weight.sum())
+        self.scores = np.round(np.log(weight / weight.sum()) / GRAIN) * GRAIN
         self.unknown = float(self.scores.min()) - 10.0
         # the same as plain lists, for work on single units
         self.weight, self.id = self.scores.tolist(), plain

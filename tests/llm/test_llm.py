@@ -388,10 +388,21 @@ def test_nbest_scores_are_those_of_a_plain_search(spark, docs, plain):
     assert found == Counter((i, best(t)) for i, t in plain)
 
 
-def test_ties_are_not_searched_in_breadth():
-    began = time.process_time()
-    found = nbest.search(Pieces(PIECES), "a" * 1601, 4)
-    assert len({p for _, p in found}) == 4 and time.process_time() - began < 3
+@pytest.mark.parametrize("letter", ["a", "x", "=", "é"])
+def test_ties_are_not_searched_in_breadth(letter):
+    """Whatever the length, n segmentations of one repeated letter are found in time that grows with the length alone."""
+    pieces = Pieces(PIECES)
+    for length in [*range(1, 4001, 173), 1601, 2999, 3000, 3001, 20_000]:
+        began = time.process_time()
+        found = nbest.search(pieces, letter * length, 4)
+        assert len({p for _, p in found}) == len(found) and time.process_time() - began < 3
+
+
+def test_scores_add_up_exactly():
+    pieces = Pieces(PIECES)
+    rng = random.Random(1)
+    some = [float(x) for x in rng.sample(list(pieces.scores), 2000)]
+    assert sum(some) == sum(reversed(some)) == math.fsum(some)
 
 
 def test_every_segmentation_decodes(spark, docs, plain):
