@@ -150,3 +150,9 @@ def jwt_claims(texts: pd.Series) -> pd.Series:
             return None
 
     return texts.map(one)
+
+
+@F.pandas_udf(T.StringType())
+def weighted_signature(names: pd.Series, weights: pd.Series) -> pd.Series:
+    """SimHash of named weights, given as two arrays of equal length; weights of null count as none."""
+    return pd.Series([None if n is None or w is None else simhash64({k: v for k, v in zip(n, w, strict=True) if v}) for n, w in zip(names, weights, strict=True)], dtype=object)

@@ -125,6 +125,27 @@ def punctuation_look_around(spark, sf_dir):
     return load(spark, sf_dir, "documents").groupBy("source").agg(*[_rate(p).alias(n) for n, p in LOOK_AROUND.items()])
 
 
+@query()
+def style_signatures(spark, sf_dir):
+    """SimHash signatures of each source's punctuation (rates of all marks, from ten texts and 200 characters on) and vocabulary (its best terms
+    by TF-IDF, from 50 texts on), with the confidence that the number of texts gives."""
+    docs = load(spark, sf_dir, "documents").where("source IS NOT NULL")
+    marks = MARKS | LOOK_AROUND
+    counted = docs.groupBy("source").agg(F.count("text").alias("k"), F.sum(F.length("text")).alias("c"), *[F.sum(F.regexp_count("text", F.lit(p))).alias(n) for n, p in marks.items()])
+    rates = F.array(*[F.col(n) / F.greatest(F.col("c"), F.lit(1)) for n in marks])
+    some = F.exists(rates, lambda r: r > 0)
+    marked = counted.where((F.col("k") >= 10) & (F.col("c") >= 200) & some).select(
+        "source", F.lit("punctuation").alias("kind"), vx.weighted_signature(F.array(*map(F.lit, marks)), rates).alias("signature"), F.least(F.lit(1.0), F.col("k") / 50).alias("confidence")
+    )
+    # fifty terms a source, whatever its size
+    terms = tfidf_terms(spark, sf_dir).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("term", "tfidf"))).alias("t"))
+    enough = counted.where("k >= 50").select("source", "k")
+    worded = terms.join(enough, "source").select(
+        "source", F.lit("vocabulary").alias("kind"), vx.weighted_signature(F.col("t.term"), F.col("t.tfidf")).alias("signature"), F.least(F.lit(1.0), F.col("k") / 200).alias("confidence")
+    )
+    return marked.unionByName(worded)
+
+
 @query(
     """
 WITH w AS (SELECT unnest(string_split(p_name, ' ')) || p_size % 7 AS word FROM part), n AS (SELECT word, count(*) AS n FROM w GROUP BY 1)

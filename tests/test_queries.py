@@ -66,6 +66,33 @@ def test_look_around_rates(spark):
             assert found[source][name] == pytest.approx(n / chars, abs=2e-6)
 
 
+def test_style_signatures_by_votes(spark):
+    """Both kinds of signature worked out anew from the texts, and the floors on the number of texts."""
+    import math
+    from collections import Counter
+
+    from sonde.functions.vectorised import simhash64
+
+    docs = table("documents").dropna(subset=["source"])
+    found = {(r["source"], r["kind"]): (r["signature"], r["confidence"]) for r in QUERIES["style_signatures"](spark, SF).collect()}
+    tokens = {i: [w for w in re.split("[^a-zà-öø-ÿ]+", (t or "").lower()) if w] for i, t in zip(docs["doc_id"], docs["text"], strict=True)}
+    df = Counter(w for ws in tokens.values() for w in set(ws))
+    wanted = {}
+    for source, part in docs.groupby("source"):
+        texts = [t for t in part["text"] if t is not None]
+        chars = sum(map(len, texts))
+        rates = {n: sum(len(re.findall(p, t)) for t in texts) / max(chars, 1) for n, p in (lexical.MARKS | lexical.LOOK_AROUND).items()}
+        if len(texts) >= 10 and chars >= 200 and any(rates.values()):
+            wanted[source, "punctuation"] = (simhash64({n: r for n, r in rates.items() if r}), min(1.0, len(texts) / 50))
+        if len(texts) >= 50:
+            tf = Counter(w for i in part["doc_id"] for w in tokens[i])
+            total = sum(tf.values())
+            score = {w: round(n / total * (math.log((len(docs) + 1) / (df[w] + 1)) + 1), 9) for w, n in tf.items()}
+            best = sorted(score, key=lambda w: (-score[w], w))[:50]
+            wanted[source, "vocabulary"] = (simhash64({w: score[w] for w in best}), min(1.0, len(texts) / 200))
+    assert found == wanted and {k for _, k in found} >= {"punctuation"}
+
+
 def test_wallets_need_their_checksum(spark):
     keys = {r["c_custkey"] for r in QUERIES["wallet_indicators"](spark, SF).collect()}
     assert keys == {int(k) for k in table("customer")["c_custkey"] if k % 3 == 0}
