@@ -29,12 +29,12 @@ FORMS = {
     """
 SELECT CASE l_orderkey % 4 WHEN 0 THEN 'lines_vdf' WHEN 1 THEN 'lines_yaml' WHEN 2 THEN 'lines_tsv' ELSE 'lines_text' END AS rule_id, CASE WHEN l_orderkey % 4 < 2 THEN 'nested' ELSE 'flat' END AS family,
        l_orderkey, l_linenumber::VARCHAR AS line, l_partkey::VARCHAR AS part, 'say "' || l_linestatus || '"' AS note, l_returnflag AS flag
-FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS rn FROM lineitem) WHERE rn = 1
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_returnflag, l_linestatus) AS rn FROM lineitem) WHERE rn = 1
 """
 )
 def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order's lines, written in one of four forms and read back by rules that know only the form."""
-    one = F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey"))
+    one = F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_returnflag", "l_linestatus"))
     lines = load(spark, sf_dir, "lineitem").withColumn("rn", one).where("rn = 1")
     names = list(FORMS)
     written = F.element_at(F.array(*[F.expr(FORMS[n][0]) for n in names]), (F.col("l_orderkey") % 4 + 1).cast("int"))
