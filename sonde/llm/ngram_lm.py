@@ -199,9 +199,11 @@ def _route(bits: int):
                 bi_n = np.bincount(at[learn], minlength=len(keys)).astype("<u4")
                 del at, learn
                 low = ((keys << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
+                # shards that hold nothing of a chunk get no row, so the rows are no more than the chunk's n-grams
                 out = [
                     (s, row.chunk, chunk.words[u].tobytes(), packed(uni_n[u]), low[b].tobytes(), packed(bi_n[b]))
                     for s, (u, b) in enumerate(zip(slices(chunk.words), slices(keys), strict=True))
+                    if u.start < u.stop or b.start < b.stop
                 ]
                 yield pd.DataFrame(out, columns=["shard", "chunk", "uni", "uni_n", "bi", "bi_n"])
 
@@ -306,11 +308,11 @@ def _score(lm: Model):
     return fold
 
 
-def score(docs: DataFrame, folds: int = 10, base: float = 2**0.5, per_entry: int = 12, probes: int = 6, chunk: int = 1 << 20, shard_tokens: int = 1 << 20) -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, base: float = 2**0.5, per_entry: int = 12, probes: int = 6, chunk: int = 1 << 20, shard_tokens: int = 1 << 20, most_tasks: int = 1 << 15) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities).
 
     Rows whose id hashes to a remainder of 0 modulo `folds` are held out. per_entry and probes: bits of the filter and bits
-    set for each level of an n-gram. chunk and shard_tokens bound what a task holds.
+    set for each level of an n-gram. chunk and shard_tokens bound what a task holds; most_tasks bounds the tasks of the shards.
     """
     rows = texts(docs).select(
         "doc_id", "text", (F.pmod(id_hash(F.col("doc_id")), F.lit(folds)) == 0).alias("held_out"), F.monotonically_increasing_id().alias("row")
@@ -319,7 +321,8 @@ def score(docs: DataFrame, folds: int = 10, base: float = 2**0.5, per_entry: int
     chunks = materialize(chunks, "chunks")
     tokens = chunks.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     bits = max(1, (int(tokens) // shard_tokens).bit_length())
-    routed = chunks.mapInPandas(_route(bits), ROUTED).repartition(1 << bits, "shard").sortWithinPartitions("shard")
+    # a task does shard after shard, so there may be more shards than tasks that a driver can keep track of
+    routed = chunks.mapInPandas(_route(bits), ROUTED).repartition(min(1 << bits, most_tasks), "shard").sortWithinPartitions("shard")
     answers = materialize(routed.mapInPandas(_shards(base, per_entry, probes), ANSWER), "shards")
     each = answers.where("chunk < 0").select(F.explode("stats").alias("s")).groupBy("s.kind", "s.level").agg(F.sum("s.keys"), F.sum("s.n"))
     lm = Model([tuple(r) for r in each.collect()])
