@@ -2,9 +2,9 @@
 
 A document's lines are normalised (A-Z folded, white space squeezed, digits masked) and hashed. Per host, here the
 source, the distinct documents that hold a line are counted; texts that are copies of one another count once, so
-copying a clean document does not make its lines boilerplate. A line in more than `share` of a host's documents, and in
-more than `limit` of them, which keeps small hosts from losing lines to chance, is boilerplate. A document is rejected as depleted when the
-boilerplate is taken out and either fewer than `min_words` words or less than `min_left` of its words remain.
+copying a clean document does not make its lines boilerplate. A line in more than `share` of a host's documents is
+boilerplate; `limit` documents or fewer are never, since two or three may share a line by chance. A document is rejected as depleted
+when the boilerplate is taken out and either fewer than `min_words` words or less than `min_left` of its words remain.
 
 Texts are read once: a table keeps each document's counts and its lines' hashes. The shuffles carry 16 to 32 bytes a
 line, never text. Counting first adds rows, which Spark combines before the shuffle also for a host with a third of all
@@ -76,7 +76,7 @@ def _lines(text: Column) -> Column:
     return F.transform(held, lambda line: F.struct(F.xxhash64(line).alias("lh"), words(line).alias("words")))
 
 
-def _judged(docs: DataFrame, limit: int = 20, share: float = 0.02, min_words: int = 10, min_left: float = 0.1) -> tuple[DataFrame, DataFrame]:
+def _judged(docs: DataFrame, limit: int = 3, share: float = 0.02, min_words: int = 10, min_left: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """The result of quality with th, the hash of the text; and the boilerplate lines of documents (did, th, host, at, lh, words)."""
     keyed = texts(docs, "source").select(
         "doc_id",

@@ -117,7 +117,7 @@ WITH d AS (
 ), hosts AS (SELECT coalesce(source, chr(1)) AS host, count(*) AS docs FROM documents GROUP BY 1
 ), boiler AS (
   SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS n FROM lines GROUP BY 1, 2) JOIN hosts USING (host)
-  WHERE n > greatest(20, ceil(docs * 0.02))
+  WHERE n > greatest(3, ceil(docs * 0.02))
 ), taken AS (
   SELECT e.doc_id, count(*) AS words FROM
     (SELECT doc_id, host, trim(raw) AS line, unnest(string_split(trim(raw), ' ')) AS word FROM every_line) e
