@@ -292,13 +292,13 @@ def _prefixes(width: int, common: np.ndarray, rank: np.ndarray, share: tuple[int
 
     cells: how many shingles have each value of some bits; what two sets share in a cell is at most the lesser number.
 
-    Sets alike by num/den or more share one of their first n - ceil(n * num / den) + 1 shingles, whatever the order; here
-    the common ones (sorted, ranked) stand last.
+    Sets alike by num/den or more share one of their first n - ceil(n * num / den) + 1 shingles, whatever the order, and two
+    when one more is taken, as it is here; the common ones (sorted, ranked) stand last.
     """
     num, den = share
 
     def prefix(held: np.ndarray) -> np.ndarray:
-        n, first = len(held), len(held) - -(-len(held) * num // den) + 1
+        n, first = len(held), len(held) - -(-len(held) * num // den) + 2
         if not n:
             return held
         where = np.minimum(np.searchsorted(common, held), max(len(common) - 1, 0))
@@ -382,15 +382,18 @@ def _may_link(x: str, y: str, share: tuple[int, int]) -> Column:
 
 
 def similar_pairs(
-    source: DataFrame, firsts: DataFrame, width: int, share: tuple[int, int], broadcast_rows: int = 200_000, hot: int = 20, turns: int = 6
+    source: DataFrame, firsts: DataFrame, width: int, share: tuple[int, int], broadcast_rows: int = 200_000, hot: int = 20, turns: int = 6, most: int = 1000
 ) -> DataFrame:
     """(a, b): links between the nodes of firsts (node, doc_id, th, fp, n, prefix, cells) that keep every component of similar sets whole.
 
     Candidates are named by the SimHash index and by an inverted index of set prefixes, which misses no similar pair;
     each is verified by its whole sets, which the texts of source (doc_id, th, text) give again. Where the sets that share a token are more than `hot` on average, by rows, they are
-    first compared with pivots, for `turns` turns at most; then whatever still lies in different components is compared in full.
+    first compared with pivots, for `turns` turns at most; then whatever still lies in different components is compared in full,
+    sets of a token that more than `most` of them hold only where they share a second one, which costs no pair (`_second`).
     """
-    prefixes = firsts.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    num, den = share
+    first = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * num / den)  # the prefix without the shingle more
+    prefixes = firsts.select("node", "n", F.posexplode("prefix").alias("pos", "token")).where(first)
     shared = prefixes.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     members = materialize(prefixes.join(shared.select("token"), "token"), "members")
 
@@ -418,13 +421,35 @@ def similar_pairs(
         less, found = found, materialize(found.unionAll(more), "found")
         release(less, more, live)
         live = _unsettled(members, found)
-    x, y = live.alias("x"), live.alias("y")
-    pairs = x.join(y, "token").where(F.col("x.component") < F.col("y.component")).where(_may_link("x", "y", share))
-    last = alike(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-    release(members, wanted, live)
+    many = materialize(live.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > most).select("token"), "shared-by-many")
+    pairs = _across(live.join(many, "token", "left_anti"), ["token"], share)
+    if not many.isEmpty():
+        second = _second(live.join(many, "token", "left_semi"), firsts)
+        pairs = pairs.unionAll(_across(second, ["token", "second"], share))
+    last = alike(pairs)
+    release(members, wanted, live, many)
     return found.unionAll(last)
 
 
+def _across(held: DataFrame, keys: list[str], share: tuple[int, int]) -> DataFrame:
+    """(a, b): sets of different components with equal keys, where they can still overlap enough."""
+    x, y = held.alias("x"), held.alias("y")
+    pairs = x.join(y, keys).where(F.col("x.component") < F.col("y.component")).where(_may_link("x", "y", share))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def _second(live: DataFrame, firsts: DataFrame) -> DataFrame:
+    """live with each later token of the set's prefix as second, for keys that more than one component has.
+
+    Similar sets share two tokens of their prefixes with one more; of these the first stands in both prefixes, and the next
+    after it in both. Sets of one shingle have no second: they are alike only if equal, and equal sets are one node.
+    """
+    later = live.join(firsts.select("node", "prefix"), "node").withColumn("second", F.explode(F.expr("slice(prefix, pos + 2, size(prefix))"))).drop("prefix")
+    later = materialize(later, "second-tokens")
+    keys = later.groupBy("token", "second").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "second")
+    return later.join(keys, ["token", "second"])
+
+
 def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
     """members with their component over the links found, for tokens that more than one component has."""
     linked = components(found)
