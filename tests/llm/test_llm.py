@@ -8,6 +8,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -84,6 +85,27 @@ def test_quality_equals_sql(spark):
     assert rows(queries.op4_quality(spark, sf).toPandas()) == rows(duck(sf, queries.OP4_SQL))
 
 
+def test_line_rule_equals_sql_where_it_fires(spark):
+    """Hosts of several sizes, lines in from one to all of their documents, copies that count once."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    data = []
+    for host, size in (("a", 3), ("b", 12), ("c", 60), (None, 210)):
+        lines = [" ".join(word() for _ in range(rng.randint(2, 30))) for _ in range(6)]
+        for k in range(size):
+            own = [" ".join(word() for _ in range(rng.choice((3, 12, 40))))]
+            own += [line.upper() if rng.random() < 0.2 else line for j, line in enumerate(lines) if k < (1, 2, 4, 5, 9, size)[j]]
+            data.append((len(data), "\n".join(own), host))
+        data += [(len(data) + k, data[-1][1], host) for k in range(6)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, source string")
+    found = quality.quality(frame).toPandas()
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    assert rows(found) == rows(con.execute(queries.OP4_SQL).df())
+    gone = found[~found["kept"] & ~found["base_failed"]]
+    assert len(gone) > 5 and (found["n_line_words_removed"] > 0).sum() > 100 and (found["n_line_words_removed"] == 0).sum() > 3
+
+
 def test_quality_rejects_depleted(spark):
     line = "this line stands in every document of the host again"
     data = [(i, f"{line}\n{line} {i % 3}", "h", 1) for i in range(40)] + [(100, "a clean text " + " ".join(f"w{k}" for k in range(40)), "h", 1), (101, None, None, 1)]
@@ -236,14 +258,15 @@ def test_near_groups_are_those_of_exact_jaccard(spark):
     assert sorted((r["doc_id"], r["least"]) for r in found) == near_labels(data)
 
 
-@pytest.mark.parametrize("turns", [6, 1])
-def test_hot_near_groups_stay_whole(spark, turns):
+@pytest.mark.parametrize(("turns", "most"), [(6, 1000), (1, 1000), (1, 3), (0, 1)])
+def test_hot_near_groups_stay_whole(spark, turns, most):
+    """With many near copies that share tokens, and few turns, so that what is left is large and is told apart by second tokens."""
     rng = random.Random(8)
     line = [f"l{k}" for k in range(60)]
     texts_ = [edited(rng, line, rng.randint(1, 2)) for _ in range(60)]  # one large group, many of its pairs below 0.8
     texts_ += [line + [f"w{rng.randrange(5000)}" for _ in range(rng.randint(8, 20))] for _ in range(30)]
     data = list(enumerate(" ".join(t) for t in texts_))
-    found = simhash.near_groups(spark.createDataFrame(data, "doc_id long, text string"), hot=1, turns=turns).collect()
+    found = simhash.near_groups(spark.createDataFrame(data, "doc_id long, text string"), hot=1, turns=turns, most=most).collect()
     assert sorted((r["doc_id"], r["least"]) for r in found) == near_labels(data)
 
 
@@ -336,10 +359,23 @@ def test_language_model(docs, plain, chunk):
         )
         for i, t in plain
     )
-    found = ngram_lm.score(docs, chunk=chunk, per_entry=60, shard_tokens=200).collect()
+    found = ngram_lm.score(docs, chunk=chunk, per_entry=60, shard_tokens=200, most_tasks=3).collect()
     assert sorted((r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in found) == wanted
 
 
+def test_chunks_send_no_more_rows_than_ngrams(docs):
+    """However many shards there are; small chunks reach few of them."""
+    rows_ = ngram_lm.texts(docs).selectExpr("doc_id", "text", "false AS held_out", "monotonically_increasing_id() AS row")
+    chunks = [c for c in rows_.toPandas().pipe(lambda pdf: ngram_lm._chunks(50)(iter([pdf])))]
+    for k, c in enumerate(chunks):
+        c["chunk"] = k
+        held = ngram_lm.Chunk.read(next(c.itertuples(index=False)))
+        sent = [r for out in ngram_lm._route(14)(iter([c])) for r in out.itertuples(index=False)]
+        assert 0 < len(sent) <= len(held.words) + len(np.unique(held.bigrams()))
+        assert sum(len(r.uni) for r in sent) == 8 * len(held.words) and sum(len(r.bi) for r in sent) == 4 * len(np.unique(held.bigrams()))
+    assert len(chunks) > 5
+
+
 def test_language_model_beats_single_tokens(spark):
     """On rows not learned from, and its probabilities of the next token sum to about one."""
     ship(spark)
@@ -480,7 +516,9 @@ def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"  # the smaller tables label some thirty toxic documents, too few to learn from
     toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     found = [r for r in queries.op6_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in toxic]
-    assert sum(r["predicted"] == toxic[r["doc_id"]] for r in found) >= 0.9 * len(found)
+    hits = sum(r["predicted"] and toxic[r["doc_id"]] for r in found)
+    assert hits >= 0.85 * sum(toxic[r["doc_id"]] for r in found)  # recall
+    assert hits >= 0.6 * sum(r["predicted"] for r in found)  # precision; always saying 0 or 1 fails either
 
 
 def test_empty_tables(spark, nothing):
