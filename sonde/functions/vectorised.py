@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +57,16 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@F.pandas_udf(T.StringType())
+def _nfc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def composed(text: Column) -> Column:
+    """The text in normal form C. Nothing below U+0300 composes, so only texts with code points from there on go to Python."""
+    return F.coalesce(_nfc(F.when(F.regexp_like(text, F.lit(r"[^\x{0}-\x{2FF}]")), text)), text)
+
+
 def ncd(a: bytes, b: bytes, most: int = 50_000) -> float:
     """Normalised compression distance, zlib level 6, in an order that does not depend on the arguments'; 0 to 1."""
     a, b = sorted((a[:most], b[:most]))

@@ -29,21 +29,26 @@ def shared_pairs(held: DataFrame, actor: str, item: str, least_df: int = 2, most
     return sums.withColumn("score", F.round(score, 4)).where(score >= floor).select("a", "b", "score", "shared")
 
 
-def hamming_pairs(rows: DataFrame, key: str, signature: str, most: int) -> DataFrame:
+def hamming_pairs(rows: DataFrame, key: str, signature: str, most: int, within: str | None = None) -> DataFrame:
     """(a, b, distance): pairs of classes of equal signatures at most `most` bits apart, each class named by its smallest key.
 
     Exact, by agreement on one of most+1 bands. Members of a class come as pairs of its smallest key and theirs, at distance
-    0, so a class gives as many rows as it has members, not as many as it has pairs.
+    0, so a class gives as many rows as it has members, not as many as it has pairs. `within`: only rows with equal values of
+    this column (nulls equal each other) make classes and pairs, and it is returned too.
     """
     edges = [64 * i // (most + 1) for i in range(most + 2)]
     bands = F.array(*[F.shiftrightunsigned("s", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)])
-    classes = rows.groupBy(F.col(signature).alias("s")).agg(F.min(key).alias("least"))
-    banded = classes.select("s", "least", F.posexplode(bands).alias("band", "value"))
-    other = banded.select(F.col("s").alias("t"), F.col("least").alias("also"), "band", "value")
-    near = banded.join(other, ["band", "value"]).where("s < t").where(F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= most)
-    across = near.select(F.least("least", "also").alias("a"), F.greatest("least", "also").alias("b"), F.bit_count(F.col("s").bitwiseXOR(F.col("t"))).alias("distance")).distinct()
-    named = rows.select(F.col(key).alias("b"), F.col(signature).alias("s")).join(classes, "s").where("b <> least")
-    return across.unionByName(named.select(F.col("least").alias("a"), "b", F.lit(0).alias("distance")))
+    part = F.struct(F.col(within)) if within else F.struct(F.lit(0))
+    rows = rows.select(F.col(key).alias("k"), F.col(signature).alias("s"), part.alias("part"))
+    classes = rows.groupBy("part", "s").agg(F.min("k").alias("least"))
+    banded = classes.select("part", "s", "least", F.posexplode(bands).alias("band", "value"))
+    other = banded.select("part", F.col("s").alias("t"), F.col("least").alias("also"), "band", "value")
+    near = banded.join(other, ["part", "band", "value"]).where("s < t").where(F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= most)
+    distance = F.bit_count(F.col("s").bitwiseXOR(F.col("t"))).alias("distance")
+    across = near.select("part", F.least("least", "also").alias("a"), F.greatest("least", "also").alias("b"), distance).distinct()
+    named = rows.join(classes, ["part", "s"]).where("k <> least").select("part", F.col("least").alias("a"), F.col("k").alias("b"), F.lit(0).alias("distance"))
+    found = across.unionByName(named)
+    return found.select("a", "b", "distance", *([F.col("part")[within].alias(within)] if within else []))
 
 
 def dot(a: Column, b: Column) -> Column:
