@@ -42,7 +42,7 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 ALPHA = 0.1
 CHUNK = "chunk long, row array<long>, doc_id array<long>, held_out array<boolean>, size array<int>, prev binary, words binary, at binary"
 ROUTED = "shard int, chunk long, uni binary, uni_n binary, bi binary, bi_n binary"
-ANSWER = "shard int, chunk long, uni_level binary, uni_n binary, bi_level binary, bits binary, stats array<struct<kind:int,level:int,keys:long,n:long>>"
+ANSWER = "shard int, chunk long, uni_level binary, uni_n binary, bi_level binary, stats array<struct<kind:int,level:int,keys:long,n:long>>"
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -223,7 +223,7 @@ def _stats(kind: int, n: np.ndarray, top: np.ndarray) -> list[dict]:
 
 
 def _shard(rows: list, base: float, per_entry: int, probes: int) -> pd.DataFrame:
-    """One shard: its part of the filter with statistics, in a row without chunk, and the answers to all chunks."""
+    """One shard: the statistics of its part of the filter, in a row without chunk, and the answers to all chunks; the part itself is done with then."""
     uni, uni_n, uni_at = _summed(rows, "uni", "<u8")
     bi, bi_n, bi_at = _summed(rows, "bi", "<u4")
     own, two = mix(uni), mix(bi.astype(np.uint64) + np.uint64(0xB1C0DE << 32))
@@ -234,11 +234,11 @@ def _shard(rows: list, base: float, per_entry: int, probes: int) -> pd.DataFrame
     uni_level, bi_level = filt.level(own), filt.level(two)
     u = np.cumsum([0] + [len(r.uni) // 8 for r in rows])
     b = np.cumsum([0] + [len(r.bi) // 4 for r in rows])
-    out = [(rows[0].shard, -1, None, None, None, filt.bits.tobytes(), stats)]
+    out = [(rows[0].shard, -1, None, None, None, stats)]
     for i, r in enumerate(rows):
         a, c = uni_at[u[i] : u[i + 1]], bi_at[b[i] : b[i + 1]]
-        out.append((r.shard, r.chunk, uni_level[a].tobytes(), packed(uni_n[a]), bi_level[c].tobytes(), None, None))
-    return pd.DataFrame(out, columns=["shard", "chunk", "uni_level", "uni_n", "bi_level", "bits", "stats"])
+        out.append((r.shard, r.chunk, uni_level[a].tobytes(), packed(uni_n[a]), bi_level[c].tobytes(), None))
+    return pd.DataFrame(out, columns=["shard", "chunk", "uni_level", "uni_n", "bi_level", "stats"])
 
 
 def _shards(base: float, per_entry: int, probes: int):
