@@ -34,7 +34,7 @@ def meta_stats(messages: DataFrame, actor: str, ts: str) -> DataFrame:
     return (
         seen.withColumn("span_days", F.round(span, 6))
         .withColumn("per_day", F.round(F.try_divide(F.col("total_messages").cast("double"), span), 6))
-        .withColumn("density", F.round(F.least(F.lit(1.0), F.try_divide(F.col("active_days").cast("double"), span)), 6))
+        .withColumn("density", F.when(span > 0, F.round(F.least(F.lit(1.0), F.col("active_days") / span), 6)))
         .withColumn("confidence", tier(F.col("total_messages"), F.col("active_days")))
     )
 

@@ -15,7 +15,7 @@ SELECT user_id AS actor, count(*) AS total_messages, min(ts) AS first_seen, max(
 """
 STATS = f"""
 SELECT actor, total_messages, first_seen, last_seen, active_days, round(span, 6) AS span_days,
-       round(total_messages / nullif(span, 0), 6) AS per_day, round(least(1.0, active_days / nullif(span, 0)), 6) AS density,
+       round(total_messages / nullif(span, 0), 6) AS per_day, CASE WHEN span > 0 THEN round(least(1.0, active_days / span), 6) END AS density,
        CASE WHEN total_messages >= 100 AND active_days >= 7 THEN 'high' WHEN total_messages >= 30 AND active_days >= 2 THEN 'medium' ELSE 'low' END AS confidence
 FROM ({META})
 """
