@@ -26,6 +26,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
-    from sonde.queries import evaluation, extraction, features, filters, incremental, joins, lexical, linked, parsing, primitives, profiles, records, rollups, rules, search, streams  # noqa: F401
+    from sonde.queries import evaluation, expanded, extraction, features, filters, incremental, joins, lexical, linked, parsing, primitives, profiles, records, rollups, rules, search, streams  # noqa: F401
 
     return FOUND, SQL
