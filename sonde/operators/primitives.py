@@ -14,6 +14,9 @@ that results don't depend on how messages follow each other.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -22,7 +25,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sonde.functions import text as tx
 from sonde.functions.vectorised import fnv1a
 from sonde.operators import features
 from sonde.plans.lineage import materialize
@@ -70,33 +72,86 @@ def states(messages: DataFrame) -> DataFrame:
         entry("day", F.to_date(at), one),
         entry("hour", F.weekday(at) * 24 + F.hour(at), one),
     ]
-    closed = F.concat("text", F.lit(" "))
-    bodies = [
-        entry("words", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")), one),
-        entry("chars", blank, F.length("text")),
-        entry("tokens", blank, F.regexp_count(F.lower("text"), F.lit(TOKEN))),
-        *[entry("mark", F.lit(name), F.regexp_count(closed, F.lit(p))) for name, p in MARKS.items()],
-    ]
-    texts = rows.where(body)
-    counted = [rows.select("actor", F.inline(F.array(*fixed))), texts.select("actor", F.inline(F.array(*bodies)))]
-    for kind, pattern in (("token", TOKEN), ("word", WORD)):
-        # every use counts for n, and the first one in its text for docs
-        found = texts.select("actor", F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0)).alias("w"))
-        for items, n, docs in ((F.col("w"), one, none), (F.array_distinct("w"), none, one)):
-            counted.append(found.select("actor", F.lit(kind).alias("kind"), F.explode(items).alias("item"), n.alias("n"), docs.alias("docs")))
-    grams = F.explode(tx.char_ngrams(F.lower("text"), 3)).alias("item")
-    counted.append(texts.where(F.length("text") >= 3).select("actor", F.lit("gram").alias("kind"), grams, one.alias("n"), none.alias("docs")))
-    return merge(*[c.withColumn("actor", F.col("actor").cast("string")) for c in counted])
+    sizes = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    bodies = [entry("words", sizes, one), entry("chars", blank, F.length("text"))]
+    actor = F.col("actor").cast("string").alias("actor")
+    texts = rows.where(body).select(actor, F.lower("text").alias("text"))
+    timed, sized = rows.select(actor, F.inline(F.array(*fixed))), rows.where(body).select(actor, F.inline(F.array(*bodies)))
+    return _added(timed.unionByName(sized).unionByName(texts.mapInPandas(_counted, STATE))).unionByName(_picked(timed))
+
+
+def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigrams, three code points in a number, and how often each occurs."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    return np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:], return_counts=True)
+
+
+def _counted(batches: Iterator[pd.DataFrame], most: int = 200_000, piece: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """Lower-cased texts (actor, text) -> STATE rows, added up over as many texts as give `most` of them."""
+    token, word, split = re.compile(TOKEN), re.compile(WORD), [(name, re.compile(p)) for name, p in MARKS.items()]
+    plain = {"ellipsis": "...", "comma": ",", "semicolon": ";", "colon": ":", "dquote": '"', "squote": "'"}
+    held: dict[tuple[str, str, object], list[int]] = {}
+
+    def add(actor: str, kind: str, item: object, n: int, docs: int = 0) -> None:
+        found = held.get((actor, kind, item))
+        if found is None:
+            held[actor, kind, item] = [n, docs]
+        else:
+            found[0] += n
+            found[1] += docs
+
+    def flush() -> pd.DataFrame:
+        three = lambda g: chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF)
+        out = [(actor, kind, three(item) if kind == "gram" else item, n, docs) for (actor, kind, item), (n, docs) in held.items()]
+        held.clear()
+        return pd.DataFrame(out, columns=["actor", "kind", "item", "n", "docs"])
+
+    for pdf in batches:
+        for actor, text in zip(pdf["actor"], pdf["text"], strict=True):
+            uses = Counter(token.findall(text))
+            add(actor, "tokens", "", uses.total())
+            words: Counter[str] = Counter()
+            for item, n in uses.items():
+                add(actor, "token", item, n, 1)
+                for part in word.findall(item):
+                    words[part] += n
+            for item, n in words.items():
+                add(actor, "word", item, n, 1)
+            closed = text + " "
+            for name, pattern in split:
+                if name in plain:
+                    n = text.count(plain[name])
+                elif name == "paren":
+                    n = text.count("(") + text.count(")")
+                elif name == "dash":  # a run of k dashes holds k / 2 matches, rounded up
+                    n = text.count("-") - text.count("--")
+                else:
+                    n = len(pattern.findall(closed))
+                if n:
+                    add(actor, "mark", name, n)
+            for at in range(0, max(len(text) - 2, 0), piece):
+                for item, n in zip(*(x.tolist() for x in _grams(text[at : at + piece + 2])), strict=True):
+                    add(actor, "gram", item, n)
+            if len(held) >= most:
+                yield flush()
+    if held:
+        yield flush()
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    return rows.where("kind NOT IN ('first', 'last')").groupBy("actor", "kind", "item").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def _picked(rows: DataFrame) -> DataFrame:
+    """The greatest pairs, apart from the sums, which Spark adds up by hashing."""
+    most = rows.where("kind IN ('first', 'last')").groupBy("actor", "kind", "item").agg(F.max(F.struct("n", "docs")).alias("most"))
+    return most.select("actor", "kind", "item", "most.n", "most.docs")
 
 
 def merge(*parts: DataFrame) -> DataFrame:
-    """The counts of all parts, in any order."""
+    """The counts of all parts, in any order. Parts are read twice: store them first."""
     rows = reduce(DataFrame.unionByName, parts)
-    most = F.max(F.struct("n", "docs"))
-    added = rows.groupBy("actor", "kind", "item").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), most.alias("most"))
-    picked = F.col("kind").isin("first", "last")
-    value = lambda c: F.when(picked, F.col("most")[c]).otherwise(F.col(c)).alias(c)
-    return added.select("actor", "kind", "item", value("n"), value("docs"))
+    return _added(rows).unionByName(_picked(rows))
 
 
 def _seen(state: DataFrame) -> DataFrame:
@@ -270,35 +325,58 @@ def observations(state: DataFrame, markers: dict[str, list[str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def _first_uses(window: int):
+    """Pieces of token streams, in order within (actor, block) -> the windows that count each piece's own tokens as first of their kind."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, last = None, {}
+        for pdf in batches:
+            out = []
+            for actor, block, p, own_from, total, words in zip(*(pdf[c] for c in ("actor", "block", "p", "own_from", "total", "words")), strict=True):
+                if (actor, block) != group:
+                    group, last = (actor, block), {}
+                kinds = 0
+                for at, token in enumerate(words.split(" "), int(p)):
+                    if at >= own_from:
+                        first = max(last.get(token, -1) + 1, at - (window - 1), 0)
+                        kinds += max(min(at, total - window) - first + 1, 0)
+                    last[token] = at
+                out.append((actor, kinds))
+            yield pd.DataFrame(out, columns=["actor", "kinds"]).groupby("actor", as_index=False).sum()
+
+    return fold
+
+
 def richness(messages: DataFrame, window: int = 50, block: int = 1 << 16) -> DataFrame:
     """OBSERVATION rows of lexical.vocabulary_richness: the mean type-token ratio of all windows over an author's messages, by time and id.
 
-    Places of tokens are running sums, by hour first, so that no author's messages are sorted in one task. A token is the first of
-    its kind in the windows that start after its previous use; only uses less than a window back matter, so places are cut into blocks, each of which sees
-    the last tokens of the one before.
+    Places of tokens are running sums, by hour first, so that no author's messages are sorted in one task. A token is the first of its
+    kind in the windows that start after its previous use, and only uses less than a window back matter: so streams are cut into blocks, each of which sees
+    the last tokens of the one before, and an author's blocks are worked out anywhere. Texts are shuffled once, as pieces of blocks.
     """
     slot = F.floor(F.col("us") / HOUR)
-    rows = _of(messages).select(F.col("actor").cast("string").alias("actor"), "id", "us", slot.alias("slot"), F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("w"))
-    size = F.coalesce(F.size("w"), F.lit(0)).cast("long")
-    rows = rows.withColumn("size", F.when(F.col("w").isNull(), 0).otherwise(size))
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
+    rows = _of(messages).select(F.col("actor").cast("string").alias("actor"), "id", "us", slot.alias("slot"), words.alias("w")).withColumn("size", F.size("w").cast("long"))
     slots = rows.groupBy("actor", "slot").agg(F.sum("size").alias("in_slot"), F.max(F.struct("us", "id")).alias("last"))
-    past = W.partitionBy("actor").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    own = W.partitionBy("actor")
+    past, own = W.partitionBy("actor").orderBy("slot").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("actor")
     slots = slots.select("actor", "slot", F.coalesce(F.sum("in_slot").over(past), F.lit(0)).alias("before"), F.sum("in_slot").over(own).alias("total"), F.max("last").over(own)["id"].alias("last_id"))
     slots = slots.where(F.col("total") >= RICHNESS[0])
     earlier = W.partitionBy("actor", "slot").orderBy("us", "id").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("within", F.coalesce(F.sum("size").over(earlier), F.lit(0))).join(slots, ["actor", "slot"])
-    each = placed.select("actor", "total", "last_id", (F.col("before") + F.col("within")).alias("at"), F.posexplode("w").alias("i", "token"))
-    each = each.select("actor", "total", "last_id", "token", (F.col("at") + F.col("i")).alias("p"))
-    home = F.floor(F.col("p") / block)
-    seen_from = F.when(F.col("p") % block >= block - (window - 1), F.array(home, home + 1)).otherwise(F.array(home))
-    each = each.withColumn("home", home).withColumn("block", F.explode(seen_from))
-    before = F.coalesce(F.lag("p").over(W.partitionBy("actor", "block", "token").orderBy("p")), F.lit(-1))
-    first = F.greatest(F.col("before") + 1, F.col("p") - (window - 1), F.lit(0))
-    starts = F.greatest(F.least(F.col("p"), F.col("total") - window) - first + 1, F.lit(0))
-    counted = each.withColumn("before", before).where("block = home").groupBy("actor").agg(F.sum(starts).alias("kinds"), F.max("total").alias("total"), F.max("last_id").alias("last_id"))
+    placed = rows.withColumn("within", F.coalesce(F.sum("size").over(earlier), F.lit(0))).join(slots, ["actor", "slot"]).where("size > 0")
+    placed = placed.withColumn("at", F.col("before") + F.col("within"))
+    # each block takes its own tokens and those of the window before
+    first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") + (window - 2)) / block)
+    cut = placed.select("actor", "total", "last_id", "at", "size", "w", F.explode(F.sequence(first, last)).alias("block"))
+    own_from = F.col("block") * block
+    begin = F.greatest(F.col("at"), own_from - (window - 1))
+    end = F.least(F.col("at") + F.col("size"), own_from + block)
+    cut = cut.withColumn("p", begin).withColumn("own_from", own_from).where(end > begin)
+    part = F.array_join(F.slice("w", (begin - F.col("at") + 1).cast("int"), (end - begin).cast("int")), " ")
+    pieces = cut.select("actor", "total", "block", "p", "own_from", part.alias("words"))
+    counted = pieces.repartition("actor", "block").sortWithinPartitions("actor", "block", "p").mapInPandas(_first_uses(window), "actor string, kinds long")
+    by = counted.groupBy("actor").agg(F.sum("kinds").alias("kinds")).join(slots.groupBy("actor").agg(F.max("total").alias("total"), F.max("last_id").alias("last_id")), "actor")
     mean = F.round(F.col("kinds") / (F.lit(float(window)) * (F.col("total") - (window - 1))), 6)
-    return _observed(counted, _value("lexical.vocabulary_richness", "numeric", _enough(F.col("total"), RICHNESS[1]), numeric=mean, evidence=F.col("last_id")))
+    return _observed(by, _value("lexical.vocabulary_richness", "numeric", _enough(F.col("total"), RICHNESS[1]), numeric=mean, evidence=F.col("last_id")))
 
 
 class Folded:
