@@ -315,14 +315,20 @@ def _dialect(state: DataFrame, seen: DataFrame, markers: dict[str, list[str]]) -
     return _observed(rows, _value("lexical.dialect_region", "enum", sure, text=region, evidence=F.col("last_id")))
 
 
-def observations(state: DataFrame, markers: dict[str, list[str]]) -> DataFrame:
-    """OBSERVATION rows of all features that counts give. The state is read once for each family: store it first where it is large.
+FAMILIES = ("rhythm", "lengths", "signatures", "typos", "dialect")
+
+
+def observations(state: DataFrame, markers: dict[str, list[str]], families: tuple[str, ...] = FAMILIES) -> DataFrame:
+    """OBSERVATION rows of the features that counts give. The state is read once for each family: store it first where it is large.
 
     One row for each actor is stored, as every family needs it.
     """
     seen = materialize(_seen(state), "seen")
-    found = [_rhythm(seen), _lengths(state, seen), *_signatures(state, seen), _typos(state, seen), _dialect(state, seen, markers)]
-    return reduce(DataFrame.unionByName, found)
+    made = {
+        "rhythm": lambda: [_rhythm(seen)], "lengths": lambda: [_lengths(state, seen)], "signatures": lambda: _signatures(state, seen),
+        "typos": lambda: [_typos(state, seen)], "dialect": lambda: [_dialect(state, seen, markers)],
+    }
+    return reduce(DataFrame.unionByName, [rows for family in families for rows in made[family]()])
 
 
 def _first_uses(window: int):

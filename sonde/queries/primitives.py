@@ -14,7 +14,6 @@ from sonde.sources.tables import load
 
 #: Markers of regions; a parameter of the operator, here words of the driver's texts.
 REGIONS = {"coast": ["puerto", "agua", "barco", "playa"], "plain": ["campo", "ciudad", "casa"], "hills": ["camino", "piedra", "noche", "tierra", "monte"]}
-HASHED = [f"stylometric.{n}" for n in ("punctuation_style", "function_word_distribution_top50", "character_ngram_simhash", "distinctive_vocabulary_signature")]
 START, STEP, TURN = 1_704_067_200_000_000, 48_271, 2_147_483_647
 
 
@@ -100,7 +99,7 @@ def primitive_observations(spark, sf_dir):
     """Every observation whose value SQL can express."""
     messages = _messages(spark, sf_dir)
     state = materialize(ops.states(messages), "counts")
-    return ops.observations(state, REGIONS).where(~F.col("primitive").isin(HASHED)).unionByName(ops.richness(messages))
+    return ops.observations(state, REGIONS, ("rhythm", "lengths", "typos", "dialect")).unionByName(ops.richness(messages))
 
 
 @query()
@@ -110,4 +109,4 @@ def folded_signatures(spark, sf_dir):
     for batch in range(4):
         stored.fold(messages.where(F.col("id") % 4 == batch), batch)
     state = materialize(stored.state(), "counts")
-    return ops.observations(state, REGIONS).where(F.col("primitive").isin(HASHED))
+    return ops.observations(state, REGIONS, ("signatures",))
