@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sonde.plans.lineage import materialize
+
 
 def shared_pairs(held: DataFrame, actor: str, item: str, least_df: int = 2, most_df: int = 15, floor: float = 0.15) -> DataFrame:
     """(a, b, score, shared): pairs that share an item of document frequency 2 to 15, by IDF-weighted Jaccard similarity.
@@ -32,25 +36,55 @@ def shared_pairs(held: DataFrame, actor: str, item: str, least_df: int = 2, most
 def hamming_pairs(rows: DataFrame, key: str, signature: str, most: int, within: str | None = None) -> DataFrame:
     """(a, b, distance): pairs of classes of equal signatures at most `most` bits apart, each class named by its smallest key.
 
-    Exact, by agreement on one of most+1 bands. Members of a class come as pairs of its smallest key and theirs, at distance
-    0, so a class gives as many rows as it has members, not as many as it has pairs. `within`: only rows with equal values of
-    this column (nulls equal each other) make classes and pairs, and it is returned too.
+    Exact: the bits in which any signatures differ are dealt out to blocks, so many that a near pair agrees on `agree` of them;
+    only the first agreeing set of blocks gives the pair, so none comes twice. Bits that are the same in all rows tell nothing
+    and are left out. Members of a class come as pairs of its smallest key and theirs, at distance 0, so a class gives as many
+    rows as it has members, not as many as it has pairs. `within`: only rows with equal values of this column (nulls equal each
+    other) make classes and pairs, and it is returned too.
     """
-    edges = [64 * i // (most + 1) for i in range(most + 2)]
-    bands = F.array(*[F.shiftrightunsigned("s", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)])
     part = F.struct(F.col(within)) if within else F.struct(F.lit(0))
     rows = rows.select(F.col(key).alias("k"), F.col(signature).alias("s"), part.alias("part"))
-    classes = rows.groupBy("part", "s").agg(F.min("k").alias("least"))
-    banded = classes.select("part", "s", "least", F.posexplode(bands).alias("band", "value"))
-    other = banded.select("part", F.col("s").alias("t"), F.col("least").alias("also"), "band", "value")
-    near = banded.join(other, ["part", "band", "value"]).where("s < t").where(F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= most)
-    distance = F.bit_count(F.col("s").bitwiseXOR(F.col("t"))).alias("distance")
-    across = near.select("part", F.least("least", "also").alias("a"), F.greatest("least", "also").alias("b"), distance).distinct()
+    classes = materialize(rows.groupBy("part", "s").agg(F.min("k").alias("least")), "classes")
+    n, some, every = classes.agg(F.count("s"), F.bit_or("s"), F.bit_and("s")).first()
+    bits = [i for i in range(64) if n and (some ^ every) >> i & 1]
+    blocks, sets = _agreeing(n, bits, most)
+    values = F.array(*[F.struct(F.lit(sum(1 << b for b in held)).alias("set"), F.col("s").bitwiseAND(F.lit(_signed(sum(blocks[b] for b in held)))).alias("value")) for held in sets])
+    keyed = classes.select("part", "s", "least", F.inline(values))
+    other = keyed.select("part", F.col("s").alias("t"), F.col("least").alias("also"), "set", "value")
+    apart = F.col("s").bitwiseXOR(F.col("t"))
+    agreed = reduce(lambda x, y: x.bitwiseOR(y), [F.when(apart.bitwiseAND(F.lit(_signed(mask))) == 0, 1 << b).otherwise(0) for b, mask in enumerate(blocks)], F.lit(0))
+    # the blocks that agree, up to the set's last one, are the set itself: it is the first
+    upto = reduce(lambda x, held: F.when(F.col("set") == sum(1 << b for b in held), (2 << held[-1]) - 1 if held else 0).otherwise(x), sets, F.lit(0))
+    near = keyed.join(other, ["part", "set", "value"]).where((F.col("s") < F.col("t")) & (F.bit_count(apart) <= most)).where(agreed.bitwiseAND(upto) == F.col("set"))
+    across = near.select("part", F.least("least", "also").alias("a"), F.greatest("least", "also").alias("b"), F.bit_count(apart).alias("distance"))
     named = rows.join(classes, ["part", "s"]).where("k <> least").select("part", F.col("least").alias("a"), F.col("k").alias("b"), F.lit(0).alias("distance"))
     found = across.unionByName(named)
     return found.select("a", "b", "distance", *([F.col("part")[within].alias(within)] if within else []))
 
 
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def _agreeing(n: int, bits: list[int], most: int, row: int = 200, widest: int = 56) -> tuple[list[int], list[tuple[int, ...]]]:
+    """(masks of blocks, sets of blocks) for n signatures that differ in `bits`: of most + agree blocks a near pair differs in `most` at most.
+
+    More agreement makes more copies of a row and fewer candidates; a shuffled copy counts as much as `row` candidates.
+    """
+    best = None
+    for agree in range(1, max(1, len(bits) - most) + 1):
+        sets = list(combinations(range(most + agree), agree))
+        if best and len(sets) > widest:
+            break
+        # bits are seldom independent: two thirds of them count
+        alike = n / 2 ** (len(bits) * agree / (most + agree) * 2 / 3)
+        cost = len(sets) * n * (row + alike)
+        if best is None or cost < best[0]:
+            best = cost, agree, sets
+    _, agree, sets = best
+    return [sum(1 << b for b in bits[i :: most + agree]) for i in range(most + agree)], sets
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

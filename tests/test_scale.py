@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from sonde.functions.text import FOLDED, LOOK_ALIKE, fold_look_alikes
-from sonde.operators import rules
+from sonde.operators import linking, rules
 from sonde.queries import extraction
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +42,20 @@ def test_folding(spark):
     texts = [None, "", "plain", "\u0440\u0430ss", LOOK_ALIKE]
     found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", fold_look_alikes(F.col("t")).alias("t")).collect()
     assert [r["t"] for r in sorted(found)] == [None, "", "plain", "pass", FOLDED]
+
+
+def test_near_signatures_with_few_bits_that_differ(spark):
+    """All pairs of signatures most of whose bits are alike, and blocks made of the other bits only."""
+    draw = random.Random(4)
+    items = list({(draw.getrandbits(14) << 30 | 1 << 63 | 5) - (1 << 64) for _ in range(1500)})
+    found = linking.hamming_pairs(spark.createDataFrame(list(enumerate(items)), "k long, s long"), "k", "s", 3).collect()
+    wanted = {(i, j, (x ^ y).bit_count()) for i, x in enumerate(items) for j, y in enumerate(items[:i]) if (x ^ y).bit_count() <= 3}
+    assert sorted((r["b"], r["a"], r["distance"]) for r in found) == sorted(wanted)
+    blocks, sets = linking._agreeing(10**6, list(range(30, 44)), 3)
+    assert sum(blocks) == (1 << 44) - (1 << 30) and all(len(held) + 3 == len(blocks) for held in sets)
+
+
+def test_no_bits_or_rows(spark):
+    for items in ([], [(1, 7)], [(1, 7), (2, 7), (3, None)], [(1, 0), (2, 1)]):
+        found = linking.hamming_pairs(spark.createDataFrame(items, "k long, s long"), "k", "s", 3).collect()
+        assert [tuple(r) for r in found] == ([(1, 2, 0 if items[1][1] == 7 else 1)] if len(items) > 1 else [])
