@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from sonde.functions.text import FOLDED, LOOK_ALIKE, fold_look_alikes
-from sonde.operators import linking, rules
+from sonde.operators import extract, linking, rules
 from sonde.queries import extraction
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +59,12 @@ def test_no_bits_or_rows(spark):
     for items in ([], [(1, 7)], [(1, 7), (2, 7), (3, None)], [(1, 0), (2, 1)]):
         found = linking.hamming_pairs(spark.createDataFrame(items, "k long, s long"), "k", "s", 3).collect()
         assert [tuple(r) for r in found] == ([(1, 2, 0 if items[1][1] == 7 else 1)] if len(items) > 1 else [])
+
+
+def test_an_address_is_given_as_often_as_it_occurs(spark):
+    """A wrong checksum is left out before equal values are, and without repeats a value comes once."""
+    one, bad = "0x" + "1" * 20 + "ab" * 10, "0x" + "1" * 20 + "aB" * 10
+    rows = spark.createDataFrame([(1, f"{bad} {one}, {one}."), (2, one), (2, one), (3, None)], "k long, body string")
+    eth = [r for r in extract.INDICATORS if r[0] == "wallet_eth"]
+    assert sorted(map(tuple, extract.indicators(rows, "k", "body", eth, repeats=True).collect())) == [(1, "wallet_eth", one, one, 43)] * 2 + [(2, "wallet_eth", one, one, 0)] * 2
+    assert sorted(r["k"] for r in extract.indicators(rows, "k", "body", eth).collect()) == [1, 2]
