@@ -96,9 +96,15 @@ def _view(tables: dict[str, DataFrame], name: str) -> DataFrame | None:
     return rows
 
 
+def _kind(p: Pivot) -> tuple[str, str, str, str]:
+    return p.src_kind, p.name, p.dst_kind, p.edge
+
+
 def edges(tables: dict[str, DataFrame], pivots: Iterable[Pivot] = PIVOTS) -> DataFrame:
     """SHAPE rows of all pivots, each edge once."""
     by_view: dict[str, list[Pivot]] = {}
+    pivots = list(pivots)
+    kinds = list(dict.fromkeys(map(_kind, pivots)))  # edges are made distinct by number, and named after that
     for p in pivots:
         by_view.setdefault(p.view, []).append(p)
     found = []
@@ -106,12 +112,13 @@ def edges(tables: dict[str, DataFrame], pivots: Iterable[Pivot] = PIVOTS) -> Dat
         rows = _view(tables, view)
         if rows is None:
             continue
-        ends = lambda p: F.struct(F.lit(p.src_kind).alias("src_kind"), F.col(p.src).alias("src"), F.lit(p.name).alias("name"), F.lit(p.dst_kind).alias("dst_kind"), F.col(p.dst).alias("dst"), F.lit(p.edge).alias("edge"))
+        ends = lambda p: F.struct(F.lit(kinds.index(_kind(p))).alias("pivot"), F.col(p.src).alias("src"), F.col(p.dst).alias("dst"))
         each = F.array_compact(F.array(*[F.when(F.expr(p.where), ends(p)) if p.where else ends(p) for p in wanted]))
         found.append(rows.select(F.inline(each)).where("src IS NOT NULL AND dst IS NOT NULL"))
     if not found:
         raise ValueError("none of the pivots has its tables")
-    return reduce(DataFrame.unionByName, found).distinct()
+    named = F.element_at(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("src_kind", "name", "dst_kind", "edge"), kind, strict=True)]) for kind in kinds]), F.col("pivot") + 1)
+    return reduce(DataFrame.unionByName, found).distinct().withColumn("named", named).select(*[c if c in ("src", "dst") else f"named.{c}" for c in SHAPE])
 
 
 def of(tables: dict[str, DataFrame], seeds: DataFrame, kind: str, pivots: Iterable[Pivot] = PIVOTS) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from sonde.functions.text import FOLDED, LOOK_ALIKE, fold_look_alikes
-from sonde.operators import extract, linking, rules
+from sonde.functions import vectorised as vx
+from sonde.operators import expand, extract, linking, rules
 from sonde.queries import extraction
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +70,21 @@ def test_an_address_is_given_as_often_as_it_occurs(spark):
     eth = [r for r in extract.INDICATORS if r[0] == "wallet_eth"]
     assert sorted(map(tuple, extract.indicators(rows, "k", "body", eth, repeats=True).collect())) == [(1, "wallet_eth", one, one, 43)] * 2 + [(2, "wallet_eth", one, one, 0)] * 2
     assert sorted(r["k"] for r in extract.indicators(rows, "k", "body", eth).collect()) == [1, 2]
+
+
+def test_trigrams_are_counted_by_code_points(spark):
+    rows = [("en", "abca\U0001f600bc"), ("en", "bca"), (None, "xyz"), ("es", None), ("es", "ab")]
+    wanted = Counter((lang, t[i : i + 3]) for lang, t in rows for i in range(len(t or "") - 2))
+    found = vx.char3_counts(spark.createDataFrame(rows, "lang string, text string").coalesce(1)).collect()
+    assert {(r["lang"], r["gram"]): r["n"] for r in found} == wanted
+
+
+def test_edges_are_shuffled_by_number(spark):
+    """What is made distinct holds two ends and a number, not four names; pivots of one name are one."""
+    two = [expand.Pivot("a", "x", "b", "e", "domains", "artifact", "domain"), expand.Pivot("a", "x", "b", "e", "links", "a", "b")]
+    tables = {"domains": spark.createDataFrame([(1, "q"), (2, None)], "artifact long, domain string"), "links": spark.createDataFrame([("1", "q", "linked")], "a string, b string, kind string")}
+    found = expand.edges(tables, two)
+    assert sorted(map(tuple, found.collect())) == [("a", "1", "x", "b", "q", "e"), ("a", "q", "x", "b", "1", "e")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    keys = re.search(r"hashpartitioning\(([^)]*)\)", plan).group(1)
+    assert keys.count("#") == 3
