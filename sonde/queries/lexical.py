@@ -10,7 +10,7 @@ from sonde.functions import vectorised as vx
 from sonde.operators import lexicon
 from sonde.plans.lineage import materialize
 from sonde.queries import query
-from sonde.sources.tables import load
+from sonde.sources.tables import load, spread
 
 TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^a-zà-öø-ÿ]+'), lambda w: w <> '')"
 
@@ -22,7 +22,7 @@ SELECT doc_id, round(sum(len(list_distinct(w[i:i+49])))::DOUBLE / (50 * count(*)
 """
 )
 def mattr(spark, sf_dir):
-    return lexicon.moving_ttr(load(spark, sf_dir, "documents"), "doc_id", "text", places=4)
+    return lexicon.moving_ttr(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", places=4)
 
 
 @query(
@@ -35,7 +35,7 @@ SELECT source, term, rank, tfidf FROM (SELECT *, row_number() OVER (PARTITION BY
 """
 )
 def tfidf_terms(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("source", "doc_id", tx.tokens(F.col("text")).alias("w"))
+    docs = spread(load(spark, sf_dir, "documents").select("source", "doc_id", "text")).select("source", "doc_id", tx.tokens(F.col("text")).alias("w"))
     # texts are split once: a term's rows by source carry its uses and its documents, and all else is sums over them
     per_doc = docs.select("source", "doc_id", F.explode("w").alias("term")).groupBy("source", "doc_id", "term").agg(F.count("*").alias("n"))
     tf = per_doc.groupBy("source", "term").agg(F.sum("n").alias("n"), F.count("*").alias("docs_with"))
@@ -57,8 +57,8 @@ SELECT lang, gram, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER
 """
 )
 def char3_top(spark, sf_dir):
-    grams = load(spark, sf_dir, "documents").select("lang", F.explode(tx.char_ngrams(F.lower("text"), 3)).alias("gram"))
-    counts = grams.groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    texts = spread(load(spark, sf_dir, "documents").select("lang", "text")).select("lang", F.lower("text").alias("text"))
+    counts = vx.char3_counts(texts).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return counts.withColumn("rn", F.row_number().over(best)).where("rn <= 20").select("lang", "gram", "n")
 
@@ -129,7 +129,7 @@ def punctuation_look_around(spark, sf_dir):
 def style_signatures(spark, sf_dir):
     """SimHash signatures of each source's punctuation (rates of all marks, from ten texts and 200 characters on) and vocabulary (its best terms
     by TF-IDF, from 50 texts on), with the confidence that the number of texts gives."""
-    docs = load(spark, sf_dir, "documents").where("source IS NOT NULL")
+    docs = spread(load(spark, sf_dir, "documents").where("source IS NOT NULL").select("source", "text"))
     marks = MARKS | LOOK_AROUND
     counted = docs.groupBy("source").agg(F.count("text").alias("k"), F.sum(F.length("text")).alias("c"), *[F.sum(F.regexp_count("text", F.lit(p))).alias(n) for n, p in marks.items()])
     rates = F.array(*[F.col(n) / F.greatest(F.col("c"), F.lit(1)) for n in marks])
@@ -241,7 +241,7 @@ def look_alikes(spark, sf_dir):
 @query()
 def author_signatures(spark, sf_dir):
     """Character-trigram SimHash of each text: FNV-1a has no SQL form in 64-bit arithmetic that raises on overflow."""
-    docs = load(spark, sf_dir, "documents")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", vx.char3_signature("text").alias("signature"))
 
 
