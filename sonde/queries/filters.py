@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from sonde.functions import text as tx
 from sonde.queries import query
-from sonde.sources.tables import load
+from sonde.sources.tables import load, spread
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_type IN ('STANDARD', 'ECONOMY', 'PROMO') AND (starts_with(lower(p_name), 'sm') OR contains(lower(p_name), 'ring')) AND (p_size % 3 = 0) = TRUE")
@@ -124,7 +124,7 @@ FROM n LEFT JOIN r a ON a.source = n.source AND a.rn = 1 LEFT JOIN r b ON b.sour
 )
 def dialect_regions(spark, sf_dir):
     """The region whose markers an author uses: distinct hits over tokens, a least rate, and a margin over the second."""
-    words = load(spark, sf_dir, "documents").select("source", tx.tokens(F.col("text")).alias("w"))
+    words = spread(load(spark, sf_dir, "documents").select("source", "text")).select("source", tx.tokens(F.col("text")).alias("w"))
     markers = spark.createDataFrame([(r, w) for r, ws in REGIONS.items() for w in ws], "region string, word string")
     known = F.array(*[F.lit(w) for ws in REGIONS.values() for w in ws])
     # a text gives at most the markers it holds, and Spark combines them before the shuffle
