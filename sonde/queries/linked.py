@@ -11,7 +11,7 @@ from sonde.operators.enrich import Registry
 from sonde.operators.personas import Personas
 from sonde.operators.postings import Index
 from sonde.queries import query
-from sonde.sources.tables import load
+from sonde.sources.tables import load, spread
 from sonde.streaming.replay import fresh_dir
 
 #: A few rules of each kind; the whole public list is a parameter of the operator.
@@ -52,7 +52,7 @@ SELECT 'phrase' AS asked, key, n FROM p WHERE n > 0 UNION ALL SELECT 'all', doc_
 def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phrase and a conjunction, answered from the postings of their words alone."""
     index = Index(spark, fresh_dir(spark, "index"))
-    index.write(load(spark, sf_dir, "documents"), "doc_id", "text")
+    index.write(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
     found = index.phrase(" ".join(PHRASE)).select(F.lit("phrase").alias("asked"), "key", "n")
     return found.unionByName(index.all_of(" ".join(ALL)).select(F.lit("all").alias("asked"), "key", F.lit(1).cast("long").alias("n")))
 
