@@ -10,7 +10,7 @@ from sonde.operators import primitives as ops
 from sonde.plans.lineage import materialize, shared_dir
 from sonde.queries import query
 from sonde.queries.features import QUIET
-from sonde.sources.tables import load
+from sonde.sources.tables import load, spread
 
 #: Markers of regions; a parameter of the operator, here words of the driver's texts.
 REGIONS = {"coast": ["puerto", "agua", "barco", "playa"], "plain": ["campo", "ciudad", "casa"], "hills": ["camino", "piedra", "noche", "tierra", "monte"]}
@@ -20,7 +20,7 @@ START, STEP, TURN = 1_704_067_200_000_000, 48_271, 2_147_483_647
 def _messages(spark, sf_dir):
     """Documents as messages of their sources, at times spread over some weeks by their ids; each third one opens a talk."""
     us = F.lit(START) + F.col("doc_id") * STEP % TURN * 1000
-    docs = load(spark, sf_dir, "documents")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return docs.select(F.col("source").alias("actor"), F.col("doc_id").alias("id"), us.alias("us"), "text", (F.col("doc_id") % 3 == 0).alias("opened"))
 
 
