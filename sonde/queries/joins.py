@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from sonde.functions import text as tx
 from sonde.operators import linking as ops
 from sonde.plans.components import components
+from sonde.plans.lineage import materialize
 from sonde.queries import query
 from sonde.sources.tables import load
 
@@ -141,7 +142,7 @@ c AS (SELECT node, min(seen) AS crew FROM reach GROUP BY 1)
 
 
 def _crews(spark, sf_dir):
-    edges = _shared(spark, sf_dir).where("score >= 0.4")
+    edges = materialize(_shared(spark, sf_dir).where("score >= 0.4"), "crew-edges")
     return edges, components(edges, "a", "b")
 
 
