@@ -1,8 +1,7 @@
 """Matchers of content rules as expressions: nested settings (VDF, a block subset of YAML), delimited lines, templates, named groups.
 
-Nested texts are read by one fold over their tokens or lines, which carries the path of open keys: what stands open is a list, so any
-depth is read in one pass. Every matcher gives an array of records, map<string, string>, in the order of the text; the first is a rule's
-primary match. Texts that do not match give an empty array, null texts null.
+Nested texts are read by one pass over their tokens or lines, which carries the open keys (`functions/nested.py`). Every matcher gives
+an array of records, map<string, string>, in the order of the text; the first is a rule's primary match. Texts that do not match give an empty array, null texts null.
 """
 
 from __future__ import annotations
@@ -13,119 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sonde.functions import nested
 from sonde.functions.text import glob_pattern
 
-PATHS = "array<struct<path: array<string>, value: string>>"
-#: Values that stand for none.
-NONE = ("~", "null", "Null", "NULL")
-VDF_TOKEN = r'//[^\n]*|"(?:[^"\\]|\\.)*"|[{}]|[^\s{}"]+'
-YAML_ENTRY = r"""^\s*(?:"([^"]*)"|'([^']*)'|([^\s#'"\[{][^#]*?))\s*:(?:\s+(.*))?$"""
-
-
-def _empty(kind: str) -> Column:
-    return F.array().cast(kind)
-
-
-def vdf(text: Column) -> Column:
-    """(path, value) of every quoted or bare value: keys, braces and // comments."""
-    tokens = F.filter(F.regexp_extract_all(text, F.lit(VDF_TOKEN), F.lit(0)), lambda t: ~F.startswith(t, F.lit("//")))
-
-    def bare(t: Column) -> Column:
-        inner = F.regexp_replace(t.substr(F.lit(2), F.length(t) - 2), r'\\(["\\])', "$1")
-        return F.when(F.startswith(t, F.lit('"')), inner).otherwise(t)
-
-    def step(acc: Column, t: Column) -> Column:
-        opens, closes, key, open_ = t == "{", t == "}", acc["key"], acc["open"]
-        value = ~opens & ~closes & key.isNotNull()
-        found = F.array(F.struct(F.concat(open_, F.array(key)).alias("path"), bare(t).alias("value")))
-        return F.struct(
-            F.when(opens, F.concat(open_, F.array(F.coalesce(key, F.lit(""))))).when(closes, F.slice(open_, 1, F.greatest(F.size(open_) - 1, F.lit(0)))).otherwise(open_).alias("open"),
-            F.when(~opens & ~closes & key.isNull(), bare(t)).alias("key"),
-            F.when(value, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"),
-        )
-
-    start = F.struct(_empty("array<string>").alias("open"), F.lit(None).cast("string").alias("key"), _empty(PATHS).alias("out"))
-    return F.aggregate(tokens, start, step, lambda acc: acc["out"])
-
-
-def scalar(c: Column) -> Column:
-    """A value without quotes or trailing comment; words for none are null, all others stay as they are written (NO is no boolean)."""
-    plain = F.btrim(F.regexp_replace(c, r"(?:^|\s)#.*$", ""))
-    quoted = F.regexp_extract(c, r"""^\s*(?:"(.*)"|'(.*)')\s*(?:#.*)?$""", 0) != ""
-    inner = F.concat(F.regexp_extract(c, r'^\s*"(.*)"\s*(?:#.*)?$', 1), F.replace(F.regexp_extract(c, r"^\s*'(.*)'\s*(?:#.*)?$", 1), F.lit("''"), F.lit("'")))
-    return F.when(quoted, inner).when(plain.isin(*NONE) | (plain == ""), None).otherwise(plain)
-
-
-def yaml(text: Column) -> Column:
-    """(path, value) of block mappings and sequences, by indentation; an item's key is its number. Anchors and flow collections stay text."""
-    lone = text
-    for _ in range(3):  # an item and what it holds go on lines of their own; a list in a list takes another turn
-        lone = F.regexp_replace(lone, r"(?m)^([ ]*)-([ ]+)(\S)", "$1-\n$1 $2$3")
-    lines = F.filter(F.split(lone, r"\r?\n"), lambda line: ~F.regexp_like(line, F.lit(r"^\s*(?:#.*)?$|^---|^\.\.\.")))
-
-    def step(acc: Column, line: Column) -> Column:
-        indent = F.length(F.regexp_extract(line, r"^([ ]*)", 1))
-        item = F.regexp_like(line, F.lit(r"^\s*-\s*$"))
-        level = indent * 2 + item.cast("int")  # an item may stand as far left as the key of its list
-        before = F.filter(acc["open"], lambda o: o["level"] == level)
-        above = F.filter(acc["open"], lambda o: o["level"] < level)
-        entry = ~item & F.regexp_like(line, F.lit(YAML_ENTRY))
-        named = F.concat(*[F.regexp_extract(line, YAML_ENTRY, g) for g in (1, 2, 3)])
-        number = F.when(F.size(before) > 0, F.element_at(before, -1)["key"].try_cast("int") + 1).otherwise(0)
-        key = F.when(item, number.cast("string")).when(entry, named)
-        value = F.when(entry, F.regexp_extract(line, YAML_ENTRY, 4)).when(~item, line)
-        keys = F.concat(F.transform(above, lambda o: o["key"]), F.when(entry, F.array(key)).otherwise(_empty("array<string>")))
-        found = F.array(F.struct(keys.alias("path"), scalar(value).alias("value")))
-        here = F.array(F.struct(level.alias("level"), key.alias("key")))
-        return F.struct(
-            F.when(key.isNotNull(), F.concat(above, here)).otherwise(above).alias("open"),
-            F.when(F.coalesce(F.btrim(value) != "", F.lit(False)), F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"),
-        )
-
-    start = F.struct(_empty("array<struct<level: int, key: string>>").alias("open"), _empty(PATHS).alias("out"))
-    return F.aggregate(lines, start, step, lambda acc: acc["out"])
-
-
-def steps(path: str) -> list[str]:
-    """$.a.b[0] as its keys."""
-    return [p for p in re.split(r"[.\[\]]", path.removeprefix("$")) if p]
-
-
-def records(paths: Column, pick: dict[str, str], pivot: str | None = None) -> Column:
-    """Fields picked by path ($key: the record's own key); with a pivot one record for each child of it, else one of the whole.
-
-    One fold over the pairs, which stand in the text's order: a record ends where the next child begins. The first of equal paths holds.
-    """
-    top = steps(pivot) if pivot else []
-    n = len(top)
-    below = F.filter(paths, lambda p: F.slice(p["path"], 1, n) == F.array(*map(F.lit, top))) if n else paths
-    kind = "array<struct<name: string, value: string>>"
-    wanted = {name: F.array(*map(F.lit, steps(path))) for name, path in pick.items() if path != "$key"}
-    skip = n + 1 if pivot else 0
-
-    def step(acc: Column, p: Column) -> Column:
-        child = F.get(p["path"], F.lit(n)) if pivot else F.lit("")
-        rest = F.slice(p["path"], skip + 1, F.greatest(F.size(p["path"]) - skip, F.lit(0)))
-        name = F.coalesce(*[F.when(rest == path, F.lit(name)) for name, path in wanted.items()], F.lit(None).cast("string"))
-        same = acc["child"] == child
-        held = F.when(same, acc["fields"]).otherwise(_empty(kind))
-        fresh = name.isNotNull() & p["value"].isNotNull() & ~F.exists(held, lambda f: f["name"] == name)
-        return F.struct(
-            child.alias("child"),
-            F.when(fresh, F.concat(held, F.array(F.struct(name.alias("name"), p["value"].alias("value"))))).otherwise(held).alias("fields"),
-            F.when(same | acc["child"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["child"].alias("child"), acc["fields"].alias("fields"))))).alias("out"),
-        )
-
-    start = F.struct(F.lit(None).cast("string").alias("child"), _empty(kind).alias("fields"), _empty(f"array<struct<child: string, fields: {kind}>>").alias("out"))
-    last = lambda acc: F.when(acc["child"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["child"].alias("child"), acc["fields"].alias("fields")))))
-    keyed = [name for name, path in pick.items() if path == "$key"]
-
-    def fields(record: Column) -> Column:
-        own = F.array(*[F.struct(F.lit(name).alias("name"), record["child"].alias("value")) for name in keyed]) if keyed else _empty(kind)
-        return F.map_from_entries(F.concat(own, record["fields"]))
-
-    return F.transform(F.aggregate(below, start, step, last), fields)
-
 
 def let(value: Column, use) -> Column:
     """use(value) with the value worked out once, however often it is used."""
@@ -175,14 +64,7 @@ def match(rule: dict, text: Column) -> Column:
         if rule.get("strip_before"):
             at = F.instr(text, rule["strip_before"])
             text = F.when(at > 0, text.substr(at, F.length(text))).otherwise(text)
-
-        def found(paths: Column) -> Column:
-            has = lambda key: F.exists(paths, lambda p: F.get(p["path"], F.lit(0)) == key)
-            holds = reduce(lambda a, b: a & b, [has(k) for k in rule.get("requires_keys", [])], F.lit(True))
-            rows = F.filter(records(paths, rule["paths"], rule.get("pivot")), lambda m: F.size(m) > 0)
-            return F.when(holds, rows).when(paths.isNotNull(), _empty("array<map<string,string>>"))
-
-        return let(vdf(text) if kind == "vdf" else yaml(text), found)
+        return nested.records(text, kind, rule["paths"], rule.get("pivot"), rule.get("requires_keys", []))
     if kind == "delimiter":
         return delimited(text, rule["separator"], rule["columns"], rule.get("min_columns", 1))
     if kind == "template":
@@ -201,7 +83,7 @@ def run(files: DataFrame, key: str, path: str, text: str, rules: list[dict]) ->
 
     def of(rule: dict) -> Column:
         hit = F.regexp_like(F.col(path), F.lit(glob_pattern(rule["path_glob"])))
-        found = F.transform(F.when(hit, match(rule, F.col(text))), lambda m, i: F.struct(i.alias("nth"), F.transform_values(m, lambda k, v: F.replace(v, F.lit("\0"), F.lit("\\x00"))).alias("fields")))
+        found = F.transform(match(rule, F.when(hit, F.col(text))), lambda m, i: F.struct(i.alias("nth"), F.transform_values(m, lambda k, v: F.replace(v, F.lit("\0"), F.lit("\\x00"))).alias("fields")))
         return F.struct(F.lit(rule["id"]).alias("rule_id"), F.lit(rule.get("family")).cast("string").alias("family"), found.alias("found"))
 
     rows = files.select(key, F.explode(F.array(*map(of, rules))).alias("r"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,14 +37,17 @@ FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER B
 def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order's lines, written in one of four forms and read back by rules that know only the form."""
     one = F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_returnflag", "l_linestatus"))
-    lines = load(spark, sf_dir, "lineitem").withColumn("rn", one).where("rn = 1")
+    # dealt by order once: the window and the groups find their rows where they are
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus").repartition("l_orderkey").withColumn("rn", one).where("rn = 1")
     names = list(FORMS)
-    written = F.element_at(F.array(*[F.expr(FORMS[n][0]) for n in names]), (F.col("l_orderkey") % 4 + 1).cast("int"))
-    texts = lines.select("l_orderkey", "l_linenumber", written.alias("line")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "line"))).alias("lines"))
-    texts = texts.select("l_orderkey", F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("body"))
-    whole = F.element_at(F.array(*[F.expr(FORMS[n][1]) for n in names]), (F.col("l_orderkey") % 4 + 1).cast("int"))
-    ending = F.element_at(F.array(*map(F.lit, names)), (F.col("l_orderkey") % 4 + 1).cast("int"))
-    files = texts.select("l_orderkey", F.concat(F.lit("dir/sub/order."), ending).alias("path"), whole.alias("text"))
+
+    def form(of) -> Column:
+        """The value of the order's form; the other forms are not worked out."""
+        return reduce(lambda case, k: case.when(F.col("l_orderkey") % 4 == k, of(names[k])), range(1, 4), F.when(F.col("l_orderkey") % 4 == 0, of(names[0])))
+
+    texts = lines.select("l_orderkey", "l_linenumber", form(lambda n: F.expr(FORMS[n][0])).alias("line")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "line"))).alias("lines"))
+    texts = texts.select("l_orderkey", F.array_join("lines.line", "").alias("body"))
+    files = texts.select("l_orderkey", F.concat(F.lit("dir/sub/order."), form(F.lit)).alias("path"), form(lambda n: F.expr(FORMS[n][1])).alias("text"))
     found = matchers.run(files, "l_orderkey", "path", "text", RULES)
     return found.select("rule_id", "family", "l_orderkey", *[F.try_element_at("fields", F.lit(n)).alias(n) for n in ("line", "part", "note", "flag")])
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sonde.functions import nested
 from sonde.operators import matchers
 
 VDF = '''
@@ -72,3 +73,17 @@ def test_rules_run_by_path_and_escape_nul(spark):
     rule = {"id": "r", "family": "f", "path_glob": "**/*.txt", "type": "keyvalue", "separator": ": ", "keys": {"User": "user"}}
     df = spark.createDataFrame([(1, "a/b.txt", "User: x\0y"), (2, "a/b.md", "User: z"), (3, None, None)], "k int, p string, t string")
     assert [tuple(r) for r in matchers.run(df, "k", "p", "t", [rule]).collect()] == [(1, "r", "f", 0, {"user": "x\\x00y"})]
+
+
+def test_nested_texts_are_read_in_one_pass(spark):
+    """No fold of Spark's over tokens or lines, which works each expression out anew wherever it is used."""
+    df = spark.createDataFrame([(YAML,)], "t string")
+    for kind in ("yaml", "vdf"):
+        rule = {"type": kind, "pivot": "$.list", "paths": {"a": "$.a"}}
+        plan = df.select(matchers.match(rule, F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+        assert "aggregate(" not in plan and "ArrowEvalPython" in plan
+
+
+def test_line_ends_are_those_of_java():
+    assert list(nested.yaml("a: 1 # x \r\nb:\n- 'it''s'\r\n-\n  c: ~\n#\n---\nlone\u0085")) == [(["a"], "1"), (["b", "0"], "it's"), (["b", "1", "c"], None), ([], "lone\u0085")]
+    assert list(nested.vdf('k { a "\\\\" } // }\n} x y "un')) == [(["k", "a"], "\\"), (["x"], "y")]
