@@ -12,7 +12,7 @@ from sonde.streaming import streams as st
 from sonde.streaming.cursors import Cursors
 from sonde.streaming.flush import Flush
 from sonde.streaming.profiles import ProfileVersions
-from sonde.streaming.replay import batches, by_time, fresh_dir, replay
+from sonde.streaming.replay import batches, by_time, dealt, fresh_dir, replay
 
 #: What each primitive reads.
 PRIMITIVES = {"all": "true", "purchases": "event_type = 'purchase'", "large": "value >= 100"}
@@ -73,11 +73,12 @@ FROM lineitem GROUP BY 1, 2
 )
 def append_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A view of mergeable states after ten inserts, the third of which came twice."""
-    rows = load(spark, sf_dir, "lineitem").withColumns({"day": F.date_format("l_shipdate", "yyyy-MM-dd"), "status": F.col("l_linestatus")})
+    rows = load(spark, sf_dir, "lineitem").withColumns({"day": F.date_format("l_shipdate", "yyyy-MM-dd"), "status": F.col("l_linestatus"), "batch": F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(10))})
     distinct = {"offers": (["l_partkey", "l_suppkey"], "true"), "cut_orders": (["l_orderkey"], "l_discount > 0.05")}
     view = AggregateView(spark, fresh_dir(spark, "view"), ["day", "status"], MEASURES, distinct, most_parts=4)
+    arrived = dealt(rows.select("batch", "day", "status", "l_shipdate", "l_quantity", "l_returnflag", "l_partkey", "l_suppkey", "l_orderkey", "l_discount"), "batch")
     for batch in (0, 1, 2, 2, 3, 4, 5, 6, 7, 8, 9):
-        view.insert(rows.where(F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(10)) == batch), "lineitem", batch)
+        view.insert(arrived.where(F.col("batch") == batch), "lineitem", batch)
     return view.read().withColumn("quantity", F.col("quantity").cast("double"))
 
 

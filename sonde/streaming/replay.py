@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sonde.plans.lineage import shared_dir
 
@@ -43,3 +44,11 @@ def batches(stream: DataFrame, checkpoint: str, keep: Callable[[DataFrame, int],
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(keep)
     query = (writer.trigger(processingTime=tick) if tick else writer.trigger(availableNow=True)).start()
     query.awaitTermination()
+
+
+def dealt(df: DataFrame, by: str) -> DataFrame:
+    """df in folders by the values of a column: one pass deals the rows, and a slice is read without the others."""
+    path = fresh_dir(df.sparkSession, "slices")
+    df.write.partitionBy(by).parquet(path)
+    fields = [f for f in df.schema if f.name != by]
+    return df.sparkSession.read.schema(T.StructType([*fields, df.schema[by]])).parquet(path)

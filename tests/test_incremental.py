@@ -12,7 +12,7 @@ from sonde.queries import load_all
 from sonde.streaming.cursors import Cursors
 from sonde.streaming.flush import Flush
 from sonde.streaming.profiles import BLOCKS, ProfileVersions
-from sonde.streaming.replay import batches, by_time, fresh_dir
+from sonde.streaming.replay import dealt, batches, by_time, fresh_dir
 
 ROWS = "key string, us long, id long, value double"
 
@@ -188,3 +188,12 @@ def test_late_rows_are_dropped_and_early_ones_kept(spark):
     held = by_time(events, 3)[0].where("event_id % 10 = 3").count()
     kept = load_all()[0]["late_windows"](spark, sf).agg(F.sum("n")).first()[0]
     assert events.count() - held < kept < events.count()
+
+
+def test_a_slice_is_read_without_the_others(spark):
+    rows = spark.range(1000).selectExpr("id", "id % 10 AS batch", "IF(id % 7 = 0, NULL, 'x') AS s")
+    found = dealt(rows, "batch")
+    assert sorted(map(tuple, found.select("id", "batch", "s").collect())) == sorted(map(tuple, rows.collect()))
+    part = found.where("batch = 3")
+    assert part.count() == 100 and "PartitionFilters: [isnotnull(batch" in part._jdf.queryExecution().executedPlan().toString()
+    assert dealt(rows.where("id < 0"), "batch").count() == 0
