@@ -9,7 +9,7 @@ from sonde.functions import text as tx
 from sonde.operators import rollup as ops
 from sonde.queries import query
 from sonde.queries.joins import URL_HOST
-from sonde.sources.tables import load
+from sonde.sources.tables import load, partitions_for
 
 
 @query("SELECT count(*) AS total, count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_partkey) AS parts, count(DISTINCT (l_orderkey, l_partkey, l_suppkey)) AS identities FROM lineitem")
@@ -222,11 +222,22 @@ FROM part LEFT JOIN lineitem l ON l.l_partkey = p_partkey LEFT JOIN orders o ON
 """
 )
 def artifact_browse(spark, sf_dir):
+    """Distinct orders and actors by two groupings, of (part, order) and of (part, actor): two distinct counts in one aggregate would spell every line out three times."""
     part, lines, orders = (load(spark, sf_dir, t) for t in ("part", "lineitem", "orders"))
-    rows = part.select("p_partkey").join(lines, F.col("l_partkey") == F.col("p_partkey"), "left").join(orders, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return rows.groupBy("p_partkey").agg(
-        F.count("l_partkey").alias("mentions"), F.countDistinct("l_orderkey").alias("orders"), F.countDistinct("o_custkey").alias("actors"), F.min("l_shipdate").alias("first_at"), F.max("l_shipdate").alias("last_at")
-    )
+    n = partitions_for(lines)
+    # an order's key may come more than once: how often with an actor, and one actor that stands for the order
+    held = orders.select("o_orderkey", "o_custkey").where("o_orderkey is not null").repartition(n, "o_orderkey").groupBy("o_orderkey", "o_custkey").agg(F.count("*").alias("times"))
+    held = held.withColumn("one", (F.row_number().over(W.partitionBy("o_orderkey").orderBy("o_custkey")) == 1).cast("int"))
+    of_order = lines.select("l_partkey", "l_orderkey", "l_shipdate").where("l_partkey is not null").repartition(n, "l_orderkey").groupBy("l_partkey", "l_orderkey")
+    rows = of_order.agg(F.count("*").alias("n"), F.min("l_shipdate").alias("first_at"), F.max("l_shipdate").alias("last_at")).join(held, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    dates = [F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")]
+    known = F.when(F.col("l_orderkey").isNotNull(), F.coalesce("one", F.lit(1))).otherwise(0)
+    of_actor = rows.repartition(n, "l_partkey", "o_custkey").groupBy("l_partkey", "o_custkey").agg(F.sum(F.col("n") * F.coalesce("times", F.lit(1))).alias("mentions"), F.sum(known).alias("orders"), *dates)
+    sums = of_actor.groupBy("l_partkey").agg(F.sum("mentions").alias("mentions"), F.sum("orders").alias("orders"), F.count("o_custkey").alias("actors"), *dates)
+    parts = part.groupBy("p_partkey").agg(F.count("*").alias("rows"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    counts = [zero(F.col("mentions") * F.col("rows")).alias("mentions"), zero("orders").alias("orders"), zero("actors").alias("actors")]
+    return parts.join(sums, F.col("l_partkey") == F.col("p_partkey"), "left").select("p_partkey", *counts, "first_at", "last_at")
 
 
 @query(
