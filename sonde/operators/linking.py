@@ -25,10 +25,11 @@ def shared_pairs(held: DataFrame, actor: str, item: str, least_df: int = 2, most
     df = own.groupBy("item").agg(F.count("*").alias("df")).where(F.col("df").between(least_df, most_df))
     weight = F.log((F.col("actors") + 1) / (F.col("df") + 1)) + 1
     posted = own.join(df, "item").join(F.broadcast(n)).withColumn("w", weight).select("a", "item", "w")
-    total = posted.groupBy("a").agg(F.sum("w").alias("total"))
-    other = posted.select(F.col("a").alias("b"), "item")
-    pairs = posted.join(other, "item").where("a < b").groupBy("a", "b").agg(F.sum("w").alias("both"), F.array_sort(F.collect_list("item")).alias("shared"))
-    sums = pairs.join(total, "a").join(total.select(F.col("a").alias("b"), F.col("total").alias("other")), "b")
+    # pairs are many times the postings: totals come along from there, so that pairs are shuffled once
+    posted = materialize(posted, "posted")
+    posted = materialize(posted.join(posted.groupBy("a").agg(F.sum("w").alias("total")), "a"), "totals")
+    other = posted.select(F.col("a").alias("b"), "item", F.col("total").alias("other"))
+    sums = posted.join(other, "item").where("a < b").groupBy("a", "b").agg(F.sum("w").alias("both"), F.array_sort(F.collect_list("item")).alias("shared"), F.max("total").alias("total"), F.max("other").alias("other"))
     score = F.col("both") / (F.col("total") + F.col("other") - F.col("both"))
     return sums.withColumn("score", F.round(score, 4)).where(score >= floor).select("a", "b", "score", "shared")
 

@@ -111,3 +111,11 @@ def test_browse_counts_without_spelling_lines_out(spark, tmp_path):
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, wanted))
     assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert tables.partitions_for(spark.range(1000), 10) == 100
+
+
+def test_pairs_are_not_joined_again(spark):
+    held = spark.createDataFrame([(a, i) for a in range(6) for i in range(a, a + 4)], "a long, i long")
+    found = linking.shared_pairs(held, "a", "i")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join")
+    assert {(r["a"], r["b"]): r["shared"] for r in found.collect()}[0, 1] == [1, 2, 3]
