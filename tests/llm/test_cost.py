@@ -24,3 +24,12 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
     live = {f.rsplit("/", 1)[1] for f in shuffle_files(spark) - before}
     # count() above may leave its own single-partition shuffle, the write must not leave its four map outputs
     assert len(live) < 4
+
+
+def test_surroundings_are_fetched_in_one_pass(spark, monkeypatch):
+    asked, fetch = [], suffix_dedup._fetch
+    monkeypatch.setattr(suffix_dedup, "_fetch", lambda *a: asked.append(a) or fetch(*a))
+    shared = "the same words stand in all of these texts and in each of them "
+    docs = [(i, f"{i} own head {i * 7919} " + shared + f"own tail {i * 104729}") for i in range(12)] + [(50 + i, f"{i}{i} " + "another passage that only two have, long enough " + str(i)) for i in range(2)]
+    found = suffix_dedup.suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string"), length=40, gram=6, hot=3).collect()
+    assert len(found) == 14 and all(r["n_removed"] >= 40 for r in found) and len(asked) == 1
