@@ -85,26 +85,22 @@ def close(packer: Packer, pieces: dict[int, list[tuple]]) -> list[tuple]:
 
 
 class Tokens:
-    """Texts -> ids as little-endian uint32 bytes, with a bounded memory of what stands between single spaces.
+    """Texts -> ids as little-endian uint32 bytes.
 
-    The tokenizer's own pattern never joins a space to what stands before it, so a text may be cut before each space
-    whose neighbours are not white space. Texts with other spacing, or with the special token, are encoded whole.
-    The single words may be encoded from the same vocabulary as ranks, which gives the same ids in less time.
+    The same vocabulary as ranks gives the same ids in less time, words met once included. Texts with other spacing than
+    single spaces, or with the special token, are encoded by the tokenizer itself.
     """
 
-    def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None, most: int = 100_000) -> None:
+    def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.words = self._encode
+        self.tokenizer, self.by_rank = Tokenizer.from_file(path), None
         if ranks_path:
             import tiktoken
 
             with open(ranks_path, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            one = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            self.words = lambda items: [array("I", one(t)).tobytes() for t in items]
-        self.known: dict[str, bytes] = {}  # what follows a space -> ids with that space
+            self.by_rank = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.odd = re.compile(r"\s | \s|<\|endoftext\|>")
 
     def _encode(self, items: list[str]) -> list[bytes]:
@@ -114,37 +110,22 @@ class Tokens:
         return [array("I", e.ids).tobytes() for e in found]
 
     def __call__(self, items: list[str]) -> list[bytes]:
-        get = self.known.get
-        whole = [i for i, t in enumerate(items) if self.odd.search(t)]
-        odd = set(whole)
-        cut = [[] if i in odd else t.split(" ") for i, t in enumerate(items)]
-        heads = self.words([chunks[0] for chunks in cut if chunks])
-        found = [list(map(get, chunks)) for chunks in cut]
-        missing = list({c for chunks, ids in zip(cut, found, strict=True) if None in ids for c, x in zip(chunks, ids, strict=True) if x is None})
-        learned = dict(zip(missing, self.words([" " + c for c in missing]), strict=True))
-        head = iter(heads)
-        for chunks, ids in zip(cut, found, strict=True):
-            if None in ids:
-                ids[:] = [learned[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]
-            if ids:
-                ids[0] = next(head)
-        if len(self.known) < self.most:  # what is met first stays: frequent words are among it
-            self.known |= learned
-        out = [b"".join(ids) for ids in found]
-        for i, ids in zip(whole, self._encode([items[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+        if self.by_rank is None:
+            return self._encode(items)
+        odd = [self.odd.search(t) is not None for t in items]
+        whole = iter(self._encode([t for t, o in zip(items, odd, strict=True) if o]))
+        return [next(whole) if o else array("I", self.by_rank(t)).tobytes() for t, o in zip(items, odd, strict=True)]
 
 
 @cache
 def tokens(path: str, ranks_path: str | None, pattern: str | None) -> Tokens:
-    """One memory for all tasks of a Python worker."""
+    """One model for all tasks of a Python worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return Tokens(path, ranks_path, pattern)
 
 
-def _pack(files: tuple, window: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+def _pack(files: tuple, window: int, with_ids: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     end = np.zeros(1, dtype="<u4").tobytes()
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,7 +135,8 @@ def _pack(files: tuple, window: int) -> Callable[[Iterator[pd.DataFrame]], Itera
         def rows(number: int, pieces: list[tuple]) -> Iterator[tuple]:
             offset = 0
             for doc, start, length, ids, total in pieces:
-                yield doc, start, length, zlib.crc32(ids), total, base + number, offset, np.frombuffer(ids, dtype="<u4").astype(np.int32)
+                row = doc, start, length, zlib.crc32(ids), total, base + number, offset
+                yield (*row, np.frombuffer(ids, dtype="<u4").astype(np.int32)) if with_ids else row
                 offset += length
 
         for pdf in batches:
@@ -182,16 +164,16 @@ def _pack(files: tuple, window: int) -> Callable[[Iterator[pd.DataFrame]], Itera
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     pdf = pd.DataFrame(rows, columns=names)
-    return pdf.astype({"doc_id": "Int64"} | {n: "int64" for n in names[1:-1]})
+    return pdf.astype({"doc_id": "Int64"} | {n: "int64" for n in names[1:7]})
 
 
-def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, window: int = WINDOW) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (the piece's tokens).
+def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, window: int = WINDOW, ids: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, unless they are not wanted, ids (the piece's tokens).
 
     A document's tokens are its text's ids and the end id 0; each lies in exactly one piece. Sequences are padded to
     `window`, save those whose fill is a power of two. ranks_path and pattern: the same vocabulary as ranks, if there is one.
     """
     return texts(docs).mapInPandas(
-        _pack((tokenizer_path, ranks_path, pattern), window),
-        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>",
+        _pack((tokenizer_path, ranks_path, pattern), window, ids),
+        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * ids,
     )

@@ -33,3 +33,15 @@ def test_surroundings_are_fetched_in_one_pass(spark, monkeypatch):
     docs = [(i, f"{i} own head {i * 7919} " + shared + f"own tail {i * 104729}") for i in range(12)] + [(50 + i, f"{i}{i} " + "another passage that only two have, long enough " + str(i)) for i in range(2)]
     found = suffix_dedup.suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string"), length=40, gram=6, hot=3).collect()
     assert len(found) == 14 and all(r["n_removed"] >= 40 for r in found) and len(asked) == 1
+
+
+def test_packing_without_ids(spark):
+    docs = spark.createDataFrame([(1, "one two  three"), (2, None), (None, "x " * 3000)], "doc_id long, text string").coalesce(1)
+    whole, less = packing.pack(docs, *queries.BPE), packing.pack(docs, *queries.BPE, ids=False)
+    assert less.columns == whole.columns[:-1]
+    assert sorted(map(str, less.collect())) == sorted(map(str, whole.drop("ids").collect()))
+
+
+def test_ranks_give_the_tokenizers_ids():
+    texts = ["plain words", "never-seen qzxvkj words, 123's", "a  b", "x<|endoftext|> y", "", "é中 \U0001f600 z"]
+    assert packing.Tokens(*queries.BPE)(texts) == packing.Tokens(queries.BPE[0])(texts)
