@@ -4,8 +4,8 @@ Ranks become a model of the tokenizers library: every byte is written as one pri
 bytes are a token is a merge, in the order of the ranks. The rank rule takes the leftmost pair of least rank; the model takes the first
 listed one. They can only differ where one token can be put together in two ways at two places of a word, so a word that holds
 no three bytes twice is safe, and any other one is checked against the rank library once. A text is cut before each single space (no match of the
-pattern joins a space to what stands before it), and a bounded memory keeps what is known of the cuts; a text with other spacing
-is cut into the pattern's matches. Offsets come from the tokens' byte lengths and the text's map of bytes to characters: a
+pattern joins a space to what stands before it), and a bounded memory keeps what is known of the cuts; new cuts with a space in front are
+put into the model as one text; a text with other spacing is cut into the pattern's matches. Offsets come from the tokens' byte lengths and the text's map of bytes to characters: a
 token that begins or ends inside a character covers it whole. Decoding joins the tokens' bytes first and reads
 characters after, so those that were split are whole again.
 
@@ -22,9 +22,11 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +60,19 @@ def repeats(raw: bytes) -> bool:
     return len({raw[i : i + 3] for i in range(len(raw) - 2)}) < len(raw) - 2
 
 
+def repeating(raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """repeats() for each of the texts of these sizes that raw holds one after another."""
+    out = np.zeros(len(sizes), dtype=bool)
+    if len(raw) < 4:
+        return out
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    wide = raw.astype(np.int64)
+    key = (own[2:] << 24) | (wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:]
+    key = np.sort(key[own[2:] == own[:-2]])
+    out[key[1:][key[1:] == key[:-1]] >> 24] = True
+    return out
+
+
 class Codec:
     """Texts to ids and back, with a memory of at most `most` cuts."""
 
@@ -87,32 +102,59 @@ class Codec:
         self.most, self.known = most, {}
 
     def _new(self, cuts: list[str]) -> list[bytes]:
-        """Ids of cuts that are not in memory, by the model, checked where the model's order of merges could tell."""
-        out = []
-        for cut, found in zip(cuts, self.tokenizer.encode_batch_fast(cuts, add_special_tokens=False) if cuts else [], strict=True):
-            out.append(array("i", self.by_rank.encode_ordinary(cut) if repeats(cut.encode()) else found.ids).tobytes())
+        """Ids of cuts that are not in memory, by the model, checked where the model's order of merges could tell.
+
+        Cuts that begin with a space which no other white space touches make one text, so that the model is called once for all.
+        """
+        out = [b""] * len(cuts)
+        joined = [i for i, c in enumerate(cuts) if c[:1] == " " and c[1:2].strip() and c[-1].strip()]
+        text = "".join([cuts[i] for i in joined])
+        sizes = np.fromiter((len(cuts[i].encode()) for i in joined), dtype=np.int64, count=len(joined))
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids if text else [], dtype=np.int32)
+        token_ends, cut_ends = np.cumsum(self.lengths[ids]), np.cumsum(sizes)
+        last = np.searchsorted(token_ends, cut_ends)
+        if len(joined) and not np.array_equal(token_ends[np.minimum(last, len(ids) - 1)], cut_ends):  # a token across two cuts
+            raise ValueError("the pattern joins a space to what stands before it")
+        raw, spans = ids.tobytes(), (4 * np.concatenate([[0], last + 1])).tolist()
+        for k, i in enumerate(joined):
+            out[i] = raw[spans[k] : spans[k + 1]]
+        for k in np.flatnonzero(repeating(np.frombuffer(text.encode(), dtype=np.uint8), sizes)).tolist():
+            out[joined[k]] = self._by_rank(cuts[joined[k]])
+        alone = sorted(set(range(len(cuts))).difference(joined))
+        for i, found in zip(alone, self.tokenizer.encode_batch_fast([cuts[i] for i in alone], add_special_tokens=False) if alone else [], strict=True):
+            out[i] = self._by_rank(cuts[i]) if repeats(cuts[i].encode()) else array("i", found.ids).tobytes()
         return out
 
-    def _cuts(self, text: str) -> list[str]:
+    def _by_rank(self, cut: str) -> bytes:
+        return array("i", self.by_rank.encode_ordinary(cut)).tobytes()
+
+    def _keys(self, text: str) -> list[str]:
+        """The cuts of a text as keys of the memory: a cut that begins with a single space without it, any other one after a line feed."""
         if ODD.search(text):
-            return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)] if first else [*map(" ".__add__, rest)]
+            cuts = [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+            return [c[1:] if c[0] == " " and not c[1:2].isspace() else "\n" + c for c in cuts]
+        keys = text.split(" ")
+        if keys[0]:
+            keys[0] = "\n" + keys[0]
+            return keys
+        return keys[1:]
 
     def encode(self, items: list[str]) -> list[np.ndarray]:
-        cut = [self._cuts(t) for t in items]
-        found = [list(map(self.known.get, cuts)) for cuts in cut]
-        fresh = list({c for cuts, ids in zip(cut, found, strict=True) if None in ids for c, x in zip(cuts, ids, strict=True) if x is None})
-        learned = dict(zip(fresh, self._new(fresh), strict=True))
-        for cuts, ids in zip(cut, found, strict=True):
-            if None in ids:
-                ids[:] = [learned[c] if x is None else x for c, x in zip(cuts, ids, strict=True)]
-        for c, ids in learned.items():  # what is met first stays: frequent cuts are among it
+        keys = [self._keys(t) for t in items]
+        every = list(chain.from_iterable(keys))
+        found = list(map(self.known.get, every))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        fresh = list(dict.fromkeys([every[i] for i in missing]))
+        learned = dict(zip(fresh, self._new([k[1:] if k[:1] == "\n" else " " + k for k in fresh]), strict=True))
+        for i in missing:
+            found[i] = learned[every[i]]
+        for k, ids in learned.items():  # what is met first stays: frequent cuts are among it
             if len(self.known) >= self.most:
                 break
-            if len(c) <= SHORT:
-                self.known[c] = ids
-        return [np.frombuffer(b"".join(ids), dtype=np.int32) for ids in found]
+            if len(k) <= SHORT:
+                self.known[k] = ids
+        ends = [0, *accumulate(map(len, keys))]
+        return [np.frombuffer(b"".join(found[a:b]), dtype=np.int32) for a, b in pairwise(ends)]
 
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First character and end of each token; one that begins or ends inside a character covers it whole."""
@@ -127,6 +169,15 @@ class Codec:
         known, n = self.bytes_of, len(self.bytes_of)
         return b"".join([known[i] for i in ids or () if i is not None and 0 <= i < n])
 
+    def decode_all(self, lists: pa.ListArray) -> list[bytes]:
+        """decode() of each list; lists without nulls and strange ids are not looked at one id at a time."""
+        values, ends = lists.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0))])
+        flat = values.to_numpy(zero_copy_only=False)
+        if values.null_count or len(flat) and not 0 <= flat.min() <= flat.max() < len(self.bytes_of):
+            return [self.decode(i) for i in lists.to_pylist()]
+        found = list(map(self.bytes_of.__getitem__, flat.tolist()))
+        return [b"".join(found[a:b]) for a, b in pairwise(ends.tolist())]
+
 
 @cache
 def codec(path: str, pattern: str) -> Codec:
@@ -168,7 +219,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", to: st
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             model = codec(path, pattern)
-            found = pa.array([model.decode(i) for i in batch.column(ids).to_pylist()], pa.binary())
+            found = pa.array(model.decode_all(batch.column(ids)), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, to])
 
     return kept.mapInArrow(fold, schema)

@@ -45,3 +45,19 @@ def test_packing_without_ids(spark):
 def test_ranks_give_the_tokenizers_ids():
     texts = ["plain words", "never-seen qzxvkj words, 123's", "a  b", "x<|endoftext|> y", "", "é中 \U0001f600 z"]
     assert packing.Tokens(*queries.BPE)(texts) == packing.Tokens(queries.BPE[0])(texts)
+
+
+@pytest.mark.parametrize("words", [[" a", " abcabc", "abcabc", " éééé", "  ", " x\n", " xyzxyz.", " ", "aaaa", " aaa"], [" a"], []])
+def test_new_cuts_are_those_of_the_ranks(words):
+    model = bpe.Codec(*queries.MULTI)
+    assert [np.frombuffer(x, dtype=np.int32).tolist() for x in model._new(words)] == [model.by_rank.encode_ordinary(w) for w in words]
+    raw = [w.encode() for w in words]
+    assert bpe.repeating(np.frombuffer(b"".join(raw), dtype=np.uint8), np.array([len(r) for r in raw], dtype=np.int64)).tolist() == [bpe.repeats(r) for r in raw]
+
+
+@pytest.mark.parametrize("lists", [[[1, 2], [], [3]], [[1], None, []], [[None, 3], [-1, 4, 10**6]], []])
+def test_decoding_lists_at_once(lists):
+    model, array = bpe.codec(*queries.MULTI), pa.array(lists, pa.list_(pa.int32()))
+    assert model.decode_all(array) == [model.decode(i) for i in lists]
+    for a, b in pairwise(range(len(lists) + 1)):
+        assert model.decode_all(array.slice(a, b - a)) == [model.decode(lists[a])]
