@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sonde.llm.common import one_of_each, small, texts, tidy
 from sonde.plans.components import components
-from sonde.plans.lineage import materialize, release
+from sonde.plans.lineage import materialize, packed, release
 
 BITS = 64
 CELLS = 512
@@ -346,6 +346,7 @@ def _alike(pairs: DataFrame, source: DataFrame, firsts: DataFrame, width: int, s
     num, den = share
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
     count = pairs.count()
+    pairs = packed(pairs, count)
 
     def sided(sets: DataFrame, value: str, pairs: DataFrame, count: int) -> DataFrame:
         """pairs with the value of either side, as s and t."""
@@ -359,6 +360,7 @@ def _alike(pairs: DataFrame, source: DataFrame, firsts: DataFrame, width: int, s
     may = ((num + den) * bound >= num * (F.col("s.n") + F.col("t.n"))) | (F.greatest("s.n", "t.n") > many)
     likely = materialize(sided(firsts.select("node", F.struct("n", "cells").alias("v")), "v", pairs, count).where(may).select("a", "b"), "likely")
     count = likely.count()
+    likely = packed(likely, count)
     nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = materialize(firsts.select("node", F.col("doc_id").alias("id"), F.col("th").alias("h")).join(nodes, "node", "left_semi"), "wanted")
     rows = wanted.count()
@@ -396,8 +398,10 @@ def similar_pairs(
     prefixes = firsts.select("node", "n", F.posexplode("prefix").alias("pos", "token")).where(first)
     shared = prefixes.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     members = materialize(prefixes.join(shared.select("token"), "token"), "members")
+    rows = members.count()
+    members = packed(members, rows)
 
-    wanted = materialize(firsts.select("node", "fp").join(members.select("node").distinct(), "node", "left_semi"), "named")
+    wanted = packed(materialize(firsts.select("node", "fp").join(members.select("node").distinct(), "node", "left_semi"), "named"), rows)
     alike = functools.partial(_alike, source=source, firsts=firsts, width=width, share=share, broadcast_rows=broadcast_rows)
 
     # the SimHash index; sets without a common token cannot be alike
@@ -408,11 +412,11 @@ def similar_pairs(
     near = near.join(ends[0], near["a"] == ends[0]["fx"]).join(ends[1], near["b"] == ends[1]["fy"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
     found = alike(equal.unionAll(near))
 
-    live = _unsettled(members, found)
+    live = _unsettled(members, rows, found)
     for turn in range(turns):
         # a large group of near copies would give a pair for any two of them; compared with a few pivots, it becomes one component
-        rows, pairs = live.groupBy("token").agg(F.count("*").alias("m")).agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.expr("m * m")), F.lit(0))).first()
-        if pairs <= hot * rows:
+        named, pairs = live.groupBy("token").agg(F.count("*").alias("m")).agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.expr("m * m")), F.lit(0))).first()
+        if pairs <= hot * named:
             break
         pivot = F.min_by(F.struct("node", "n", "pos", "component"), F.xxhash64("component", "node", F.lit(turn))).alias("p")
         y = live.groupBy("token").agg(pivot).select("token", "p.*").alias("y")
@@ -420,7 +424,7 @@ def similar_pairs(
         more = alike(star.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
         less, found = found, materialize(found.unionAll(more), "found")
         release(less, more, live)
-        live = _unsettled(members, found)
+        live = _unsettled(members, rows, found)
     many = materialize(live.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > most).select("token"), "shared-by-many")
     pairs = _across(live.join(many, "token", "left_anti"), ["token"], share)
     if not many.isEmpty():
@@ -450,13 +454,13 @@ def _second(live: DataFrame, firsts: DataFrame) -> DataFrame:
     return later.join(keys, ["token", "second"])
 
 
-def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """members with their component over the links found, for tokens that more than one component has."""
+def _unsettled(members: DataFrame, rows: int, found: DataFrame) -> DataFrame:
+    """members, so many rows, with their component over the links found, for tokens that more than one component has."""
     linked = components(found)
     named = members.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = materialize(named.select("token", "node", "n", "pos", "component"), "named")
+    named = packed(materialize(named.select("token", "node", "n", "pos", "component"), "named"), rows)
     mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    live = materialize(named.join(mixed, "token"), "unsettled")
+    live = packed(materialize(named.join(mixed, "token"), "unsettled"), rows)
     release(linked, named)
     return live
 

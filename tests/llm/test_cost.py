@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonde.llm import bpe, packing, queries, suffix_dedup
-from sonde.plans.lineage import CLEANUP, materialize
+from sonde.plans.components import _large_star, _small_star, components
+from sonde.plans.lineage import CLEANUP, materialize, packed
 
 
 def shuffle_files(spark) -> set[str]:
@@ -61,3 +62,14 @@ def test_decoding_lists_at_once(lists):
     assert model.decode_all(array) == [model.decode(i) for i in lists]
     for a, b in pairwise(range(len(lists) + 1)):
         assert model.decode_all(array.slice(a, b - a)) == [model.decode(lists[a])]
+
+
+def test_a_round_of_components_over_few_edges_needs_no_shuffle(spark):
+    """Each round over a handful of edges took seven times as many tasks as there are shuffle partitions."""
+    pairs = [(i + 1, i) for i in range(40)] + [(101, 100), (109, 102), (109, 100)]
+    edges = materialize(spark.createDataFrame(pairs, "a long, b long").repartition(8), "pairs")
+    plan = _small_star(_large_star(packed(edges, len(pairs)))).distinct()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+    found = {r["node"]: r["component"] for r in components(edges).collect()}
+    assert found == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102, 109)}
+    assert packed(edges, 500_000).rdd.getNumPartitions() == 3  # more rows than a task takes go to more tasks
