@@ -17,6 +17,7 @@ not read. Equal scores come in the order of the search, which goes on with what
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 import re
@@ -100,27 +101,28 @@ def viterbi(pieces: Pieces, units: list[str]) -> tuple[np.ndarray, np.ndarray, n
     """Best and second-best score of each unit, the number of pieces of its best segmentation, and those of all, in a row."""
     n, width = len(units), max(map(len, units), default=0)
     lengths = np.fromiter(map(len, units), dtype=np.int64, count=n)
-    best, second = np.full((n, width + 1), -np.inf), np.full((n, width + 1), -np.inf)
-    back, piece = np.zeros((n, width + 1), dtype=np.int16), np.full((n, width + 1), -1, dtype=np.int32)
-    best[:, 0] = 0.0
+    best, second = np.full((width + 1, n), -np.inf), np.full((width + 1, n), -np.inf)
+    back, piece = np.zeros((width + 1, n), dtype=np.int16), np.full((width + 1, n), -1, dtype=np.int32)
+    best[0] = 0.0
     scores = np.append(pieces.scores, pieces.unknown)
     for end, length, rows, found in edges(pieces, units):
         step = scores[found]
-        one, two = best[rows, end - length] + step, second[rows, end - length] + step
-        old, low = best[rows, end], second[rows, end]
+        one, two = best[end - length][rows] + step, second[end - length][rows] + step
+        old, low = best[end][rows], second[end][rows]
         win = one > old
-        second[rows, end] = np.maximum(np.maximum(low, two), np.minimum(one, old))
-        best[rows[win], end], back[rows[win], end], piece[rows[win], end] = one[win], length, found[win]
+        second[end][rows] = np.maximum(np.maximum(low, two), np.minimum(one, old))
+        won = rows[win]
+        best[end][won], back[end][won], piece[end][won] = one[win], length, found[win]
     own = np.arange(n)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     at = lengths.copy()
     while (at > 0).any():
         live = np.flatnonzero(at > 0)
-        steps.append((live, piece[live, at[live]]))
-        at[live] -= back[live, at[live]]
+        steps.append((live, piece[at[live], live]))
+        at[live] -= back[at[live], live]
     order = np.concatenate([own[:0], *[r for r, _ in reversed(steps)]])
     flat = np.concatenate([np.zeros(0, np.int32), *[p for _, p in reversed(steps)]])[np.argsort(order, kind="stable")]
-    return best[own, lengths], second[own, lengths], np.bincount(order, minlength=n), flat
+    return best[lengths, own], second[lengths, own], np.bincount(order, minlength=n), flat
 
 
 def merge(parts: list[list[Segmentation]], n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -159,11 +161,17 @@ class Decoder:
         return b"".join(map(self.raw.__getitem__, ids.tolist())).decode()[1:]
 
 
+@functools.lru_cache(maxsize=2)
+def vocabulary(model_path: str) -> Pieces:
+    """Read once by a Python worker, whatever tasks it gets."""
+    return Pieces(model_path)
+
+
 class Encoder:
     """Texts -> their n best segmentations. What is known of units is kept, for about `most` of them."""
 
     def __init__(self, model_path: str, n: int, most: int = 300_000) -> None:
-        self.pieces, self.n, self.most = Pieces(model_path), n, most
+        self.pieces, self.n, self.most = vocabulary(model_path), n, most
         self._forget()
 
     def _forget(self) -> None:
@@ -183,11 +191,8 @@ class Encoder:
             some = short[at : at + 20_000]
             one, two, size, numbers = viterbi(self.pieces, some)
             ids = np.append(self.pieces.ids, -1)[numbers].astype(np.int32)
-            if len(numbers) and numbers.min() < 0:  # units with unknown characters, which become bytes
-                ends = np.cumsum(size)
-                spelled = {int(i): to_ids(self.pieces, some[i], numbers[ends[i] - size[i] : ends[i]].tolist()) for i in np.unique(np.searchsorted(ends, np.flatnonzero(numbers < 0), side="right"))}
-                cut = [np.array(spelled[i], dtype=np.int32) if i in spelled else ids[e - s : e] for i, (e, s) in enumerate(zip(ends.tolist(), size.tolist(), strict=True))]
-                size, ids = np.array([len(c) for c in cut]), np.concatenate(cut)
+            if len(numbers) and numbers.min() < 0:  # unknown characters become bytes
+                size, ids = self._spell(some, size, numbers, ids)
             parts.append((one, two, size, ids))
         for u in (units[i] for i in order[first_long:]):
             found = search(self.pieces, u, 2)
@@ -202,6 +207,25 @@ class Encoder:
             self.start, self.size = np.concatenate([self.start, start[place]]), np.concatenate([self.size, size[place]])
             self.flat = np.concatenate([self.flat, ids])
 
+    def _spell(self, units: list[str], size: np.ndarray, numbers: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of units, in a row, with the byte pieces of each unknown character in its place."""
+        step = np.append(self.pieces.lengths, 1)[numbers]
+        unknown = np.flatnonzero(numbers < 0)
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4")[(np.cumsum(step) - step)[unknown]]
+        different, which = np.unique(points, return_inverse=True)
+        spelled = [[self.pieces.bytes[b] for b in chr(c).encode()] for c in different.tolist()]
+        width = np.array([len(x) for x in spelled])[which]
+        table = np.array([x + [0] * (4 - len(x)) for x in spelled], dtype=np.int32)
+        count = np.ones(len(ids), dtype=np.int64)
+        count[unknown] = width
+        past = np.concatenate([[0], np.cumsum(count)])
+        out = np.repeat(ids, count)
+        for k in range(4):
+            some = width > k
+            out[past[unknown[some]] + k] = table[which[some], k]
+        ends = np.cumsum(size)
+        return past[ends] - past[ends - size], out
+
     def _alternatives(self, number: int) -> list[Segmentation]:
         """A unit's n best as (score, ids), that of Viterbi first: the search may have an equal one before it."""
         found = self.others.get(number)
@@ -213,8 +237,8 @@ class Encoder:
             self.others[number] = found
         return found
 
-    def segmentations(self, texts_: list[str]) -> Iterator[list[tuple[float, np.ndarray]]]:
-        """For each text its n best (score, ids), best first."""
+    def segmentations(self, texts_: list[str], spelled: bool = True) -> Iterator[list[tuple[float, np.ndarray]]]:
+        """For each text its n best (score, ids), best first; unless all are to be spelled, only the best has ids."""
         if len(self.number) > self.most:
             self._forget()
         split, known = [self.number.of(t) if t else [] for t in texts_], len(self.one)
@@ -235,6 +259,9 @@ class Encoder:
             parts = [[(score - alternatives[0][0], other) for score, other in alternatives] for alternatives in found]
             out = []
             for more, picks in merge(parts, self.n):
+                if out and not spelled:
+                    out.append((total + more, None))
+                    continue
                 cuts = sorted((int(ends[at + i] - size[at + i]) - first, int(ends[at + i]) - first, found[k][pick][1]) for k, (i, pick) in enumerate(zip(chosen, picks, strict=True)) if pick)
                 spans, done = [], 0
                 for a, b, other in cuts:
@@ -249,8 +276,8 @@ class Encoder:
             yield found[0][1], [score for score, _ in found]
 
 
-def encode(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of the best ids, little-endian uint32), scores (best first), decoded (exact round trip), ids (of each of the n best)."""
+def encode(docs: DataFrame, model_path: str, n: int = 4, ids: bool = True) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 (of the best ids, little-endian uint32), scores (best first), decoded (exact round trip) and, unless they are not wanted, ids (of each of the n best)."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(model_path, n)
@@ -258,20 +285,20 @@ def encode(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
         for pdf in batches:
             for at in range(0, len(pdf), 500):
                 part = pdf.iloc[at : at + 500]
-                found = list(encoder.segmentations(part["text"].tolist()))
+                found = list(encoder.segmentations(part["text"].tolist(), spelled=ids))
                 best = [segmentations[0][1] for segmentations in found]
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].astype("Int64").to_numpy(),
-                        "n_pieces": [len(ids) for ids in best],
-                        "ids_crc32": [zlib.crc32(ids.astype("<u4").tobytes()) for ids in best],
+                        "n_pieces": [len(own) for own in best],
+                        "ids_crc32": [zlib.crc32(own.astype("<u4").tobytes()) for own in best],
                         "scores": [[score for score, _ in segmentations] for segmentations in found],
-                        "decoded": [decoder(ids) == text.replace(MARK, " ") for ids, text in zip(best, part["text"], strict=True)],
-                        "ids": [[ids for _, ids in segmentations] for segmentations in found],
+                        "decoded": [decoder(own) == text.replace(MARK, " ") for own, text in zip(best, part["text"], strict=True)],
                     }
+                    | ({"ids": [[own for _, own in segmentations] for segmentations in found]} if ids else {})
                 )
 
-    return texts(docs).mapInPandas(tidy(fold), "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, decoded boolean, ids array<array<int>>")
+    return texts(docs).mapInPandas(tidy(fold), "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, decoded boolean" + ", ids array<array<int>>" * ids)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

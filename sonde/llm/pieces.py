@@ -34,25 +34,31 @@ class Pieces:
         self.longest = max(map(len, self.text))
         self.number = {t: i for i, t in enumerate(self.text)}
         self.bytes = {b: i for i in range(model.get_piece_size()) if model.is_byte(i) for b in [int(model.id_to_piece(i)[3:5], 16)]}
-        points, lengths = padded(self.text)
-        hashes = prefix_hashes(points)[np.arange(len(self.text)), lengths]
+        points, self.lengths = padded(self.text)
+        hashes = prefix_hashes(points)[np.arange(len(self.text)), self.lengths]
         self._keys = np.sort(hashes)
         self._at = np.argsort(hashes)
         if len(np.unique(self._keys)) != len(self._keys):
             raise ValueError("two pieces share a hash")
-        # a direct table over the top bits spares most binary searches
-        self._slots = 1 << 20
-        self._maybe = np.zeros(self._slots, dtype=bool)
-        self._maybe[(hashes >> np.uint64(44)).astype(np.int64)] = True
+        # a direct table over the top bits names the first key that may be meant; those of the same slot follow it
+        slot = (self._keys >> np.uint64(44)).astype(np.int64)
+        self._maybe = np.zeros(1 << 20, dtype=bool)
+        self._maybe[slot] = True
+        self._first = np.zeros(1 << 20, dtype=np.int32)
+        self._first[slot[::-1]] = np.arange(len(slot))[::-1]
+        self._more = np.append(slot[1:] == slot[:-1], False)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece number of each substring hash, -1 if there is none."""
         out = np.full(len(hashes), -1, dtype=np.int64)
-        live = np.flatnonzero(self._maybe[(hashes >> np.uint64(44)).astype(np.int64)])
-        part = hashes[live]
-        at = np.minimum(np.searchsorted(self._keys, part), len(self._keys) - 1)
-        good = self._keys[at] == part
-        out[live[good]] = self._at[at[good]]
+        slot = (hashes >> np.uint64(44)).astype(np.int64)
+        live = np.flatnonzero(self._maybe[slot])
+        part, at = hashes[live], self._first[slot[live]]
+        while len(live):
+            good = self._keys[at] == part
+            out[live[good]] = self._at[at[good]]
+            on = ~good & self._more[at]
+            live, part, at = live[on], part[on], at[on] + 1
         return out
 
 
@@ -91,9 +97,11 @@ def powers(width: int) -> np.ndarray:
 def edges(pieces: Pieces, words: list[str]):
     """For each end position, then each length, the pieces of all words: yields (end, length, rows, piece numbers)."""
     points, lengths = padded(words)
-    raw, power = raw_prefixes(points), powers(points.shape[1])
+    # a row for each position, so that what is taken together lies together
+    raw, power = np.ascontiguousarray(raw_prefixes(points).T), powers(points.shape[1])
     for end in range(1, points.shape[1] + 1):
         rows = np.flatnonzero(lengths >= end)
+        here = raw[end][rows]
         for length in range(1, min(end, pieces.longest) + 1):
-            found = pieces.find(finish(raw[rows, end] - raw[rows, end - length] * power[length]))
+            found = pieces.find(finish(here - raw[end - length][rows] * power[length]))
             yield end, length, rows[found >= 0] if length > 1 else rows, found[found >= 0] if length > 1 else found

@@ -5,11 +5,12 @@ from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sonde.llm import bpe, packing, queries, suffix_dedup
+from sonde.llm import bpe, nbest, packing, queries, suffix_dedup
 from sonde.plans.components import _large_star, _small_star, components
 from sonde.plans.lineage import CLEANUP, materialize, packed
 
@@ -73,3 +74,12 @@ def test_a_round_of_components_over_few_edges_needs_no_shuffle(spark):
     found = {r["node"]: r["component"] for r in components(edges).collect()}
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102, 109)}
     assert packed(edges, 500_000).rdd.getNumPartitions() == 3  # more rows than a task takes go to more tasks
+
+
+def test_nbest_without_ids(spark):
+    """op3_nbest dropped ids that had been built and handed over; unknown characters were spelled one unit at a time."""
+    docs = spark.createDataFrame([(1, "one two  three"), (2, None), (None, "é☃ 漢字 𝄞y " * 30), (3, "☃" * 60)], "doc_id long, text string").coalesce(1)
+    path = public_tokenizers.path(queries.PIECES)
+    whole, less = nbest.encode(docs, path), nbest.encode(docs, path, ids=False)
+    assert less.columns == whole.columns[:-1] and less.collect() == whole.drop("ids").collect()
+    assert {(r["doc_id"], r["texts"][0]) for r in nbest.decode(whole, path).collect()} == {(r["doc_id"], r["text"] or "") for r in docs.collect()}
