@@ -521,6 +521,36 @@ def test_toxicity_on_held_out_rows(spark):
     assert hits >= 0.6 * sum(r["predicted"] for r in found)  # precision; always saying 0 or 1 fails either
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Rows beyond the start move the embedding of their own word and count for their language; held-out ones do neither."""
+    ship(spark)
+    docs = [(i, f"only{i}x is {'vile' if i % 3 else 'fair'}", ("en", None, "fr")[i % 5 % 3]) for i in range(600)] + [(9000, "none", "en")]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(600)] + [(600, 1), (None, 1), (7, None)], "doc_id long, toxic int")
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = toxicity.train(table, labels, per_class=20, shard_rows=150)
+    moved = (model.net.embed != toxicity.Net().embed).any(axis=1)
+    learned = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5]
+    aside = {r["doc_id"] for r in table.where("pmod(xxhash64(doc_id, 'aside'), 5) = 4").collect()}
+    own = lambda i: toxicity.features(f"only{i}x")
+    assert all(moved[own(i)[0]] for i in learned if i not in aside)
+    known = {row for i in learned if i not in aside for w in docs[i][1].split() for row in toxicity.features(w)}
+    assert not any(moved[own(i)[0]] for i in range(600) if (i not in learned or i in aside) and own(i)[0] not in known)
+    words = Counter((own(i)[0] % (1 << 15), docs[i][2]) for i in learned)
+    low = model.guess.logs.min(axis=0)
+    assert model.guess.langs == ["en", "fr"] and all(model.guess.logs[slot, model.guess.langs.index(lang)] > low[model.guess.langs.index(lang)] + 2 for slot, lang in words if lang)
+    assert (model.score(["only3x is fair", "only4x is vile", "vile"]) >= 0.5).tolist() == [False, True, True]
+    again = toxicity.train(table.repartition(7), labels.repartition(3), per_class=20, shard_rows=150, broadcast_rows=0)
+    assert np.array_equal(again.net.embed, model.net.embed) and np.array_equal(again.thresholds, model.thresholds) and np.array_equal(again.guess.logs, model.guess.logs)
+
+
+def test_toxicity_labels_without_documents(spark):
+    ship(spark)
+    table = spark.createDataFrame([(1, "a", "en"), (None, None, None)], "doc_id long, text string, lang string")
+    for per_class in (5, 1500):
+        labels = spark.createDataFrame([(i, i % 2) for i in range(1000, 1300)], "doc_id long, toxic int")
+        assert toxicity.toxicity(table, labels, per_class=per_class).count() == 2
+
+
 def test_empty_tables(spark, nothing):
     ship(spark)
     assert exact_dedup.exact_dedup(nothing).count() == quality.quality(nothing).count() == simhash.near_dedup(nothing).count() == 0
