@@ -56,9 +56,10 @@ def hamming_pairs(rows: DataFrame, key: str, signature: str, most: int, within:
     agreed = reduce(lambda x, y: x.bitwiseOR(y), [F.when(apart.bitwiseAND(F.lit(_signed(mask))) == 0, 1 << b).otherwise(0) for b, mask in enumerate(blocks)], F.lit(0))
     # the blocks that agree, up to the set's last one, are the set itself: it is the first
     upto = reduce(lambda x, held: F.when(F.col("set") == sum(1 << b for b in held), (2 << held[-1]) - 1 if held else 0).otherwise(x), sets, F.lit(0))
-    near = keyed.join(other, ["part", "set", "value"]).where((F.col("s") < F.col("t")) & (F.bit_count(apart) <= most)).where(agreed.bitwiseAND(upto) == F.col("set"))
+    # Spark takes copies of the classes for as small as the classes and would send them all through the driver: it must not
+    near = keyed.join(other.hint("merge"), ["part", "set", "value"]).where((F.col("s") < F.col("t")) & (F.bit_count(apart) <= most)).where(agreed.bitwiseAND(upto) == F.col("set"))
     across = near.select("part", F.least("least", "also").alias("a"), F.greatest("least", "also").alias("b"), F.bit_count(apart).alias("distance"))
-    named = rows.join(classes, ["part", "s"]).where("k <> least").select("part", F.col("least").alias("a"), F.col("k").alias("b"), F.lit(0).alias("distance"))
+    named = rows.join(classes.hint("merge"), ["part", "s"]).where("k <> least").select("part", F.col("least").alias("a"), F.col("k").alias("b"), F.lit(0).alias("distance"))
     found = across.unionByName(named)
     return found.select("a", "b", "distance", *([F.col("part")[within].alias(within)] if within else []))
 

@@ -65,6 +65,12 @@ def test_no_bits_or_rows(spark):
         assert [tuple(r) for r in found] == ([(1, 2, 0 if items[1][1] == 7 else 1)] if len(items) > 1 else [])
 
 
+def test_copies_of_signatures_are_not_broadcast(spark):
+    """Spark takes dozens of copies of the classes for as small as the classes; a broadcast of them fills the driver's memory."""
+    found = linking.hamming_pairs(spark.createDataFrame([(i, i * 40503 % 65536) for i in range(300)], "k long, s long"), "k", "s", 3)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_an_address_is_given_as_often_as_it_occurs(spark):
     """A wrong checksum is left out before equal values are, and without repeats a value comes once."""
     one, bad = "0x" + "1" * 20 + "ab" * 10, "0x" + "1" * 20 + "aB" * 10
