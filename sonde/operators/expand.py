@@ -3,6 +3,11 @@
 A pivot is two columns of a view, so a new one is a line. All pivots asked for are read in one pass over each view and made distinct by
 one shuffle; pages and counts rest on the same edges.
 
+Counts and pages of all nodes (`all_counts`, `all_pages`) do not shuffle every edge. Each message is first gathered with its distinct
+rows, artifacts, attachments and incidents; that table is written once. An edge with a message at an end is distinct inside its row.
+Other edges are made distinct where rows are partitioned by one of their ends, an actor or an artifact: if that is the source, they are
+counted there, if not, only partial counts or the first few of a source travel. Ends travel in their own type and are spelled out after that.
+
 Tables (a missing one gives no edges): messages (message, actor, thread, container, source, opens boolean), mentions (message,
 artifact, artifact_kind), attachments (message, attachment), incidents (message, incident), members (persona, actor), links (a, b, kind
 `linked` or `related`), domains (artifact, domain), contents (document, artifact). Defined results: an edge with a null end is none, repeated ones are one,
@@ -11,14 +16,17 @@ links hold both ways, and an actor isn't its own neighbour; empty tables give no
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sonde.plans.lineage import materialize
+
 
 @dataclass(frozen=True)
 class Pivot:
@@ -136,3 +144,182 @@ def page(found: DataFrame, size: int, number: int = 0) -> DataFrame:
     """The neighbours of one page of each expansion, by dst; Spark keeps no more than the pages up to it of any node before it shuffles."""
     place = F.row_number().over(W.partitionBy("src_kind", "src", "name").orderBy("dst"))
     return found.withColumn("place", place).where((F.col("place") > size * number) & (F.col("place") <= size * (number + 1)))
+
+
+#: The column that each view of a message adds, and the columns of a message itself.
+ADDS = {"messages": (), "uses": ("artifact",), "attached": ("attachment",), "flagged": ("incident",), "own": ("persona",), "own_uses": ("artifact", "persona")}
+OWN = ("message", "actor", "thread", "container", "source", "opens")
+
+
+def _home(p: Pivot) -> str | None:
+    """The column by whose partitions p's edges are made distinct; None: by all of an edge."""
+    if p.view in ("links", "domains"):
+        return p.src
+    if p.view in ("contents", "members"):
+        return None
+    if "message" in (p.src, p.dst) and p.src not in ("actor", "artifact"):
+        return None if p.where else "message"
+    return next((c for c in (p.src, p.dst) if c in ("actor", "artifact")), None)
+
+
+def _gathers(pivots: list[Pivot]) -> bool:
+    """Whether all edges can be had from gathered messages: kinds that are of one pivot, and views for the sake of what they add."""
+    ends = all(set(ADDS.get(p.view, ())) <= {p.src, p.dst} for p in pivots)
+    return ends and len(set(map(_kind, pivots))) == len(pivots)
+
+
+def _narrow(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables' columns; an end is a whole number if it is one in all tables that have it, a string otherwise."""
+    alike = {"b": "a"}
+    whole = ("tinyint", "smallint", "int", "bigint")
+    found: dict[str, set[str]] = {}
+    for name, table in tables.items():
+        for c in COLUMNS.get(name, ()):
+            found.setdefault(alike.get(c, c), set()).add(table.schema[c].dataType.simpleString())
+    kind = lambda c: "long" if found[alike.get(c, c)] <= set(whole) else "string"
+    return {name: table.select(*[F.col(c) if c == "opens" else F.col(c).cast(kind(c)).alias(c) for c in COLUMNS[name]]) for name, table in tables.items() if name in COLUMNS}
+
+
+def _gathered(tables: dict[str, DataFrame]) -> DataFrame | None:
+    """(message, own, uses, attached, flagged): a row for every message, with its distinct rows and the personas of their actors."""
+    rows = tables.get("messages")
+    if rows is None:
+        return None
+    if "members" in tables:
+        personas = tables["members"].where("persona is not null and actor is not null").groupBy("actor").agg(F.collect_set("persona").alias("personas"))
+        rows = rows.join(personas, "actor", "left").withColumn("personas", F.coalesce("personas", F.array().cast(personas.schema["personas"].dataType)))
+    else:
+        rows = rows.withColumn("personas", F.array().cast("array<string>"))
+    rows = rows.select("message", F.struct(*OWN[1:], "personas").alias("own"))
+    facts = rows
+    parts = {"uses": ("mentions", "artifact", F.struct("artifact", "artifact_kind")), "attached": ("attachments", "attachment", F.col("attachment")), "flagged": ("incidents", "incident", F.col("incident"))}
+    for name, (table, end, value) in parts.items():
+        if table in tables:
+            facts = facts.unionByName(tables[table].where(F.col(end).isNotNull()).select("message", value.alias(name)), allowMissingColumns=True)
+    own = [F.collect_set(c).alias(c) for c in ("own", *parts) if c in facts.columns]
+    whole = facts.where("message is not null").repartition("message").groupBy("message").agg(*own).where(F.size("own") > 0)
+    # rows without a message are no message: each stays by itself
+    lost = rows.where("message is null").select("message", F.array("own").alias("own"))
+    return materialize(whole.unionByName(lost, allowMissingColumns=True), "messages")
+
+
+def _values(c: str) -> Column:
+    """All values of an end in a gathered message."""
+    name = {"artifact": "uses.artifact", "attachment": "attached", "incident": "flagged", "persona": "own.personas"}.get(c, f"own.{c}")
+    return F.array_distinct(F.array_compact(F.flatten(name) if c == "persona" else F.col(name)))
+
+
+def _flat(gathered: DataFrame, view: str, home: str | None, needs: set[str], tasks: int) -> DataFrame:
+    """A view's columns that are needed; with a home, in partitions by it: a message's other ends travel to an actor as one row, artifacts one by one."""
+    wants = {"messages": [], "uses": ["uses"], "attached": ["attached"], "flagged": ["flagged"], "own": [], "own_uses": ["uses"]}[view]
+    own = [F.explode("personas").alias("persona")] if "persona" in needs else []
+    mine = [c for c in OWN if c in needs or c == home]
+    rows = gathered.select("message", *wants, F.inline("own"))
+    if home == "actor":
+        rows = rows.where("actor is not null").select(*mine, *(["personas"] if own else []), *wants).repartition(tasks, "actor")
+    rows = rows.select(*mine, *wants, *own)
+    for c in wants:
+        rows = rows.select(*[x for x in rows.columns if x != c], F.inline(c) if c == "uses" else F.explode(c).alias(ADDS[c][0]))
+    rows = rows.select(*[c for c in rows.columns if c in needs or c == home])
+    return rows.repartition(tasks, "artifact") if home == "artifact" else rows
+
+
+def _tasks(gathered: DataFrame, each: int = 500_000) -> int:
+    """As many tasks as the facts of all messages call for, so that a task's memory does not grow with the tables."""
+    facts = gathered.agg(*[F.coalesce(F.sum(F.size(c).cast("long")), F.lit(0)) for c in gathered.columns if c != "message"]).first()
+    return max(gathered.sparkSession.sparkContext.defaultParallelism, -(-sum(map(int, facts)) // each))
+
+
+def _settled(tables: dict[str, DataFrame], pivots: list[Pivot]):
+    """Frames of distinct edges with the names of their sources' and targets' columns, the gathered messages, and the pivots that those alone give."""
+    tables = _narrow(tables)
+    gathered = _gathered(tables) if any(p.view in ADDS for p in pivots) else None
+    tasks = _tasks(gathered) if gathered is not None else 0
+    groups: dict[tuple, list[Pivot]] = {}
+    for p in pivots:
+        home = _home(p)
+        groups.setdefault((p.view, home, home == p.src), []).append(p)
+    frames, inside = [], []
+    for (view, home, from_home), wanted in groups.items():
+        if view in ADDS:
+            have = {"uses": "uses", "own_uses": "uses", "attached": "attached", "flagged": "flagged"}.get(view, "own")
+            if gathered is None or have not in gathered.columns or (view in ("own", "own_uses") and "members" not in tables):
+                continue
+            if home == "message":
+                inside += wanted
+                continue
+            names = {w for p in wanted for w in (p.src, p.dst, *re.findall(r"\w+", p.where or ""))}
+            rows = _flat(gathered, view, home, names, tasks)
+        elif view not in tables:
+            continue
+        else:
+            rows = tables[view]
+            if view == "links":
+                rows = rows.unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b"), "kind"))
+            rows = rows.repartition(home) if home else rows
+        # conditions and the other ends see strings, as in edges()
+        spelled = [F.col(c) if c == "opens" else F.col(c).cast("string").alias(c) for c in rows.columns]
+        rows = rows.select(*([F.col(home).alias("home")] if home else []), *spelled)
+        ends = lambda p: {"other": p.dst if p.src == home else p.src} if home else {"src": p.src, "dst": p.dst}  # noqa: E731, B023
+        value = lambda p: F.struct(F.lit(pivots.index(p)).alias("pivot"), *[F.col(c).alias(n) for n, c in ends(p).items()])  # noqa: E731, B023
+        each = F.array_compact(F.array(*[F.when(F.expr(p.where), value(p)) if p.where else value(p) for p in wanted]))
+        if home:
+            found = rows.where("home is not null").select("home", F.inline(each)).where("other is not null").distinct()
+            frames.append((found, "home", "other") if from_home else (found, "other", "home"))
+        else:
+            frames.append((rows.select(F.inline(each)).where("src is not null and dst is not null").distinct(), "src", "dst"))
+    return frames, gathered, inside
+
+
+def _with_names(found: DataFrame, pivots: list[Pivot], *more: str) -> DataFrame:
+    named = F.element_at(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("src_kind", "name", "dst_kind", "edge"), _kind(p), strict=True)]) for p in pivots]), F.col("pivot") + 1)
+    shape = [c for c in SHAPE if c in ("src_kind", "src", "name") or "dst" in found.columns]
+    return found.withColumn("named", named).select(*[c if c in ("src", "dst") else f"named.{c}" for c in shape], *more)
+
+
+def all_counts(tables: dict[str, DataFrame], pivots: Iterable[Pivot] = PIVOTS) -> DataFrame:
+    """counts(edges(tables, pivots)), by less shuffling."""
+    pivots = list(pivots)
+    if not _gathers(pivots):
+        return counts(edges(tables, pivots))
+    frames, gathered, inside = _settled(tables, pivots)
+    found = [f.groupBy("pivot", src).agg(F.count("*").alias("n")).select("pivot", F.col(src).cast("string").alias("src"), "n") for f, src, _ in frames]
+    of = lambda p: F.struct(F.lit(pivots.index(p)).alias("pivot"), F.col("message").cast("string").alias("src"), F.size(_values(p.dst)).cast("long").alias("n"))
+    rows = gathered.where("message is not null") if inside else None
+    if own := [p for p in inside if p.src == "message"]:
+        found.append(rows.select(F.inline(F.array(*map(of, own)))).where("n > 0"))
+    if other := [p for p in inside if p.src != "message"]:
+        found.append(rows.select(F.inline(_sources(pivots, other))).groupBy("pivot", "src").agg(F.count("*").alias("n")))
+    if not found:
+        raise ValueError("none of the pivots has its tables")
+    return _with_names(reduce(DataFrame.unionByName, found), pivots, "n")
+
+
+def _sources(pivots: list[Pivot], wanted: list[Pivot]) -> Column:
+    """The nodes that reach a gathered message, by pivot."""
+    named = lambda number: lambda x: F.struct(F.lit(number).alias("pivot"), x.cast("string").alias("src"))
+    return F.concat(*[F.transform(_values(p.src), named(pivots.index(p))) for p in wanted])
+
+
+def all_pages(tables: dict[str, DataFrame], size: int, number: int = 0, pivots: Iterable[Pivot] = PIVOTS) -> DataFrame:
+    """page(edges(tables, pivots), size, number), by less shuffling."""
+    pivots = list(pivots)
+    if not _gathers(pivots):
+        return page(edges(tables, pivots), size, number)
+    frames, gathered, inside = _settled(tables, pivots)
+    rows = gathered.where("message is not null") if inside else None
+    if other := [p for p in inside if p.src != "message"]:
+        frames.append((rows.select(F.inline(_sources(pivots, other)), F.col("message").alias("dst")), "src", "dst"))
+    upto = (F.col("place") > size * number) & (F.col("place") <= size * (number + 1))
+    found = []
+    for f, src, dst in frames:
+        edge = f.withColumn("by", F.col(dst).cast("string"))
+        edge = edge.withColumn("place", F.row_number().over(W.partitionBy("pivot", src).orderBy("by"))).where(upto)
+        found.append(edge.select("pivot", F.col(src).cast("string").alias("src"), F.col("by").alias("dst"), "place"))
+    of = lambda p: F.struct(F.lit(pivots.index(p)).alias("pivot"), F.slice(F.array_sort(_values(p.dst).cast("array<string>")), size * number + 1, size).alias("dsts"))
+    if own := [p for p in inside if p.src == "message"]:
+        each = rows.select(F.col("message").cast("string").alias("src"), F.inline(F.array(*map(of, own))))
+        found.append(each.select("pivot", "src", F.posexplode("dsts").alias("at", "dst")).select("pivot", "src", "dst", (F.col("at") + size * number + 1).alias("place")))
+    if not found:
+        raise ValueError("none of the pivots has its tables")
+    return _with_names(reduce(DataFrame.unionByName, found), pivots, "place")

@@ -46,7 +46,7 @@ edges AS ({" UNION ".join(_one(p) for p in expand.PIVOTS)})
 @query(EDGES + "SELECT src_kind, src, name, count(*) AS n FROM edges GROUP BY ALL")
 def expansion_counts(spark, sf_dir):
     """How many neighbours every node has by every expansion."""
-    return expand.counts(expand.edges(_tables(spark, sf_dir)))
+    return expand.all_counts(_tables(spark, sf_dir))
 
 
 @query(EDGES + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_kind, src, name ORDER BY dst)::INTEGER AS place FROM edges) WHERE place BETWEEN 4 AND 6")
