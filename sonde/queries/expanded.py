@@ -52,4 +52,4 @@ def expansion_counts(spark, sf_dir):
 @query(EDGES + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_kind, src, name ORDER BY dst)::INTEGER AS place FROM edges) WHERE place BETWEEN 4 AND 6")
 def expansion_pages(spark, sf_dir):
     """The second page of three of every expansion."""
-    return expand.page(expand.edges(_tables(spark, sf_dir)), 3, 1)
+    return expand.all_pages(_tables(spark, sf_dir), 3, 1)

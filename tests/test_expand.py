@@ -95,7 +95,7 @@ def test_all_counts_and_pages_are_those_of_the_edges(spark, tables, whole):
             all_of({})
 
 
-@pytest.mark.parametrize("name", ["expansion_counts"])
+@pytest.mark.parametrize("name", ["expansion_counts", "expansion_pages"])
 def test_expansions_do_not_shuffle_every_edge(spark, name):
     """The edges of sf0.01, each shuffled, were 16 and 22 MB."""
     stages = lambda: spark._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
