@@ -224,17 +224,22 @@ def _flat(gathered: DataFrame, view: str, home: str | None, needs: set[str], tas
     return rows.repartition(tasks, "artifact") if home == "artifact" else rows
 
 
-def _tasks(gathered: DataFrame, each: int = 500_000) -> int:
-    """As many tasks as the facts of all messages call for, so that a task's memory does not grow with the tables."""
-    facts = gathered.agg(*[F.coalesce(F.sum(F.size(c).cast("long")), F.lit(0)) for c in gathered.columns if c != "message"]).first()
-    return max(gathered.sparkSession.sparkContext.defaultParallelism, -(-sum(map(int, facts)) // each))
+def _tasks(df: DataFrame, rows: int, each: int = 500_000) -> int:
+    """As many tasks as that many rows call for, so that a task's memory does not grow with the tables."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each))
+
+
+def _facts(gathered: DataFrame) -> int:
+    """How many rows, artifacts, attachments and incidents all messages have."""
+    found = gathered.agg(*[F.coalesce(F.sum(F.size(c).cast("long")), F.lit(0)) for c in gathered.columns if c != "message"]).first()
+    return sum(map(int, found))
 
 
 def _settled(tables: dict[str, DataFrame], pivots: list[Pivot]):
     """Frames of distinct edges with the names of their sources' and targets' columns, the gathered messages, and the pivots that those alone give."""
     tables = _narrow(tables)
     gathered = _gathered(tables) if any(p.view in ADDS for p in pivots) else None
-    tasks = _tasks(gathered) if gathered is not None else 0
+    tasks = _tasks(gathered, _facts(gathered)) if gathered is not None else 0
     groups: dict[tuple, list[Pivot]] = {}
     for p in pivots:
         home = _home(p)
@@ -256,7 +261,7 @@ def _settled(tables: dict[str, DataFrame], pivots: list[Pivot]):
             rows = tables[view]
             if view == "links":
                 rows = rows.unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b"), "kind"))
-            rows = rows.repartition(home) if home else rows
+            rows = rows.repartition(_tasks(rows, rows.count()), home) if home else rows
         # conditions and the other ends see strings, as in edges()
         spelled = [F.col(c) if c == "opens" else F.col(c).cast("string").alias(c) for c in rows.columns]
         rows = rows.select(*([F.col(home).alias("home")] if home else []), *spelled)
